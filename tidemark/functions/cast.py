@@ -10,7 +10,7 @@ from .. import schemas as S
 def _typed(value: Column, type_code: int, meta: int, unsigned: bool) -> Column:
     """One text value as its column type; out-of-range or malformed text becomes NULL."""
     if type_code == S.STRING:
-        return F.rpad(value, meta // 4, " ")
+        return F.rpad(value, (meta >> 8) // 4, " ")
     if type_code == S.VARCHAR:
         return value
     if type_code == S.BOOL:

@@ -230,3 +230,101 @@ step AS (
   SELECT *, live - coalesce(lag(live) OVER (PARTITION BY key ORDER BY seq), 0) AS delta
   FROM alive)
 SELECT key, seq, op, CAST(sum(delta) OVER (ORDER BY seq) AS BIGINT) AS live_rows FROM step"""
+
+
+# The log the events are packed to: files of 4096 ids, rows events of consecutive changes with
+# the same table and kind, table maps at every 16th rows event of a file.
+PACKED = """
+packed AS (
+  SELECT *, CAST(event_id // 4096 + 1 AS INTEGER) AS file_seq,
+         CASE WHEN user_id % 2 = 0 THEN 'users' ELSE 'guests' END AS tab,
+         CASE event_type WHEN 'signup' THEN 23 WHEN 'error' THEN 25 ELSE 24 END AS code,
+         CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec,
+         CAST(regexp_extract(props, '-?[0-9]+') AS INTEGER) AS k0
+  FROM events),
+marked AS (
+  SELECT *, CASE WHEN lag(tab) OVER w = tab AND lag(code) OVER w = code THEN 0 ELSE 1 END AS starts
+  FROM packed WINDOW w AS (PARTITION BY file_seq ORDER BY event_id)),
+numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY file_seq ORDER BY event_id) - 1 AS run FROM marked),
+runs AS (
+  SELECT file_seq, run, code, min(sec) AS sec FROM numbered GROUP BY file_seq, run, code),
+log AS (
+  SELECT file_seq, code, sec FROM runs
+  UNION ALL SELECT file_seq, unnest([2, 19, 19]), sec FROM runs WHERE run % 16 = 0
+  UNION ALL SELECT DISTINCT file_seq, unnest([15, 4]), 0 FROM runs)
+"""
+
+for _name in ("binlog_scan", "binlog_scan_binary_files", "binlog_stream",
+              "binlog_stream_growing"):
+    ORACLE[_name] = f"""
+WITH {PACKED}
+SELECT file_seq, code AS type_code, count(*) AS n_events, count(*) AS n_offsets
+FROM log GROUP BY ALL"""
+
+ORACLE["event_headers"] = f"""
+WITH {PACKED}
+SELECT file_seq, code AS type_code, CAST(1 AS BIGINT) AS server_id, 0 AS flags, sec AS event_s,
+       TRUE AS position_agrees FROM log"""
+
+ORACLE["table_maps"] = f"""
+WITH {PACKED},
+versions("table", table_id, names, types) AS (VALUES
+  ('users', CAST(64 AS BIGINT), '_id,event_id,event_type,value,k,props,label,medium,counter',
+   '8,8,15,5,2,15,254,9,3'),
+  ('guests', CAST(65 AS BIGINT), '_id,event_id,value,event_type', '8,8,5,15'))
+SELECT file_seq, table_id, 'e_store' AS "database", "table", names, types, '0' AS pk,
+       CAST(NULL AS VARCHAR) AS error
+FROM runs, versions WHERE run % 16 = 0"""
+
+ORACLE["column_catalog"] = f"""
+WITH {PACKED},
+logged("table", ordinal, name, type_code, meta, "unsigned", is_pk) AS (VALUES
+  ('users', 0, '_id', 8, 0, TRUE, TRUE), ('users', 1, 'event_id', 8, 0, FALSE, FALSE),
+  ('users', 2, 'event_type', 15, 80, FALSE, FALSE), ('users', 3, 'value', 5, 8, FALSE, FALSE),
+  ('users', 4, 'k', 2, 0, FALSE, FALSE), ('users', 5, 'props', 15, 1200, FALSE, FALSE),
+  ('users', 6, 'label', 254, 64 * 256 + 254, FALSE, FALSE),
+  ('users', 7, 'medium', 9, 0, FALSE, FALSE), ('users', 8, 'counter', 3, 0, TRUE, FALSE),
+  ('guests', 0, '_id', 8, 0, TRUE, TRUE), ('guests', 1, 'event_id', 8, 0, FALSE, FALSE),
+  ('guests', 2, 'value', 5, 8, FALSE, FALSE), ('guests', 3, 'event_type', 15, 80, FALSE, FALSE))
+SELECT 'e_store' AS "database", logged.*, FALSE AS nullable,
+       (SELECT count(*) FROM runs WHERE run % 16 = 0) AS n_versions
+FROM logged"""
+
+for _name in ("decode_rows", "decode_rows_resolved"):
+    ORACLE[_name] = f"""
+WITH {PACKED}
+SELECT tab AS "table", code AS type_code, CAST(file_seq AS BIGINT) AS file_seq,
+       CAST(NULL AS VARCHAR) AS reason, CAST(user_id AS VARCHAR) AS _id, event_id, event_type,
+       value, CASE WHEN tab = 'users' AND k0 % 7 <> 0 THEN k0 END AS k,
+       CASE WHEN tab = 'users' THEN props END AS props,
+       CASE WHEN tab = 'users' THEN rpad(event_type, 16, ' ') END AS label,
+       CASE WHEN tab = 'users'
+            THEN CAST(event_id * 7919 % 16777216 - 8388608 AS INTEGER) END AS medium,
+       CASE WHEN tab = 'users' THEN 4294967295 - event_id END AS counter
+FROM packed"""
+
+ORACLE["pair_images"] = f"""
+WITH {PACKED}
+SELECT event_id AS before_event_id, event_id AS after_event_id,
+       CAST(user_id AS VARCHAR) AS before_id, CAST(user_id AS VARCHAR) AS after_id,
+       CAST(NULL AS DOUBLE) AS before_value, value AS after_value
+FROM packed WHERE code = 24"""
+
+ORACLE["build_changes"] = f"""
+WITH {PACKED}
+SELECT 'e_store' AS "database", tab AS "table",
+       CASE code WHEN 23 THEN 'INSERT' WHEN 24 THEN 'UPDATE' ELSE 'DELETE' END AS op,
+       lpad(CAST(user_id AS VARCHAR), 24, '0') AS key, CAST(NULL AS VARCHAR) AS reason,
+       CAST(file_seq AS BIGINT) AS file_seq, event_id, event_type, value,
+       CASE WHEN tab = 'users' THEN rpad(event_type, 16, ' ') END AS label
+FROM packed"""
+
+for _name in ("replay_log", "replay_log_stream"):
+    ORACLE[_name] = f"""{STATE_A}
+SELECT 'e_store' AS "database",
+       CASE WHEN CAST(key AS BIGINT) % 2 = 0 THEN 'users' ELSE 'guests' END AS "table",
+       key, last_seq AS event_id, event_type, value
+FROM state"""
+
+ORACLE["apply_stream"] = f"{STATE_A} SELECT * FROM state"

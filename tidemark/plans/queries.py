@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas as S
 from ..functions import (
@@ -14,15 +15,21 @@ from ..functions import (
 )
 from ..operators import (
     apply_changes, apply_deletes, apply_inserts, apply_multi_table, apply_updates,
-    assign_segment, carry_position, change_metrics, event_profile, live_row_timeline,
+    assign_segment, carry_position, change_metrics, column_catalog, event_headers,
+    event_profile, live_row_timeline,
     reject_types, resume_from, schema_asof, split_valid, state_as_of, supported_events, tap,
     unmatched_rows, validate_key,
 )
+from ..sources.binlog import (
+    binlog_scan, changes_of, decode_rows, read_changes, read_images, table_maps, table_row_type,
+)
 from ..sources.scratch import new_path, shared_folder
 from ..sources.tables import (
     create_target, full_refresh, key_lookup, route_changes, snapshot_scan, state_to_json,
 )
+from ..streaming import apply_stream, binlog_stream, read_state
 from . import feeds
+from .packing import log_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -337,3 +344,170 @@ def _tap(spark, sf_dir):
     watched = tap(feeds.user_changes(spark, sf_dir), f"users-{uuid.uuid4().hex}",
                   F.count(F.lit(1)).alias("n_records"))
     return apply_changes(watched)
+
+
+# ---- log files: the events table packed to bytes, scanned and decoded ---------------------
+
+def _log_events(spark, sf_dir):
+    return binlog_scan(spark, log_folder(spark, sf_dir))
+
+
+def _file_profile(events):
+    return events.filter(F.col("error").isNull()).groupBy("file_seq", "type_code").agg(
+        F.count("*").alias("n_events"), F.count_distinct("byte_off").alias("n_offsets"))
+
+
+@query("binlog_scan")
+def _binlog_scan(spark, sf_dir):
+    return _file_profile(_log_events(spark, sf_dir))
+
+
+@query("binlog_scan_binary_files")
+def _binlog_scan_binary_files(spark, sf_dir):
+    return _file_profile(binlog_scan(spark, log_folder(spark, sf_dir), reader="binaryFile"))
+
+
+@query("binlog_stream")
+def _binlog_stream(spark, sf_dir):
+    events = binlog_stream(spark, log_folder(spark, sf_dir), max_files=2)
+    return _file_profile(_run_once(spark, events))
+
+
+@query("binlog_stream_growing")
+def _binlog_stream_growing(spark, sf_dir):
+    events = binlog_stream(spark, log_folder(spark, sf_dir), growing=True)
+    return _file_profile(_run_once(spark, events))
+
+
+def _run_once(spark, stream):
+    """Everything available now, through a file sink with a fresh checkpoint."""
+    path = new_path(spark, "stream")
+    (stream.writeStream.format("parquet").option("path", f"{path}/out")
+     .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+     .awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("event_headers")
+def _event_headers(spark, sf_dir):
+    headers = event_headers(_log_events(spark, sf_dir))
+    return headers.select(
+        "file_seq", "type_code", "server_id", "flags",
+        F.unix_seconds("event_ts").alias("event_s"),
+        (F.col("log_pos") == F.col("byte_off") + F.col("event_size")).alias("position_agrees"))
+
+
+@query("table_maps")
+def _table_maps(spark, sf_dir):
+    return table_maps(_log_events(spark, sf_dir)).select(
+        "file_seq", "table_id", "database", "table",
+        F.array_join("names", ",").alias("names"),
+        F.array_join(F.transform("type_codes", lambda t: t.cast("string")), ",").alias("types"),
+        F.array_join(F.transform("pk", lambda p: p.cast("string")), ",").alias("pk"), "error")
+
+
+@query("column_catalog")
+def _column_catalog(spark, sf_dir):
+    catalog = column_catalog(table_maps(_log_events(spark, sf_dir)))
+    return catalog.groupBy(
+        "database", "table", "ordinal", "name", "type_code", "meta", "unsigned", "is_pk",
+        "nullable").agg(F.count("*").alias("n_versions"))
+
+
+def _typed_rows(spark, sf_dir, decode):
+    """Images of both tables of the log as typed rows of one shape."""
+    catalog = column_catalog(table_maps(_log_events(spark, sf_dir)))
+    shape = table_row_type(catalog, feeds.DATABASE, "users")
+    return [decode(shape, feeds.DATABASE, name) for name in ("users", "guests")], shape
+
+
+def _image_columns(image, shape):
+    plain = {"_id": "string", "k": "int"}  # types the check can compare
+    return [image[f.name].cast(plain.get(f.name, f.dataType)).alias(f.name)
+            for f in shape.fields]
+
+
+@query("decode_rows")
+def _decode_rows(spark, sf_dir):
+    events = _log_events(spark, sf_dir)
+    spread = spark.sparkContext.defaultParallelism
+    parts, shape = _typed_rows(
+        spark, sf_dir, lambda *one: decode_rows(events, *one, spread=spread))
+    rows = parts[0].unionByName(parts[1])
+    image = F.coalesce("after", "before")
+    return rows.select("table", "type_code", F.shiftright("seq", 32).alias("file_seq"), "reason",
+                       *_image_columns(image, shape))
+
+
+@query("decode_rows_resolved")
+def _decode_rows_resolved(spark, sf_dir):
+    """As ``decode_rows``, with the table maps resolved by the as-of operator."""
+    events = _log_events(spark, sf_dir).drop("table_map")
+    parts, shape = _typed_rows(spark, sf_dir, lambda *one: decode_rows(events, *one))
+    rows = parts[0].unionByName(parts[1])
+    return rows.select("table", "type_code", F.shiftright("seq", 32).alias("file_seq"), "reason",
+                       *_image_columns(F.coalesce("after", "before"), shape))
+
+
+@query("pair_images")
+def _pair_images(spark, sf_dir):
+    folder = log_folder(spark, sf_dir)
+    parts, _ = _typed_rows(spark, sf_dir, lambda *one: read_images(spark, folder, *one))
+    updates = parts[0].unionByName(parts[1]).filter(F.col("type_code") == S.UPDATE_ROWS_V1)
+    return updates.select(
+        F.col("before.event_id").alias("before_event_id"),
+        F.col("after.event_id").alias("after_event_id"),
+        F.col("before._id").cast("string").alias("before_id"),
+        F.col("after._id").cast("string").alias("after_id"),
+        F.col("before.value").alias("before_value"), F.col("after.value").alias("after_value"))
+
+
+@query("build_changes")
+def _build_changes(spark, sf_dir):
+    changes = read_changes(spark, log_folder(spark, sf_dir))
+    image = F.coalesce("after", "before")
+    return changes.select(
+        "database", "table", "op", "key", "reason", F.shiftright("seq", 32).alias("file_seq"),
+        document_field(image, "event_id", "bigint").alias("event_id"),
+        document_field(image, "event_type", "string").alias("event_type"),
+        document_field(image, "value", "double").alias("value"),
+        document_field(image, "label", "string").alias("label"))
+
+
+@query("replay_log")
+def _replay_log(spark, sf_dir):
+    """Log files to current tables: scan, decode, validate, apply per table."""
+    good, _ = split_valid(read_changes(spark, log_folder(spark, sf_dir)))
+    state = apply_multi_table(good.withColumn("after", F.struct(F.col("after").alias("doc"))))
+    return state.select(
+        "database", "table", "key", document_field("doc", "event_id", "bigint").alias("event_id"),
+        document_field("doc", "event_type", "string").alias("event_type"),
+        document_field("doc", "value", "double").alias("value"))
+
+
+# ---- streaming apply ----------------------------------------------------------------------
+
+@query("apply_stream")
+def _apply_stream(spark, sf_dir):
+    path = new_path(spark, "apply")
+    source = f"{path}/events"
+    feeds.read(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(source)
+    events = (spark.readStream.schema(spark.read.parquet(source).schema)
+              .option("maxFilesPerTrigger", "2").parquet(source))
+    apply_stream(feeds.user_change_columns(events), f"{path}/target", f"{path}/checkpoint",
+                 availableNow=True).awaitTermination()
+    return read_state(spark, f"{path}/target")
+
+
+@query("replay_log_stream")
+def _replay_log_stream(spark, sf_dir):
+    """As ``replay_log``, from a stream of log files."""
+    path = new_path(spark, "apply")
+    events = binlog_stream(spark, log_folder(spark, sf_dir), max_files=2)
+    changes = changes_of(decode_rows(events, StructType.fromDDL(
+        "_id decimal(20,0), event_id bigint, event_type string, value double")))
+    good, _ = split_valid(changes)
+    by = ("database", "table", "key")
+    apply_stream(good, f"{path}/target", f"{path}/checkpoint", by=by,
+                 availableNow=True).awaitTermination()
+    return read_state(spark, f"{path}/target", by).drop("last_seq")

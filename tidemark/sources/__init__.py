@@ -1,0 +1,31 @@
+from .binlog import (
+    bad_events,
+    binlog_scan,
+    build_changes,
+    changes_of,
+    decode_rows,
+    read_changes,
+    read_images,
+    split_logs,
+    table_maps,
+    table_row_type,
+)
+from .datasource import LogDataSource
+from .scratch import new_path, shared_folder
+from .tables import (
+    create_target,
+    full_refresh,
+    key_lookup,
+    route_changes,
+    route_typed,
+    snapshot_scan,
+    state_to_json,
+    write_state,
+)
+
+__all__ = [
+    "LogDataSource", "bad_events", "binlog_scan", "build_changes", "changes_of", "create_target",
+    "decode_rows", "full_refresh", "key_lookup", "new_path", "read_changes", "read_images",
+    "route_changes", "route_typed", "shared_folder", "snapshot_scan", "split_logs",
+    "state_to_json", "table_maps", "table_row_type", "write_state",
+]
