@@ -24,7 +24,8 @@ def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
     ``reader="stream"`` lists the files, prunes those before ``start_file`` and streams their
     bytes. ``reader="binaryFile"`` reads through Spark's own file systems, one file as one value.
     Rows events carry the table map in force at their position, so decoding needs no join.
-    A file that is not a log or ends inside an event gives one row with ``error`` set.
+    A file that is not a log or ends inside an event gives one row with ``error`` set (an empty
+    file is not seen by the second reader).
     """
     if reader == "binaryFile":
         files = (spark.read.format("binaryFile").option("pathGlobFilter", LOG_GLOB)
