@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas as S
 from .carry import RANGE_BITS, carry_last, running_total
+from .grouping import with_group_hash
 
 
 def image_fields(df: DataFrame, column: str = "after") -> list[str]:
@@ -66,11 +67,11 @@ def apply_changes(changes: DataFrame, state: DataFrame | None = None, high_water
     (key, position), which pays when images are wide and few keys stay live.
     """
     by = list(by)
-    feed = _with_state(changes, state, by, high_water)
+    feed, group = with_group_hash(_with_state(changes, state, by, high_water), by)
     fields = image_fields(changes)
     if strategy == "aggregate":
         return (
-            feed.groupBy(*by).agg(*change_summary()).filter(is_live())
+            feed.groupBy(*group).agg(*change_summary()).filter(is_live())
             .select(*by, *[F.col(f"newest.image.`{c}`").alias(c) for c in fields],
                     F.col("newest.seq").alias("last_seq"))
         )
@@ -78,16 +79,16 @@ def apply_changes(changes: DataFrame, state: DataFrame | None = None, high_water
         raise ValueError(f"unknown strategy {strategy!r}")
     op, pos = F.col("op"), F.col("seq")
     winners = (
-        feed.groupBy(*by).agg(
+        feed.groupBy(*group).agg(
             F.max(F.when(op == S.INSERT, pos)).alias("last_insert"),
             F.max(F.when(op == S.DELETE, pos)).alias("last_delete"),
             F.max(F.when(op != S.DELETE, pos)).alias("seq"))
-        .filter(is_live()).select(*by, "seq")
+        .filter(is_live()).select(*group, "seq")
     )
     images = feed.filter(op != S.DELETE)
     # Re-delivered copies of the winning change are equal, so any one of them stands for all.
     return (
-        images.join(winners, [*by, "seq"], "inner").dropDuplicates([*by, "seq"])
+        images.join(winners, [*group, "seq"], "inner").dropDuplicates([*group, "seq"])
         .select(*by, *[F.col(f"after.`{c}`").alias(c) for c in fields],
                 F.col("seq").alias("last_seq"))
     )
@@ -103,8 +104,9 @@ def apply_inserts(state: DataFrame, changes: DataFrame) -> DataFrame:
     fields = image_fields(changes)
     feed = (changes.filter(F.col("op") == S.INSERT).select("key", "op", "seq", "after")
             .unionByName(_as_changes(state, ["key"], fields)))
+    feed, group = with_group_hash(feed, ["key"])
     newest = F.max_by(F.struct("seq", "after"), "seq").alias("newest")
-    return feed.groupBy("key").agg(newest).select(
+    return feed.groupBy(*group).agg(newest).select(
         "key", *[F.col(f"newest.after.`{c}`").alias(c) for c in fields],
         F.col("newest.seq").alias("last_seq"))
 
@@ -119,7 +121,8 @@ def apply_deletes(state: DataFrame, changes: DataFrame) -> DataFrame:
 def apply_updates(state: DataFrame, changes: DataFrame) -> DataFrame:
     """Set all non-key columns from the newest after-image; a missing key is a no-op."""
     fields = image_fields(changes)
-    newest = (changes.filter(F.col("op") == S.UPDATE).groupBy("key")
+    updates, group = with_group_hash(changes.filter(F.col("op") == S.UPDATE), ["key"])
+    newest = (updates.groupBy(*group)
               .agg(F.max_by(F.struct("seq", "after"), "seq").alias("__newest")))
     hit = F.col("__newest").isNotNull()
 
@@ -127,7 +130,8 @@ def apply_updates(state: DataFrame, changes: DataFrame) -> DataFrame:
         # Not coalesce: an update that sets a column to NULL must keep the NULL.
         return F.when(hit, F.col(new)).otherwise(F.col(old))
 
-    return state.join(newest, "key", "left").select(
+    state, _ = with_group_hash(state, ["key"])
+    return state.join(newest, group, "left").select(
         "key", *[pick(f"__newest.after.`{c}`", f"`{c}`").alias(c) for c in fields],
         pick("__newest.seq", "last_seq").alias("last_seq"))
 

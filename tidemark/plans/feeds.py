@@ -1,8 +1,12 @@
-"""Change feeds derived from the given tables."""
+"""Change feeds derived from the given tables.
+
+``id`` is the number behind the 24-digit ``key``. Aggregates go by ``id`` where they can: it is
+a third as wide, sorts faster, and the text is then made once per surviving row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .. import schemas as S
 from ..functions import build_document, format_key
@@ -23,7 +27,7 @@ def user_change_columns(events: DataFrame) -> DataFrame:
     """Feed A shape on any ``events`` DataFrame, batch or streaming."""
     return events.select(
         F.lit(DATABASE).alias("database"), F.lit("users").alias("table"),
-        format_key("user_id").alias("key"), event_op(F.col("event_type")).alias("op"),
+        F.col("user_id").alias("id"), format_key("user_id").alias("key"), event_op(F.col("event_type")).alias("op"),
         F.col("event_id").alias("seq"),
         F.struct("event_type", "value",
                  F.get_json_object("props", "$.k").cast("int").alias("k")).alias("after"))
@@ -41,11 +45,19 @@ def schema_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "signup").alias("is_schema"), "value")
 
 
+def _order_seq(date: T.DataType) -> Column:
+    """The position of an order's insert: before all its lines."""
+    return F.struct(F.lit("0001-01-01").cast(date).alias("shipped"), F.lit(0).alias("line"),
+                    F.lit(0).cast("bigint").alias("part"),
+                    F.lit(0).cast("bigint").alias("supplier"))
+
+
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a base state: key, status, price, last_seq."""
+    date = _lines(spark, sf_dir).schema["l_shipdate"].dataType
     return read(spark, sf_dir, "orders").select(
         format_key("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").alias("price"), F.lit(0).cast("bigint").alias("last_seq"))
+        F.col("o_totalprice").alias("price"), _order_seq(date).alias("last_seq"))
 
 
 def _line_op() -> Column:
@@ -65,24 +77,25 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     order as it stands, so no ranking pass is needed.
     """
     lines = _lines(spark, sf_dir)
-    date = lines.schema["l_shipdate"].dataType
     orders = read(spark, sf_dir, "orders").select(
-        format_key("o_orderkey").alias("key"), F.lit(S.INSERT).alias("op"),
-        F.struct(F.lit("0001-01-01").cast(date).alias("shipped"),
-                 F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("part"),
-                 F.lit(0).cast("bigint").alias("supplier")).alias("seq"),
+        F.col("o_orderkey").alias("id"), F.lit(S.INSERT).alias("op"),
+        _order_seq(lines.schema["l_shipdate"].dataType).alias("seq"),
         F.struct(F.col("o_orderstatus").alias("status"),
                  F.col("o_totalprice").alias("price")).alias("after"))
     changes = lines.select(
-        format_key("l_orderkey").alias("key"), _line_op().alias("op"),
+        F.col("l_orderkey").alias("id"), _line_op().alias("op"),
         F.struct(F.col("l_shipdate").alias("shipped"), F.col("l_linenumber").alias("line"),
                  F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
         .alias("seq"),
         F.struct(F.col("l_linestatus").alias("status"),
                  F.col("l_extendedprice").alias("price")).alias("after"))
-    return orders.unionByName(changes).select(
-        F.lit(DATABASE).alias("database"), F.lit("orders").alias("table"),
-        "key", "op", "seq", "after")
+    return _labelled(orders.unionByName(changes))
+
+
+def _labelled(changes: DataFrame) -> DataFrame:
+    return changes.select(
+        F.lit(DATABASE).alias("database"), F.lit("orders").alias("table"), "id",
+        format_key("id").alias("key"), "op", "seq", "after")
 
 
 def line_ranks(lines: DataFrame) -> DataFrame:
@@ -102,16 +115,16 @@ def line_ranks(lines: DataFrame) -> DataFrame:
 
 def ranked_order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed D with the BIGINT ``seq`` of a log: 0 for the insert, 1.. for the lines."""
-    orders = order_rows(spark, sf_dir).select(
-        "key", F.lit(S.INSERT).alias("op"), F.col("last_seq").alias("seq"),
-        F.struct("status", "price").alias("after"))
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.lit(S.INSERT).alias("op"),
+        F.lit(0).cast("bigint").alias("seq"),
+        F.struct(F.col("o_orderstatus").alias("status"),
+                 F.col("o_totalprice").alias("price")).alias("after"))
     changes = line_ranks(_lines(spark, sf_dir)).select(
-        format_key("l_orderkey").alias("key"), _line_op().alias("op"), F.col("rank").alias("seq"),
+        F.col("l_orderkey").alias("id"), _line_op().alias("op"), F.col("rank").alias("seq"),
         F.struct(F.col("l_linestatus").alias("status"),
                  F.col("l_extendedprice").alias("price")).alias("after"))
-    return orders.unionByName(changes).select(
-        F.lit(DATABASE).alias("database"), F.lit("orders").alias("table"),
-        "key", "op", "seq", "after")
+    return _labelled(orders.unionByName(changes))
 
 
 def mixed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,8 +70,8 @@ ORACLE["tap"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["state_as_of"] = (
     f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k', where='seq <= 499')}"
     " SELECT * FROM state")
-ORACLE["apply_changes_orders"] = f"{STATE_D} SELECT key, status, price FROM state"
-ORACLE["apply_changes_join_back"] = f"{STATE_D} SELECT key, status, price FROM state"
+for _name in ("apply_changes_orders", "apply_changes_join_back", "apply_changes_text_key"):
+    ORACLE[_name] = f"{STATE_D} SELECT key, status, price FROM state"
 
 ORACLE["route_changes"] = f"""
 WITH {FEED_A}, {FEED_D},
@@ -207,17 +207,17 @@ FROM (SELECT *, CAST(regexp_extract(props, '-?[0-9]+') AS INTEGER) AS k FROM eve
 
 ORACLE["apply_inserts"] = f"""
 WITH {FEED_D}
-SELECT key, status, price, seq AS last_seq FROM feed_d
+SELECT key, status, price FROM feed_d
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"""
 
 ORACLE["apply_deletes"] = """
 SELECT lpad(CAST(o_orderkey AS VARCHAR), 24, '0') AS key, o_orderstatus AS status,
-       o_totalprice AS price, CAST(0 AS BIGINT) AS last_seq
+       o_totalprice AS price
 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"""
 
 ORACLE["apply_updates"] = f"""
 WITH {FEED_D}
-SELECT key, status, price, seq AS last_seq FROM feed_d WHERE op <> 'DELETE'
+SELECT key, status, price FROM feed_d WHERE op <> 'DELETE'
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"""
 
 ORACLE["live_row_timeline"] = f"""

@@ -261,40 +261,53 @@ def _build_document(spark, sf_dir):
 
 # ---- applying changes ---------------------------------------------------------------------
 
-def _order_feed(spark, sf_dir):
-    return feeds.ranked_order_changes(spark, sf_dir).filter(F.col("seq") > 0)
+def _current(feed, **kwargs):
+    """Current rows of a feed with numeric ids; the key text is made for live rows only."""
+    state = apply_changes(feed, by=("id",), **kwargs)
+    return state.select(format_key("id").alias("key"), *[c for c in state.columns if c != "id"])
+
+
+def _line_feed(spark, sf_dir):
+    """The lines of feed D: everything but the inserts of the orders."""
+    return feeds.order_changes(spark, sf_dir).filter(F.col("op") != S.INSERT)
 
 
 @query("apply_inserts")
 def _apply_inserts(spark, sf_dir):
-    inserts = _order_feed(spark, sf_dir).withColumn("op", F.lit(S.INSERT))
-    return apply_inserts(feeds.order_rows(spark, sf_dir), inserts)
+    inserts = _line_feed(spark, sf_dir).withColumn("op", F.lit(S.INSERT))
+    return apply_inserts(feeds.order_rows(spark, sf_dir), inserts).drop("last_seq")
 
 
 @query("apply_deletes")
 def _apply_deletes(spark, sf_dir):
     return apply_deletes(feeds.order_rows(spark, sf_dir),
-                         feeds.order_changes(spark, sf_dir))
+                         _line_feed(spark, sf_dir)).drop("last_seq")
 
 
 @query("apply_updates")
 def _apply_updates(spark, sf_dir):
-    return apply_updates(feeds.order_rows(spark, sf_dir), _order_feed(spark, sf_dir))
+    return apply_updates(feeds.order_rows(spark, sf_dir),
+                         _line_feed(spark, sf_dir)).drop("last_seq")
 
 
 @query("apply_changes")
 def _apply_changes(spark, sf_dir):
-    return apply_changes(feeds.user_changes(spark, sf_dir))
+    return _current(feeds.user_changes(spark, sf_dir))
 
 
 @query("apply_changes_orders")
 def _apply_changes_orders(spark, sf_dir):
-    return apply_changes(feeds.order_changes(spark, sf_dir)).drop("last_seq")
+    return _current(feeds.order_changes(spark, sf_dir)).drop("last_seq")
 
 
 @query("apply_changes_join_back")
 def _apply_changes_join_back(spark, sf_dir):
-    return apply_changes(feeds.order_changes(spark, sf_dir), strategy="join_back").drop("last_seq")
+    return _current(feeds.order_changes(spark, sf_dir), strategy="join_back").drop("last_seq")
+
+
+@query("apply_changes_text_key")
+def _apply_changes_text_key(spark, sf_dir):
+    return apply_changes(feeds.order_changes(spark, sf_dir)).drop("last_seq")
 
 
 @query("apply_changes_on_state")
