@@ -9,9 +9,9 @@ from test_apply import FEED, cases
 from tidemark import schemas as S
 from tidemark.operators import apply_multi_table, split_valid, tap
 from tidemark.plans import packing as P
-from tidemark.sources.binlog import build_changes
+from tidemark.sources.binlog import bad_events
 from tidemark.streaming import (
-    apply_stream, binlog_stream, compact_state, read_state, use_rocksdb,
+    apply_stream, binlog_stream, change_stream, compact_state, read_state, use_rocksdb,
 )
 
 BY = ("database", "table", "key")
@@ -54,8 +54,8 @@ def test_disorder_restart_repeats_and_compaction(spark, tmp_path):
     assert seen == sorted(set(seen)) and len(seen) >= 5
 
 
-def change_rows(spark, events, path):
-    good, _ = split_valid(build_changes(events))
+def change_rows(spark, changes, path):
+    good, _ = split_valid(changes)
     flat = good.select("op", "key", "seq", F.variant_get("after", "$.a", "int").alias("a"))
     (flat.writeStream.format("parquet").option("path", f"{path}/out")
      .option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
@@ -72,10 +72,10 @@ def test_landed_files(spark, tmp_path):
     for number in (1, 2, 3):
         write_file(logs, number, [table_map(SHAPE),
                                   rows(SHAPE, S.WRITE_ROWS_V1, [[number, number * 10]])])
-    got = change_rows(spark, binlog_stream(spark, str(logs), max_files=1), tmp_path)
+    got = change_rows(spark, change_stream(spark, str(logs), max_files=1), tmp_path)
     assert got == [("INSERT", n, n * 10) for n in (1, 2, 3)]
     write_file(logs, 4, [table_map(SHAPE), rows(SHAPE, S.DELETE_ROWS_V1, [[4, 40]])])
-    got = change_rows(spark, binlog_stream(spark, str(logs), max_files=1), tmp_path)
+    got = change_rows(spark, change_stream(spark, str(logs), max_files=1), tmp_path)
     assert got[0] == ("DELETE", 4, None) and len(got) == 4
 
 
@@ -89,14 +89,36 @@ def test_growing_file(spark, tmp_path):
     growing = logs / P.log_name(1)
     for cut in (len(whole) // 2, len(whole) - 5, len(whole)):
         growing.write_bytes(whole[:cut])
-        got = change_rows(spark, binlog_stream(spark, str(logs), growing=True), tmp_path)
+        got = change_rows(spark, change_stream(spark, str(logs), growing=True), tmp_path)
         assert got == [("INSERT", n, n) for n in range(1, len(got) + 1)]
     assert len(got) == 6
     write_file(logs, 2, [table_map(SHAPE), rows(SHAPE, S.WRITE_ROWS_V1, [[7, 7]])])
-    got = change_rows(spark, binlog_stream(spark, str(logs), growing=True), tmp_path)
+    got = change_rows(spark, change_stream(spark, str(logs), growing=True), tmp_path)
     assert got == [("INSERT", n, n) for n in range(1, 8)]
 
 
+def test_broken_end_of_a_closed_file_is_reported_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    events = [table_map(SHAPE), rows(SHAPE, S.WRITE_ROWS_V1, [[1, 1]])]
+    whole = open(write_file(tmp_path, 1, events), "rb").read()
+    (logs / P.log_name(1)).write_bytes(whole[:-3])
+
+    def errors():
+        stream = bad_events(binlog_stream(spark, str(logs), growing=True))
+        (stream.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+         .awaitTermination())
+        found = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()
+        return [(r.log_file, r.reason) for r in found]
+
+    assert errors() == []  # it may still grow
+    write_file(logs, 2, events)
+    assert errors() == [(P.log_name(1), "truncated_event")]
+    write_file(logs, 3, events)
+    assert errors() == [(P.log_name(1), "truncated_event")]
+
+
 def test_tap(spark):
     seen = Observation("feed")
     df = tap(spark.range(1000), seen, F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))

@@ -54,6 +54,11 @@ def _with_state(changes: DataFrame, state: DataFrame | None, by: list[str],
     return feed.unionByName(_as_changes(state, by, image_fields(changes)))
 
 
+def turns_live() -> Column:
+    """True for an INSERT, false for a DELETE, NULL for an UPDATE, which changes nothing here."""
+    return F.when(F.col("op") == S.INSERT, True).when(F.col("op") == S.DELETE, False)
+
+
 def apply_changes(changes: DataFrame, state: DataFrame | None = None, high_water=None,
                   by: tuple[str, ...] = ("key",), strategy: str = "aggregate") -> DataFrame:
     """Current rows of a table from its changes, optionally on top of an earlier ``state``.
@@ -146,10 +151,9 @@ def live_row_timeline(changes: DataFrame, by: tuple[str, ...] = ("key",),
     """Number of live rows after each change of one feed: the key columns, ``seq``, ``op`` and
     ``live_rows``. ``seq`` is a BIGINT unique over the feed."""
     op = F.col("op")
-    switch = F.when(op != S.UPDATE, op)
     feed = changes.select(*by, "seq", "op")
-    seen = carry_last(feed, list(by), "seq", switch, "__before", strict=True, bits=bits)
-    was = F.coalesce(F.col("__before") == S.INSERT, F.lit(False)).cast("bigint")
+    seen = carry_last(feed, list(by), "seq", turns_live(), "__live", strict=True, bits=bits)
+    was = F.coalesce(F.col("__live"), F.lit(False)).cast("bigint")
     now = (F.when(op == S.INSERT, F.lit(1)).when(op == S.DELETE, F.lit(0))
            .otherwise(was).cast("bigint"))
     return running_total(seen, "seq", now - was, "live_rows", bits=bits).select(

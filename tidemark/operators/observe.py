@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .. import schemas as S
+from .apply import turns_live
 from .carry import RANGE_BITS, carry_last
 
 
@@ -14,9 +15,8 @@ def change_metrics(changes: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
     op = F.col("op")
     by = ["database", "table", "key"]
     feed = changes.select(*by, "op", "seq")
-    seen = carry_last(feed, by, "seq", F.when(op != S.UPDATE, op), "__before", strict=True,
-                      bits=bits)
-    live = F.coalesce(F.col("__before") == S.INSERT, F.lit(False))
+    seen = carry_last(feed, by, "seq", turns_live(), "__live", strict=True, bits=bits)
+    live = F.coalesce(F.col("__live"), F.lit(False))
     return seen.groupBy("database", "table", "op").agg(
         F.count("*").alias("n_changes"),
         F.count_if((op == S.INSERT) & live).alias("duplicate_inserts"),

@@ -102,15 +102,18 @@ def line_ranks(lines: DataFrame) -> DataFrame:
     """Number the lines of each order by (shipdate, linenumber, partkey, suppkey).
 
     In two levels, so that a hot order is cut into (shipdate, linenumber) pieces: the pieces
-    are counted and summed, the window runs inside one piece.
+    are counted and summed, and each piece starts from an extra first row with its sum.
     """
     piece = ["l_orderkey", "l_shipdate", "l_linenumber"]
     before = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber").rowsBetween(
         Window.unboundedPreceding, -1)
     base = lines.groupBy(*piece).agg(F.count("*").alias("n")).select(
-        *piece, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*piece).orderBy("l_partkey", "l_suppkey")
-    return lines.join(base, piece).withColumn("rank", F.col("base") + F.row_number().over(inside))
+        *piece, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.lit(True).alias("base"))
+    rows = lines.withColumns({"n": F.lit(1).cast("bigint"), "base": F.lit(False)})
+    inside = (Window.partitionBy(*piece).orderBy(F.desc("base"), "l_partkey", "l_suppkey")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (rows.unionByName(base.filter(F.col("n") > 0), allowMissingColumns=True)
+            .withColumn("rank", F.sum("n").over(inside)).filter(~F.col("base")))
 
 
 def ranked_order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

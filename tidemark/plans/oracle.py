@@ -320,6 +320,14 @@ SELECT 'e_store' AS "database", tab AS "table",
        CASE WHEN tab = 'users' THEN rpad(event_type, 16, ' ') END AS label
 FROM packed"""
 
+ORACLE["resume_log"] = f"""
+WITH {PACKED} SELECT tab AS "table", code AS type_code, event_id FROM packed WHERE event_id > 0"""
+
+ORACLE["log_profile"] = f"""
+WITH {PACKED}
+SELECT code AS type_code, count(*) AS n_events, min(sec) AS first_s, max(sec) AS last_s
+FROM log GROUP BY code"""
+
 for _name in ("replay_log", "replay_log_stream"):
     ORACLE[_name] = f"""{STATE_A}
 SELECT 'e_store' AS "database",

@@ -21,13 +21,13 @@ from ..operators import (
     unmatched_rows, validate_key,
 )
 from ..sources.binlog import (
-    binlog_scan, changes_of, decode_rows, read_changes, read_images, table_maps, table_row_type,
+    binlog_scan, decode_rows, read_changes, read_images, table_maps, table_row_type,
 )
 from ..sources.scratch import new_path, shared_folder
 from ..sources.tables import (
     create_target, full_refresh, key_lookup, route_changes, snapshot_scan, state_to_json,
 )
-from ..streaming import apply_stream, binlog_stream, read_state
+from ..streaming import apply_stream, binlog_stream, change_stream, read_state
 from . import feeds
 from .packing import log_folder
 
@@ -487,6 +487,26 @@ def _build_changes(spark, sf_dir):
         document_field(image, "label", "string").alias("label"))
 
 
+@query("resume_log")
+def _resume_log(spark, sf_dir):
+    """Continue inside the first file: whole files before it are not read, and what is at or
+    before the position is dropped once its schema has been used."""
+    images = read_images(spark, log_folder(spark, sf_dir), start_file=1)
+    first = images.filter(F.shiftright("seq", 32) == 1).agg(F.min("seq").alias("first"))
+    position = first.collect()[0]["first"] & 0xFFFFFFFF
+    return resume_from(images, 1, position).select(
+        "table", "type_code", F.get_json_object(F.coalesce("after", "before"), "$.event_id")
+        .cast("bigint").alias("event_id"))
+
+
+@query("log_profile")
+def _log_profile(spark, sf_dir):
+    profile = event_profile(_log_events(spark, sf_dir).filter("error IS NULL"))
+    return profile.select(
+        "type_code", "n_events", F.unix_seconds("first_ts").alias("first_s"),
+        F.unix_seconds("last_ts").alias("last_s"))
+
+
 @query("replay_log")
 def _replay_log(spark, sf_dir):
     """Log files to current tables: scan, decode, validate, apply per table."""
@@ -516,10 +536,9 @@ def _apply_stream(spark, sf_dir):
 def _replay_log_stream(spark, sf_dir):
     """As ``replay_log``, from a stream of log files."""
     path = new_path(spark, "apply")
-    events = binlog_stream(spark, log_folder(spark, sf_dir), max_files=2)
-    changes = changes_of(decode_rows(events, StructType.fromDDL(
-        "_id decimal(20,0), event_id bigint, event_type string, value double")))
-    good, _ = split_valid(changes)
+    row = StructType.fromDDL(
+        "_id decimal(20,0), event_id bigint, event_type string, value double")
+    good, _ = split_valid(change_stream(spark, log_folder(spark, sf_dir), row, max_files=2))
     by = ("database", "table", "key")
     apply_stream(good, f"{path}/target", f"{path}/checkpoint", by=by,
                  availableNow=True).awaitTermination()

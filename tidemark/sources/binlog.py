@@ -127,13 +127,18 @@ def read_images(spark: SparkSession, path: str, row: T.StructType | None = None,
                 start_file: int | None = None) -> DataFrame:
     """``decode_rows(binlog_scan(...))`` in one pass: files are split and decoded in the same
     task, so event bodies never leave it. The path for reading changes at scale."""
+    options = image_options(spark, path, row, database, table, start_file)
+    return spark.read.format(LogDataSource.name()).options(**options).load()
+
+
+def image_options(spark: SparkSession, path: str, row, database, table, start_file) -> dict:
+    """Options of the log source for decoded images; registers the source."""
     spark.dataSource.register(LogDataSource)
     options = {"path": path, "decode": "documents" if row is None else row.json(),
                "database": database, "table": table,
                "parallelism": str(spark.sparkContext.defaultParallelism),
                "start_file": None if start_file is None else str(start_file)}
-    given = {k: v for k, v in options.items() if v is not None}
-    return spark.read.format(LogDataSource.name()).options(**given).load()
+    return {k: v for k, v in options.items() if v is not None}
 
 
 def read_changes(spark: SparkSession, path: str, row: T.StructType | None = None,

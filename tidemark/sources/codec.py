@@ -89,13 +89,14 @@ class LogState:
 
 
 def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: int = 0,
-             limit: int | None = None, tail_error: bool = True):
+             limit: int | None = None):
     """Rows of ``LOG_EVENTS`` for one file. With ``begin``/``limit`` only events that end in
-    (begin, limit] are given; earlier ones still update the state, so their maps apply."""
+    (begin, limit] are given; earlier ones still update the state, so their maps apply. A broken
+    end is reported once the file is read without a limit: until then it may still grow."""
     state = LogState()
     for off, head, body in split_events(chunks, magic):
         if head is None:
-            if tail_error and off >= begin:
+            if limit is None:
                 yield (log_file, file_seq, off, None, None, None, None, None, None, None, None,
                        None, None, body)
             return

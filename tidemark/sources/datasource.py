@@ -69,14 +69,14 @@ class _Options:
     def schema(self) -> T.StructType:
         return S.LOG_EVENTS if self.decode is None else decoded_type(self.row)
 
-    def read(self, files, tail_error: bool):
+    def read(self, files):
         events, out = to_arrow_schema(S.LOG_EVENTS), to_arrow_schema(self.schema())
         fs, _ = filesystem(self.path)
         for number, path, begin, limit in files:
             with fs.open_input_stream(path) as stream:
                 chunks = iter(lambda: stream.read(_CHUNK), b"")
                 rows = codec.log_rows(chunks, path.rsplit("/", 1)[-1], number, self.magic, begin,
-                                      limit, tail_error)
+                                      limit)
                 if self.decode is None:
                     yield from codec.event_batches(rows, events)
                     continue
@@ -124,7 +124,7 @@ class LogReader(DataSourceReader):
         return slices or [LogSlice([])]
 
     def read(self, partition):
-        return self.options.read(partition.files, True)
+        return self.options.read(partition.files)
 
 
 class LogStreamReader(DataSourceStreamReader):
@@ -153,7 +153,7 @@ class LogStreamReader(DataSourceStreamReader):
         ] or [LogSlice([])]
 
     def read(self, partition):
-        return self.options.read(partition.files, False)
+        return self.options.read(partition.files)
 
     def commit(self, end):
         """Spark's checkpoint holds the offsets."""

@@ -1,5 +1,5 @@
 from .apply import apply_stream, compact_state, read_state, stream_state, use_rocksdb
-from .source import binlog_stream
+from .source import binlog_stream, change_stream
 
-__all__ = ["apply_stream", "binlog_stream", "compact_state", "read_state", "stream_state",
+__all__ = ["apply_stream", "binlog_stream", "change_stream", "compact_state", "read_state", "stream_state",
            "use_rocksdb"]
