@@ -85,14 +85,12 @@ def test_write_rows_event():
     _, head, body = one_event(raw(WRITE_ROWS))
     assert head == (1749159513, 23, 202050049, 47, 5, 0)
     assert int.from_bytes(body[:6], "little") == 16505592941074
-    start, why = codec.rows_header(body, 6, 23, 2)
-    assert why is None
     buf, event, offset, sides, reason = codec.read_images(
-        [body], [start], [(S.LONGLONG, 0, True), (S.VARCHAR, 1000, False)], False)
+        [body], [(S.LONGLONG, 0, True), (S.VARCHAR, 1000, False)], 23, 6)
     (key, key_nulls), (name, name_nulls) = sides[0]
     assert key.tolist() == [1] and not key_nulls.any() and not name_nulls.any()
     assert codec.arrow_column(buf, name, name_nulls, S.VARCHAR, 1000).to_pylist() == ["Samsung"]
-    assert reason.tolist() == [None]
+    assert reason.tolist() == [None] and offset.tolist() == [10]
 
 
 def test_bare_event_stream(spark, tmp_path):

@@ -12,7 +12,7 @@ from ..operators.schema import attach_table_map
 from ..operators.validate import key_reason
 from . import codec
 from .datasource import LogDataSource
-from .decode import decode_batch, decoded_type
+from .decode import Events, decode_events, decoded_type
 
 LOG_GLOB = "*.[0-9]*"  # mysql-bin.000121
 
@@ -117,7 +117,7 @@ def decode_rows(log_events: DataFrame, row: T.StructType | None = None,
 
     def decode(batches):
         for batch in batches:
-            yield from decode_batch(batch, schema, row is not None, wanted)
+            yield from decode_events(Events.from_batch(batch), schema, row is not None, wanted)
 
     return rows.mapInArrow(decode, result)
 
@@ -162,13 +162,12 @@ def changes_of(images: DataFrame, key: str = S.KEY_COLUMN) -> DataFrame:
     update never moves a row. ``reason`` is NULL for a good change; ``split_valid`` parts them.
     JSON images become VARIANT documents.
     """
-    image = F.when(F.col("type_code") == S.WRITE_ROWS_V1, F.col("after")).otherwise(F.col("before"))
-    if isinstance(images.schema["after"].dataType, T.StringType):
-        value = F.get_json_object(image, f"$.{key}")
+    value, after = F.col("key_value"), images.schema["after"].dataType
+    if isinstance(after, T.StringType):
         before, after = F.parse_json("before"), F.parse_json("after")
     else:
-        value = image.getField(key)
-        before, after = F.col("before"), F.col("after").dropFields(f"`{key}`")
+        before, has_key = F.col("before"), key in after.fieldNames()
+        after = F.col("after").dropFields(f"`{key}`") if has_key else F.col("after")
     rule = key_reason(F.col("pk_names"), value, F.col("pk_type"), F.col("pk_unsigned"), key)
     reason = F.coalesce(F.col("reason"), rule)
     return images.select(

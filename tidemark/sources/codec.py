@@ -123,16 +123,22 @@ def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: in
                    flags, id_bytes, table_id, body, table_map, error)
 
 
-def event_batches(rows, schema: pa.Schema, max_bytes: int = 8 << 20, max_rows: int = 50_000):
-    """Arrow batches of bounded size from event rows."""
+def blocks(rows, max_bytes: int = 8 << 20, max_rows: int = 50_000):
+    """Lists of event rows of bounded size."""
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += 64 + len(row[11] or b"") + len(row[12] or b"")
         if size >= max_bytes or len(held) >= max_rows:
-            yield _batch(held, schema)
+            yield held
             held, size = [], 0
     if held:
+        yield held
+
+
+def event_batches(rows, schema: pa.Schema):
+    """Arrow batches from event rows."""
+    for held in blocks(rows):
         yield _batch(held, schema)
 
 
@@ -239,28 +245,34 @@ def _read_image(buf, at, columns):
     return image, at, refused
 
 
-def rows_header(body, id_bytes: int, code: int, width: int) -> tuple[int, str | None]:
-    """(start of the images, why the event cannot be read)."""
-    count, at = packed_int(body, id_bytes + 2)
-    if not count or count != width:
-        return at, "bad_width"
-    bitmap = (count + 7) // 8
-    full = (1 << count) - 1
-    for _ in range(2 if code == S.UPDATE_ROWS_V1 else 1):
-        if int.from_bytes(body[at:at + bitmap], "little") & full != full:
-            return at, "partial_image"
-        at += bitmap
-    return at, None
+def _headers(buf, base, sizes, columns, code: int, id_bytes: int):
+    """(start of the images, reason) per event. All events of a table have headers of one
+    length: id, flags, column count, one bitmap of present columns per image of a pair."""
+    count, n = len(columns), len(base)
+    packed = bytes([count]) if count < 251 else b"\xfc" + struct.pack("<H", count)
+    width = (count + 7) // 8
+    maps = 2 if code == S.UPDATE_ROWS_V1 else 1
+    at = id_bytes + 2
+    start = at + len(packed) + maps * width
+    reason = np.full(n, None, object)
+    present = _take(buf, base + at + len(packed), maps * width).reshape(n * maps, width)
+    bits = np.unpackbits(present, axis=1, bitorder="little")[:, :count]
+    reason[~bits.all(axis=1).reshape(n, maps).all(axis=1)] = "partial_image"
+    counted = (_take(buf, base + at, len(packed)) == np.frombuffer(packed, np.uint8)).all(axis=1)
+    reason[~counted | (sizes < start)] = "bad_width"
+    return base + start, reason
 
 
-def read_images(bodies: list, starts: list[int], columns: list[tuple], pairs: bool):
+def read_images(bodies, columns: list[tuple], code: int, id_bytes: int):
     """All images of events that share ``columns``: (buffer, event index, offset in the event,
     [images], reason per event). An event that cannot be read to its end gives no images."""
+    pairs = code == S.UPDATE_ROWS_V1
     sizes = np.array([len(b) for b in bodies], np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    buf = np.frombuffer(b"".join(bodies) + bytes(16 + len(columns)), np.uint8)
-    at, end = base + np.array(starts, np.int64), base + sizes
-    reason = np.array([None] * len(bodies), object)
+    buf = np.frombuffer(b"".join(bodies) + bytes(16 + 2 * len(columns)), np.uint8)
+    at, reason = _headers(buf, base, sizes, columns, code, id_bytes)
+    end = base + sizes
+    at = np.where(reason == None, at, end)  # noqa: E711 (element-wise)
     steps = []
     while True:
         live = np.flatnonzero(at < end)

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas as S
 from . import codec
-from .decode import decode_batch, decoded_type
+from .decode import Events, decode_events, decoded_type
 
 _CHUNK = 8 << 20
 _TASK_BYTES = 128 << 20  # most bytes of small files in one task
@@ -81,8 +81,9 @@ class _Options:
                     yield from codec.event_batches(rows, events)
                     continue
                 wanted = (r for r in rows if r[4] in S.ROWS_EVENTS)
-                for batch in codec.event_batches(wanted, events):
-                    yield from decode_batch(batch, out, self.row is not None, self.wanted)
+                for held in codec.blocks(wanted):
+                    yield from decode_events(Events.from_rows(held), out, self.row is not None,
+                                             self.wanted)
 
 
 class LogDataSource(DataSource):

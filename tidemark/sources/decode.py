@@ -1,7 +1,9 @@
-"""Arrow batches of rows events to Arrow batches of row images."""
+"""Blocks of rows events to Arrow batches of row images."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,71 +27,101 @@ def decoded_type(row: T.StructType | None) -> T.StructType:
         T.StructField("pk_names", T.ArrayType(T.StringType())),
         T.StructField("pk_type", T.IntegerType()),
         T.StructField("pk_unsigned", T.BooleanType()),
+        T.StructField("key_value", T.StringType()),
         T.StructField("before", image),
         T.StructField("after", image),
         T.StructField("reason", T.StringType()),
     ])
 
 
-def _columns(found: dict) -> list[tuple]:
-    return list(zip(found["type_codes"], found["metas"], codec.unsigned_flags(found)))
-
-
-def decode_batch(batch: pa.RecordBatch, schema: pa.Schema, typed: bool, wanted):
-    code = batch.column("type_code").to_numpy()
-    maps = pc.dictionary_encode(batch.column("table_map"))
+class Events(NamedTuple):
+    """Rows events as columns: bodies and maps as Python bytes, the rest as arrays."""
+
+    log_file: pa.Array
+    file_seq: np.ndarray
+    byte_off: np.ndarray
+    event_ts: np.ndarray
+    code: list
+    server_id: np.ndarray
+    id_bytes: list
+    body: list
+    table_map: list
+
+    @classmethod
+    def from_rows(cls, rows: list[tuple]) -> Events:
+        """From tuples of ``LOG_EVENTS``."""
+        c = list(zip(*rows))
+        number = [np.array(c[i], np.int64) for i in (1, 2, 3, 5)]
+        return cls(pa.array(c[0]), number[0], number[1], number[2], c[4], number[3], c[9], c[11],
+                   c[12])
+
+    @classmethod
+    def from_batch(cls, batch: pa.RecordBatch) -> Events:
+        def number(name):
+            return batch.column(name).cast(pa.int64()).to_numpy()
+
+        def plain(name):
+            return batch.column(name).to_pylist()
+
+        maps = pc.dictionary_encode(batch.column("table_map"))
+        known = maps.dictionary.to_pylist() + [None]
+        return cls(
+            batch.column("log_file"), number("file_seq"), number("byte_off"), number("event_ts"),
+            plain("type_code"), number("server_id"), plain("id_bytes"), plain("body"),
+            [known[-1 if i is None else i] for i in maps.indices.to_pylist()])
+
+
+def decode_events(events: Events, schema: pa.Schema, typed: bool, wanted):
+    """Images of a block of events, one batch per table map and kind of event."""
     groups: dict[tuple, list[int]] = {}
-    for i, pair in enumerate(zip(maps.indices.to_pylist(), code.tolist(),
-                                 batch.column("id_bytes").to_pylist())):
-        groups.setdefault(pair, []).append(i)
-    for (which, kind, id_bytes), members in groups.items():
-        body = batch.column("body").take(pa.array(members))
-        meta = batch.take(pa.array(members))
-        if which is None:
-            yield _output(schema, meta, None, None, ["no_schema"] * len(members))
+    for i, group in enumerate(zip(events.table_map, events.code, events.id_bytes)):
+        groups.setdefault(group, []).append(i)
+    for (table_map, code, id_bytes), members in groups.items():
+        index = np.array(members)
+        if table_map is None:
+            yield _output(schema, events, index, code, reason="no_schema")
             continue
         try:
-            found = codec.parse_table_map(maps.dictionary[which].as_py())
+            found = codec.parse_table_map(table_map, id_bytes)
         except (ValueError, IndexError, TypeError):
-            yield _output(schema, meta, None, None, ["bad_table_map"] * len(members))
+            yield _output(schema, events, index, code, reason="bad_table_map")
             continue
         if any(w is not None and w != found[k] for w, k in zip(wanted, ("database", "table"))):
             continue
         if len(found["names"]) != len(found["type_codes"]):
-            yield _output(schema, meta, found, None, ["no_column_names"] * len(members))
+            yield _output(schema, events, index, code, found, reason="no_column_names")
             continue
-        yield from _decode_group(schema, meta, body.to_pylist(), found, kind, id_bytes, typed)
-
-
-def _decode_group(schema, meta, bodies, found, kind, id_bytes, typed):
-    columns = _columns(found)
-    heads = [codec.rows_header(b, id_bytes, kind, len(columns)) for b in bodies]
-    good = [i for i, (_, why) in enumerate(heads) if why is None]
-    reason = [why for _, why in heads]
-    if good:
-        pairs = kind == S.UPDATE_ROWS_V1
-        buf, event, offset, sides, bad = codec.read_images(
-            [bodies[i] for i in good], [heads[i][0] for i in good], columns, pairs)
-        for i, why in zip(good, bad):
-            reason[i] = why
+        yield from _decode_group(schema, events, index, code, id_bytes, found, typed)
+
+
+def _decode_group(schema, events, index, code, id_bytes, found, typed):
+    columns = list(zip(found["type_codes"], found["metas"], codec.unsigned_flags(found)))
+    buf, event, offset, sides, reason = codec.read_images(
+        [events.body[i] for i in index], columns, code, id_bytes)
+    if len(event):
         try:
-            images = [
-                _image(schema.field("after").type, typed, found, columns, buf, side)
-                for side in sides]
+            images = [_image(schema.field("after").type, typed, found, columns, buf, side)
+                      for side in sides]
         except pa.ArrowInvalid:
-            # The logged type does not fit the declared row.
-            for i in good:
-                reason[i] = reason[i] or "type_mismatch"
-            images = None
-        if images is not None and len(event):
-            rows = meta.take(pa.array(np.array(good)[event]))
-            before = images[0] if kind != S.WRITE_ROWS_V1 else None
-            after = images[-1] if kind != S.DELETE_ROWS_V1 else None
-            yield _output(schema, rows, found, offset, None, before, after)
-    failed = [i for i, why in enumerate(reason) if why is not None]
-    if failed:
-        yield _output(schema, meta.take(pa.array(failed)), found, None,
-                      [reason[i] for i in failed])
+            # A logged type does not fit the declared row.
+            reason[np.unique(event)] = "type_mismatch"
+        else:
+            yield _output(
+                schema, events, index[event], code, found, offset,
+                key_value=_key_value(found, columns, buf, sides[0]),
+                before=None if code == S.WRITE_ROWS_V1 else images[0],
+                after=None if code == S.DELETE_ROWS_V1 else images[-1])
+    failed = np.flatnonzero(reason != None)  # noqa: E711 (element-wise)
+    if len(failed):
+        yield _output(schema, events, index[failed], code, found, reason=reason[failed])
+
+
+def _key_value(found, columns, buf, side):
+    """The key of each row as text, from its first image: the row before an update."""
+    if len(found["pk"]) != 1 or found["pk"][0] >= len(columns):
+        return None
+    (kind, meta, _), (values, nulls) = columns[found["pk"][0]], side[found["pk"][0]]
+    return codec.arrow_column(buf, values, nulls, kind, meta).cast(pa.string())
 
 
 def _image(image_type, typed, found, columns, buf, side) -> pa.Array:
@@ -149,34 +181,32 @@ def _quote(text: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise('"', text, '"', "")
 
 
-def _output(schema, rows: pa.RecordBatch, found, offset, reason, before=None, after=None):
-    size = rows.num_rows
-    start = np.zeros(size, np.int64) if offset is None else offset + S.HEADER_BYTES
-    seq = (rows.column("file_seq").to_numpy().astype(np.int64) << 32) \
-        + rows.column("byte_off").to_numpy() + start
+def _output(schema, events: Events, index, code, found=None, offset=None, reason=None,
+            key_value=None, before=None, after=None) -> pa.RecordBatch:
+    size = len(index)
+    start = 0 if offset is None else offset + S.HEADER_BYTES
     found = found or {}
     names, pk = found.get("names", []), found.get("pk", [])
     key = pk[0] if pk and pk[0] < len(names) else None
-    unsigned = codec.unsigned_flags(found) if found else []
-    values = {
-        "database": found.get("database"), "table": found.get("table"),
+    same = {
+        "database": found.get("database"), "table": found.get("table"), "type_code": code,
         "pk_names": [names[i] for i in pk if i < len(names)],
         "pk_type": None if key is None else found["type_codes"][key],
-        "pk_unsigned": None if key is None else unsigned[key],
+        "pk_unsigned": None if key is None else codec.unsigned_flags(found)[key],
+        "reason": reason if isinstance(reason, str) else None,
     }
+    varying = {
+        "seq": pa.array((events.file_seq[index] << 32) + events.byte_off[index] + start),
+        "log_file": events.log_file.take(pa.array(index)),
+        "event_ts": pa.array(events.event_ts[index]), "server_id": pa.array(events.server_id[index]),
+        "key_value": key_value, "before": before, "after": after,
+    }
+    if isinstance(reason, np.ndarray):
+        varying["reason"] = pa.array(reason, pa.string())
     columns = []
     for field in schema:
-        if field.name == "seq":
-            column = pa.array(seq)
-        elif field.name in ("before", "after"):
-            column = {"before": before, "after": after}[field.name]
-            if column is None:
-                column = pa.nulls(size, field.type)
-        elif field.name == "reason":
-            column = pa.array(reason or [None] * size, pa.string())
-        elif field.name in values:
-            column = pa.repeat(pa.scalar(values[field.name], field.type), size)
-        else:
-            column = rows.column(field.name).cast(field.type)
-        columns.append(column)
+        column = varying.get(field.name)
+        if column is None:
+            column = pa.repeat(pa.scalar(same.get(field.name), field.type), size)
+        columns.append(column.cast(field.type))
     return pa.RecordBatch.from_arrays(columns, schema=schema)
