@@ -106,8 +106,10 @@ def test_carry_last(spark, bits):
     rows = [(f"g{rng.randrange(3)}", s, rng.choice([None, s])) for s in rng.sample(range(400), 120)]
     df = spark.createDataFrame(rows, "g string, s bigint, v bigint").repartition(5)
     df = carry_last(df, ["g"], "s", F.col("v"), "upto", bits=bits)
-    df = carry_last(df, ["g"], "s", F.col("v"), "before", strict=True, bits=bits)
-    for g, s, v, upto, before in df.collect():
+    df = carry_last(df, ["g"], "s", F.col("v"), "before", strict=True, bits=bits, levels=3)
+    df = carry_last(df, ["g"], "s", F.col("v"), "whole", bits=None)
+    for g, s, v, upto, before, whole in df.collect():
+        assert whole == upto
         seen = [(t, w) for h, t, w in rows if h == g and w is not None]
         assert upto == max((w for t, w in seen if t <= s), default=None)
         assert before == max((w for t, w in seen if t < s), default=None)

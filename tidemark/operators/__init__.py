@@ -9,7 +9,7 @@ from .apply import (
     live_row_timeline,
     state_as_of,
 )
-from .carry import carry_last, running_total
+from .carry import LOG_RANGE_BITS, RANGE_BITS, carry_last, running_total
 from .events import (
     assign_segment,
     carry_position,
@@ -30,6 +30,7 @@ from .schema import (
 from .validate import key_reason, split_valid, validate_key
 
 __all__ = [
+    "LOG_RANGE_BITS", "RANGE_BITS",
     "apply_changes", "apply_deletes", "apply_inserts", "apply_multi_table", "apply_updates",
     "assign_segment", "attach_table_map", "carry_last", "carry_position", "change_metrics",
     "change_summary", "column_catalog", "event_headers", "event_profile", "is_live",

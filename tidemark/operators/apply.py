@@ -147,12 +147,13 @@ def state_as_of(changes: DataFrame, seq, **kwargs) -> DataFrame:
 
 
 def live_row_timeline(changes: DataFrame, by: tuple[str, ...] = ("key",),
-                      bits: int = RANGE_BITS) -> DataFrame:
+                      bits: int = RANGE_BITS, levels: int = 1) -> DataFrame:
     """Number of live rows after each change of one feed: the key columns, ``seq``, ``op`` and
     ``live_rows``. ``seq`` is a BIGINT unique over the feed."""
     op = F.col("op")
     feed = changes.select(*by, "seq", "op")
-    seen = carry_last(feed, list(by), "seq", turns_live(), "__live", strict=True, bits=bits)
+    seen = carry_last(feed, list(by), "seq", turns_live(), "__live", strict=True, bits=bits,
+                      levels=levels)
     was = F.coalesce(F.col("__live"), F.lit(False)).cast("bigint")
     now = (F.when(op == S.INSERT, F.lit(1)).when(op == S.DELETE, F.lit(0))
            .otherwise(was).cast("bigint"))

@@ -9,13 +9,14 @@ from .apply import turns_live
 from .carry import RANGE_BITS, carry_last
 
 
-def change_metrics(changes: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
+def change_metrics(changes: DataFrame, bits: int = RANGE_BITS, levels: int = 1) -> DataFrame:
     """Per (database, table, op): changes, INSERTs of a live key, UPDATEs/DELETEs of a missing
     key. ``seq`` is a BIGINT, unique within a key."""
     op = F.col("op")
     by = ["database", "table", "key"]
     feed = changes.select(*by, "op", "seq")
-    seen = carry_last(feed, by, "seq", turns_live(), "__live", strict=True, bits=bits)
+    seen = carry_last(feed, by, "seq", turns_live(), "__live", strict=True, bits=bits,
+                      levels=levels)
     live = F.coalesce(F.col("__live"), F.lit(False))
     return seen.groupBy("database", "table", "op").agg(
         F.count("*").alias("n_changes"),

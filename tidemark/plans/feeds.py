@@ -18,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def utc_micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a timestamp without zone, read as UTC in any session."""
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+
+
 def event_op(event_type: Column) -> Column:
     return (F.when(event_type == "signup", S.INSERT).when(event_type == "error", S.DELETE)
             .otherwise(S.UPDATE))

@@ -161,7 +161,7 @@ def packed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``ROWS_PER_FILE`` events."""
     events = feeds.read(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", "props",
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("when"),
+        F.floor(feeds.utc_micros(F.col("ts")) / 1_000_000).alias("when"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         (F.floor(F.col("event_id") / ROWS_PER_FILE) + 1).cast("int").alias("number"))
 

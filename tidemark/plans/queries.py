@@ -126,8 +126,8 @@ def _event_profile(spark, sf_dir):
     profile = event_profile(events, code="event_type", ts="ts")
     return profile.select(
         "event_type", "n_events", "total_bytes",
-        F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"),
-        F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"))
+        feeds.utc_micros(F.col("first_ts")).alias("first_us"),
+        feeds.utc_micros(F.col("last_ts")).alias("last_us"))
 
 
 @query("classify_op")

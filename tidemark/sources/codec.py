@@ -128,7 +128,7 @@ def blocks(rows, max_bytes: int = 8 << 20, max_rows: int = 50_000):
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += 64 + len(row[11] or b"") + len(row[12] or b"")
+        size += (row[6] or 0) + len(row[12] or b"")
         if size >= max_bytes or len(held) >= max_rows:
             yield held
             held, size = [], 0
