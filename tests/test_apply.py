@@ -100,7 +100,7 @@ def test_single_operation_operators(spark):
     assert got(apply_updates(state, changes)) == [("k1", None, "late", 8), ("k2", 2, "y", 5)]
 
 
-@pytest.mark.parametrize("bits", [1, 3, 20])
+@pytest.mark.parametrize("bits", [1, 3, 18])
 def test_carry_last(spark, bits):
     rng = random.Random(bits)
     rows = [(f"g{rng.randrange(3)}", s, rng.choice([None, s])) for s in rng.sample(range(400), 120)]
@@ -115,7 +115,7 @@ def test_carry_last(spark, bits):
         assert before == max((w for t, w in seen if t < s), default=None)
 
 
-@pytest.mark.parametrize("bits", [1, 2, 20])
+@pytest.mark.parametrize("bits", [1, 2, 18])
 def test_running_total(spark, bits):
     rng = random.Random(bits)
     rows = [(s, rng.randrange(-3, 4)) for s in rng.sample(range(300), 100)]
@@ -125,7 +125,7 @@ def test_running_total(spark, bits):
         assert total == sum(d for t, d in rows if t <= s)
 
 
-@pytest.mark.parametrize("bits", [2, 20])
+@pytest.mark.parametrize("bits", [2, 18])
 def test_timeline_and_metrics(spark, bits):
     rng = random.Random(5)
     feed = random_feed(rng, keys=4, size=80)
