@@ -133,8 +133,10 @@ def test_golden_state(spark, tmp_path, checksum):
                              rows(STORE, S.UPDATE_ROWS_V1, [FIRST[5], SIXTH])], checksum)
     write_file(tmp_path, 2, [schema, rows(STORE, S.DELETE_ROWS_V1, [FIRST[4]]),
                              rows(STORE, S.WRITE_ROWS_V1, [SEVENTH])], checksum)
-    catalog = column_catalog(table_maps(binlog_scan(spark, str(tmp_path))))
-    shape = table_row_type(catalog, "e_store", "table")
+    maps = table_maps(binlog_scan(spark, str(tmp_path), codes=(S.TABLE_MAP_EVENT,)))
+    shape = table_row_type(maps, "e_store", "table")
+    with pytest.raises(LookupError):
+        table_row_type(maps, "e_store", "other")
     assert [f.dataType.simpleString() for f in shape] == [
         "decimal(20,0)", "tinyint", "smallint", "int", "int", "bigint", "double", "tinyint",
         "string", "string", "string"]
@@ -160,8 +162,7 @@ EMPTY = [5] + [None] * 9 + [-3]
 
 
 def shape_of(spark, folder, table="t"):
-    catalog = column_catalog(table_maps(binlog_scan(spark, str(folder))))
-    return table_row_type(catalog, "d", table)
+    return table_row_type(table_maps(binlog_scan(spark, str(folder))), "d", table)
 
 
 def test_nulls_unsigned_multibyte_and_reused_map(spark, tmp_path):
@@ -284,6 +285,23 @@ def test_bad_files(spark, tmp_path):
     assert {r.log_file for r in pruned.collect()} == {"mysql-bin.000004", "mysql-bin.000005"}
 
 
+@pytest.mark.parametrize("reader", ["stream", "binaryFile"])
+def test_scan_of_some_types_or_headers_only(spark, tmp_path, reader):
+    write_file(tmp_path, 1, [table_map(STORE), rows(STORE, S.WRITE_ROWS_V1, FIRST)])
+    rows_only = binlog_scan(spark, str(tmp_path), reader, codes=S.ROWS_EVENTS).collect()
+    assert [r.type_code for r in rows_only] == [23] and rows_only[0].table_map is not None
+    heads = binlog_scan(spark, str(tmp_path), reader, bodies=False).orderBy("byte_off").collect()
+    assert [r.type_code for r in heads] == [15, 19, 23]
+    assert all(r.body is None and r.table_map is None for r in heads)
+
+
+def test_column_catalog(spark, tmp_path):
+    write_file(tmp_path, 1, [table_map(WIDE)])
+    catalog = column_catalog(table_maps(binlog_scan(spark, str(tmp_path)))).orderBy("ordinal")
+    got = [(r.name, r.type_code, r.unsigned, r.is_pk) for r in catalog.collect()]
+    assert got == [(c[0], c[1], c[3], c[4]) for c in WIDE]
+
+
 def test_four_byte_table_ids():
     state = codec.LogState()
     lengths = bytearray(171)

@@ -361,8 +361,8 @@ def _tap(spark, sf_dir):
 
 # ---- log files: the events table packed to bytes, scanned and decoded ---------------------
 
-def _log_events(spark, sf_dir):
-    return binlog_scan(spark, log_folder(spark, sf_dir))
+def _log_events(spark, sf_dir, **kwargs):
+    return binlog_scan(spark, log_folder(spark, sf_dir), **kwargs)
 
 
 def _file_profile(events):
@@ -403,7 +403,7 @@ def _run_once(spark, stream):
 
 @query("event_headers")
 def _event_headers(spark, sf_dir):
-    headers = event_headers(_log_events(spark, sf_dir))
+    headers = event_headers(_log_events(spark, sf_dir, bodies=False))
     return headers.select(
         "file_seq", "type_code", "server_id", "flags",
         F.unix_seconds("event_ts").alias("event_s"),
@@ -421,7 +421,8 @@ def _table_maps(spark, sf_dir):
 
 @query("column_catalog")
 def _column_catalog(spark, sf_dir):
-    catalog = column_catalog(table_maps(_log_events(spark, sf_dir)))
+    catalog = column_catalog(table_maps(
+        _log_events(spark, sf_dir, codes=(S.TABLE_MAP_EVENT,))))
     return catalog.groupBy(
         "database", "table", "ordinal", "name", "type_code", "meta", "unsigned", "is_pk",
         "nullable").agg(F.count("*").alias("n_versions"))
@@ -429,8 +430,8 @@ def _column_catalog(spark, sf_dir):
 
 def _typed_rows(spark, sf_dir, decode):
     """Images of both tables of the log as typed rows of one shape."""
-    catalog = column_catalog(table_maps(_log_events(spark, sf_dir)))
-    shape = table_row_type(catalog, feeds.DATABASE, "users")
+    maps = table_maps(_log_events(spark, sf_dir, codes=(S.TABLE_MAP_EVENT,)))
+    shape = table_row_type(maps, feeds.DATABASE, "users")
     return [decode(shape, feeds.DATABASE, name) for name in ("users", "guests")], shape
 
 
@@ -501,7 +502,8 @@ def _resume_log(spark, sf_dir):
 
 @query("log_profile")
 def _log_profile(spark, sf_dir):
-    profile = event_profile(_log_events(spark, sf_dir).filter("error IS NULL"))
+    events = _log_events(spark, sf_dir, bodies=False)
+    profile = event_profile(events.filter("error IS NULL"))
     return profile.select(
         "type_code", "n_events", F.unix_seconds("first_ts").alias("first_s"),
         F.unix_seconds("last_ts").alias("last_s"))

@@ -8,7 +8,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas as S
 from ..functions import classify_op, format_key
-from ..operators.schema import attach_table_map
+from ..operators.schema import attach_table_map, column_catalog
 from ..operators.validate import key_reason
 from . import codec
 from .datasource import LogDataSource
@@ -18,11 +18,14 @@ LOG_GLOB = "*.[0-9]*"  # mysql-bin.000121
 
 
 def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
-                start_file: int | None = None, magic: bool = True) -> DataFrame:
+                start_file: int | None = None, magic: bool = True,
+                codes: tuple[int, ...] | None = None, bodies: bool = True) -> DataFrame:
     """Events of a directory of log files (``LOG_EVENTS``), one task per file.
 
     ``reader="stream"`` lists the files, prunes those before ``start_file`` and streams their
     bytes. ``reader="binaryFile"`` reads through Spark's own file systems, one file as one value.
+    ``codes`` keeps events of these types only and ``bodies=False`` headers only, before any byte
+    leaves the reading task.
     Rows events carry the table map in force at their position, so decoding needs no join.
     A file that is not a log or ends inside an event gives one row with ``error`` set (an empty
     file is not seen by the second reader).
@@ -30,17 +33,21 @@ def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
     if reader == "binaryFile":
         files = (spark.read.format("binaryFile").option("pathGlobFilter", LOG_GLOB)
                  .load(path).select("path", "content"))
-        events = split_logs(files, magic)
+        events = split_logs(files, magic, codes, bodies)
         return events if start_file is None else events.filter(F.col("file_seq") >= start_file)
     spark.dataSource.register(LogDataSource)
     source = (spark.read.format(LogDataSource.name()).option("path", path)
               .option("parallelism", str(spark.sparkContext.defaultParallelism)))
     if start_file is not None:
         source = source.option("start_file", str(start_file))
-    return source.option("magic", str(magic).lower()).load()
+    if codes is not None:
+        source = source.option("codes", ",".join(map(str, codes)))
+    return (source.option("magic", str(magic).lower()).option("bodies", str(bodies).lower())
+            .load())
 
 
-def split_logs(files: DataFrame, magic: bool = True) -> DataFrame:
+def split_logs(files: DataFrame, magic: bool = True, codes: tuple[int, ...] | None = None,
+               bodies: bool = True) -> DataFrame:
     """Events of (path, content) rows: whole log files, batch or streaming."""
     schema = to_arrow_schema(S.LOG_EVENTS)
 
@@ -49,7 +56,8 @@ def split_logs(files: DataFrame, magic: bool = True) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1)):
                 name = path.as_py().rsplit("/", 1)[-1]
                 rows = codec.log_rows([content.as_buffer().to_pybytes()], name,
-                                      int(name.rsplit(".", 1)[-1]), magic)
+                                      int(name.rsplit(".", 1)[-1]), magic, codes=codes,
+                                      bodies=bodies)
                 yield from codec.event_batches(rows, schema)
 
     return files.select("path", "content").mapInArrow(split, S.LOG_EVENTS)
@@ -183,15 +191,16 @@ def bad_events(log_events: DataFrame) -> DataFrame:
         "byte_off", F.col("error").alias("reason"))
 
 
-def table_row_type(catalog: DataFrame, database: str, table: str) -> T.StructType:
-    """Row struct of a table from the newest schema version in a ``column_catalog``.
+def table_row_type(maps: DataFrame, database: str, table: str) -> T.StructType:
+    """Row struct of a table from the newest schema version among ``table_maps``.
 
-    Only the columns of that one version reach the driver.
+    The newest map is found by an aggregate; only its columns reach the driver.
     """
-    mine = catalog.filter((F.col("database") == database) & (F.col("table") == table))
-    column = F.struct("ordinal", "name", "type_code", "meta", "unsigned")
-    version = (mine.groupBy("file_seq", "byte_off").agg(F.sort_array(F.collect_list(column)).alias("columns"))
-               .orderBy(F.desc("file_seq"), F.desc("byte_off")).limit(1).collect())
-    if not version:
+    mine = maps.filter((F.col("database") == database) & (F.col("table") == table)
+                       & F.col("error").isNull())
+    newest = mine.agg(F.max_by(F.struct(*mine.columns), F.struct("file_seq", "byte_off"))
+                      .alias("map")).filter("map IS NOT NULL").select("map.*")
+    columns = column_catalog(newest).orderBy("ordinal").collect()
+    if not columns:
         raise LookupError(f"no schema of {database}.{table} in this log")
-    return S.row_type([c.asDict() for c in version[0]["columns"]])
+    return S.row_type([c.asDict() for c in columns])

@@ -89,10 +89,11 @@ class LogState:
 
 
 def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: int = 0,
-             limit: int | None = None):
+             limit: int | None = None, codes=None, bodies: bool = True):
     """Rows of ``LOG_EVENTS`` for one file. With ``begin``/``limit`` only events that end in
     (begin, limit] are given; earlier ones still update the state, so their maps apply. A broken
-    end is reported once the file is read without a limit: until then it may still grow."""
+    end is reported once the file is read without a limit: until then it may still grow. ``codes``
+    keeps events of these types only, ``bodies=False`` their headers only."""
     state = LogState()
     for off, head, body in split_events(chunks, magic):
         if head is None:
@@ -118,7 +119,9 @@ def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: in
             table_map = state.maps.get(table_id)
         elif code not in S.SUPPORTED_EVENTS:
             body = None  # counted, never decoded
-        if off + size > begin:
+        if not bodies:
+            body = table_map = None
+        if off + size > begin and (codes is None or code in codes):
             yield (log_file, file_seq, off, when * 1_000_000, code, server_id, size, log_pos,
                    flags, id_bytes, table_id, body, table_map, error)
 

@@ -49,15 +49,20 @@ class LogSlice(InputPartition):
 
 
 class _Options:
-    """Options of the source: path, start_file, magic, parallelism, and for decoded images
-    decode (the row struct as JSON, or "documents"), database and table."""
+    """Options of the source: path, start_file, magic, parallelism, codes, bodies, and for
+    decoded images decode (the row struct as JSON, or "documents"), database and table."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.start_file = int(options.get("start_file") or 0)
         self.magic = (options.get("magic") or "true") == "true"
         self.parallelism = int(options.get("parallelism") or 1)
+        codes = options.get("codes")
+        self.codes = {int(c) for c in codes.split(",")} if codes else None
+        self.bodies = (options.get("bodies") or "true") == "true"
         self.decode = options.get("decode")
+        if self.decode is not None:
+            self.codes, self.bodies = set(S.ROWS_EVENTS), True
         self.wanted = (options.get("database"), options.get("table"))
 
     @property
@@ -76,12 +81,12 @@ class _Options:
             with fs.open_input_stream(path) as stream:
                 chunks = iter(lambda: stream.read(_CHUNK), b"")
                 rows = codec.log_rows(chunks, path.rsplit("/", 1)[-1], number, self.magic, begin,
-                                      limit)
+                                      limit, self.codes, self.bodies)
                 if self.decode is None:
                     yield from codec.event_batches(rows, events)
                     continue
-                wanted = (r for r in rows if r[4] in S.ROWS_EVENTS)
-                for held in codec.blocks(wanted):
+                # A broken end has no type; it is the business of the scan.
+                for held in codec.blocks(r for r in rows if r[4] is not None):
                     yield from decode_events(Events.from_rows(held), out, self.row is not None,
                                              self.wanted)
 
