@@ -281,6 +281,14 @@ def test_bad_files(spark, tmp_path):
         assert sorted((r.log_file[-1], r.reason) for r in bad_events(events).collect()) == [
             ("2", "truncated_event"), ("3", "bad_magic"), ("4", "bad_event_size"), *empty]
         assert events.filter("error is null").count() == 3 + 2
+    events = binlog_scan(spark, str(tmp_path))
+    for changes in (read_changes(spark, str(tmp_path)), build_changes(events),
+                    build_changes(events.drop("table_map"))):
+        good, bad = split_valid(changes)
+        assert sorted((r.log_file[-1], r.reason) for r in bad.collect()) == [
+            ("2", "truncated_event"), ("3", "bad_magic"), ("4", "bad_event_size"),
+            ("5", "bad_magic")]
+        assert [r.key for r in good.collect()] == ["1".rjust(24, "0")]
     pruned = binlog_scan(spark, str(tmp_path), start_file=4)
     assert {r.log_file for r in pruned.collect()} == {"mysql-bin.000004", "mysql-bin.000005"}
 

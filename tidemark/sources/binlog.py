@@ -107,16 +107,19 @@ def decode_rows(log_events: DataFrame, row: T.StructType | None = None,
     With ``row`` the images are typed structs: columns are matched by name, columns of ``row``
     that a schema version lacks are NULL. Without it they are JSON text, for feeds of many
     tables. ``database``/``table`` restrict the decoding to one table before images are read.
-    An event that cannot be decoded gives one row with ``reason`` and no image.
+    An event that cannot be decoded, or a file that cannot be read on, gives one row with
+    ``reason`` and no image.
 
     Decoding runs where the file was split. ``spread`` first deals the events out to that many
     tasks, for a few large files on many cores.
     """
+    broken = F.col("error").isNotNull()
     if "table_map" not in log_events.columns:
-        log_events = attach_table_map(log_events)
-    rows = log_events.filter(F.col("type_code").isin(*S.ROWS_EVENTS)).select(
+        log_events = attach_table_map(log_events.filter(~broken)).unionByName(
+            log_events.filter(broken), allowMissingColumns=True)
+    rows = log_events.filter(F.col("type_code").isin(*S.ROWS_EVENTS) | broken).select(
         "log_file", "file_seq", "byte_off", "event_ts", "type_code", "server_id", "id_bytes",
-        "body", "table_map")
+        "body", "table_map", "error")
     if spread:
         rows = rows.repartition(spread, "log_file", "byte_off")
     result = decoded_type(row)

@@ -121,7 +121,7 @@ def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: in
             body = None  # counted, never decoded
         if not bodies:
             body = table_map = None
-        if off + size > begin and (codes is None or code in codes):
+        if off + size > begin and (codes is None or code in codes or error):
             yield (log_file, file_seq, off, when * 1_000_000, code, server_id, size, log_pos,
                    flags, id_bytes, table_id, body, table_map, error)
 

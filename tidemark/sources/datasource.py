@@ -85,8 +85,7 @@ class _Options:
                 if self.decode is None:
                     yield from codec.event_batches(rows, events)
                     continue
-                # A broken end has no type; it is the business of the scan.
-                for held in codec.blocks(r for r in rows if r[4] is not None):
+                for held in codec.blocks(rows):
                     yield from decode_events(Events.from_rows(held), out, self.row is not None,
                                              self.wanted)
 

@@ -40,25 +40,26 @@ class Events(NamedTuple):
     log_file: pa.Array
     file_seq: np.ndarray
     byte_off: np.ndarray
-    event_ts: np.ndarray
+    event_ts: pa.Array
     code: list
-    server_id: np.ndarray
+    server_id: pa.Array
     id_bytes: list
     body: list
     table_map: list
+    error: list
 
     @classmethod
     def from_rows(cls, rows: list[tuple]) -> Events:
         """From tuples of ``LOG_EVENTS``."""
         c = list(zip(*rows))
-        number = [np.array(c[i], np.int64) for i in (1, 2, 3, 5)]
-        return cls(pa.array(c[0]), number[0], number[1], number[2], c[4], number[3], c[9], c[11],
-                   c[12])
+        return cls(pa.array(c[0]), np.array(c[1], np.int64), np.array(c[2], np.int64),
+                   pa.array(c[3], pa.int64()), c[4], pa.array(c[5], pa.int64()), c[9], c[11],
+                   c[12], c[13])
 
     @classmethod
     def from_batch(cls, batch: pa.RecordBatch) -> Events:
         def number(name):
-            return batch.column(name).cast(pa.int64()).to_numpy()
+            return batch.column(name).cast(pa.int64())
 
         def plain(name):
             return batch.column(name).to_pylist()
@@ -66,18 +67,23 @@ class Events(NamedTuple):
         maps = pc.dictionary_encode(batch.column("table_map"))
         known = maps.dictionary.to_pylist() + [None]
         return cls(
-            batch.column("log_file"), number("file_seq"), number("byte_off"), number("event_ts"),
-            plain("type_code"), number("server_id"), plain("id_bytes"), plain("body"),
-            [known[-1 if i is None else i] for i in maps.indices.to_pylist()])
+            batch.column("log_file"), number("file_seq").to_numpy(), number("byte_off").to_numpy(),
+            number("event_ts"), plain("type_code"), number("server_id"), plain("id_bytes"),
+            plain("body"), [known[-1 if i is None else i] for i in maps.indices.to_pylist()],
+            plain("error"))
 
 
 def decode_events(events: Events, schema: pa.Schema, typed: bool, wanted):
     """Images of a block of events, one batch per table map and kind of event."""
     groups: dict[tuple, list[int]] = {}
-    for i, group in enumerate(zip(events.table_map, events.code, events.id_bytes)):
+    keys = zip(events.table_map, events.code, events.id_bytes, events.error)
+    for i, group in enumerate(keys):
         groups.setdefault(group, []).append(i)
-    for (table_map, code, id_bytes), members in groups.items():
+    for (table_map, code, id_bytes, error), members in groups.items():
         index = np.array(members)
+        if error is not None:
+            yield _output(schema, events, index, code, reason=error)
+            continue
         if table_map is None:
             yield _output(schema, events, index, code, reason="no_schema")
             continue
@@ -198,7 +204,8 @@ def _output(schema, events: Events, index, code, found=None, offset=None, reason
     varying = {
         "seq": pa.array((events.file_seq[index] << 32) + events.byte_off[index] + start),
         "log_file": events.log_file.take(pa.array(index)),
-        "event_ts": pa.array(events.event_ts[index]), "server_id": pa.array(events.server_id[index]),
+        "event_ts": events.event_ts.take(pa.array(index)),
+        "server_id": events.server_id.take(pa.array(index)),
         "key_value": key_value, "before": before, "after": after,
     }
     if isinstance(reason, np.ndarray):
