@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import new_path
 from .lines import dedup_lines
 from .mixing import mix_sources
+from .packing import pack_documents
+from .planes import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,6 +32,19 @@ def _mix_sources(spark, sf_dir):
                        key_column="order_key")
 
 
+@query("op8_pack_documents")
+def _pack_documents(spark, sf_dir):
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_planes")
+def _token_planes(spark, sf_dir):
+    path = new_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op10_dedup_lines")
 def _dedup_lines(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
