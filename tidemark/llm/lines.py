@@ -30,6 +30,8 @@ MAX_BITS = 1 << 28
 _MIN_BITS = 1 << 20
 _BLOCK = 1 << 16
 _FAN_IN = 256
+#: Parts over which the rows of one repeated line are spread.
+SALTS = 32
 
 
 def _keys(text: str | None) -> list[bytes]:
@@ -200,7 +202,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     joined), ``n_lines`` (before) and ``n_dropped``. Input columns of these names are replaced.
     """
     found, repeated = repeated_lines(docs, min_docs, min_chars, bits)
-    hits = found.join(repeated.select("digest", "first"), "digest")
+    # A line of every third document would be one task's work: its rows are salted.
+    salt = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int")
+    spread = repeated.select("digest", "first", F.explode(
+        F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    hits = found.withColumn("__salt", salt).join(spread, ["digest", "__salt"])
     spared = F.collect_set(F.when(
         F.lit(keep_first) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")), F.col("digest")))
     gone = hits.groupBy(F.col("doc_id").alias("__id")).agg(

@@ -51,15 +51,15 @@ def source_rates(docs: DataFrame, weights: dict | None = None, repeat: float = 1
                  for x in (F.lit("n" if s is None else f"s{s}"), F.lit(float(w)))]
         table = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(table, F.col("__key")), F.lit(0.0))
-    sizes = sizes.withColumn("__weight", weight)
-    totals = sizes.agg(F.sum("__size").cast("double").alias("__total"),
-                       F.sum("__weight").alias("__weights"))
-    # ``totals`` is one row.
-    rated = sizes.join(F.broadcast(totals)).withColumn(
-        "__rate", F.when(F.col("__weights") > 0, F.col("__weight") / F.col("__weights")
-                         * (F.col("__total") / F.col("__size").cast("double")) * repeat)
-        .otherwise(0.0))
-    rated = rated.withColumn(
+    # The sizes are written once, then their sums are two numbers of the plan.
+    path = new_path(docs.sparkSession, "mix")
+    sizes.withColumn("__weight", weight).write.parquet(path)
+    sizes = docs.sparkSession.read.parquet(path)
+    total, weights = sizes.agg(F.sum("__size"), F.sum("__weight")).first()
+    rate = F.lit(0.0) if not weights else (
+        F.col("__weight") / float(weights) * (F.lit(float(total)) / F.col("__size").cast("double"))
+        * repeat)
+    rated = sizes.withColumn("__rate", rate).withColumn(
         "__parts", F.greatest(F.ceil(F.col("__rate") / PART), F.lit(1)).cast("int"))
     first = F.exp(-F.col("__rate") / F.col("__parts"))
     mean = F.col("__rate") / F.col("__parts")
@@ -80,10 +80,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, repeat: float = 1.
     Returns the columns of ``docs``; ``copy_column`` and ``key_column`` name columns to add with
     the number of the copy (from 0) and the order key. An input column of such a name is replaced.
     """
-    spark = docs.sparkSession
-    path = new_path(spark, "mix")
-    source_rates(docs, weights, repeat).write.parquet(path)
-    rates = spark.read.parquet(path)
+    rates = source_rates(docs, weights, repeat)
     keep = [c for c in docs.columns if c not in (copy_column, key_column)]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], _source_key().alias("__key"))
     if rates.count() <= BROADCAST_SOURCES:

@@ -11,6 +11,7 @@ from .lines import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .planes import read_tokens, write_tokens
+from .search import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +27,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_exact_top_k")
+def _exact_top_k(spark, sf_dir):
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op3_mix_sources")
 def _mix_sources(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents"), copy_column="copy",
