@@ -11,7 +11,9 @@ from .lines import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .planes import read_tokens, write_tokens
+from .quality import score_quality
 from .search import exact_top_k
+from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +29,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_quality")
+def _quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, _table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 @query("op2_exact_top_k")
 def _exact_top_k(spark, sf_dir):
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -38,6 +47,11 @@ def _mix_sources(spark, sf_dir):
                        key_column="order_key")
 
 
+@query("op6_toxicity")
+def _toxicity(spark, sf_dir):
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query("op8_pack_documents")
 def _pack_documents(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"))
