@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
+from .fingerprints import edited_text, likeness, sketch, sketch_text, with_next
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .planes import read_tokens, write_tokens
 from .quality import score_quality
 from .search import exact_top_k
+from .secrets import scan_secrets
 from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +49,30 @@ def _mix_sources(spark, sf_dir):
                        key_column="order_key")
 
 
+@query("op5_fingerprints")
+def _fingerprints(spark, sf_dir):
+    rows = with_next(_table(spark, sf_dir, "documents")).withColumn(
+        "edited", edited_text(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
+    mine, edited = F.col("sketch"), F.col("edited_sketch")
+    return rows.select(
+        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"), sketch_text(mine).alias("fingerprint"),
+        sketch_text(edited).alias("edited_fingerprint"),
+        likeness(mine, edited).alias("near_edited"),
+        likeness(mine, F.col("next_sketch")).alias("near_next"))
+
+
 @query("op6_toxicity")
 def _toxicity(spark, sf_dir):
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query("op7_secrets")
+def _secrets(spark, sf_dir):
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 @query("op8_pack_documents")
 def _pack_documents(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"))
