@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
 from .fingerprints import edited_text, likeness, sketch, sketch_text, with_next
+from .jaccard import near_duplicates
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -49,6 +50,11 @@ def _mix_sources(spark, sf_dir):
                        key_column="order_key")
 
 
+@query("op4_ngram_jaccard")
+def _ngram_jaccard(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 @query("op5_fingerprints")
 def _fingerprints(spark, sf_dir):
     rows = with_next(_table(spark, sf_dir, "documents")).withColumn(
