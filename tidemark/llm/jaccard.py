@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of every component the document with the
-    smallest doc_id, of equal rows with that id one."""
+    smallest doc_id, of equal rows with that id one. Rows with a null doc_id stay."""
     found = near_duplicates(docs, width, num, den)
     stay = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))) \
         .select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
