@@ -93,10 +93,11 @@ def merged(a: Column, b: Column) -> Column:
 def _next_heads(heads: DataFrame, low: int, high: int) -> DataFrame:
     """For each ``key`` the ``head`` of the next lower key as ``next`` (null for the lowest);
     keys lie between ``low`` and ``high``. Windows hold at most 2^12 keys on every level."""
-    group = F.shiftright("key", _BITS)
+    last = high - low < 1 << _BITS
+    group = F.lit(0).cast("bigint") if last else F.shiftright("key", _BITS)
     lead = F.lead("head").over(Window.partitionBy(group).orderBy(F.desc("key")))
     found = heads.select("key", lead.alias("next"), group.alias("__group"))
-    if low >> _BITS == high >> _BITS:
+    if last:
         return found.select("key", "next")
     upper = heads.groupBy(group.alias("key")).agg(F.max_by("head", "key").alias("head"))
     after = _next_heads(upper, low >> _BITS, high >> _BITS).select(
