@@ -17,42 +17,89 @@ from tidemark.sources.binlog import (
     bad_events, binlog_scan, build_changes, decode_rows, read_changes, table_maps, table_row_type,
 )
 
-# ---- fixed values: recorded events ---------------------------------------------------------
-FORMAT_HEAD = ("c9e441680f01000000fc00000000010000000004003131" "2e342e352d4d6172696144422d7562"
-               "75323430342d6c6f67")
-FORMAT_LENGTHS = ("380d0008001200040404041200 00e400041a08000000080808020000000a0a0a000000000000"
-                  "0a0a0a")
-ROTATE = ("010101010405000000 2b0000000120034020000400000100000000"
-          "6d7973716c2d62696e2e303030313231")
-TABLE_MAP = ("590e426813010a00004900000000000000000012000000 00ff0100"
-             "07655f73746f726500066272616e6473000208 0f02e8030001 0180 0203fc0009"
-             "04 09035f6964046e616d65 080100")
-WRITE_ROWS = ("590e426817010a0b0c2f00000005000000000012 0a010203 0f010002 03"
-              "fc0100000000000000 0700 53616d73756e67")
+# ---- fixed values: recorded events, one line per field ------------------------------------
+FORMAT = bytes.fromhex(
+    "c9e44168"  # when
+    "0f"  # type
+    "01000000"  # server id
+    "fc000000"  # size
+    "00010000"  # end position
+    "0000"  # flags
+    "0400"  # version
+    "31312e342e352d4d6172696144422d756275323430342d6c6f"
+    "67000000000000000000000000000000000000000000000000"  # server version, 50 bytes
+    "c9e44168"  # created
+    "13"  # header length
+    "380d000800120004040404120000e400041a08000000080808020000000a0a0a"
+    "0000000000000a0a0a0000000000000000000000000000000000000000000000"
+    "0000000000000000000000000000000000000000000000000000000000000000"
+    "0000000000000000000000000000000000000000000000000000000000000000"
+    "0000000000000000000000000000000000000000000000000000000000000000"
+    "00041304000d08080a0a0a"  # header lengths by type
+    "00"  # checksum algorithm
+    "bff4eac1"  # checksum
+)
+ROTATE = bytes.fromhex(
+    "01010101"  # when
+    "04"  # type
+    "05000000"  # server id
+    "2b000000"  # size
+    "01200340"  # end position
+    "2000"  # flags
+    "0400000100000000"  # next position
+    "6d7973716c2d62696e2e303030313231"  # next file
+)
+TABLE_MAP = bytes.fromhex(
+    "590e4268"  # when
+    "13"  # type
+    "010a0000"  # server id
+    "49000000"  # size
+    "00000000"  # end position
+    "0000"  # flags
+    "1200000000ff"  # table id
+    "0100"  # flags
+    "07"  # database length
+    "655f73746f7265"  # database
+    "00"  # end of name
+    "06"  # table length
+    "6272616e6473"  # table
+    "00"  # end of name
+    "02"  # column count
+    "080f"  # column types
+    "02"  # metadata length
+    "e803"  # metadata
+    "00"  # null bits
+    "010180"  # field 1: signedness
+    "0203fc0009"  # field 2: character set
+    "0409035f6964046e616d65"  # field 4: column names
+    "080100"  # field 8: primary key
+)
+WRITE_ROWS = bytes.fromhex(
+    "590e4268"  # when
+    "17"  # type
+    "010a0b0c"  # server id
+    "2f000000"  # size
+    "05000000"  # end position
+    "0000"  # flags
+    "120a0102030f"  # table id
+    "0100"  # flags
+    "02"  # column count
+    "03"  # columns present
+    "fc"  # null bits
+    "0100000000000000"  # first column
+    "0700"  # length of the second
+    "53616d73756e67"  # second column
+)
 # --------------------------------------------------------------------------------------------
 
 
-def raw(text):
-    return bytes.fromhex(text.replace(" ", ""))
-
-
 def one_event(data):
     return next(codec.split_events([data], magic=False))
 
 
-def format_bytes():
-    head = raw(FORMAT_HEAD)
-    head += bytes(19 + 2 + 50 - len(head)) + raw("c9e44168") + bytes([19])
-    lengths = raw(FORMAT_LENGTHS)
-    tail = raw("0413040 00d0808080a0a0a".replace(" ", ""))
-    lengths += bytes(171 - len(lengths) - len(tail)) + tail
-    return head + lengths + bytes([0]) + raw("bff4eac1")
-
-
 def test_format_event():
-    data = format_bytes()
-    _, head, body = one_event(data)
-    assert len(data) == 252
+    _, head, body = one_event(FORMAT)
+    assert len(FORMAT) == 252
     assert head == (1749148873, 15, 1, 252, 256, 0)
     version, server, created, header_bytes = struct.unpack_from("<H50sIB", body)
     assert (version, created, header_bytes) == (4, 1749148873, 19)
@@ -64,14 +111,14 @@ def test_format_event():
 
 
 def test_rotate_event():
-    _, head, body = one_event(raw(ROTATE))
+    _, head, body = one_event(ROTATE)
     assert head == (16843009, 4, 5, 43, 1073946625, 32)
     assert struct.unpack_from("<Q", body)[0] == 16777220
     assert body[8:] == b"mysql-bin.000121"
 
 
 def test_table_map_event():
-    _, head, body = one_event(raw(TABLE_MAP))
+    _, head, body = one_event(TABLE_MAP)
     assert head == (1749159513, 19, 2561, 73, 0, 0)
     found = codec.parse_table_map(body)
     assert found["table_id"] == 280375465082898
@@ -82,7 +129,7 @@ def test_table_map_event():
 
 
 def test_write_rows_event():
-    _, head, body = one_event(raw(WRITE_ROWS))
+    _, head, body = one_event(WRITE_ROWS)
     assert head == (1749159513, 23, 202050049, 47, 5, 0)
     assert int.from_bytes(body[:6], "little") == 16505592941074
     buf, event, offset, sides, reason = codec.read_images(
@@ -94,13 +141,13 @@ def test_write_rows_event():
 
 
 def test_bare_event_stream(spark, tmp_path):
-    (tmp_path / "bare.000001").write_bytes(raw(ROTATE) + raw(TABLE_MAP))
+    (tmp_path / "bare.000001").write_bytes(ROTATE + TABLE_MAP)
     for reader in ("stream", "binaryFile"):
         events = binlog_scan(spark, str(tmp_path), reader, magic=False)
         assert [r.type_code for r in events.orderBy("byte_off").collect()] == [4, 19]
 
 
-# ---- the end-to-end scenario ---------------------------------------------------------------
+# ---- fixed values: the end-to-end scenario --------------------------------------------------
 
 STORE = [
     KEY, ("s_tinyint", S.TINY, b"", False, False), ("s_smallint", S.SHORT, b"", False, False),
@@ -124,6 +171,7 @@ FIRST = [
 SIXTH = [6, 100, 300, 500, 700, 900, 0.12345, 0, "upd", "b", "c"]
 SEVENTH = [7, 42, 1024, 123456, 1000000, 1234567890123456, 2.718281828, 1, "test",
            "arbitrary data", "test_string"]
+# --------------------------------------------------------------------------------------------
 
 
 @pytest.mark.parametrize("checksum", [False, True])

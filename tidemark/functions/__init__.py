@@ -4,6 +4,7 @@ from .scalar import (
     classify_op,
     document_field,
     format_key,
+    is_key,
     int24_sign,
     log_seq,
     null_mask,
@@ -13,5 +14,6 @@ from .cast import cast_columns
 
 __all__ = [
     "build_document", "cast_columns", "char_pad", "classify_op", "document_field",
-    "format_key", "int24_sign", "log_seq", "masked", "null_mask",
+    "format_key", "is_key", "int24_sign", "log_seq", "masked",
+    "null_mask",
 ]

@@ -1,4 +1,5 @@
-"""Typed columns for change feeds that carry values as text or JSON."""
+"""Typed columns for change feeds that carry values as text or JSON. What does not fit its type,
+fixed-width text that is too long included, becomes NULL."""
 
 from __future__ import annotations
 
@@ -10,7 +11,8 @@ from .. import schemas as S
 def _typed(value: Column, type_code: int, meta: int, unsigned: bool) -> Column:
     """One text value as its column type; out-of-range or malformed text becomes NULL."""
     if type_code == S.STRING:
-        return F.rpad(value, (meta >> 8) // 4, " ")
+        width = (meta >> 8) // 4
+        return F.when(F.char_length(value) <= width, F.rpad(value, width, " "))
     if type_code == S.VARCHAR:
         return value
     if type_code == S.BOOL:

@@ -7,15 +7,25 @@ from pyspark.sql import Column, functions as F
 from .. import schemas as S
 
 
+def is_key(col) -> Column:
+    """True for what can be a key: the text of a whole number from 0 to 2^64 - 1."""
+    text = F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
+    number = F.when(text.rlike("^[0-9]{1,24}$"), text.cast("decimal(24,0)"))
+    return F.coalesce(number <= F.lit(str(2 ** 64 - 1)).cast("decimal(24,0)"), F.lit(False))
+
+
 def format_key(col) -> Column:
-    """Key text: the unsigned number left-padded with zeros to 24 digits."""
-    return F.lpad(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"),
-                  S.KEY_DIGITS, "0")
+    """Key text: the unsigned number left-padded with zeros to 24 digits; NULL for anything that
+    is not a whole number from 0 to 2^64 - 1."""
+    text = F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
+    return F.when(is_key(text), F.lpad(text, S.KEY_DIGITS, "0"))
 
 
 def char_pad(col, n: int) -> Column:
-    """Fixed-width text: right-padded with spaces to ``n`` characters."""
-    return F.rpad(col, n, " ")
+    """Fixed-width text: right-padded with spaces to ``n`` characters; longer text stays as it
+    is."""
+    value = F.col(col) if isinstance(col, str) else col
+    return F.when(F.char_length(value) < n, F.rpad(value, n, " ")).otherwise(value)
 
 
 def int24_sign(col) -> Column:
@@ -24,9 +34,19 @@ def int24_sign(col) -> Column:
     return F.shiftright(F.shiftleft(value.cast("int"), 8), 8)
 
 
-def null_mask(col, width: int) -> Column:
-    """Expand an integer bitmap, low bit first, to ``width`` booleans; higher bits are ignored."""
+def null_mask(col, width: int, binary: bool = False) -> Column:
+    """Expand a bitmap, low bit first, to ``width`` booleans; higher bits are ignored.
+
+    An integer holds at most 64 bits. For wider tables pass ``binary=True`` and the bytes as they
+    are logged, the first eight columns in the first byte; bits beyond the bytes are NULL.
+    """
     value = F.col(col) if isinstance(col, str) else col
+    if binary:
+        byte = [F.conv(F.nullif(F.hex(F.substring(value, i // 8 + 1, 1)), F.lit("")), 16, 10)
+                .cast("int") for i in range(0, width, 8)]
+        return F.array(*[F.getbit(byte[i // 8], F.lit(i % 8)) == 1 for i in range(width)])
+    if width > 64:
+        raise ValueError("an integer bitmap holds 64 columns; pass bytes and binary=True")
     bits = value.cast("bigint")
     return F.array(*[F.getbit(bits, F.lit(i)) == 1 for i in range(width)])
 

@@ -6,6 +6,7 @@ from .apply import (
     apply_updates,
     change_summary,
     is_live,
+    late_changes,
     live_row_timeline,
     state_as_of,
 )
@@ -34,7 +35,7 @@ __all__ = [
     "apply_changes", "apply_deletes", "apply_inserts", "apply_multi_table", "apply_updates",
     "assign_segment", "attach_table_map", "carry_last", "carry_position", "change_metrics",
     "change_summary", "column_catalog", "event_headers", "event_profile", "is_live",
-    "key_reason", "live_row_timeline", "reject_types", "resume_from", "running_total",
+    "key_reason", "late_changes", "live_row_timeline", "reject_types", "resume_from", "running_total",
     "schema_asof", "split_valid", "state_as_of", "supported_events", "tap", "unmatched_rows",
     "validate_key", "with_seq",
 ]

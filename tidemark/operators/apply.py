@@ -49,8 +49,10 @@ def _with_state(changes: DataFrame, state: DataFrame | None, by: list[str],
     if state is None:
         return feed
     # The state holds no tombstones: a change it has already seen must not be applied again.
-    if high_water is not None:
-        feed = feed.filter(F.col("seq") > F.lit(high_water))
+    if high_water is None:
+        raise ValueError("a stored state needs its high-water mark: without it a repeated insert "
+                         "would bring a deleted row back")
+    feed = feed.filter(F.col("seq") > F.lit(high_water))
     return feed.unionByName(_as_changes(state, by, image_fields(changes)))
 
 
@@ -65,7 +67,8 @@ def apply_changes(changes: DataFrame, state: DataFrame | None = None, high_water
 
     ``changes`` has the key columns ``by``, ``op``, ``seq`` (any orderable type) and the struct
     ``after``; the result has the key columns, the fields of ``after`` and ``last_seq``.
-    ``high_water`` is the highest position ever applied to ``state``.
+    ``high_water`` is the highest position ever applied to ``state`` and goes with it: changes up
+    to it are taken as applied. ``late_changes`` gives those that were left out.
 
     ``strategy="aggregate"`` reduces whole rows in one aggregate. ``"join_back"`` finds the
     winning positions with a hash aggregate over narrow columns and fetches the rows by
@@ -99,6 +102,13 @@ def apply_changes(changes: DataFrame, state: DataFrame | None = None, high_water
     )
 
 
+def late_changes(changes: DataFrame, high_water) -> DataFrame:
+    """Changes that ``apply_changes`` with this ``high_water`` leaves out, with ``reason``: repeated
+    ones, or such that came after later ones had been applied. To apply the latter, rebuild."""
+    return changes.filter(F.col("seq") <= F.lit(high_water)).withColumn(
+        "reason", F.lit("not_after_high_water"))
+
+
 def apply_multi_table(changes: DataFrame, strategy: str = "aggregate") -> DataFrame:
     """``apply_changes`` over a mixed feed, kept apart per (database, table)."""
     return apply_changes(changes, by=("database", "table", "key"), strategy=strategy)

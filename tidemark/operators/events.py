@@ -21,14 +21,15 @@ def supported_events(events: DataFrame, code: str = "type_code") -> DataFrame:
 
 
 def carry_position(events: DataFrame, by: list[str], order: str, position: str = "log_pos",
-                   out: str = "position", bits: int = RANGE_BITS) -> DataFrame:
+                   out: str = "position", bits: int = RANGE_BITS, levels: int = 2) -> DataFrame:
     """Position of each event; a "virtual" event (0) takes the last real one of its source."""
-    return carry_last(events, by, order, F.nullif(F.col(position), F.lit(0)), out, bits=bits)
+    return carry_last(events, by, order, F.nullif(F.col(position), F.lit(0)), out, bits=bits,
+                      levels=levels)
 
 
 def assign_segment(events: DataFrame, by: list[str], order: str, is_rotate: Column,
                    next_file: Column, next_pos: Column, first_file: str,
-                   bits: int = RANGE_BITS) -> DataFrame:
+                   bits: int = RANGE_BITS, levels: int = 2) -> DataFrame:
     """Label the events of a concatenated feed with the log file they belong to.
 
     A rotate names the file that follows it; it is itself the last event of the file before.
@@ -37,7 +38,8 @@ def assign_segment(events: DataFrame, by: list[str], order: str, is_rotate: Colu
     target = F.when(is_rotate, F.struct(
         next_file.alias("segment"),
         F.coalesce(next_pos.cast("bigint"), F.lit(S.FIRST_POSITION).cast("bigint")).alias("start")))
-    labelled = carry_last(events, by, order, target, "__segment", strict=True, bits=bits)
+    labelled = carry_last(events, by, order, target, "__segment", strict=True, bits=bits,
+                          levels=levels)
     return labelled.select(
         *events.columns,
         F.coalesce(F.col("__segment.segment"), F.lit(first_file)).alias("segment"),
@@ -54,7 +56,8 @@ def event_profile(events: DataFrame, code: str = "type_code", size: str = "event
 
 
 def resume_from(df: DataFrame, file_seq: int, position: int, seq: str = "seq") -> DataFrame:
-    """Rows after a (file, position). A plain comparison on ``seq``: it reaches the scan."""
+    """Rows after a (file, position): a plain comparison on ``seq``. A stored feed skips by it; of
+    log files give ``start_file`` too, so that earlier ones are not opened."""
     return df.filter(F.col(seq) > F.lit((file_seq << 32) + position))
 
 

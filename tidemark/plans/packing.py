@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
-from ..sources.datasource import filesystem
+from ..sources.datasource import filesystem, qualified
 from ..sources.scratch import new_path
 from . import feeds
 
@@ -200,7 +200,7 @@ def log_folder(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the packed events, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        folder = new_path(spark, "logs")
+        folder = qualified(spark, new_path(spark, "logs"))
         write_logs(packed_logs(spark, sf_dir), folder)
         _written[key] = folder
     return _written[key]

@@ -11,7 +11,7 @@ from ..functions import classify_op, format_key
 from ..operators.schema import attach_table_map, column_catalog
 from ..operators.validate import key_reason
 from . import codec
-from .datasource import LogDataSource
+from .datasource import LOG_NAME, LogDataSource, qualified, register
 from .decode import Events, decode_events, decoded_type
 
 LOG_GLOB = "*.[0-9]*"  # mysql-bin.000121
@@ -19,11 +19,16 @@ LOG_GLOB = "*.[0-9]*"  # mysql-bin.000121
 
 def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
                 start_file: int | None = None, magic: bool = True,
-                codes: tuple[int, ...] | None = None, bodies: bool = True) -> DataFrame:
+                codes: tuple[int, ...] | None = None, bodies: bool = True,
+                base: str | None = None, holes: str = "fail") -> DataFrame:
     """Events of a directory of log files (``LOG_EVENTS``), one task per file.
 
     ``reader="stream"`` lists the files, prunes those before ``start_file`` and streams their
     bytes. ``reader="binaryFile"`` reads through Spark's own file systems, one file as one value.
+    The first one also takes filters on ``file_seq`` and ``type_code`` of the result: files and
+    events they exclude are not read. ``base`` picks the files of one log (``base.000121``); a
+    folder with several logs needs it. A missing file number fails the first one's scan
+    (``holes="skip"`` reads on).
     ``codes`` keeps events of these types only and ``bodies=False`` headers only, before any byte
     leaves the reading task.
     Rows events carry the table map in force at their position, so decoding needs no join.
@@ -31,13 +36,17 @@ def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
     file is not seen by the second reader).
     """
     if reader == "binaryFile":
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", LOG_GLOB)
+        glob = LOG_GLOB if base is None else f"{base}.[0-9]*"
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
                  .load(path).select("path", "content"))
         events = split_logs(files, magic, codes, bodies)
         return events if start_file is None else events.filter(F.col("file_seq") >= start_file)
-    spark.dataSource.register(LogDataSource)
-    source = (spark.read.format(LogDataSource.name()).option("path", path)
+    register(spark)
+    source = (spark.read.format(LogDataSource.name()).option("path", qualified(spark, path))
+              .option("holes", holes)
               .option("parallelism", str(spark.sparkContext.defaultParallelism)))
+    if base is not None:
+        source = source.option("base", base)
     if start_file is not None:
         source = source.option("start_file", str(start_file))
     if codes is not None:
@@ -48,13 +57,16 @@ def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
 
 def split_logs(files: DataFrame, magic: bool = True, codes: tuple[int, ...] | None = None,
                bodies: bool = True) -> DataFrame:
-    """Events of (path, content) rows: whole log files, batch or streaming."""
+    """Events of (path, content) rows: whole log files, batch or streaming. Names that do not end
+    in a number are no log files."""
     schema = to_arrow_schema(S.LOG_EVENTS)
 
     def split(batches):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
                 name = path.as_py().rsplit("/", 1)[-1]
+                if not LOG_NAME.match(name):
+                    continue
                 rows = codec.log_rows([content.as_buffer().to_pybytes()], name,
                                       int(name.rsplit(".", 1)[-1]), magic, codes=codes,
                                       bodies=bodies)
@@ -144,8 +156,8 @@ def read_images(spark: SparkSession, path: str, row: T.StructType | None = None,
 
 def image_options(spark: SparkSession, path: str, row, database, table, start_file) -> dict:
     """Options of the log source for decoded images; registers the source."""
-    spark.dataSource.register(LogDataSource)
-    options = {"path": path, "decode": "documents" if row is None else row.json(),
+    register(spark)
+    options = {"path": qualified(spark, path), "decode": "documents" if row is None else row.json(),
                "database": database, "table": table,
                "parallelism": str(spark.sparkContext.defaultParallelism),
                "start_file": None if start_file is None else str(start_file)}
@@ -171,16 +183,20 @@ def changes_of(images: DataFrame, key: str = S.KEY_COLUMN) -> DataFrame:
 
     The key is the one the row had *before* the change; the after-image goes without it, so an
     update never moves a row. ``reason`` is NULL for a good change; ``split_valid`` parts them.
-    JSON images become VARIANT documents.
+    JSON images become VARIANT documents; one that is no JSON is a ``bad_document``. A key that is
+    no whole number from 0 to 2^64 - 1 gives ``key_value``.
     """
     value, after = F.col("key_value"), images.schema["after"].dataType
     if isinstance(after, T.StringType):
-        before, after = F.parse_json("before"), F.parse_json("after")
+        before, after = F.try_parse_json("before"), F.try_parse_json("after")
+        broken = ((F.col("before").isNotNull() & before.isNull())
+                  | (F.col("after").isNotNull() & after.isNull()))
     else:
+        broken = F.lit(False)
         before, has_key = F.col("before"), key in after.fieldNames()
         after = F.col("after").dropFields(f"`{key}`") if has_key else F.col("after")
     rule = key_reason(F.col("pk_names"), value, F.col("pk_type"), F.col("pk_unsigned"), key)
-    reason = F.coalesce(F.col("reason"), rule)
+    reason = F.coalesce(F.col("reason"), rule, F.when(broken, F.lit("bad_document")))
     return images.select(
         "database", "table", classify_op("type_code").alias("op"), "seq", "log_file", "event_ts",
         "server_id", F.when(reason.isNull(), format_key(value)).alias("key"),

@@ -104,9 +104,11 @@ def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: in
         when, code, server_id, size, log_pos, flags = head
         if limit is not None and off + size > limit:
             return
-        error = table_id = table_map = id_bytes = None
+        # Positions are 32-bit numbers in the log and in ``seq``.
+        error = "position_over_4gib" if off >> 32 else None
+        table_id = table_map = id_bytes = None
         if code == S.FORMAT_EVENT:
-            error = state.format(body)
+            error = state.format(body) or error
         elif state.checksum:
             body = body[:-S.CHECKSUM_BYTES]
         if code == S.TABLE_MAP_EVENT:

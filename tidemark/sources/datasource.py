@@ -6,10 +6,11 @@ import json
 import re
 
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession, types as T
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceStreamReader, InputPartition,
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan,
+    GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
 )
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas as S
@@ -19,25 +20,56 @@ from .decode import Events, decode_events, decoded_type
 _CHUNK = 8 << 20
 _TASK_BYTES = 128 << 20  # most bytes of small files in one task
 _SHARED_BYTES = 256 << 10  # do not spread less than this
-_NAME = re.compile(r"\.([0-9]+)$")
+_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+LOG_NAME = re.compile(r"^(.+)\.([0-9]+)$")  # mysql-bin.000121
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI; a path without a scheme is a mounted one."""
+    """File system and path of a qualified URI (see ``qualified``)."""
     if path.startswith("file:"):
-        path = "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    if not _SCHEME.match(path):
+        raise ValueError(f"{path} names no file system; see qualified()")
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
+    return pafs.FileSystem.from_uri(path)
 
 
-def list_logs(path: str) -> list[tuple[int, str, int]]:
-    """(number, path, size) of the log files of a folder, in log order."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it, so that executors read what Spark would."""
+    if _SCHEME.match(path):
+        return path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return hadoop.getFileSystem(conf).makeQualified(hadoop).toString()
+
+
+def list_logs(path: str, base: str | None = None) -> list[tuple[int, str, int]]:
+    """(number, path, size) of the log files of a folder, in log order.
+
+    File numbers order the log, so a folder holds one log: files of several base names are
+    refused unless ``base`` picks one.
+    """
     fs, root = filesystem(path)
-    found = fs.get_file_info(pafs.FileSelector(root))
-    logs = [(int(_NAME.search(f.base_name).group(1)), f.path, f.size)
-            for f in found if f.is_file and _NAME.search(f.base_name)]
-    return sorted(logs)
+    named = [(LOG_NAME.match(f.base_name), f) for f in fs.get_file_info(pafs.FileSelector(root))
+             if f.is_file and LOG_NAME.match(f.base_name)]
+    named = [(m, f) for m, f in named if base in (None, m.group(1))]
+    if len(names := sorted({m.group(1) for m, _ in named})) > 1:
+        raise ValueError(f"logs of several names in {path}: {', '.join(names)}; name one as base")
+    return sorted((int(m.group(2)), f.path, f.size) for m, f in named)
+
+
+def without_holes(logs: list[tuple[int, str, int]], first: int | None = None,
+                  last: int | None = None) -> list[tuple[int, str, int]]:
+    """The files, after a check that no number between ``first`` and ``last`` (of those there are,
+    by default) is missing: logs are purged after a time, and what they held would be lost."""
+    numbers = {number for number, _, _ in logs}
+    if numbers or first is not None:
+        first = min(numbers) if first is None else first
+        last = max(numbers) if last is None else last
+        if missing := sorted(set(range(first, last + 1)) - numbers):
+            raise FileNotFoundError(f"log files missing: {', '.join(map(str, missing[:10]))}")
+    return logs
 
 
 class LogSlice(InputPartition):
@@ -49,11 +81,14 @@ class LogSlice(InputPartition):
 
 
 class _Options:
-    """Options of the source: path, start_file, magic, parallelism, codes, bodies, and for
-    decoded images decode (the row struct as JSON, or "documents"), database and table."""
+    """Options of the source: path, base, start_file, magic, parallelism, codes, bodies, holes
+    ("fail", or "skip" to read on over missing files), and for decoded images decode (the row
+    struct as JSON, or "documents"), database and table."""
 
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.base = options["path"], options.get("base")
+        self.holes = options.get("holes") or "fail"
+        self.end_file = None
         self.start_file = int(options.get("start_file") or 0)
         self.magic = (options.get("magic") or "true") == "true"
         self.parallelism = int(options.get("parallelism") or 1)
@@ -90,6 +125,12 @@ class _Options:
                                              self.wanted)
 
 
+def register(spark: SparkSession) -> None:
+    """Make the source known to the session, with the setting that hands it filters."""
+    spark.dataSource.register(LogDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 class LogDataSource(DataSource):
     """``spark.read.format("row_log")``: events of log files, or their decoded row images."""
 
@@ -108,13 +149,37 @@ class LogDataSource(DataSource):
 
 
 class LogReader(DataSourceReader):
+    """Filters on file_seq and seq choose the files to open, filters on type_code the events that
+    leave the reading task. Spark applies all filters again, so results do not depend on that."""
+
     def __init__(self, options):
         self.options = _Options(options)
 
+    def pushFilters(self, filters):
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            value = getattr(f, "value", None)
+            if column in (("file_seq",), ("seq",)) and isinstance(value, int):
+                number = value >> 32 if column == ("seq",) else value
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.options.start_file = max(self.options.start_file, number)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    end = self.options.end_file
+                    self.options.end_file = number if end is None else min(end, number)
+            elif column == ("type_code",) and isinstance(f, (EqualTo, In)):
+                codes = {value} if isinstance(f, EqualTo) else set(value)
+                kept = self.options.codes
+                self.options.codes = codes if kept is None else kept & codes
+            yield f
+
     def partitions(self):
         """Small files share a task up to a size; a file is never split, since only its chain of
         event sizes tells where events begin."""
-        logs = [f for f in list_logs(self.options.path) if f[0] >= self.options.start_file]
+        end = self.options.end_file
+        logs = [f for f in list_logs(self.options.path, self.options.base)
+                if f[0] >= self.options.start_file and (end is None or f[0] <= end)]
+        if self.options.holes == "fail":
+            without_holes(logs)
         share = sum(length for _, _, length in logs) // self.options.parallelism
         target = min(_TASK_BYTES, max(_SHARED_BYTES, share))
         slices, held, size = [], [], 0
@@ -143,18 +208,23 @@ class LogStreamReader(DataSourceStreamReader):
         return {"file": self.options.start_file, "position": 0}
 
     def latestOffset(self):
-        logs = list_logs(self.options.path)
+        logs = list_logs(self.options.path, self.options.base)
         if not logs or logs[-1][0] < self.options.start_file:
             return self.initialOffset()
         return {"file": logs[-1][0], "position": logs[-1][2]}
 
     def partitions(self, start, end):
+        """One task per file. A file of the range that is no longer there fails the query."""
+        logs = [f for f in list_logs(self.options.path, self.options.base)
+                if start["file"] <= f[0] <= end["file"]]
+        if self.options.holes == "fail" and end["position"]:
+            # Before the first batch the log may begin at any number.
+            without_holes(logs, start["file"] if start["position"] else None, end["file"])
         return [
             LogSlice([(number, path,
                        start["position"] if number == start["file"] else 0,
                        end["position"] if number == end["file"] else None)])
-            for number, path, _ in list_logs(self.options.path)
-            if start["file"] <= number <= end["file"]
+            for number, path, _ in logs
         ] or [LogSlice([])]
 
     def read(self, partition):

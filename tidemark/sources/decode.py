@@ -171,6 +171,9 @@ def _json(arrays: dict[str, pa.Array]) -> pa.Array:
             text = pc.if_else(values, "true", "false")
         elif pa.types.is_string(values.type):
             text = _quote(values)
+        elif pa.types.is_floating(values.type):
+            # JSON has no form for infinities and NaN: they are written as null.
+            text = pc.if_else(pc.is_finite(values), values.cast(pa.string()), None)
         else:
             text = values.cast(pa.string())
         parts.append(pc.fill_null(text, "null"))
@@ -202,7 +205,8 @@ def _output(schema, events: Events, index, code, found=None, offset=None, reason
         "reason": reason if isinstance(reason, str) else None,
     }
     varying = {
-        "seq": pa.array((events.file_seq[index] << 32) + events.byte_off[index] + start),
+        "seq": pa.array((events.file_seq[index] << 32) + events.byte_off[index] + start,
+                        mask=events.byte_off[index] >> 32 > 0),
         "log_file": events.log_file.take(pa.array(index)),
         "event_ts": events.event_ts.take(pa.array(index)),
         "server_id": events.server_id.take(pa.array(index)),
