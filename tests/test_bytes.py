@@ -10,7 +10,9 @@ from pyspark.sql.types import StructType
 
 from logs import KEY, rows, table_map, write_file
 from tidemark import schemas as S
-from tidemark.operators import apply_changes, column_catalog, schema_asof, split_valid
+from tidemark.operators import (
+    apply_changes, column_catalog, format_events, rotate_events, schema_asof, split_valid,
+)
 from tidemark.plans import packing as P
 from tidemark.sources import codec
 from tidemark.sources.binlog import (
@@ -117,6 +119,17 @@ def test_rotate_event():
     assert body[8:] == b"mysql-bin.000121"
 
 
+def test_rotate_and_format_columns(spark, tmp_path):
+    (tmp_path / "bare.000001").write_bytes(FORMAT + ROTATE)
+    events = binlog_scan(spark, str(tmp_path), magic=False)
+    row = rotate_events(events).first()
+    assert (row.next_file, row.next_pos) == ("mysql-bin.000121", 16777220)
+    row = format_events(events).first()
+    assert (row.log_version, row.server_version, row.created, row.header_length, row.checksum) == (
+        4, "11.4.5-MariaDB-ubu2404-log", 1749148873, 19, 0)
+    assert row.header_lengths[:4] == [56, 13, 0, 8] and len(row.header_lengths) == 171
+
+
 def test_table_map_event():
     _, head, body = one_event(TABLE_MAP)
     assert head == (1749159513, 19, 2561, 73, 0, 0)

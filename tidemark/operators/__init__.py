@@ -16,7 +16,9 @@ from .events import (
     carry_position,
     event_headers,
     event_profile,
+    format_events,
     resume_from,
+    rotate_events,
     supported_events,
     with_seq,
 )
@@ -34,8 +36,9 @@ __all__ = [
     "LOG_RANGE_BITS", "RANGE_BITS",
     "apply_changes", "apply_deletes", "apply_inserts", "apply_multi_table", "apply_updates",
     "assign_segment", "attach_table_map", "carry_last", "carry_position", "change_metrics",
-    "change_summary", "column_catalog", "event_headers", "event_profile", "is_live",
-    "key_reason", "late_changes", "live_row_timeline", "reject_types", "resume_from", "running_total",
+    "change_summary", "column_catalog", "event_headers", "event_profile", "format_events", "is_live",
+    "key_reason", "late_changes", "live_row_timeline", "reject_types", "resume_from", "rotate_events",
+    "running_total",
     "schema_asof", "split_valid", "state_as_of", "supported_events", "tap", "unmatched_rows",
     "validate_key", "with_seq",
 ]

@@ -15,6 +15,48 @@ def event_headers(log_events: DataFrame) -> DataFrame:
                              "server_id", "event_size", "log_pos", "flags")
 
 
+def _little_endian(body: Column, at: int, width: int) -> Column:
+    """Unsigned number of ``width`` bytes from byte ``at`` (from 0) of a binary column; NULL if
+    the body is shorter."""
+    digits = F.hex(F.substring(body, at + 1, width))
+    swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
+    return F.when(F.octet_length(body) >= at + width, F.conv(swapped, 16, 10).try_cast("bigint"))
+
+
+def rotate_events(log_events: DataFrame) -> DataFrame:
+    """The file and position that follow each rotate event: ``next_file``, ``next_pos`` (the first
+    position of a file where it is 0 or missing) with the event's own place. A body that is too
+    short gives a NULL ``next_file``."""
+    position = F.coalesce(F.nullif(_little_endian(F.col("body"), 0, 8), F.lit(0)),
+                          F.lit(S.FIRST_POSITION).cast("bigint"))
+    name = F.decode(F.substring(F.col("body"), 9, 1 << 16), "utf-8")
+    return log_events.filter(F.col("type_code") == S.ROTATE_EVENT).select(
+        "log_file", "file_seq", "byte_off", F.nullif(name, F.lit("")).alias("next_file"),
+        position.alias("next_pos"))
+
+
+def format_events(log_events: DataFrame) -> DataFrame:
+    """What each format event says about its file: ``log_version``, ``server_version``,
+    ``created`` (seconds), ``header_length``, ``header_lengths`` (of the event types from 1 on) and
+    ``checksum`` (0: none, 1: CRC32). Numbers of a body that is too short are NULL."""
+    body, size = F.col("body"), F.octet_length("body")
+    # Version, server version, created, header length; at the end the checksum's kind and value.
+    fixed, tail = 2 + 50 + 4 + 1, 1 + S.CHECKSUM_BYTES
+    lengths = F.transform(
+        F.sequence(F.lit(fixed), size - tail - 1),
+        lambda i: F.conv(F.hex(F.substring(body, i + 1, F.lit(1))), 16, 10).cast("int"))
+    version = F.decode(F.substring(body, 3, 50), "utf-8")
+    kind = F.conv(F.hex(F.substring(body, size - tail + 1, F.lit(1))), 16, 10).cast("int")
+    return log_events.filter(F.col("type_code") == S.FORMAT_EVENT).select(
+        "log_file", "file_seq", "byte_off",
+        _little_endian(body, 0, 2).cast("int").alias("log_version"),
+        F.rtrim(F.translate(version, "\0", " ")).alias("server_version"),
+        _little_endian(body, 52, 4).alias("created"),
+        _little_endian(body, 56, 1).cast("int").alias("header_length"),
+        F.when(size > fixed + tail, lengths).alias("header_lengths"),
+        F.when(size >= fixed + tail, kind).alias("checksum"))
+
+
 def supported_events(events: DataFrame, code: str = "type_code") -> DataFrame:
     """Keep format, rotate, table-map and rows events (v1); drop the rest."""
     return events.filter(F.col(code).isin(*S.SUPPORTED_EVENTS))

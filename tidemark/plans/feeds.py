@@ -50,19 +50,11 @@ def schema_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "signup").alias("is_schema"), "value")
 
 
-def _order_seq(date: T.DataType) -> Column:
-    """The position of an order's insert: before all its lines."""
-    return F.struct(F.lit("0001-01-01").cast(date).alias("shipped"), F.lit(0).alias("line"),
-                    F.lit(0).cast("bigint").alias("part"),
-                    F.lit(0).cast("bigint").alias("supplier"))
-
-
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a base state: key, status, price, last_seq."""
-    date = _lines(spark, sf_dir).schema["l_shipdate"].dataType
     return read(spark, sf_dir, "orders").select(
         format_key("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").alias("price"), _order_seq(date).alias("last_seq"))
+        F.col("o_totalprice").alias("price"), F.lit(0).cast("bigint").alias("last_seq"))
 
 
 def _line_op() -> Column:
@@ -75,28 +67,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus", "l_extendedprice")
 
 
-def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed D: orders inserted, their lines as later updates (A, N) and deletes (R).
-
-    ``seq`` is the struct (shipdate, linenumber, partkey, suppkey): it orders the lines of an
-    order as it stands, so no ranking pass is needed.
-    """
-    lines = _lines(spark, sf_dir)
-    orders = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.lit(S.INSERT).alias("op"),
-        _order_seq(lines.schema["l_shipdate"].dataType).alias("seq"),
-        F.struct(F.col("o_orderstatus").alias("status"),
-                 F.col("o_totalprice").alias("price")).alias("after"))
-    changes = lines.select(
-        F.col("l_orderkey").alias("id"), _line_op().alias("op"),
-        F.struct(F.col("l_shipdate").alias("shipped"), F.col("l_linenumber").alias("line"),
-                 F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
-        .alias("seq"),
-        F.struct(F.col("l_linestatus").alias("status"),
-                 F.col("l_extendedprice").alias("price")).alias("after"))
-    return _labelled(orders.unionByName(changes))
-
-
 def _labelled(changes: DataFrame) -> DataFrame:
     return changes.select(
         F.lit(DATABASE).alias("database"), F.lit("orders").alias("table"), "id",
@@ -121,8 +91,9 @@ def line_ranks(lines: DataFrame) -> DataFrame:
             .withColumn("rank", F.sum("n").over(inside)).filter(~F.col("base")))
 
 
-def ranked_order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed D with the BIGINT ``seq`` of a log: 0 for the insert, 1.. for the lines."""
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed D: orders inserted, their lines as later updates (A, N) and deletes (R), with the
+    BIGINT ``seq`` of a log: 0 for the insert, 1.. for the lines."""
     orders = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.lit(S.INSERT).alias("op"),
         F.lit(0).cast("bigint").alias("seq"),
@@ -137,7 +108,7 @@ def ranked_order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed C: feeds A and D in one, after-images as documents."""
-    feeds = [user_changes(spark, sf_dir), ranked_order_changes(spark, sf_dir)]
+    feeds = [user_changes(spark, sf_dir), order_changes(spark, sf_dir)]
     users, orders = [
         f.select("database", "table", "key", "op", "seq", build_document("after.*").alias("after"))
         for f in feeds]

@@ -55,10 +55,11 @@ state AS (SELECT {by}, {columns}, seq AS last_seq FROM ranked WHERE rn = 1)
 STATE_A = f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k')}"
 STATE_D = f"WITH {FEED_D}, {_replay('feed_d', 'status, price')}"
 
+_FIRST_HALF = "seq <= (SELECT (min(seq) + max(seq)) // 2 FROM feed_a)"
 ORACLE["resume_from"] = f"""
 WITH {FEED_A}
 SELECT key, op, ((seq // 1000) << 32) + 4 + seq % 1000 AS seq, value
-FROM feed_a WHERE seq > 99"""
+FROM feed_a WHERE seq > (SELECT (min(seq) + max(seq)) // 2 FROM feed_a)"""
 
 ORACLE["snapshot_scan"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["full_refresh"] = f"{STATE_A} SELECT * FROM state"
@@ -68,10 +69,10 @@ ORACLE["apply_changes"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["apply_changes_on_state"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["tap"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["state_as_of"] = (
-    f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k', where='seq <= 499')}"
+    f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k', where=_FIRST_HALF)}"
     " SELECT * FROM state")
 for _name in ("apply_changes_orders", "apply_changes_join_back", "apply_changes_text_key"):
-    ORACLE[_name] = f"{STATE_D} SELECT key, status, price FROM state"
+    ORACLE[_name] = f"{STATE_D} SELECT key, status, price, last_seq FROM state"
 
 ORACLE["route_changes"] = f"""
 WITH {FEED_A}, {FEED_D},
@@ -207,17 +208,17 @@ FROM (SELECT *, CAST(regexp_extract(props, '-?[0-9]+') AS INTEGER) AS k FROM eve
 
 ORACLE["apply_inserts"] = f"""
 WITH {FEED_D}
-SELECT key, status, price FROM feed_d
+SELECT key, status, price, seq AS last_seq FROM feed_d
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"""
 
 ORACLE["apply_deletes"] = """
 SELECT lpad(CAST(o_orderkey AS VARCHAR), 24, '0') AS key, o_orderstatus AS status,
-       o_totalprice AS price
+       o_totalprice AS price, CAST(0 AS BIGINT) AS last_seq
 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"""
 
 ORACLE["apply_updates"] = f"""
 WITH {FEED_D}
-SELECT key, status, price FROM feed_d WHERE op <> 'DELETE'
+SELECT key, status, price, seq AS last_seq FROM feed_d WHERE op <> 'DELETE'
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"""
 
 ORACLE["live_row_timeline"] = f"""
@@ -267,6 +268,22 @@ WITH {PACKED}
 SELECT file_seq, code AS type_code, CAST(1 AS BIGINT) AS server_id, 0 AS flags, sec AS event_s,
        TRUE AS position_agrees FROM log"""
 
+ORACLE["rotate_events"] = f"""
+WITH {PACKED}
+SELECT DISTINCT file_seq, 'mysql-bin.' || lpad(CAST(file_seq + 1 AS VARCHAR), 6, '0') AS next_file,
+       CAST(4 AS BIGINT) AS next_pos FROM runs"""
+
+ORACLE["format_events"] = f"""
+WITH {PACKED}
+SELECT DISTINCT file_seq, 4 AS log_version, 19 AS header_length, 0 AS checksum,
+       8 AS table_map_length FROM runs"""
+
+ORACLE["assign_segment_log"] = f"""
+WITH {PACKED}
+SELECT 'mysql-bin.' || lpad(CAST(file_seq AS VARCHAR), 6, '0') AS segment,
+       CAST(4 AS BIGINT) AS segment_start, code = 4 AS is_rotate, count(*) AS n_events
+FROM log GROUP BY ALL"""
+
 ORACLE["table_maps"] = f"""
 WITH {PACKED},
 versions("table", table_id, names, types) AS (VALUES

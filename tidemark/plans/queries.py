@@ -14,10 +14,10 @@ from ..functions import (
     int24_sign, log_seq, masked, null_mask,
 )
 from ..operators import (
-    apply_changes, apply_deletes, apply_inserts, apply_multi_table, apply_updates,
+    LOG_RANGE_BITS, apply_changes, apply_deletes, apply_inserts, apply_multi_table, apply_updates,
     assign_segment, carry_position, change_metrics, column_catalog, event_headers,
-    event_profile, live_row_timeline,
-    reject_types, resume_from, schema_asof, split_valid, state_as_of, supported_events, tap,
+    event_profile, format_events, live_row_timeline,
+    reject_types, resume_from, rotate_events, schema_asof, split_valid, state_as_of, supported_events, tap,
     unmatched_rows, validate_key,
 )
 from ..sources.binlog import (
@@ -56,9 +56,11 @@ def _event_code() -> Column:
 
 @query("resume_from")
 def _resume_from(spark, sf_dir):
-    feed = feeds.user_changes(spark, sf_dir).withColumn(
+    feed = feeds.user_changes(spark, sf_dir)
+    middle = _middle(feed)
+    feed = feed.withColumn(
         "seq", log_seq(F.floor(F.col("seq") / 1000), S.FIRST_POSITION + F.col("seq") % 1000))
-    return resume_from(feed, 0, S.FIRST_POSITION + 99).select(
+    return resume_from(feed, middle // 1000, S.FIRST_POSITION + middle % 1000).select(
         "key", "op", "seq", F.col("after.value").alias("value"))
 
 
@@ -234,8 +236,8 @@ def _validate_key(spark, sf_dir):
 @query("validate_key_split")
 def _validate_key_split(spark, sf_dir):
     good, bad = split_valid(validate_key(_keyed_events(spark, sf_dir)))
-    return good.select("event_id", "key").join(bad.select("event_id", "reason"), "event_id",
-                                               "full")
+    return good.select("event_id", "key", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("event_id", "key", "reason"))
 
 
 @query("reject_types")
@@ -261,6 +263,12 @@ def _build_document(spark, sf_dir):
 
 # ---- applying changes ---------------------------------------------------------------------
 
+def _middle(feed) -> int:
+    """The middle of the positions of a feed."""
+    low, high = feed.agg(F.min("seq"), F.max("seq")).first()
+    return ((low or 0) + (high or 0)) // 2
+
+
 def _current(feed, **kwargs):
     """Current rows of a feed with numeric ids; the key text is made for live rows only."""
     state = apply_changes(feed, by=("id",), **kwargs)
@@ -275,19 +283,17 @@ def _line_feed(spark, sf_dir):
 @query("apply_inserts")
 def _apply_inserts(spark, sf_dir):
     inserts = _line_feed(spark, sf_dir).withColumn("op", F.lit(S.INSERT))
-    return apply_inserts(feeds.order_rows(spark, sf_dir), inserts).drop("last_seq")
+    return apply_inserts(feeds.order_rows(spark, sf_dir), inserts)
 
 
 @query("apply_deletes")
 def _apply_deletes(spark, sf_dir):
-    return apply_deletes(feeds.order_rows(spark, sf_dir),
-                         _line_feed(spark, sf_dir)).drop("last_seq")
+    return apply_deletes(feeds.order_rows(spark, sf_dir), _line_feed(spark, sf_dir))
 
 
 @query("apply_updates")
 def _apply_updates(spark, sf_dir):
-    return apply_updates(feeds.order_rows(spark, sf_dir),
-                         _line_feed(spark, sf_dir)).drop("last_seq")
+    return apply_updates(feeds.order_rows(spark, sf_dir), _line_feed(spark, sf_dir))
 
 
 @query("apply_changes")
@@ -297,30 +303,32 @@ def _apply_changes(spark, sf_dir):
 
 @query("apply_changes_orders")
 def _apply_changes_orders(spark, sf_dir):
-    return _current(feeds.order_changes(spark, sf_dir)).drop("last_seq")
+    return _current(feeds.order_changes(spark, sf_dir))
 
 
 @query("apply_changes_join_back")
 def _apply_changes_join_back(spark, sf_dir):
-    return _current(feeds.order_changes(spark, sf_dir), strategy="join_back").drop("last_seq")
+    return _current(feeds.order_changes(spark, sf_dir), strategy="join_back")
 
 
 @query("apply_changes_text_key")
 def _apply_changes_text_key(spark, sf_dir):
-    return apply_changes(feeds.order_changes(spark, sf_dir)).drop("last_seq")
+    return apply_changes(feeds.order_changes(spark, sf_dir))
 
 
 @query("apply_changes_on_state")
 def _apply_changes_on_state(spark, sf_dir):
     """The feed in two halves: a stored state, then the rest on top, with some re-delivered."""
     feed = feeds.user_changes(spark, sf_dir)
-    state = full_refresh(feed.filter(F.col("seq") <= 499), new_path(spark, "state"))
-    return apply_changes(feed, state, high_water=499)
+    middle = _middle(feed)
+    state = full_refresh(feed.filter(F.col("seq") <= middle), new_path(spark, "state"))
+    return apply_changes(feed, state, high_water=middle)
 
 
 @query("state_as_of")
 def _state_as_of(spark, sf_dir):
-    return state_as_of(feeds.user_changes(spark, sf_dir), 499)
+    feed = feeds.user_changes(spark, sf_dir)
+    return state_as_of(feed, _middle(feed))
 
 
 @query("live_row_timeline")
@@ -410,9 +418,39 @@ def _event_headers(spark, sf_dir):
         (F.col("log_pos") == F.col("byte_off") + F.col("event_size")).alias("position_agrees"))
 
 
+@query("rotate_events")
+def _rotate_events(spark, sf_dir):
+    return rotate_events(_log_events(spark, sf_dir, codes=(S.ROTATE_EVENT,))).select(
+        "file_seq", "next_file", "next_pos")
+
+
+@query("format_events")
+def _format_events(spark, sf_dir):
+    formats = format_events(_log_events(spark, sf_dir, codes=(S.FORMAT_EVENT,)))
+    return formats.select(
+        "file_seq", "log_version", "header_length", "checksum",
+        F.element_at("header_lengths", S.TABLE_MAP_EVENT).alias("table_map_length"))
+
+
+@query("assign_segment_log")
+def _assign_segment_log(spark, sf_dir):
+    """The events of the log, labelled by the file that the rotate before them names."""
+    events = _log_events(spark, sf_dir).filter("error IS NULL")
+    place = log_seq("file_seq", "byte_off")
+    marks = rotate_events(events).select(
+        place.alias("seq"), "next_file", "next_pos", F.lit(True).alias("is_rotate"))
+    others = events.filter(F.col("type_code") != S.ROTATE_EVENT).select(
+        place.alias("seq"), F.lit(False).alias("is_rotate"))
+    feed = marks.unionByName(others, allowMissingColumns=True).withColumn("log", F.lit(1))
+    labelled = assign_segment(feed, ["log"], "seq", F.col("is_rotate"), F.col("next_file"),
+                              F.col("next_pos"), "mysql-bin.000001", bits=LOG_RANGE_BITS)
+    return labelled.groupBy("segment", "segment_start", "is_rotate").agg(
+        F.count("*").alias("n_events"))
+
+
 @query("table_maps")
 def _table_maps(spark, sf_dir):
-    return table_maps(_log_events(spark, sf_dir)).select(
+    return table_maps(_log_events(spark, sf_dir, codes=(S.TABLE_MAP_EVENT,))).select(
         "file_seq", "table_id", "database", "table",
         F.array_join("names", ",").alias("names"),
         F.array_join(F.transform("type_codes", lambda t: t.cast("string")), ",").alias("types"),
@@ -492,10 +530,10 @@ def _build_changes(spark, sf_dir):
 def _resume_log(spark, sf_dir):
     """Continue inside the first file: whole files before it are not read, and what is at or
     before the position is dropped once its schema has been used."""
-    images = read_images(spark, log_folder(spark, sf_dir), start_file=1)
-    first = images.filter(F.shiftright("seq", 32) == 1).agg(F.min("seq").alias("first"))
-    position = first.collect()[0]["first"] & 0xFFFFFFFF
-    return resume_from(images, 1, position).select(
+    folder = log_folder(spark, sf_dir)
+    first = resume_from(read_images(spark, folder), 1, 0).filter(F.col("seq") < 2 << 32)
+    position = first.agg(F.min("seq")).first()[0] & 0xFFFFFFFF
+    return resume_from(read_images(spark, folder, start_file=1), 1, position).select(
         "table", "type_code", F.get_json_object(F.coalesce("after", "before"), "$.event_id")
         .cast("bigint").alias("event_id"))
 

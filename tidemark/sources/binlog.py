@@ -95,16 +95,24 @@ def table_maps(log_events: DataFrame) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
+            # The same map is logged again and again: each distinct one is parsed once.
+            bodies = batch.column("body").dictionary_encode()
+            pairs = list(zip(bodies.indices.to_pylist(), batch.column("id_bytes").to_pylist()))
+            number = {pair: i for i, pair in enumerate(dict.fromkeys(pairs))}
+            parsed = []
+            for body, width in number:
                 try:
-                    found = codec.parse_table_map(row["body"], row["id_bytes"])
-                    error = None
+                    raw = None if body is None else bodies.dictionary[body].as_py()
+                    parsed.append({**codec.parse_table_map(raw, width), "error": None})
                 except (ValueError, IndexError, TypeError):
-                    found, error = {}, "bad_table_map"
-                rows.append({**found, **{c: row[c] for c in (
-                    "log_file", "file_seq", "byte_off", "table_id")}, "error": error})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    parsed.append({"error": "bad_table_map"})
+            own = ("log_file", "file_seq", "byte_off", "table_id")
+            shared = pa.schema([f for f in schema if f.name not in own])
+            found = pa.RecordBatch.from_pylist(parsed, schema=shared).take(
+                pa.array([number[pair] for pair in pairs], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [(batch if f.name in own else found).column(f.name).cast(f.type) for f in schema],
+                schema=schema)
 
     return (log_events.filter(F.col("type_code") == S.TABLE_MAP_EVENT)
             .select("log_file", "file_seq", "byte_off", "table_id", "id_bytes", "body")
@@ -149,7 +157,8 @@ def read_images(spark: SparkSession, path: str, row: T.StructType | None = None,
                 database: str | None = None, table: str | None = None,
                 start_file: int | None = None) -> DataFrame:
     """``decode_rows(binlog_scan(...))`` in one pass: files are split and decoded in the same
-    task, so event bodies never leave it. The path for reading changes at scale."""
+    task, so event bodies never leave it. The path for reading changes at scale. Filters on
+    ``type_code`` and ``seq`` of the result skip events and files before images are read."""
     options = image_options(spark, path, row, database, table, start_file)
     return spark.read.format(LogDataSource.name()).options(**options).load()
 

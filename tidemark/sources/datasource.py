@@ -97,7 +97,8 @@ class _Options:
         self.bodies = (options.get("bodies") or "true") == "true"
         self.decode = options.get("decode")
         if self.decode is not None:
-            self.codes, self.bodies = set(S.ROWS_EVENTS), True
+            rows = set(S.ROWS_EVENTS)
+            self.codes, self.bodies = rows if self.codes is None else self.codes & rows, True
         self.wanted = (options.get("database"), options.get("table"))
 
     @property
