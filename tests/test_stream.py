@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Observation, functions as F
 
 from logs import KEY, rows, table_map, write_file
@@ -125,3 +126,26 @@ def test_tap(spark):
     assert df.count() == 1000
     assert seen.get == {"n": 1000, "top": 999}
     assert tap(spark.range(3), "named").count() == 3
+
+
+def test_target_stays_small(spark, tmp_path):
+    """Twelve batches, merged beyond three folders: few folders, and the state of all of them."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(12):
+        spark.createDataFrame([(str(n % 5), "INSERT", n, (n,))],
+                              "key string, op string, seq bigint, after struct<v: int>") \
+            .coalesce(1).write.mode("append").parquet(source)
+    stream = (spark.readStream.schema(spark.read.parquet(source).schema)
+              .option("maxFilesPerTrigger", "1").parquet(source))
+    sizes = []
+    apply_stream(stream, target, str(tmp_path / "check"), max_batches=3, rocksdb=False,
+                 on_batch=lambda df, i: sizes.append(len(list((tmp_path / "out").iterdir()))),
+                 availableNow=True).awaitTermination()
+    assert len(sizes) == 12 and max(sizes) <= 14
+    got = {r.key: r.v for r in read_state(spark, target).collect()}
+    want = {}
+    for n in range(12):
+        want[str(n % 5)] = n
+    assert got == want
+    with pytest.raises(FileNotFoundError):
+        read_state(spark, str(tmp_path / "none"))

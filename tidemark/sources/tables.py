@@ -7,9 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.apply import apply_changes
 
 
+def _quoted(*names: str) -> str:
+    """Names from a log as SQL identifiers."""
+    return ".".join(f"`{name.replace('`', '``')}`" for name in names)
+
+
 def snapshot_scan(spark: SparkSession, database: str, table: str) -> DataFrame:
     """All rows of one target table."""
-    return spark.table(f"`{database}`.`{table}`")
+    return spark.table(_quoted(database, table))
 
 
 def key_lookup(state: DataFrame, key: str, column: str = "key") -> DataFrame:
@@ -40,9 +45,10 @@ def state_to_json(df: DataFrame, key: str = "key") -> DataFrame:
 def create_target(df: DataFrame, database: str, table: str, root: str) -> None:
     """Make the database and the table at first sight and replace the table's rows."""
     spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{root}/{database}'")
+    folder = f"{root}/{database}".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(database)} LOCATION '{folder}'")
     (df.write.mode("overwrite").format("parquet").option("path", f"{root}/{database}/{table}")
-     .saveAsTable(f"`{database}`.`{table}`"))
+     .saveAsTable(_quoted(database, table)))
 
 
 def route_changes(changes: DataFrame, root: str, mode: str = "append") -> None:
