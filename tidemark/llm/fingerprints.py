@@ -19,7 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import new_path
+
 WORDS, FRACTION, FLOOR = 5, 8, 16
+#: Firsts of ranges (two numbers each) are broadcast up to this many; more join by shuffles.
+BROADCAST_HEADS = 1 << 20
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 #: Bits of doc_id that are cut off: documents of 2^12 neighbouring ids share a window.
 _BITS = 12
@@ -120,8 +124,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     low, high = (0, 0) if low is None else (low, high)
     bucket = F.shiftright("__id", _BITS)
     heads = rows.groupBy(bucket.alias("key")).agg(F.max("__id").alias("head"))
-    border = _next_heads(heads, low >> _BITS, high >> _BITS).select(
-        F.col("key").alias("__bucket"), F.coalesce("next", F.lit(high)).alias("__head"))
+    path = new_path(docs.sparkSession, "heads")
+    _next_heads(heads, low >> _BITS, high >> _BITS).select(
+        F.col("key").alias("__bucket"), F.coalesce("next", F.lit(high)).alias("__head")) \
+        .write.parquet(path)
+    border = docs.sparkSession.read.parquet(path)
+    if border.count() <= BROADCAST_HEADS:
+        border = F.broadcast(border)
     # Of several first rows with one id, the one that stands first.
     border = rows.join(border, F.col("__id") == F.col("__head")).groupBy("__bucket").agg(
         F.max("text").alias("text"))
@@ -131,7 +140,8 @@ def with_next(docs: DataFrame) -> DataFrame:
                       F.lit(None).cast("bigint").alias("__id"), "__bucket",
                       F.lit(True).alias("__border")))
     order = Window.partitionBy("__bucket").orderBy("__border", F.desc("__id"), F.desc("text"))
-    sketched = both.withColumn("sketch", sketch(F.col("text")))
+    # Sketches are made behind the shuffle, which then moves texts only.
+    sketched = both.repartition("__bucket").withColumn("sketch", sketch(F.col("text")))
     return sketched.withColumns({
         "next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order),
     }).filter(~F.col("__border")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
