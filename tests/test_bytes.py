@@ -17,6 +17,7 @@ from tidemark.plans import packing as P
 from tidemark.sources import codec
 from tidemark.sources.binlog import (
     bad_events, binlog_scan, build_changes, decode_rows, read_changes, table_maps, table_row_type,
+    tables_row_type,
 )
 
 # ---- fixed values: recorded events, one line per field ------------------------------------
@@ -411,3 +412,41 @@ def test_schema_asof_on_events(spark, tmp_path):
     paired = schema_asof(events, ["log_file", "table_id"], "byte_off", F.col("type_code") == 19,
                          F.col("byte_off"), "map_off")
     assert [r.map_off for r in paired.collect()] == [events.agg(F.min("byte_off")).collect()[0][0]]
+
+
+def test_events_of_many_images():
+    """One event is read as many are, whatever its images hold, and to its end or not at all."""
+    columns = [(S.LONGLONG, 0, True), (S.VARCHAR, 400, False), (S.SHORT, 0, False)]
+    logged = [KEY, ("v", S.VARCHAR, struct.pack("<H", 400), False, False),
+              ("s", S.SHORT, b"", False, False)]
+    values = [[i, None if i % 7 == 0 else "é" * (i % 9), None if i % 5 == 0 else i % 100]
+              for i in range(3000)]
+
+    def body(images, code=S.WRITE_ROWS_V1):
+        return P.rows_body(7, code, logged, [P.image(logged, v) for v in images])
+    one = codec.read_images([body(values)], columns, S.WRITE_ROWS_V1, 6)
+    many = codec.read_images([body([v]) for v in values], columns, S.WRITE_ROWS_V1, 6)
+    for (buf, _, _, sides, reason), n in ((one, 1), (many, 3000)):
+        assert reason.tolist() == [None] * n
+        got = [codec.arrow_column(buf, c, nulls, k, m).to_pylist()
+               for (c, nulls), (k, m, _) in zip(sides[0], columns)]
+        assert [list(r) for r in zip(*got)] == values
+    pairs = codec.read_images([body(values[:10], S.UPDATE_ROWS_V1)], columns, S.UPDATE_ROWS_V1, 6)
+    assert pairs[3][0][0][0].tolist() == [0, 2, 4, 6, 8]
+    assert pairs[3][1][0][0].tolist() == [1, 3, 5, 7, 9]
+    cut = codec.read_images([body(values)[:-1], body(values[:2])], columns, S.WRITE_ROWS_V1, 6)
+    assert cut[4].tolist() == ["bad_image", None] and cut[1].tolist() == [1, 1]
+
+
+def test_several_tables_in_one_pass(spark, tmp_path):
+    other = [KEY, ("note", S.VARCHAR, struct.pack("<H", 900), False, False)]
+    write_file(tmp_path, 1, [
+        table_map(WIDE), table_map(other, 8, table="u"), table_map(other, 9, table="skipped"),
+        rows(WIDE, S.WRITE_ROWS_V1, [FULL]), rows(other, S.WRITE_ROWS_V1, [[1, "x"]], 8),
+        rows(other, S.WRITE_ROWS_V1, [[1, "x"]], 9)])
+    tables = [("d", "t"), ("d", "u")]
+    shape = tables_row_type(table_maps(binlog_scan(spark, str(tmp_path))), tables)
+    assert shape.fieldNames() == [c[0] for c in WIDE] + ["note"]
+    got = read_changes(spark, str(tmp_path), shape, tables=tables).orderBy("table").collect()
+    assert [(r.table, r.after.name, r.after.note) for r in got] == [
+        ("t", "naïve", None), ("u", None, "x")]

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from .. import schemas as S
 from ..functions import (
@@ -21,7 +20,7 @@ from ..operators import (
     unmatched_rows, validate_key,
 )
 from ..sources.binlog import (
-    binlog_scan, decode_rows, read_changes, read_images, table_maps, table_row_type,
+    binlog_scan, decode_rows, read_changes, read_images, table_maps, tables_row_type,
 )
 from ..sources.scratch import new_path, shared_folder
 from ..sources.tables import (
@@ -466,11 +465,13 @@ def _column_catalog(spark, sf_dir):
         "nullable").agg(F.count("*").alias("n_versions"))
 
 
-def _typed_rows(spark, sf_dir, decode):
-    """Images of both tables of the log as typed rows of one shape."""
-    maps = table_maps(_log_events(spark, sf_dir, codes=(S.TABLE_MAP_EVENT,)))
-    shape = table_row_type(maps, feeds.DATABASE, "users")
-    return [decode(shape, feeds.DATABASE, name) for name in ("users", "guests")], shape
+_TABLES = [(feeds.DATABASE, "users"), (feeds.DATABASE, "guests")]
+
+
+def _log_shape(spark, sf_dir):
+    """One row type for both tables of the log."""
+    return tables_row_type(
+        table_maps(_log_events(spark, sf_dir, codes=(S.TABLE_MAP_EVENT,))), _TABLES)
 
 
 def _image_columns(image, shape):
@@ -481,11 +482,9 @@ def _image_columns(image, shape):
 
 @query("decode_rows")
 def _decode_rows(spark, sf_dir):
-    events = _log_events(spark, sf_dir)
-    spread = spark.sparkContext.defaultParallelism
-    parts, shape = _typed_rows(
-        spark, sf_dir, lambda *one: decode_rows(events, *one, spread=spread))
-    rows = parts[0].unionByName(parts[1])
+    shape = _log_shape(spark, sf_dir)
+    rows = decode_rows(_log_events(spark, sf_dir), shape, tables=_TABLES,
+                       spread=spark.sparkContext.defaultParallelism)
     image = F.coalesce("after", "before")
     return rows.select("table", "type_code", F.shiftright("seq", 32).alias("file_seq"), "reason",
                        *_image_columns(image, shape))
@@ -494,18 +493,17 @@ def _decode_rows(spark, sf_dir):
 @query("decode_rows_resolved")
 def _decode_rows_resolved(spark, sf_dir):
     """As ``decode_rows``, with the table maps resolved by the as-of operator."""
-    events = _log_events(spark, sf_dir).drop("table_map")
-    parts, shape = _typed_rows(spark, sf_dir, lambda *one: decode_rows(events, *one))
-    rows = parts[0].unionByName(parts[1])
+    shape = _log_shape(spark, sf_dir)
+    rows = decode_rows(_log_events(spark, sf_dir).drop("table_map"), shape, tables=_TABLES)
     return rows.select("table", "type_code", F.shiftright("seq", 32).alias("file_seq"), "reason",
                        *_image_columns(F.coalesce("after", "before"), shape))
 
 
 @query("pair_images")
 def _pair_images(spark, sf_dir):
-    folder = log_folder(spark, sf_dir)
-    parts, _ = _typed_rows(spark, sf_dir, lambda *one: read_images(spark, folder, *one))
-    updates = parts[0].unionByName(parts[1]).filter(F.col("type_code") == S.UPDATE_ROWS_V1)
+    images = read_images(spark, log_folder(spark, sf_dir), _log_shape(spark, sf_dir),
+                         tables=_TABLES)
+    updates = images.filter(F.col("type_code") == S.UPDATE_ROWS_V1)
     return updates.select(
         F.col("before.event_id").alias("before_event_id"),
         F.col("after.event_id").alias("after_event_id"),
@@ -576,10 +574,10 @@ def _apply_stream(spark, sf_dir):
 def _replay_log_stream(spark, sf_dir):
     """As ``replay_log``, from a stream of log files."""
     path = new_path(spark, "apply")
-    row = StructType.fromDDL(
-        "_id decimal(20,0), event_id bigint, event_type string, value double")
+    row = _log_shape(spark, sf_dir)
     good, _ = split_valid(change_stream(spark, log_folder(spark, sf_dir), row, max_files=2))
     by = ("database", "table", "key")
     apply_stream(good, f"{path}/target", f"{path}/checkpoint", by=by,
                  availableNow=True).awaitTermination()
-    return read_state(spark, f"{path}/target", by).drop("last_seq")
+    return read_state(spark, f"{path}/target", by).select(
+        *by, "event_id", "event_type", "value")

@@ -9,6 +9,7 @@ from .binlog import (
     split_logs,
     table_maps,
     table_row_type,
+    tables_row_type,
 )
 from .datasource import LogDataSource
 from .scratch import new_path, shared_folder
@@ -27,5 +28,5 @@ __all__ = [
     "LogDataSource", "bad_events", "binlog_scan", "build_changes", "changes_of", "create_target",
     "decode_rows", "full_refresh", "key_lookup", "new_path", "read_changes", "read_images",
     "route_changes", "route_typed", "shared_folder", "snapshot_scan", "split_logs",
-    "state_to_json", "table_maps", "table_row_type", "write_state",
+    "state_to_json", "table_maps", "table_row_type", "tables_row_type", "write_state",
 ]

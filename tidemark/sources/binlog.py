@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -121,12 +123,14 @@ def table_maps(log_events: DataFrame) -> DataFrame:
 
 def decode_rows(log_events: DataFrame, row: T.StructType | None = None,
                 database: str | None = None, table: str | None = None,
-                spread: int | None = None) -> DataFrame:
+                spread: int | None = None, tables=None) -> DataFrame:
     """One row per image (pair) of every rows event.
 
     With ``row`` the images are typed structs: columns are matched by name, columns of ``row``
     that a schema version lacks are NULL. Without it they are JSON text, for feeds of many
-    tables. ``database``/``table`` restrict the decoding to one table before images are read.
+    tables. ``database``/``table`` restrict the decoding to one table, ``tables`` to some pairs of
+    these, before images are read: one pass decodes several tables to a row with the columns of
+    all (see ``table_row_type``).
     An event that cannot be decoded, or a file that cannot be read on, gives one row with
     ``reason`` and no image.
 
@@ -144,7 +148,7 @@ def decode_rows(log_events: DataFrame, row: T.StructType | None = None,
         rows = rows.repartition(spread, "log_file", "byte_off")
     result = decoded_type(row)
     schema = to_arrow_schema(result)
-    wanted = (database, table)
+    wanted = (database, table, None if tables is None else {tuple(t) for t in tables})
 
     def decode(batches):
         for batch in batches:
@@ -155,19 +159,21 @@ def decode_rows(log_events: DataFrame, row: T.StructType | None = None,
 
 def read_images(spark: SparkSession, path: str, row: T.StructType | None = None,
                 database: str | None = None, table: str | None = None,
-                start_file: int | None = None) -> DataFrame:
+                start_file: int | None = None, tables=None) -> DataFrame:
     """``decode_rows(binlog_scan(...))`` in one pass: files are split and decoded in the same
     task, so event bodies never leave it. The path for reading changes at scale. Filters on
     ``type_code`` and ``seq`` of the result skip events and files before images are read."""
-    options = image_options(spark, path, row, database, table, start_file)
+    options = image_options(spark, path, row, database, table, start_file, tables)
     return spark.read.format(LogDataSource.name()).options(**options).load()
 
 
-def image_options(spark: SparkSession, path: str, row, database, table, start_file) -> dict:
+def image_options(spark: SparkSession, path: str, row, database, table, start_file,
+                  tables=None) -> dict:
     """Options of the log source for decoded images; registers the source."""
     register(spark)
     options = {"path": qualified(spark, path), "decode": "documents" if row is None else row.json(),
                "database": database, "table": table,
+               "tables": None if tables is None else json.dumps([list(t) for t in tables]),
                "parallelism": str(spark.sparkContext.defaultParallelism),
                "start_file": None if start_file is None else str(start_file)}
     return {k: v for k, v in options.items() if v is not None}
@@ -175,9 +181,10 @@ def image_options(spark: SparkSession, path: str, row, database, table, start_fi
 
 def read_changes(spark: SparkSession, path: str, row: T.StructType | None = None,
                  database: str | None = None, table: str | None = None,
-                 key: str = S.KEY_COLUMN, start_file: int | None = None) -> DataFrame:
+                 key: str = S.KEY_COLUMN, start_file: int | None = None,
+                 tables=None) -> DataFrame:
     """Change rows straight from a folder of log files."""
-    return changes_of(read_images(spark, path, row, database, table, start_file), key)
+    return changes_of(read_images(spark, path, row, database, table, start_file, tables), key)
 
 
 def build_changes(log_events: DataFrame, row: T.StructType | None = None,
@@ -219,6 +226,17 @@ def bad_events(log_events: DataFrame) -> DataFrame:
         "byte_off", F.col("error").alias("reason"))
 
 
+def tables_row_type(maps: DataFrame, tables) -> T.StructType:
+    """Row struct with the columns of several tables, for one pass over all of them. A column that
+    two tables have with different types is refused."""
+    fields: dict[str, T.StructField] = {}
+    for database, table in tables:
+        for field in table_row_type(maps, database, table):
+            if fields.setdefault(field.name, field).dataType != field.dataType:
+                raise ValueError(f"{field.name} has different types in {tables}")
+    return T.StructType(list(fields.values()))
+
+
 def table_row_type(maps: DataFrame, database: str, table: str) -> T.StructType:
     """Row struct of a table from the newest schema version among ``table_maps``.
 

@@ -268,13 +268,58 @@ def _headers(buf, base, sizes, columns, code: int, id_bytes: int):
     return base + start, reason
 
 
+#: Fewer unread events than this are walked one by one to find where their images begin.
+_FEW = 8
+
+
+def _column_widths(columns) -> list[tuple[int, int]]:
+    """(bytes, length prefix) per column: one of them is not 0; both are for a refused type."""
+    widths = []
+    for kind, meta, unsigned in columns:
+        if kind in (S.VARCHAR, S.STRING):
+            fits = kind == S.VARCHAR or meta & 0xFF == S.STRING
+            widths.append((0, (2 if kind == S.VARCHAR and meta > 255 else 1) if fits else 0))
+        elif kind == S.INT24:
+            widths.append((3, 0))
+        elif kind in (S.FLOAT, S.DOUBLE):
+            widths.append((meta if meta in (4, 8) else 0, 0))
+        else:
+            dtype = _FIXED.get((kind, unsigned))
+            widths.append((np.dtype(dtype).itemsize if dtype else 0, 0))
+    return widths
+
+
+def _image_starts(data: bytes, at: int, end: int, widths, per_row: int) -> list[int]:
+    """Where the images (pairs) of one event begin; the last one may be unreadable."""
+    mask = (len(widths) + 7) // 8
+    starts = []
+    while at < end:
+        starts.append(at)
+        for _ in range(per_row):
+            nulls = int.from_bytes(data[at:at + mask], "little")
+            at += mask
+            for i, (width, prefix) in enumerate(widths):
+                if nulls >> i & 1:
+                    continue
+                if prefix:
+                    at += prefix + int.from_bytes(data[at:at + prefix], "little")
+                elif width:
+                    at += width
+                else:
+                    return starts
+            if at > end:
+                return starts
+    return starts
+
+
 def read_images(bodies, columns: list[tuple], code: int, id_bytes: int):
     """All images of events that share ``columns``: (buffer, event index, offset in the event,
     [images], reason per event). An event that cannot be read to its end gives no images."""
     pairs = code == S.UPDATE_ROWS_V1
     sizes = np.array([len(b) for b in bodies], np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    buf = np.frombuffer(b"".join(bodies) + bytes(16 + 2 * len(columns)), np.uint8)
+    data = b"".join(bodies) + bytes(16 + 2 * len(columns))
+    buf = np.frombuffer(data, np.uint8)
     at, reason = _headers(buf, base, sizes, columns, code, id_bytes)
     end = base + sizes
     at = np.where(reason == None, at, end)  # noqa: E711 (element-wise)
@@ -284,6 +329,14 @@ def read_images(bodies, columns: list[tuple], code: int, id_bytes: int):
         if not len(live):
             break
         here = at[live]
+        if len(live) < _FEW:
+            # An event of many images would be read image by image: find them first instead.
+            widths = _column_widths(columns)
+            found = [_image_starts(data, int(at[e]), int(end[e]), widths, 2 if pairs else 1)
+                     for e in live]
+            at[live] = end[live]
+            live = np.repeat(live, [len(x) for x in found])
+            here = np.array([start for x in found for start in x], np.int64)
         images, refused, after = [], np.zeros(len(live), bool), here
         for _ in range(2 if pairs else 1):
             image, after, bad = _read_image(buf, after, columns)
@@ -292,7 +345,7 @@ def read_images(bodies, columns: list[tuple], code: int, id_bytes: int):
         overrun = after > end[live]
         reason[live[overrun]] = "bad_image"
         reason[live[refused]] = "unsupported_type"
-        at[live] = np.where(refused | overrun, end[live], after)
+        at[live] = np.maximum(at[live], np.where(refused | overrun, end[live], after))
         steps.append((live, here - base[live], images))
     keep = [np.array([r is None for r in reason[s[0]]], bool) for s in steps]
     event = np.concatenate([s[0][k] for s, k in zip(steps, keep)] or [np.zeros(0, np.int64)])

@@ -83,7 +83,7 @@ class LogSlice(InputPartition):
 class _Options:
     """Options of the source: path, base, start_file, magic, parallelism, codes, bodies, holes
     ("fail", or "skip" to read on over missing files), and for decoded images decode (the row
-    struct as JSON, or "documents"), database and table."""
+    struct as JSON, or "documents"), database and table, tables (JSON pairs of these)."""
 
     def __init__(self, options):
         self.path, self.base = options["path"], options.get("base")
@@ -99,7 +99,9 @@ class _Options:
         if self.decode is not None:
             rows = set(S.ROWS_EVENTS)
             self.codes, self.bodies = rows if self.codes is None else self.codes & rows, True
-        self.wanted = (options.get("database"), options.get("table"))
+        tables = options.get("tables")
+        self.wanted = (options.get("database"), options.get("table"),
+                       {tuple(t) for t in json.loads(tables)} if tables else None)
 
     @property
     def row(self) -> T.StructType | None:

@@ -73,6 +73,15 @@ class Events(NamedTuple):
             plain("error"))
 
 
+def is_wanted(found: dict, wanted) -> bool:
+    """Whether a table map is of a wanted table: ``wanted`` is (database or None, table or None,
+    a set of (database, table) or None)."""
+    database, table, tables = wanted
+    return ((database is None or found["database"] == database)
+            and (table is None or found["table"] == table)
+            and (tables is None or (found["database"], found["table"]) in tables))
+
+
 def decode_events(events: Events, schema: pa.Schema, typed: bool, wanted):
     """Images of a block of events, one batch per table map and kind of event."""
     groups: dict[tuple, list[int]] = {}
@@ -92,7 +101,7 @@ def decode_events(events: Events, schema: pa.Schema, typed: bool, wanted):
         except (ValueError, IndexError, TypeError):
             yield _output(schema, events, index, code, reason="bad_table_map")
             continue
-        if any(w is not None and w != found[k] for w, k in zip(wanted, ("database", "table"))):
+        if not is_wanted(found, wanted):
             continue
         if len(found["names"]) != len(found["type_codes"]):
             yield _output(schema, events, index, code, found, reason="no_column_names")
