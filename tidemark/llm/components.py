@@ -2,45 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import new_path
 
 
-def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a written table, with a count and a checksum."""
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges and the smallest node each of them reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[:len(a)], ends[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[one], root[two])
+        new = root.copy()
+        np.minimum.at(new, root[one], low)
+        np.minimum.at(new, root[two], low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of edges as stars: fewer edges and shorter paths with the same components."""
+    for batch in batches:
+        nodes, roots = local_roots(*(batch.column(c).to_numpy() for c in ("a", "b")))
+        other = nodes != roots
+        yield pa.RecordBatch.from_pydict({"a": nodes[other], "b": roots[other]})
+
+
+def _stored(edges: DataFrame) -> DataFrame:
     path = new_path(edges.sparkSession, "stars")
     edges.write.parquet(path)
-    stored = edges.sparkSession.read.parquet(path)
-    mark = stored.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return stored, tuple(mark)
+    return edges.sparkSession.read.parquet(path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) for every node of an edge.
 
     ``edges`` has the BIGINT columns ``a`` and ``b``. Each round links the larger neighbours of
-    every node to its smallest neighbour, then the smaller ones, until nothing changes; then every
-    edge leads to a root. Minima are aggregated before they are shuffled, and each round is a
+    every node to its smallest neighbour, then the smaller ones, until all edges lead to roots.
+    Batches are contracted and minima aggregated before they are shuffled, and each round is a
     written table, so that no lineage grows.
     """
-    low, high = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
-    current, mark = _stored(edges.filter(F.col("a") != F.col("b")).select(high, low).distinct())
-    while mark[0]:
+    current = _stored(edges.filter("a <> b").select("a", "b").mapInArrow(
+        _contract, "a bigint, b bigint").distinct())
+    while True:
+        # An edge points from the larger node to the smaller: roots have no edge of their own.
+        starts = current.select(F.col("a").alias("b")).distinct()
+        if current.join(starts, "b", "left_semi").isEmpty():
+            break
         both = current.select("a", "b").unionByName(
             current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(
+        large = both.filter("b > a").join(least, "a").select(
             F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # Of the edges made now, ``b`` is the smaller end.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter(
-            "a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        current, now = _stored(small)
-        if now == mark:
-            break
-        mark = now
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(
+            "a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        current = _stored(small.mapInArrow(_contract, "a bigint, b bigint").distinct())
     roots = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     tops = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return roots.unionByName(tops)
