@@ -116,3 +116,16 @@ def test_strict_unmatched_rows(spark):
 def test_reject_types(spark):
     codes = spark.range(256).select(F.col("id").cast("int").alias("type_code"))
     assert codes.count() - reject_types(codes).count() == len(S.ACCEPTED_TYPES) == 10
+
+
+def test_clean_removes_what_queries_made(spark, tmp_path, monkeypatch):
+    from tidemark.sources import scratch
+    monkeypatch.setattr(scratch, "_made", [])
+    path = scratch.new_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    spark.sql("CREATE DATABASE tidemark_test_of_clean")
+    scratch.clean(spark)
+    assert scratch._made == []
+    assert "tidemark_test_of_clean" not in [d.name for d in spark.catalog.listDatabases()]
+    with pytest.raises(Exception):
+        spark.read.parquet(path)

@@ -65,6 +65,10 @@ ORACLE["snapshot_scan"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["full_refresh"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["state_to_json"] = f"{STATE_A} SELECT key, event_type, value, k FROM state"
 ORACLE["key_lookup"] = f"{STATE_A} SELECT * FROM state WHERE key = '000000000000000000000001'"
+ORACLE["route_typed"] = f"""{STATE_A}
+SELECT CASE WHEN CAST(key AS BIGINT) % 2 = 0 THEN 'users' ELSE 'guests' END AS "table",
+       count(*) AS n_rows, CAST(sum(last_seq) AS BIGINT) AS event_ids, count(value) AS n_values
+FROM state GROUP BY ALL"""
 ORACLE["apply_changes"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["apply_changes_on_state"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["tap"] = f"{STATE_A} SELECT * FROM state"

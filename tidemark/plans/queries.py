@@ -24,7 +24,8 @@ from ..sources.binlog import (
 )
 from ..sources.scratch import new_path, shared_folder
 from ..sources.tables import (
-    create_target, full_refresh, key_lookup, route_changes, snapshot_scan, state_to_json,
+    create_target, full_refresh, key_lookup, route_changes, route_typed, snapshot_scan,
+    state_to_json, typed_targets,
 )
 from ..streaming import apply_stream, binlog_stream, change_stream, read_state
 from . import feeds
@@ -80,6 +81,21 @@ def _route_changes(spark, sf_dir):
         F.count("*").alias("n_changes"), F.count_distinct("key").alias("n_keys"))
 
 
+@query("route_typed")
+def _route_typed(spark, sf_dir):
+    """The log's tables, made from its own schema messages; counted per catalog table."""
+    root = new_path(spark, "typed")
+    good, _ = split_valid(read_changes(spark, log_folder(spark, sf_dir)))
+    route_changes(good.select("database", "table", "key", "op", "seq", "after"), f"{root}/feed")
+    maps = table_maps(_log_events(spark, sf_dir, codes=(S.TABLE_MAP_EVENT,)))
+    made = route_typed(spark.read.parquet(f"{root}/feed"), typed_targets(column_catalog(maps)),
+                       root, prefix=f"tidemark_{uuid.uuid4().hex}_")
+    counts = [snapshot_scan(spark, *name).groupBy(F.lit(name[1]).alias("table")).agg(
+        F.count("*").alias("n_rows"), F.sum("event_id").alias("event_ids"),
+        F.count("value").alias("n_values")) for name in made]
+    return counts[0].unionByName(counts[1])
+
+
 @query("full_refresh")
 def _full_refresh(spark, sf_dir):
     return full_refresh(feeds.user_changes(spark, sf_dir), new_path(spark, "state"))

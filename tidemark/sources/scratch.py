@@ -23,6 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the intermediate folders of this application and the databases its queries made. Call
+    it when no result that reads them is needed any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in [d.name for d in spark.catalog.listDatabases() if d.name.startswith("tidemark_")]:
+        spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]

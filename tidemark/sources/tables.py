@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import schemas as S
 from ..operators.apply import apply_changes
 
 
@@ -61,14 +62,36 @@ def route_changes(changes: DataFrame, root: str, mode: str = "append") -> None:
      .partitionBy("database", "table").parquet(root))
 
 
+def typed_targets(catalog: DataFrame, document: str = "after",
+                  key: str = S.KEY_COLUMN) -> dict[tuple[str, str], list[Column]]:
+    """Typed columns of every table of a ``column_catalog``, read from documents: what a table is
+    made with at first sight. The newest schema version of a table counts; its key is left out.
+    Only schemas reach the driver."""
+    place = F.struct("file_seq", "byte_off")
+    newest = catalog.groupBy("database", "table").agg(F.max(place).alias("newest"))
+    rows = catalog.join(newest, ["database", "table"]).filter(place == F.col("newest")).select(
+        "database", "table", "ordinal", "name", "type_code", "meta", "unsigned").distinct()
+    tables: dict[tuple[str, str], list] = {}
+    for row in sorted(rows.collect(), key=lambda r: (r.database, r.table, r.ordinal)):
+        tables.setdefault((row.database, row.table), []).append(row.asDict())
+    return {
+        name: [F.try_variant_get(document, f"$['{f.name}']", f.dataType.simpleString())
+               .alias(f.name) for f in S.row_type(columns) if f.name != key]
+        for name, columns in tables.items()}
+
+
 def route_typed(changes: DataFrame, targets: dict[tuple[str, str], list[Column]],
-                root: str) -> None:
-    """Current state of each listed table of a mixed feed as a typed catalog table.
+                root: str, prefix: str = "") -> list[tuple[str, str]]:
+    """Current state of each listed table of a mixed feed as a typed catalog table, made at first
+    sight; gives the names of the tables. ``prefix`` is put before the names of databases.
 
     The loop is over tables, never over rows; each pass reads only its partition of a feed
     written by ``route_changes``. ``targets`` maps (database, table) to the typed columns.
     """
+    made = []
     for (database, table), columns in targets.items():
         one = changes.filter((F.col("database") == database) & (F.col("table") == table))
         typed = one.select("key", "op", "seq", F.struct(*columns).alias("after"))
-        create_target(apply_changes(typed), database, table, root)
+        create_target(apply_changes(typed), prefix + database, table, root)
+        made.append((prefix + database, table))
+    return made
