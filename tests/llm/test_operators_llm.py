@@ -208,8 +208,9 @@ def test_components_of_paths_and_stars(spark):
 def test_join_sets_links_each_group_once():
     sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64),
             np.arange(2, 102, dtype=np.uint64), np.arange(500, 520, dtype=np.uint64)]
-    links = join_sets(sets, [(s, 1) for s in sets], np.arange(4), np.zeros(4, int), 90, 100)
-    assert len(links) == 2
+    prefixes = [(s, 1) for s in sets]
+    assert join_sets(sets, prefixes, np.arange(4), np.zeros(4, int), 90, 100) == [(1, 0), (2, 0)]
+    assert join_sets(sets, prefixes, np.array([5, 9, 9, 5]), np.array([1, 2, 1, 2]), 90, 100) == [(1, 0)]
 
 
 # ---- op5 ----------------------------------------------------------------------------------

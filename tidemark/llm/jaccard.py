@@ -1,7 +1,8 @@
 """Near-duplicate components by an n-gram Jaccard join with adaptive multi-match prefixes.
 
 Tokens are hashes of word shingles, in one global order: by their estimated document frequency
-(a counter array over all texts, summed in the cluster), then by hash. Of a document with ``n``
+(a counter array over all texts, summed in the cluster, and corrected by exact counts for tokens
+that prefixes share often), then by hash. Of a document with ``n``
 tokens, every partner shares at least ``need = ceil(threshold * n)``. For any ``l``, two linked
 documents share ``l`` tokens or more of their prefixes of ``n - need + l`` tokens. Each document
 chooses the ``l`` of the smallest estimated cost: index entries to read plus candidates to verify,
@@ -37,64 +38,88 @@ from ..sources.scratch import new_path
 from .components import connected_components
 from .text import shingle_sets, sized
 
-#: Counters of the frequency estimate (4 bytes each); more only improve the order.
-COUNTERS = 1 << 22
-_CHUNK = 1 << 18
+#: Counters of the frequency estimate (4 bytes each): 16 for each text, within these bounds. More
+#: only improve the order.
+MIN_COUNTERS, MAX_COUNTERS = 1 << 20, 1 << 24
+_CHUNK = 1 << 16
 _FAN_IN = 64
+#: Bytes of text, and entries of token lists, that a task works on at once.
+_SLICE, _ENTRIES = 1 << 20, 1 << 20
+#: Up to this many candidates of a document are intersected one by one, more through an index.
+_DIRECT = 48
 #: Most tokens that prefixes may have to share, and documents of a token that pair directly.
 MOST_SHARED, RARE = 6, 16
+#: Tokens whose counters are corrected by exact counts, at most.
+MAX_RAISED = 1 << 18
 #: Documents in a block.
 BLOCK = 512
 
 
-def _count_tokens(width: int):
+def _count_tokens(width: int, size: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint32)
-        for batch in sized(batches):
+        counters = np.zeros(size, np.uint32)
+        for batch in sized(batches, limit=_SLICE):
             sets = list(shingle_sets(batch.column("text"), width))
-            slots = (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64)
-            counters += np.bincount(slots, minlength=COUNTERS).astype(np.uint32)
+            slots, counts = np.unique(np.concatenate(sets) & np.uint64(size - 1),
+                                      return_counts=True)
+            counters[slots.astype(np.int64)] += counts.astype(np.uint32)
         yield from _filled(counters, TaskContext.get().partitionId())
     return count
 
 
+def _packed(counters: np.ndarray) -> bytes:
+    """Counters in two bytes each if they fit, else in four; none if all are zero."""
+    top = int(counters.max(initial=0))
+    return counters.astype("<u2" if top < 1 << 16 else "<u4").tobytes() if top else b""
+
+
+def _unpacked(data) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * _CHUNK else "<u2").astype(np.uint32)
+
+
 def _filled(counters: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the counters that are not zero, by chunk."""
+    """The counters by chunk, without chunks of zeros."""
     for at in range(0, len(counters), _CHUNK):
-        slots = np.flatnonzero(counters[at:at + _CHUNK])
-        if len(slots):
+        if counts := _packed(counters[at:at + _CHUNK]):
             yield pa.RecordBatch.from_pydict({
                 "chunk": pa.array([at // _CHUNK], pa.int32()), "part": pa.array([part], pa.int32()),
-                "slots": [slots.astype("<u4").tobytes()],
-                "counts": [counters[at:at + _CHUNK][slots].astype("<u4").tobytes()]})
+                "counts": [counts]})
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
-    counters = np.zeros(_CHUNK, np.uint32)
-    for slots, counts in zip(table.column("slots"), table.column("counts")):
-        counters[np.frombuffer(slots.as_buffer(), "<u4")] += np.frombuffer(
-            counts.as_buffer(), "<u4")
-    slots = np.flatnonzero(counters)
+    counters = sum(_unpacked(counts.as_buffer()) for counts in table.column("counts"))
     return pa.table({
         "chunk": table.column("chunk").slice(0, 1),
         "part": pa.array([table.column("part")[0].as_py() // _FAN_IN], pa.int32()),
-        "slots": pa.array([slots.astype("<u4").tobytes()], pa.binary()),
-        "counts": pa.array([counters[slots].astype("<u4").tobytes()], pa.binary())})
+        "counts": pa.array([_packed(counters)], pa.binary())})
 
 
 def token_frequencies(texts: DataFrame, width: int) -> np.ndarray:
-    """Estimated document frequencies: ``COUNTERS`` counters over the tokens of all texts."""
-    schema = "chunk int, part int, slots binary, counts binary"
-    parts = texts.select("text").mapInArrow(_count_tokens(width), schema)
+    """Estimated document frequencies: an array of counters over the tokens of all texts."""
+    schema = "chunk int, part int, counts binary"
+    wanted = 1 << (16 * max(1, texts.count()) - 1).bit_length()
+    size = min(MAX_COUNTERS, max(MIN_COUNTERS, wanted))
+    parts = texts.select("text").mapInArrow(_count_tokens(width, size), schema)
     parts = parts.groupBy("chunk", F.expr(f"part div {_FAN_IN}")).applyInArrow(_sum_counts, schema)
     parts = parts.groupBy("chunk").applyInArrow(_sum_counts, schema)
-    counters = np.zeros(COUNTERS, np.uint32)
-    for row in parts.select("chunk", "slots", "counts").collect():  # 8 * COUNTERS bytes at most
-        counters[row.chunk * _CHUNK + np.frombuffer(row.slots, "<u4").astype(np.int64)] = \
-            np.frombuffer(row.counts, "<u4")
+    counters = np.zeros(size, np.uint32)
+    for row in parts.select("chunk", "counts").collect():  # 4 bytes a counter at most
+        counters[row.chunk * _CHUNK:(row.chunk + 1) * _CHUNK] = _unpacked(row.counts)
     return counters
 
 
+def raised(counters: np.ndarray, posts: DataFrame) -> np.ndarray:
+    """The counters with those of tokens that more than ``RARE`` prefixes hold set above all
+    others, in the order of these numbers: for the ``MAX_RAISED`` most frequent ones."""
+    often = posts.groupBy("token").agg(F.count("*").alias("held")).filter(f"held > {RARE}")
+    found = np.array([(r.token, r.held) for r in often.orderBy(F.desc("held"), "token").limit(
+        MAX_RAISED).collect()], np.int64).reshape(-1, 2)
+    out = counters.copy()
+    slots = found[:, 0] & (len(counters) - 1)
+    np.maximum.at(out, slots, (int(counters.max(initial=0)) + found[:, 1]).astype(np.uint32))
+    return out
+
+
 def adaptive_prefix(tokens: np.ndarray, counters: np.ndarray, noise: float, num: int,
                     den: int) -> tuple[np.ndarray, int]:
     """The prefix of a set in global order, and how many tokens of it a partner must share."""
@@ -112,7 +137,7 @@ def adaptive_prefix(tokens: np.ndarray, counters: np.ndarray, noise: float, num:
 def _postings(shared, noise: float, width: int, num: int, den: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
-        for batch in sized(batches):
+        for batch in sized(batches, limit=_SLICE):
             out, meta = [], []
             for node, tokens in zip(batch.column("node").to_pylist(),
                                     shingle_sets(batch.column("text"), width)):
@@ -159,10 +184,11 @@ def _clusters(posts: DataFrame, num: int, den: int) -> DataFrame:
 
 def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
               group: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between sets that join groups: (set, an earlier one of its group).
+    """What links join: for each group that became part of another one, (its first set, that
+    one's first set).
 
-    ``group`` holds what is known to be together. Sets with different non-zero ``side`` are
-    compared with each other only.
+    ``group`` holds what is known to be together. Sets with a non-zero ``side`` are compared with
+    those of the other side only.
     """
     parent = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]]
     size = np.array([len(s) for s in sets])
@@ -170,7 +196,7 @@ def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
 
     def index(parts: list[np.ndarray]):
         tokens = np.concatenate(parts)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         order = np.argsort(tokens, kind="stable")
         values, start = np.unique(tokens[order], return_index=True)
         return values, np.append(start, len(tokens)), owner[order]
@@ -180,12 +206,19 @@ def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
         at = np.searchsorted(values, tokens)
         first, count = start[at], start[at + 1] - start[at]
         ends = np.cumsum(count)
-        places = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
-        return np.bincount(owner[places], minlength=len(sets))
+        found, done = np.zeros(len(sets), np.int64), 0
+        while done < len(tokens):
+            base = ends[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(ends, base + _ENTRIES, "right")))
+            part, size = first[done:stop], count[done:stop]
+            places = np.repeat(part - (ends[done:stop] - size - base), size)
+            places += np.arange(len(places))
+            found += np.bincount(owner[places], minlength=len(sets))
+            done = stop
+        return found
 
     short, whole = index([p[0] for p in prefixes]), None
-    known = parent[parent]
-    links = []
+    known = parent.copy()
     for x in range(len(sets)):
         hit = shared(prefixes[x][0], short)
         other = (hit >= np.minimum(least, least[x])) & (known != known[x])
@@ -195,13 +228,17 @@ def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
         other[x:] = False  # a pair is looked at from its later set
         if not other.any():
             continue
-        whole = whole or index(sets)
-        overlap = shared(sets[x], whole)
-        for y in np.flatnonzero(other & (overlap * den >= num * (size + size[x] - overlap))):
+        near = np.flatnonzero(other)
+        if len(near) <= _DIRECT:
+            overlap = np.array([np.isin(sets[y], sets[x], assume_unique=True).sum() for y in near])
+        else:
+            whole = whole or index(sets)
+            overlap = shared(sets[x], whole)[near]
+        for y in near[overlap * den >= num * (size[near] + size[x] - overlap)]:
             if known[y] != known[x]:
-                links.append((x, int(y)))
-                known[known == known[y]] = known[x]
-    return links
+                known[known == max(known[y], known[x])] = min(known[y], known[x])
+    first = np.unique(parent)
+    return [(int(g), int(known[g])) for g in first if known[g] != g]
 
 
 def _join_tile(shared, noise: float, width: int, num: int, den: int):
@@ -212,23 +249,26 @@ def _join_tile(shared, noise: float, width: int, num: int, den: int):
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
         nodes = table.column("node").to_numpy()
         sets = []
-        for batch in sized(iter([pa.record_batch({"text": text})])):
+        for batch in sized(iter([pa.record_batch({"text": text})]), limit=_SLICE):
             sets += shingle_sets(batch.column("text"), width)
         prefixes = [adaptive_prefix(s, counters, noise, num, den) for s in sets]
         links = join_sets(sets, prefixes, table.column("group").to_numpy(),
                           table.column("side").to_numpy(), num, den)
+        cluster = table.column("cluster")[0].as_py()
         return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.int64()),
-                         "b": pa.array([nodes[y] for _, y in links], pa.int64())})
+                         "b": pa.array([nodes[y] for _, y in links], pa.int64()),
+                         "cluster": pa.array([cluster] * len(links), pa.int64())})
     return join
 
 
 def _links(texts: DataFrame, nodes: DataFrame, tiles: DataFrame, run) -> DataFrame:
     """Links found in tiles, written. ``nodes``: node, cluster, block, group; ``tiles``: cluster,
     tile, block, side."""
-    placed = nodes.join(tiles, ["cluster", "block"]).select("node", "group", "tile", "side")
+    placed = nodes.join(tiles, ["cluster", "block"]).select("node", "cluster", "group", "tile",
+                                                            "side")
     path = new_path(texts.sparkSession, "links")
-    texts.join(placed, "node").select("tile", "node", "group", "side", "text").groupBy(
-        "tile").applyInArrow(run, "a bigint, b bigint").write.parquet(path)
+    texts.join(placed, "node").select("tile", "node", "cluster", "group", "side", "text").groupBy(
+        "tile").applyInArrow(run, "a bigint, b bigint, cluster bigint").write.parquet(path)
     return texts.sparkSession.read.parquet(path)
 
 
@@ -286,13 +326,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     texts = spark.read.parquet(path)
 
     counters = token_frequencies(texts, width)
-    noise = float(counters.sum(dtype=np.float64)) / COUNTERS
-    shared = spark.sparkContext.broadcast(counters)
+    noise = float(counters.sum(dtype=np.float64)) / len(counters)
+    def prefixes() -> DataFrame:
+        return texts.select("node", "text").mapInArrow(
+            _postings(spark.sparkContext.broadcast(counters), noise, width, num, den),
+            "token bigint, node bigint, n int, least int, pos int")
+
+    # The estimate mixes a token with others; where prefixes meet often, exact counts correct it.
+    counters = raised(counters, prefixes())
     path = new_path(spark, "prefixes")
-    texts.select("node", "text").mapInArrow(
-        _postings(shared, noise, width, num, den),
-        "token bigint, node bigint, n int, least int, pos int").write.parquet(path)
+    prefixes().write.parquet(path)
     posts = spark.read.parquet(path)
+    shared = spark.sparkContext.broadcast(counters)
     found = _clusters(posts, num, den)
     path = new_path(spark, "clusters")
     found.write.parquet(path)
@@ -325,10 +370,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                                    to_first.alias("tile"), F.lit(2).alias("side")))
     links = _links(slim, nodes, alone.unionByName(with_first), run)
 
+    # A cluster inside one block is done: its links lead to its components' first nodes.
+    inside = links.filter("cluster < 0")
+    roots = inside.select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = nodes.filter("cluster >= 0")
     if not large.isEmpty():
+        links = links.filter("cluster >= 0")
         links = links.unionByName(_cross_links(slim, large, links, run))
-    roots = connected_components(links)
+        roots = roots.unionByName(connected_components(links))
     labelled = texts.select("key", "node", "first_id").join(roots, "node", "left").select(
         "key", "first_id", "node", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
