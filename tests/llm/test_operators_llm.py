@@ -205,6 +205,20 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
+@pytest.mark.parametrize("edges", [
+    [(3, 1), (3, 2)],
+    [(100 + i, h) for i in range(12) for h in (i % 7, (3 * i + 1) % 7)],  # nodes to heads
+    [(50 + i, i + j) for i in range(15) for j in (0, 1)]])
+def test_components_of_edges_in_batches_of_their_own(spark, edges):
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(edges, len(edges)),
+                                  "a bigint, b bigint")
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in connected_components(frame).collect()} == root
+
+
 def test_join_sets_links_each_group_once():
     sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64),
             np.arange(2, 102, dtype=np.uint64), np.arange(500, 520, dtype=np.uint64)]

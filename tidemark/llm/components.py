@@ -45,16 +45,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) for every node of an edge.
 
     ``edges`` has the BIGINT columns ``a`` and ``b``. Each round links the larger neighbours of
-    every node to its smallest neighbour, then the smaller ones, until all edges lead to roots.
+    every node to its smallest neighbour, then the smaller ones, until every node has one edge and
+    that leads to a root.
     Batches are contracted and minima aggregated before they are shuffled, and each round is a
     written table, so that no lineage grows.
     """
     current = _stored(edges.filter("a <> b").select("a", "b").mapInArrow(
         _contract, "a bigint, b bigint").distinct())
     while True:
-        # An edge points from the larger node to the smaller: roots have no edge of their own.
-        starts = current.select(F.col("a").alias("b")).distinct()
-        if current.join(starts, "b", "left_semi").isEmpty():
+        # An edge points from the larger node to the smaller: roots have no edge of their own. A
+        # node with two targets links them, so those are not roots yet.
+        ends = current.select(F.col("a").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("met"))
+        ends = ends.unionByName(current.select(F.col("b").alias("node"), F.lit(0).alias("own"),
+                                               F.lit(1).alias("met")))
+        open_nodes = ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("met").alias("met"))
+        if open_nodes.filter("own > 1 or (own = 1 and met = 1)").isEmpty():
             break
         both = current.select("a", "b").unionByName(
             current.select(F.col("b").alias("a"), F.col("a").alias("b")))
