@@ -128,6 +128,15 @@ def test_mixing_odd_rows(spark, make_docs):
     assert mix_sources(docs, {}).count() == 0
 
 
+def test_mixing_keeps_rows_without_an_id_of_their_own(spark, make_docs):
+    rows = [(None, f"text {i}") for i in range(1500)] + [(None, "all the same")] * 1500
+    rows += [(7, f"other {i}") for i in range(1500)] + [(100 + i, "own") for i in range(1500)]
+    out = mix_sources(make_docs(rows), key_column="key").collect()
+    kinds = Counter((r.doc_id if r.doc_id in (None, 7) else 0, r.text[:3]) for r in out)
+    assert len(kinds) == 4 and all(1300 < n < 1700 for n in kinds.values())
+    assert len({r.key for r in out}) == len(out)
+
+
 def test_mixing_uses_no_python(spark, make_docs):
     plan = mix_sources(make_docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

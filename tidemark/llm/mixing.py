@@ -5,8 +5,10 @@ document gets a hash-seeded Poisson count with that mean (uniform number from it
 through the inverted distribution), is exploded by its count and dealt over all partitions by a
 hash of document and copy, in whose order every partition is sorted.
 
-Defined cases: a null source is a source of its own; a null or empty text has size 1; a null
-doc_id hashes as the word ``null``; rows with one doc_id get one count each, the same; a source
+Defined cases: a null source is a source of its own; a null or empty text has size 1; rows without
+a doc_id of their own (null, or repeated) are also told apart by a digest of their columns and a
+number among wholly equal rows, which seed their order keys. The digest seeds their counts too,
+and for null ids the number; wholly equal rows with an id get one count each, the same. A source
 without weight is left out; an empty table gives an empty one.
 """
 
@@ -23,12 +25,15 @@ ENTRIES = 64
 #: Source tables up to this many rows are broadcast; larger ones join by salted keys.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
+#: Wholly equal rows that one task numbers.
+NUMBERED = 1024
 
 
-def uniform(seed: str, *parts) -> Column:
-    """A number in [0, 1) with 52 bits from the MD5 of the parts."""
+def uniform(seed: str, *parts, more=()) -> Column:
+    """A number in [0, 1) with 52 bits from the MD5 of the parts, and of those of ``more`` that
+    are not null."""
     text = F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("null"))
-                                           for p in parts])
+                                           for p in parts], *[m.cast("string") for m in more])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / 2.0 ** 52
 
 
@@ -72,6 +77,38 @@ def source_rates(docs: DataFrame, weights: dict | None = None, repeat: float = 1
     return rated.select("__key", "__rate", "__parts", steps["all"].alias("__cdf"))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__row`` and ``__n``: null where the doc_id is the row's own, else a digest
+    of the columns and a number from 0 among wholly equal rows.
+
+    Equal rows cross the shuffle as one row per input task and are numbered in parts, so that a
+    group of them never meets in one task.
+    """
+    columns = rows.columns
+    path = new_path(rows.sparkSession, "mix-ids")
+    rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__held")).filter(
+        "__id IS NULL OR __held > 1").select("__id", F.lit(True).alias("__odd")).write.parquet(path)
+    ids = rows.sparkSession.read.parquet(path)
+    found = ids.count()
+    none = {"__row": F.lit(None).cast("string"), "__n": F.lit(None).cast("bigint")}
+    if not found:
+        return rows.withColumns(none)
+    ids = F.broadcast(ids) if found <= BROADCAST_SOURCES else ids
+    marked = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    own = marked.filter("__odd IS NULL").drop("__id", "__odd").withColumns(none)
+    odd = marked.filter("__odd").groupBy(*[F.col(f"`{c}`") for c in columns]).agg(
+        F.count("*").alias("__held"))
+    digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]),
+                             {"ignoreNullFields": "false"}))
+    parts = odd.withColumn("__row", digest).withColumn("__part", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.expr(f"(__held - 1) div {NUMBERED}")))).repartition(
+        "__row", "__part")
+    start = F.col("__part") * NUMBERED
+    numbered = parts.withColumn("__n", F.explode(F.sequence(
+        start, F.least(start + NUMBERED, F.col("__held")) - 1)))
+    return own.unionByName(numbered.select(*own.columns))
+
+
 def mix_sources(docs: DataFrame, weights: dict | None = None, repeat: float = 1.0,
                 seed: str = "mix", copy_column: str | None = None,
                 key_column: str | None = None) -> DataFrame:
@@ -82,23 +119,27 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, repeat: float = 1.
     """
     rates = source_rates(docs, weights, repeat)
     keep = [c for c in docs.columns if c not in (copy_column, key_column)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], _source_key().alias("__key"))
+    rows = _told_apart(docs.select(*[F.col(f"`{c}`") for c in keep],
+                                   _source_key().alias("__key")))
     if rates.count() <= BROADCAST_SOURCES:
         rated = rows.join(F.broadcast(rates), "__key")
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("doc_id", "__row", "__n"), F.lit(SALTS)).cast("int")
         spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = rows.withColumn("__salt", salt).join(spread, ["__key", "__salt"]).drop("__salt")
+    more = (F.col("__row"), F.when(F.col("doc_id").isNull(), F.col("__n")))
     count = F.aggregate(
         F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0),
         lambda acc, part: acc + F.size(F.filter(
-            F.col("__cdf"), lambda c: c <= uniform(seed, F.col("doc_id"), part))))
+            F.col("__cdf"), lambda c: c <= uniform(
+                seed, F.col("doc_id"), part, more=more))))
     copies = rated.withColumn("__count", count).filter("__count > 0").select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(f"`{c}`") for c in keep], "__row", "__n",
         F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("__copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed + "-order"),
                             F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                            F.col("__copy").cast("string")))
+                            F.col("__copy").cast("string"), F.col("__row"),
+                            F.col("__n").cast("string")))
     shuffled = copies.withColumn("__order", key).repartition("__order").sortWithinPartitions(
         "__order")
     extra = [F.col(c).alias(name) for c, name in (("__copy", copy_column),
