@@ -305,6 +305,38 @@ def test_secrets(spark, make_docs):
     assert scan_secrets(make_docs([])).count() == 0
 
 
+def test_secrets_in_other_forms(spark, make_docs):
+    rng = random.Random(6)
+    alnum = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    def pick(n):
+        return "".join(rng.choice(alnum) for _ in range(n - 3)) + "a7Q"
+    want = {}
+    rows = []
+    for i in range(30):
+        jwt = f"eyJ{pick(20)}.eyJ{pick(30)}.{pick(25)}"
+        for before, value in [
+                ("API_KEY=", rng.randbytes(16).hex()), ("see ?token=", rng.randbytes(16).hex()),
+                ("export AWS_SECRET_ACCESS_KEY=", pick(40)), ("password: ", "hunter2pass" + str(i)),
+                ("password: ", "p.s$" + pick(8)), ("Authorization: Bearer ", jwt), ("so ", jwt),
+                ("here is ", "AKIA" + pick(16).upper().replace("A", "B"))]:
+            want[len(rows)] = (len(before), value)
+            rows.append((len(rows), before + value + " and more"))
+    bare = len(rows)
+    for i in range(10):
+        rows.append((bare + i, "so " + (value := pick(32)) + " was used"))
+        want[bare + i] = (3, value)
+    plain = len(rows)
+    rows += [(plain + i, "internationalizationofthings and words") for i in range(40)]
+    rows += [(plain + 40 + i, "password: required and more") for i in range(20)]
+    rows += [(plain + 60, "token=" + "a1," * 20_000), (plain + 61, "longpartofaname1." * 20_000)]
+    by = {}
+    for r in scan_secrets(make_docs(rows)).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    for i, (start, value) in want.items():
+        assert [(x.start, x.value, x.is_secret) for x in by[i]] == [(start, value, 1)], rows[i]
+    assert not any(x.is_secret for i in range(plain, plain + 60) for x in by.get(i, []))
+
+
 # ---- op8 ----------------------------------------------------------------------------------
 
 @settings(max_examples=80, deadline=None)

@@ -1,12 +1,15 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 In built-in functions and Spark's own forest only. A candidate is a run of 16 or more of letters
-A-Z, digits and ``+ / _ = -``. Its features are its length; its character transitions (runs of one
+A-Z, digits and ``+ / _ = -``, such runs joined by dots, or after a credential's name what quotes
+hold or any 6 or more marks without blanks. A name and ``=`` or ``:`` before it belong to what
+stands around it. Its features are its length; its character transitions (runs of one
 kind, and pairs of neighbours that are frequent in the corpus's words); how much of it dictionary
 words cover, the dictionary being the most frequent words of all documents; signs of a path or
 address in and before it; and the words around it. The forest learns from labelled findings: given
 ones, or those that plain rules label beyond doubt (a credential's name and an assignment before a
-mixed run: a secret; letters only, digits only, or inside a path: none).
+mixed run, or a form that only secrets have: a secret; letters only, digits only, inside a path, or
+a name's word or stand-in: none). Secrets of mixed letters are learned without their name too.
 
 Defined cases: a null or empty text has no findings; repeated rows have findings each; rows with a
 null doc_id too; where labelled findings of one kind are missing, every finding has the chance 1
@@ -25,13 +28,39 @@ from ..sources.scratch import new_path
 #: Labelled findings of each kind that the forest may learn from.
 PER_KIND = 20_000
 DICTIONARY_WORDS, CONTEXT = 400, 48
-_CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 # Names of credentials, fixed values.
 _NAMES = (r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key"
           r"|credential|auth|bearer)")
+_NAME = "(?i:" + _NAMES[4:].replace("(", "(?:") + ")"
+# A credential's name up to its value: an assignment, or blanks before something with a digit.
+_LEAD = (r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{0,40}?" + _NAME + r"[A-Za-z0-9_\-]{0,24}[\"'`]?"
+         r"(?:\s{0,4}(?:=>|:=|==|[=:])\s{0,4}|\s{1,4}(?:is\s)?(?=[^\s\"'`]{0,200}[0-9]))"
+         r"(?:(?i:bearer|basic|token)\s{1,4})?+")
+# Its value: what quotes hold, or 6 or more marks that are not blank.
+# Groups repeat a bounded number of times, as each repeat takes stack.
+_MARK = r"[^\s\"'`<>&,;]"
+_VALUE = (r"(?:[\"'`]?(?:(?<=\")[^\"\r\n]{6,512}(?=\")|(?<=')[^'\r\n]{6,512}(?=')"
+          r"|(?=[^\s\"'`<>]{6})" + _MARK + r"+(?:[&,;](?!\s|[A-Za-z0-9_]+=|$)" + _MARK
+          + r"+){0,100}(?<![.:!?)\]}])))")
+# Runs without such a name: parts joined by dots, and single ones.
+_RUN = r"[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]{6,}){1,50}|[A-Za-z0-9+/_=\-]{16,}"
+_CANDIDATE = _LEAD + _VALUE + "|" + _RUN
+# What of a candidate stands before its value: the credential's name, or another name and `=`.
+_NAMED_LEAD = "^" + _LEAD + r"[\"'`]?(?=\S)"
+_OTHER_LEAD = r"^[A-Za-z_][A-Za-z0-9_\-]*=+(?=[A-Za-z0-9+/_\-.]{16})"
+# Forms that only secrets have.
+_FORMS = (r"^(A(KIA|SIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{20,}|xox[abprs]-\S{10,}"
+          r"|[sr]k_(live|test)_\w{10,}|AIza[\w\-]{35}|glpat-[\w\-]{20}"
+          r"|eyJ[\w\-]{5,}\.eyJ[\w\-]{5,}\.[\w\-]{6,})$")
+# Values that stand for another one.
+_STAND_INS = r"(?i)^(\$|%|\{|\*+$|x+$|null|none|true|false|undefined|required|optional|your|example)"
 FEATURES = ("length", "runs", "pairs", "distinct", "digits", "upper", "marks", "hex", "coverage",
             "slashes", "after_path", "address", "named", "assigned", "quoted", "word_before",
-            "digits_before", "word_after")
+            "digits_before", "word_after", "form", "dots")
+
+#: Features of what stands around a value.
+AROUND = ("after_path", "address", "named", "assigned", "quoted", "word_before", "digits_before",
+          "word_after")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -42,6 +71,10 @@ def candidates(docs: DataFrame) -> DataFrame:
                        F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)).alias("found"),
                        text.alias("text")).filter(F.size("found") > 0).select(
         "doc_id", "found", F.split("text", _CANDIDATE, -1).alias("gaps"))
+    # The name before a value belongs to what stands before it.
+    lead = F.when(F.regexp_extract("value", _NAMED_LEAD, 0) != "",
+                  F.regexp_extract("value", _NAMED_LEAD, 0)).otherwise(
+        F.regexp_extract("value", _OTHER_LEAD, 0))
     # found[i] stands between gaps[i] and gaps[i + 1].
     ends = F.aggregate(
         F.sequence(F.lit(0), F.size("found") - 1),
@@ -49,10 +82,14 @@ def candidates(docs: DataFrame) -> DataFrame:
         lambda acc, i: F.struct(
             (acc.at + F.char_length(F.get("gaps", i)) + F.char_length(F.get("found", i))).alias("at"),
             F.concat(acc.starts, F.array(acc.at + F.char_length(F.get("gaps", i)))).alias("starts")))
-    return rows.withColumn("starts", ends["starts"]).select(
-        "doc_id", "starts", "gaps", F.posexplode("found").alias("i", "value")).select(
-        "doc_id", F.get("starts", F.col("i")).alias("start"), "value",
-        F.right(F.get("gaps", F.col("i")), F.lit(CONTEXT)).alias("before"),
+    found = rows.withColumn("starts", ends["starts"]).select(
+        "doc_id", "starts", "gaps", F.posexplode("found").alias("i", "value")).withColumn(
+        "lead", lead)
+    size = F.char_length("lead")
+    return found.select(
+        "doc_id", (F.get("starts", F.col("i")) + size).alias("start"),
+        F.substring("value", size + 1, F.char_length("value") - size).alias("value"),
+        F.right(F.concat(F.get("gaps", F.col("i")), F.col("lead")), F.lit(CONTEXT)).alias("before"),
         F.left(F.get("gaps", F.col("i") + 1), F.lit(CONTEXT)).alias("after"))
 
 
@@ -88,6 +125,7 @@ def finding_features(findings: DataFrame, words: list[str]) -> DataFrame:
         "word_before": before.rlike(r"\p{L}[.,;]?\s+$"),
         "digits_before": before.rlike(r"\d\s*$"),
         "word_after": after.rlike(r"^[\"'`]?[.,;]?\s+\p{L}"),
+        "form": v.rlike(_FORMS), "dots": v.contains("."),
     }
     numbers = {
         "length": F.log2(n),
@@ -108,12 +146,26 @@ def rule_label() -> Column:
     """1 or 0 for findings beyond doubt, else null."""
     v = F.col("value")
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    named = F.col("before").rlike(_NAMES[:4] + "(" + _NAMES[4:] + r")[\"']?\s*(=|:|=>|\s)\s*[\"'`]?$")
-    return (F.when(named & mixed & (F.col("distinct") * F.char_length(v) >= 8), 1)
-            .when(~named & (v.rlike("^[A-Za-z=_\\-]+$") | v.rlike("^[0-9_\\-]+$")
+    named = F.col("before").rlike(_NAMES[:4] + "(" + _NAMES[4:] + r")[A-Za-z0-9_\-]{0,24}[\"'`]?"
+                                  r"\s*(=>|:=|==|=|:|\s|is\s)\s*((bearer|basic|token)\s+)?[\"'`]?$")
+    word = v.rlike(r"^[A-Za-z_\-]+$") & ((F.col("coverage") >= 0.8) | (F.char_length(v) < 10))
+    return (F.when(v.rlike(_FORMS), 1)
+            .when(named & (v.rlike(_STAND_INS) | word), 0)
+            .when(named & mixed & (F.col("distinct") * F.char_length(v) >= 8), 1)
+            .when(~named & (v.rlike("^[A-Za-z=_.\\-]+$") | v.rlike("^[0-9_.\\-]+$")
                             | (F.col("address") == 1)), 0))
 
 
+def _unnamed(known: DataFrame) -> DataFrame:
+    """Secrets of capitals, small letters and digits once more without what stands around them:
+    else the forest would learn that only a name makes a secret."""
+    v = F.col("value")
+    bare = known.filter((F.col("label") == 1) & v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
+                        & (F.char_length(v) >= 20))
+    return bare.withColumns({c: F.lit(0.0) for c in AROUND}
+                            | {"before": F.lit(""), "after": F.lit("")})
+
+
 def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5,
                  per_kind: int = PER_KIND, trees: int = 30, depth: int = 8) -> DataFrame:
     """Every finding with its chance to be a secret: ``doc_id``, ``start``, ``value``,
@@ -127,6 +179,7 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, threshold: fl
     findings = spark.read.parquet(path)
     if labels is None:
         known = findings.withColumn("label", rule_label())
+        known = known.unionByName(_unnamed(known))
     else:
         known = findings.join(labels.select("doc_id", "start", F.col("is_secret").alias("label")),
                               ["doc_id", "start"])
