@@ -81,3 +81,61 @@ reach AS (
 SELECT s.doc_id, len(any_value(s.s))::BIGINT AS n_shingles, min(b) AS component_id
 FROM sets s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id
 """
+
+
+#: One row with the crc32 of each single byte, for ``_crc32``.
+_CRC_TABLE = """crc AS (
+  SELECT list(t ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t
+  FROM range(256) r(b)))"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a SQL text, with the column ``tab`` in reach."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform("
+            f"range(strlen({text})), lambda i: "
+            f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)), "
+            f"lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+ORACLE["op11_spelling"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+  FROM documents),
+counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+named AS (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS name FROM counted),
+hashed AS (SELECT run, n, {_crc32("name")} AS h FROM named, crc),
+damaged AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) ||
+    substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word
+  HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM words, range(1, length(word) + 1) r(i)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM cut x JOIN cut y
+    ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.a || c.b
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.a || c.b),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+chosen AS (
+  SELECT word, any_value(n_near) AS n_near, any_value(top) AS top, min(other) AS other
+  FROM near JOIN best USING (word) WHERE other_n = top GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN top >= 2 * w.n THEN other END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN chosen c ON c.word = w.word),
+chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT chain.word, f.form FROM chain JOIN formed f ON f.word = chain.root
+  WHERE f.form IS NOT NULL),
+ends AS (
+  SELECT chain.word, chain.root FROM chain JOIN formed f ON f.word = chain.root
+  WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""

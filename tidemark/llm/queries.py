@@ -16,6 +16,7 @@ from .planes import read_tokens, write_tokens
 from .quality import score_quality
 from .search import exact_top_k
 from .secrets import scan_secrets
+from .spelling import spelling_variants
 from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,9 @@ def _dedup_lines(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, min_docs=10, min_chars=1).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_spelling")
+def _spelling(spark, sf_dir):
+    return spelling_variants(_table(spark, sf_dir, "documents"), min_chars=5, min_count=3,
+                             damage_every=97, ratio=2)
