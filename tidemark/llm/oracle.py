@@ -139,3 +139,90 @@ ends AS (
   WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """
+
+
+def _edit(cost: str, letters: str, rest: str) -> str:
+    """A cost in nine digits and an audit, with an edit in front of it."""
+    return (f"lpad((substr({rest}, 1, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || '{letters}' || "
+            f"substr({rest}, 10)")
+
+
+# States: nothing yet, after s, after u, after a; and the state after a row that alternates.
+_NEXT = (2, 2, 3, 2)
+_KEPT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+_ACT = ", ".join(
+    "least({}) AS a{}".format(", ".join(
+        [_edit("2", "D", f"v{s}"),
+         f"CASE WHEN NOT gone THEN {_edit('1 + late', 'R', f'v{_NEXT[s]}')} END"]
+        + [f"CASE WHEN NOT gone AND initial = '{c}' THEN {_edit('late', 'K', f'v{to}')} END"
+           for c, to in _KEPT[s].items()]), s)
+    for s in range(4))
+_BEFORE = ", ".join(
+    f"least(a{s}, {_edit('5', 'I', f'a{_NEXT[s]}')}, {_edit('10', 'II', f'a{_NEXT[_NEXT[s]]}')}) AS v{s}"
+    for s in range(4))
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE["op13_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE}, given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations),
+hashed AS (SELECT *, {_crc32("name")} % 20 AS h FROM given, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, range(CASE WHEN h = 3 THEN 2 ELSE 1 END) WHERE h <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k,
+    rtrim(text, {_SPACES}) AS said, substr(role, 1, 1) AS initial FROM damaged),
+seen AS (
+  SELECT *, said = '' AS blank, said <> '' AND row_number() OVER (
+    PARTITION BY conv_id, role, text ORDER BY k) > 1 AS duplicate FROM ordered),
+faults AS (
+  SELECT *, blank OR duplicate AS gone,
+    NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?') AS truncated,
+    CASE WHEN lag(k) OVER w IS NOT NULL AND (lag(initial) OVER w) || initial NOT IN ('su', 'ua', 'au')
+      THEN 1 ELSE 0 END AS illegal,
+    CASE WHEN NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END
+      AS late
+  FROM seen WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+    count(*) FILTER (WHERE truncated) AS truncated, sum(illegal)::BIGINT AS illegal, count(*) AS n
+  FROM faults GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, n + 1 AS k, '000000000' AS v0, '000000010II' AS v1, '000000005I' AS v2,
+    '000000000' AS v3 FROM figures
+  UNION ALL
+  SELECT conv_id, k, {_BEFORE} FROM (
+    SELECT p.conv_id, f.k, {_ACT}
+    FROM paths p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.k - 1)),
+best AS (
+  SELECT conv_id, substr(v0, 1, 9)::BIGINT AS cost, substr(v0, 10) AS audit FROM paths WHERE k = 1),
+letters AS (
+  SELECT conv_id, i, substr(audit, i, 1) AS letter, count(*) FILTER (WHERE substr(audit, i, 1) <> 'I')
+    OVER (PARTITION BY conv_id ORDER BY i) AS k
+  FROM best, range(1, length(audit) + 1) r(i)),
+staying AS (
+  SELECT l.conv_id, i, letter, f.role, f.text, f.initial,
+    row_number() OVER (PARTITION BY l.conv_id ORDER BY i) AS e
+  FROM letters l LEFT JOIN faults f
+    ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.k = l.k AND letter <> 'I'
+  WHERE letter <> 'D'),
+led AS (
+  SELECT *, e - max(CASE WHEN e = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY conv_id) AS place FROM staying),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 1 THEN 'user'
+    ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY e) AS body
+  FROM led GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

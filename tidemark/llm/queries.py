@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
+from .conversations import damage, repair_report
 from .fingerprints import edited_text, likeness, sketch, sketch_text, with_next
 from .jaccard import near_duplicates
 from .lines import dedup_lines
@@ -104,3 +105,9 @@ def _dedup_lines(spark, sf_dir):
 def _spelling(spark, sf_dir):
     return spelling_variants(_table(spark, sf_dir, "documents"), min_chars=5, min_count=3,
                              damage_every=97, ratio=2)
+
+
+@query("op13_conversation_repair")
+def _conversation_repair(spark, sf_dir):
+    talks = _table(spark, sf_dir, "conversations")
+    return repair_report(talks, damage(talks))
