@@ -17,7 +17,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str,
     (``doc_id``, ``label``, ``text``), those with the smallest hashes, and the number of labels
     of each class they stand for.
 
-    Null ids and labels teach nothing; of several labels of one document the largest counts.
+    Null ids and labels teach nothing; of several labels of one document the largest counts, of
+    several texts the one with the smallest hash. So there are at most ``2 * per_class`` rows.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()
                           & ~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(
@@ -31,5 +32,6 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str,
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * per_class rows of two numbers.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")
+        F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "label").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
     return texts, counts

@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .planes import read_tokens, write_tokens
 from .quality import score_quality
+from .rules import judge_quality
 from .search import exact_top_k
 from .secrets import scan_secrets
 from .spelling import spelling_variants
@@ -107,6 +108,12 @@ def _spelling(spark, sf_dir):
                              damage_every=97, ratio=2)
 
 
+@query("op12_quality_rules")
+def _quality_rules(spark, sf_dir):
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop(
+        "probability")
+
+
 @query("op13_conversation_repair")
 def _conversation_repair(spark, sf_dir):
     talks = _table(spark, sf_dir, "conversations")

@@ -31,6 +31,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 # One random 64-bit value for each byte; upper-case letters share that of their lower case.
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -61,8 +62,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the offset of each row's first word (rows + 1)."""
+def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the offset of each row's first word (rows + 1). Without
+    ``fold`` the case of A-Z counts."""
     data, offsets = utf8(column)
     rows = len(offsets) - 1
     # A blank after each row keeps words of neighbours apart.
@@ -80,7 +82,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     within = np.arange(len(where)) - np.repeat(first, length)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(int(length.max()), _STEP, dtype=np.uint64))
-        values = _BYTE[data[where]] * power[within]
+        values = (_BYTE if fold else _CASED)[data[where]] * power[within]
         hashes = mix64(np.add.reduceat(values, first) + length.astype(np.uint64) * _STEP)
     return hashes, np.searchsorted(starts, offsets)
 
