@@ -1,0 +1,208 @@
+"""Stores of hash buckets: what is written, snapshots, late changes, failures, streams."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from test_apply import FEED, cases
+from tidemark.operators import apply_multi_table, state_as_of
+from tidemark.sources import (
+    apply_late, create_store, full_refresh, merge_changes, read_refreshed, read_store, snapshots,
+    state_from_snapshots, store_lookup, take_snapshot, vacuum,
+)
+from tidemark.streaming import maintain_store
+
+BY = ("database", "table", "key")
+ONE = "key bigint, op string, seq bigint, after struct<v: bigint>"
+
+
+def rows_of(df):
+    return {(r.table, r.key): (r.a, r.b, r.last_seq) for r in df.collect()}
+
+
+def values(df):
+    return {r.key: (r.v, r.last_seq) for r in df.collect()}
+
+
+def files_of(path, version):
+    return sorted(str(f.relative_to(path)) for f in (path / "data" / f"version={version}").rglob(
+        "*.parquet"))
+
+
+def many_keys(spark, n):
+    return spark.range(n).select(
+        F.col("id").alias("key"), F.lit("INSERT").alias("op"), F.col("id").alias("seq"),
+        F.struct(F.col("id").alias("v")).alias("after"))
+
+
+def test_a_batch_of_one_key_writes_one_bucket(spark, tmp_path):
+    target = str(tmp_path)
+    create_store(spark, target, buckets=50)
+    assert merge_changes(many_keys(spark, 100_000), target) == list(range(50))
+    assert len(files_of(tmp_path, 0)) == 50
+    one = spark.createDataFrame([(4711, "UPDATE", 200_000, (-1,))], ONE)
+    assert len(merge_changes(one, target)) == 1
+    assert len(files_of(tmp_path, 1)) == 1
+    state = read_store(spark, target)
+    assert state.count() == 100_000 and state.filter("v = -1").collect()[0].key == 4711
+    assert values(store_lookup(spark, target, 4711)) == {4711: (-1, 200_000)}
+    plan = store_lookup(spark, target, 4711)._jdf.queryExecution().toString()
+    assert plan.count("bucket=") == 1 or "1 paths" in plan
+    assert store_lookup(spark, target, -5).collect() == []
+    # No change: a version that shares everything.
+    assert merge_changes(one.limit(0), target) == []
+    assert read_store(spark, target).count() == 100_000
+    assert read_store(spark, target, version=0).filter("v = -1").count() == 0
+
+
+def test_order_repeats_and_tombstones(spark, tmp_path):
+    """Parts in any order, some twice; a late insert does not bring a deleted row back."""
+    _, feeds = cases(40, seed=11)
+    flat = [r for f in feeds for r in f]
+    random.Random(2).shuffle(flat)
+    target = str(tmp_path)
+    create_store(spark, target, BY, buckets=7)
+    parts = [flat[i::4] for i in range(4)]
+    for part in (parts[2], parts[0], parts[2], parts[3], parts[1], parts[0]):
+        merge_changes(spark.createDataFrame(part, FEED), target)
+    want = rows_of(apply_multi_table(spark.createDataFrame(flat, FEED)))
+    assert rows_of(read_store(spark, target)) == want and want
+
+
+def test_a_repeated_or_broken_batch(spark, tmp_path):
+    target = str(tmp_path)
+    create_store(spark, target, buckets=5)
+    merge_changes(many_keys(spark, 100), target, version=0)
+    two = spark.createDataFrame([(k, "UPDATE", 1000 + k, (0,)) for k in range(3)], ONE)
+    merge_changes(two, target, version=1)
+    want = values(read_store(spark, target))
+    merge_changes(two, target, version=1)  # the micro-batch again
+    assert values(read_store(spark, target)) == want and want[2] == (0, 1002)
+    broken = two.withColumn("after", F.when(F.col("key") == 2, F.struct(F.raise_error(F.lit(
+        "broken")).cast("bigint").alias("v"))).otherwise(F.col("after")))
+    with pytest.raises(Exception, match="broken"):
+        merge_changes(broken, target, version=2)
+    assert values(read_store(spark, target)) == want
+    # Rows without a manifest, as a job killed before its end leaves them.
+    (tmp_path / "data" / "version=2" / "bucket=0").mkdir(parents=True)
+    (tmp_path / "data" / "version=2" / "bucket=0" / "part.parquet").write_bytes(b"cut off")
+    assert values(read_store(spark, target)) == want
+    merge_changes(spark.createDataFrame([(1, "DELETE", 2000, None)], ONE), target, version=2)
+    assert values(read_store(spark, target)) == {k: v for k, v in want.items() if k != 1}
+
+
+def test_layout_is_fixed(spark, tmp_path):
+    create_store(spark, str(tmp_path), BY, buckets=5)
+    create_store(spark, str(tmp_path), BY, buckets=5)
+    with pytest.raises(ValueError, match="layout"):
+        create_store(spark, str(tmp_path), BY, buckets=6)
+    with pytest.raises(FileNotFoundError):
+        read_store(spark, str(tmp_path))
+
+
+def one_feed(seed, n, keys):
+    rng = random.Random(seed)
+    return [(rng.randrange(keys), rng.choice(("INSERT", "UPDATE", "UPDATE", "DELETE")), seq)
+            for seq in range(n)]
+
+
+def as_rows(feed):
+    return [(k, op, seq, None if op == "DELETE" else (seq,)) for k, op, seq in feed]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_snapshots_equal_a_replay(spark, tmp_path, seed):
+    """The state at any position, with snapshots taken in any order, before and after late
+    changes came."""
+    feed = as_rows(one_feed(seed, 300, 25))
+    rng = random.Random(seed)
+    late = {seq for seq in range(300) if rng.random() < 0.2}
+    first = spark.createDataFrame([r for r in feed if r[2] not in late], ONE)
+    rest = spark.createDataFrame([r for r in feed if r[2] in late], ONE)
+    target = str(tmp_path)
+    create_store(spark, target, buckets=6)
+    assert snapshots(spark, target) == []
+    for position in (200, 80, 260):
+        take_snapshot(first, target, position)
+    assert [p for p, _ in snapshots(spark, target)] == [80, 200, 260]
+    for position in (10, 80, 150, 299):
+        assert values(state_from_snapshots(first, target, position)) == values(
+            state_as_of(first, position))
+    assert sorted(apply_late(rest, target)) == [80, 200, 260]
+    whole = spark.createDataFrame(feed, ONE)
+    take_snapshot(whole, target, 230)
+    vacuum(spark, target, keep=1)
+    assert [p for p, _ in snapshots(spark, target)] == [80, 200, 230, 260]
+    for position in (10, 79, 80, 150, 200, 231, 260, 299):
+        assert values(state_from_snapshots(whole, target, position)) == values(
+            state_as_of(whole, position))
+
+
+def test_late_changes_touch_their_buckets_only(spark, tmp_path):
+    target = str(tmp_path)
+    create_store(spark, target, buckets=20)
+    feed = many_keys(spark, 2000)
+    take_snapshot(feed, target, 999)
+    take_snapshot(feed, target, 1999)
+    # Between the snapshots: only the second one takes it.
+    late = spark.createDataFrame([(1500, "DELETE", 1600, None)], ONE)
+    wrote = apply_late(late, target)
+    assert list(wrote) == [1999] and len(wrote[1999]) == 1
+    assert apply_late(late.limit(0), target) == {}
+    assert state_from_snapshots(feed, target, 1999).count() == 1999
+    assert state_from_snapshots(feed, target, 999).count() == 1000
+
+
+def test_snapshot_reads_only_what_follows_the_last_one(spark, tmp_path):
+    path, target = str(tmp_path / "feed"), str(tmp_path / "store")
+    many_keys(spark, 1000).write.parquet(path)
+    feed = spark.read.parquet(path)
+    create_store(spark, target, buckets=3)
+    take_snapshot(feed, target, 500)
+    plan = state_from_snapshots(feed, target, 800)._jdf.queryExecution().toString()
+    assert "GreaterThan(seq,500)" in plan and "LessThanOrEqual(seq,800)" in plan
+
+
+def test_stream_with_disorder_restart_and_repeats(spark, tmp_path):
+    _, feeds = cases(40, seed=9)
+    flat = [r for f in feeds for r in f]
+    random.Random(4).shuffle(flat)
+    source, target, checkpoint = (str(tmp_path / d) for d in ("in", "out", "check"))
+    seen = []
+
+    def land(part):
+        spark.createDataFrame(part, FEED).coalesce(2).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", "1").parquet(source)
+        maintain_store(stream, target, checkpoint, BY, buckets=8,
+                       on_batch=lambda df, i: seen.append(i), availableNow=True).awaitTermination()
+
+    third = len(flat) // 3
+    land(flat[:third])
+    run()
+    land(flat[third:])
+    land(flat[:third // 2])  # delivered again
+    run()
+    want = rows_of(apply_multi_table(spark.createDataFrame(flat, FEED)))
+    assert rows_of(read_store(spark, target)) == want and want
+    assert seen == sorted(set(seen)) and len(seen) >= 3
+    assert len(list((tmp_path / "out" / "manifest").iterdir())) <= 3
+
+
+def test_a_failed_refresh_leaves_the_old_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    with pytest.raises(FileNotFoundError):
+        read_refreshed(spark, path)
+    feed = many_keys(spark, 50)
+    assert full_refresh(feed, path).count() == 50
+    broken = feed.withColumn("after", F.struct(F.raise_error(F.lit("broken")).cast("bigint")
+                                               .alias("v")))
+    with pytest.raises(Exception, match="broken"):
+        full_refresh(broken, path)
+    assert read_refreshed(spark, path).count() == 50
+    for n in (60, 70, 80):
+        assert full_refresh(many_keys(spark, n), path).count() == n
+    assert read_refreshed(spark, path).count() == 80
+    assert len(list((tmp_path / "state").iterdir())) == 2

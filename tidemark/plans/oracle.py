@@ -72,10 +72,17 @@ FROM state GROUP BY ALL"""
 ORACLE["apply_changes"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["apply_changes_on_state"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["tap"] = f"{STATE_A} SELECT * FROM state"
+ORACLE["maintain_store"] = f"{STATE_A} SELECT * FROM state"
+ORACLE["store_lookup"] = ORACLE["key_lookup"]
+_FIVE_EIGHTHS = "seq <= (SELECT min(seq) + (max(seq) - min(seq)) * 5 // 8 FROM feed_a)"
+ORACLE["state_from_snapshots"] = (
+    f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k', where=_FIVE_EIGHTHS)}"
+    " SELECT * FROM state")
 ORACLE["state_as_of"] = (
     f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k', where=_FIRST_HALF)}"
     " SELECT * FROM state")
-for _name in ("apply_changes_orders", "apply_changes_join_back", "apply_changes_text_key"):
+for _name in ("apply_changes_orders", "apply_changes_join_back", "apply_changes_text_key",
+              "merge_changes"):
     ORACLE[_name] = f"{STATE_D} SELECT key, status, price, last_seq FROM state"
 
 ORACLE["route_changes"] = f"""

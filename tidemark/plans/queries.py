@@ -23,11 +23,17 @@ from ..sources.binlog import (
     binlog_scan, decode_rows, read_changes, read_images, table_maps, tables_row_type,
 )
 from ..sources.scratch import new_path, shared_folder
+from ..sources.store import (
+    apply_late, create_store, merge_changes, read_store, state_from_snapshots, store_lookup,
+    take_snapshot,
+)
 from ..sources.tables import (
     create_target, full_refresh, key_lookup, route_changes, route_typed, snapshot_scan,
     state_to_json, typed_targets,
 )
-from ..streaming import apply_stream, binlog_stream, change_stream, read_state
+from ..streaming import (
+    apply_stream, binlog_stream, change_stream, maintain_store, read_state,
+)
 from . import feeds
 from .packing import log_folder
 
@@ -346,6 +352,42 @@ def _state_as_of(spark, sf_dir):
     return state_as_of(feed, _middle(feed))
 
 
+@query("state_from_snapshots")
+def _state_from_snapshots(spark, sf_dir):
+    """Snapshots at quarters of the feed, taken while every seventh change was late; these are put
+    in afterwards. The state at five eighths is the second snapshot and what follows it."""
+    feed = feeds.user_changes(spark, sf_dir)
+    low, high = feed.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))) \
+        .first()
+    target = new_path(spark, "snapshots")
+    create_store(spark, target, buckets=16)
+    late = F.col("seq") % 7 == 3
+    for quarter in (1, 2, 3):
+        take_snapshot(feed.filter(~late), target, low + (high - low) * quarter // 4)
+    apply_late(feed.filter(late), target)
+    return state_from_snapshots(feed, target, low + (high - low) * 5 // 8)
+
+
+@query("merge_changes")
+def _merge_changes(spark, sf_dir):
+    """Feed D merged into a store of buckets in three parts, the last one delivered twice."""
+    feed = feeds.order_changes(spark, sf_dir)
+    target = new_path(spark, "store")
+    create_store(spark, target, by=("id",), buckets=16)
+    for part in (2, 0, 1, 1):
+        merge_changes(feed.filter(F.col("seq") % 3 == part), target)
+    state = read_store(spark, target)
+    return state.select(format_key("id").alias("key"), "status", "price", "last_seq")
+
+
+@query("store_lookup")
+def _store_lookup(spark, sf_dir):
+    target = new_path(spark, "store")
+    create_store(spark, target, buckets=16)
+    merge_changes(feeds.user_changes(spark, sf_dir), target)
+    return store_lookup(spark, target, "000000000000000000000001")
+
+
 @query("live_row_timeline")
 def _live_row_timeline(spark, sf_dir):
     return live_row_timeline(feeds.user_changes(spark, sf_dir))
@@ -586,6 +628,19 @@ def _apply_stream(spark, sf_dir):
     return read_state(spark, f"{path}/target")
 
 
+@query("maintain_store")
+def _maintain_store(spark, sf_dir):
+    """As ``apply_stream``, into hash buckets."""
+    path = new_path(spark, "apply")
+    source = f"{path}/events"
+    feeds.read(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(source)
+    events = (spark.readStream.schema(spark.read.parquet(source).schema)
+              .option("maxFilesPerTrigger", "2").parquet(source))
+    maintain_store(feeds.user_change_columns(events), f"{path}/target", f"{path}/checkpoint",
+                   buckets=16, availableNow=True).awaitTermination()
+    return read_store(spark, f"{path}/target")
+
+
 @query("replay_log_stream")
 def _replay_log_stream(spark, sf_dir):
     """As ``replay_log``, from a stream of log files."""

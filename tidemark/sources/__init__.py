@@ -13,10 +13,22 @@ from .binlog import (
 )
 from .datasource import LogDataSource
 from .scratch import new_path, shared_folder
+from .store import (
+    apply_late,
+    create_store,
+    merge_changes,
+    read_store,
+    snapshots,
+    state_from_snapshots,
+    store_lookup,
+    take_snapshot,
+    vacuum,
+)
 from .tables import (
     create_target,
     full_refresh,
     key_lookup,
+    read_refreshed,
     route_changes,
     route_typed,
     snapshot_scan,
@@ -25,8 +37,10 @@ from .tables import (
 )
 
 __all__ = [
-    "LogDataSource", "bad_events", "binlog_scan", "build_changes", "changes_of", "create_target",
-    "decode_rows", "full_refresh", "key_lookup", "new_path", "read_changes", "read_images",
-    "route_changes", "route_typed", "shared_folder", "snapshot_scan", "split_logs",
-    "state_to_json", "table_maps", "table_row_type", "tables_row_type", "write_state",
+    "LogDataSource", "apply_late", "bad_events", "binlog_scan", "build_changes", "changes_of",
+    "create_store", "create_target", "decode_rows", "full_refresh", "key_lookup",
+    "merge_changes", "new_path", "read_changes", "read_images", "read_refreshed", "read_store", "route_changes",
+    "route_typed", "shared_folder", "snapshot_scan", "snapshots", "split_logs",
+    "state_from_snapshots", "state_to_json", "store_lookup", "table_maps", "table_row_type",
+    "tables_row_type", "take_snapshot", "vacuum", "write_state",
 ]

@@ -18,12 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_KEY} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(_KEY, folder)
-    return folder
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _local[0]
 
 
 _made: list[str] = []
+_local: list[str] = []
 
 
 def clean(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..operators.apply import apply_changes
+from .versions import finished, numbers, remove
 
 
 def _quoted(*names: str) -> str:
@@ -32,9 +33,28 @@ def write_state(state: DataFrame, path: str, key: str = "key") -> None:
 
 
 def full_refresh(changes: DataFrame, path: str) -> DataFrame:
-    """Rebuild the target at ``path`` from the whole log."""
-    write_state(apply_changes(changes), path)
-    return changes.sparkSession.read.parquet(path)
+    """Rebuild the target at ``path`` from the whole log and give its rows.
+
+    Each refresh writes a folder ``state=<n>`` of its own, which counts once its job has committed
+    it; read the target with ``read_refreshed``. A refresh that fails or is killed leaves the one
+    before in force, and that stays on disk for readers that have begun.
+    """
+    spark = changes.sparkSession
+    there = numbers(spark, path, "state")
+    before = [n for n in there if finished(spark, f"{path}/state={n}")][-1:]
+    write_state(apply_changes(changes), f"{path}/state={max(there, default=-1) + 1}")
+    for n in there:
+        if n not in before:
+            remove(spark, f"{path}/state={n}")
+    return read_refreshed(spark, path)
+
+
+def read_refreshed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest finished refresh of a target."""
+    for n in reversed(numbers(spark, path, "state")):
+        if finished(spark, f"{path}/state={n}"):
+            return spark.read.parquet(f"{path}/state={n}")
+    raise FileNotFoundError(f"no finished refresh below {path}")
 
 
 def state_to_json(df: DataFrame, key: str = "key") -> DataFrame:

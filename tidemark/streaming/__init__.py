@@ -1,5 +1,7 @@
-from .apply import apply_stream, compact_state, read_state, stream_state, use_rocksdb
+from .apply import (
+    apply_stream, compact_state, maintain_store, read_state, stream_state, use_rocksdb,
+)
 from .source import binlog_stream, change_stream
 
-__all__ = ["apply_stream", "binlog_stream", "change_stream", "compact_state", "read_state", "stream_state",
-           "use_rocksdb"]
+__all__ = ["apply_stream", "binlog_stream", "change_stream", "compact_state", "maintain_store",
+           "read_state", "stream_state", "use_rocksdb"]
