@@ -8,7 +8,7 @@ from tidemark import schemas as S
 from tidemark.functions import cast_columns, char_pad, format_key, null_mask
 from tidemark.operators import apply_changes, late_changes, resume_from, validate_key
 from tidemark.plans import packing as P
-from tidemark.sources import binlog_scan, codec, read_changes
+from tidemark.sources import binlog_scan, codec, read_changes, table_maps, table_row_type
 from tidemark.sources.binlog import changes_of, read_images
 from tidemark.sources.datasource import (
     LogReader, LogStreamReader, filesystem, list_logs, qualified, without_holes,
@@ -153,3 +153,32 @@ def test_filters_choose_files_and_events(spark, tmp_path):
     assert sorted(r.seq >> 32 for r in images.collect()) == [2, 3, 4]
     scan = binlog_scan(spark, folder).filter("file_seq >= 3 AND type_code = 19")
     assert scan.count() == 2
+
+
+def test_text_that_is_not_utf8_is_replaced_in_both_kinds(spark, tmp_path):
+    """Broken bytes reach Spark as U+FFFD, never as text that is none; good rows stay as they are."""
+    shape = [KEY, ("v", S.VARCHAR, (40).to_bytes(2, "little"), False, False),
+             ("w", S.VARCHAR, (400).to_bytes(2, "little"), False, False)]
+    texts = [(b"caf\xe9", b"plain"), (b"\xff\x01", b"\xc3"), ("é𐍈".encode(), "ü".encode())]
+    # The packer writes UTF-8: it gets letters in the place of the raw bytes.
+    stand = {raw: bytes([65 + n]) * len(raw) for n, raw in enumerate(sum(texts, ()))}
+    images = [[i, *[stand[t].decode() for t in pair]] for i, pair in enumerate(texts)]
+    path = write_file(tmp_path, 1, [table_map(shape), rows(shape, S.WRITE_ROWS_V1, images)])
+    data = open(path, "rb").read()
+    for raw, letters in stand.items():
+        assert data.count(bytes([len(raw)]) + letters) + data.count(
+            len(raw).to_bytes(2, "little") + letters) == 1
+        data = data.replace(bytes([len(raw)]) + letters, bytes([len(raw)]) + raw).replace(
+            len(raw).to_bytes(2, "little") + letters, len(raw).to_bytes(2, "little") + raw)
+    open(path, "wb").write(data)
+    maps = table_maps(binlog_scan(spark, str(tmp_path), codes=(S.TABLE_MAP_EVENT,)))
+    typed = read_changes(spark, str(tmp_path), table_row_type(maps, "d", "t"))
+    documents = read_changes(spark, str(tmp_path)).withColumn(
+        "after", F.struct(F.variant_get("after", "$.v", "string").alias("v"),
+                          F.variant_get("after", "$.w", "string").alias("w")))
+    for changes in (typed, documents):
+        got = {int(r.key): (r.after.v, r.after.w, r.reason) for r in changes.collect()}
+        for i, (v, w) in enumerate(texts):
+            assert got[i][2] is None
+            for value, raw in zip(got[i], (v, w)):
+                assert value == raw.decode("utf-8", "replace")

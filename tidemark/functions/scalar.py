@@ -14,9 +14,13 @@ def is_key(col) -> Column:
     return F.coalesce(number <= F.lit(str(2 ** 64 - 1)).cast("decimal(24,0)"), F.lit(False))
 
 
-def format_key(col) -> Column:
+def format_key(col, integer: bool = False) -> Column:
     """Key text: the unsigned number left-padded with zeros to 24 digits; NULL for anything that
-    is not a whole number from 0 to 2^64 - 1."""
+    is not a whole number from 0 to 2^64 - 1. For a column known to be of an integer type, up to
+    BIGINT, ``integer=True`` tests its sign only, in half the time."""
+    if integer:
+        number = F.col(col) if isinstance(col, str) else col
+        return F.when(number >= 0, F.lpad(number.cast("string"), S.KEY_DIGITS, "0"))
     text = F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
     return F.when(is_key(text), F.lpad(text, S.KEY_DIGITS, "0"))
 

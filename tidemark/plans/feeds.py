@@ -32,7 +32,7 @@ def user_change_columns(events: DataFrame) -> DataFrame:
     """Feed A shape on any ``events`` DataFrame, batch or streaming."""
     return events.select(
         F.lit(DATABASE).alias("database"), F.lit("users").alias("table"),
-        F.col("user_id").alias("id"), format_key("user_id").alias("key"), event_op(F.col("event_type")).alias("op"),
+        F.col("user_id").alias("id"), format_key("user_id", integer=True).alias("key"), event_op(F.col("event_type")).alias("op"),
         F.col("event_id").alias("seq"),
         F.struct("event_type", "value",
                  F.get_json_object("props", "$.k").cast("int").alias("k")).alias("after"))
@@ -53,7 +53,7 @@ def schema_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a base state: key, status, price, last_seq."""
     return read(spark, sf_dir, "orders").select(
-        format_key("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"),
+        format_key("o_orderkey", integer=True).alias("key"), F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("price"), F.lit(0).cast("bigint").alias("last_seq"))
 
 
@@ -70,7 +70,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labelled(changes: DataFrame) -> DataFrame:
     return changes.select(
         F.lit(DATABASE).alias("database"), F.lit("orders").alias("table"), "id",
-        format_key("id").alias("key"), "op", "seq", "after")
+        format_key("id", integer=True).alias("key"), "op", "seq", "after")
 
 
 def line_ranks(lines: DataFrame) -> DataFrame:

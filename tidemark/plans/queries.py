@@ -293,7 +293,7 @@ def _middle(feed) -> int:
 def _current(feed, **kwargs):
     """Current rows of a feed with numeric ids; the key text is made for live rows only."""
     state = apply_changes(feed, by=("id",), **kwargs)
-    return state.select(format_key("id").alias("key"), *[c for c in state.columns if c != "id"])
+    return state.select(format_key("id", integer=True).alias("key"), *[c for c in state.columns if c != "id"])
 
 
 def _line_feed(spark, sf_dir):
@@ -377,7 +377,7 @@ def _merge_changes(spark, sf_dir):
     for part in (2, 0, 1, 1):
         merge_changes(feed.filter(F.col("seq") % 3 == part), target)
     state = read_store(spark, target)
-    return state.select(format_key("id").alias("key"), "status", "price", "last_seq")
+    return state.select(format_key("id", integer=True).alias("key"), "status", "price", "last_seq")
 
 
 @query("store_lookup")

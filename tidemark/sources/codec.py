@@ -381,19 +381,16 @@ def _text(buf, start, length, nulls) -> pa.Array:
 
 
 def arrow_column(buf, column, nulls, kind: int, meta: int) -> pa.Array:
-    """A decoded column as Arrow; fixed-width text is padded to its length in characters."""
+    """A decoded column as Arrow. Text bytes that are not UTF-8 are replaced by U+FFFD, in both
+    kinds of text; fixed-width text is then padded to its length in characters."""
     if column is None:
         return pa.nulls(len(nulls))
     if not isinstance(column, tuple):
         return pa.array(column, mask=nulls)
     text = _text(buf, *column, nulls)
-    if kind != S.STRING:
-        return text
-    width = (meta >> 8) // 4
     try:
         text.validate(full=True)
-        return pc.utf8_rpad(text, width, " ")
-    except pa.ArrowInvalid:  # not UTF-8: replace what cannot be read
-        raw = text.cast(pa.binary()).to_pylist()
-        return pa.array([None if b is None else b.decode("utf-8", "replace").ljust(width)
-                         for b in raw], pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([None if b is None else b.decode("utf-8", "replace")
+                         for b in text.cast(pa.binary()).to_pylist()], pa.string())
+    return pc.utf8_rpad(text, (meta >> 8) // 4, " ") if kind == S.STRING else text
