@@ -81,7 +81,18 @@ def test_search_ties_nulls_and_repeats(spark):
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(by) == {0, 20, 60}
     assert by[0] == [(1, 61, 2048), *[(n, n - 1, 32 * 32 + 256) for n in range(2, 6)]]
-    assert by[60] == [(n + 1, n, 0) for n in range(5)]
+    assert by[60] == [(1, 0, 0), *[(n + 2, n, 0) for n in range(4)]]
+
+
+def test_search_keeps_every_row_of_an_id(spark):
+    """A third of the rows under one id: each is a candidate, whatever its vector."""
+    rng = np.random.default_rng(8)
+    rows = [(7 if i % 3 == 0 else i + 100, [float(x) for x in rng.integers(-9, 9, 3)])
+            for i in range(90)] + [(0, [1.0, 2.0, -1.0]), (7, [9.0, 9.0, -9.0])]
+    got = exact_top_k(vectors(spark, rows), F.col("vec_id") == 0, k=40).collect()
+    want = sorted((-sum(64 * 64 * a * b for a, b in zip(v, (1, 2, -1))), i)
+                  for i, v in rows if i != 0)[:40]
+    assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == want
 
 
 @pytest.mark.parametrize("scale", [1, 1e7, 1e15])

@@ -8,8 +8,9 @@ Integers stay exact: products are made in double precision while every possible
 2^53, else with integers of any size (scores beyond a long are cut to the long range).
 
 Defined cases: vectors that are null or hold null or non-finite components and rows with a null
-id take no part; of several rows with one id the smallest vector stands; shorter vectors count as
-filled up with zeros; equal scores go to the smaller id; no queries or candidates give no rows.
+id take no part; rows with one id are a candidate each, and as a query the one with the smallest
+vector asks, for none of them; shorter vectors count as filled up with zeros; equal scores go to
+the smaller id; no queries or candidates give no rows.
 """
 
 from __future__ import annotations
@@ -53,13 +54,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def best_of_tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
                  row_ids: np.ndarray, k: int):
-    """For each query the places and scores of its ``k`` best rows; ``row_ids`` ascend."""
+    """For each query the places and scores of its ``k`` best rows with other ids; ``row_ids``
+    ascend."""
     n = len(row_ids)
     k = min(k, n)
     bound = (np.abs(queries).sum(axis=1).max(initial=0.0) * np.abs(rows).max(initial=0.0))
     whole = bool((rows == np.floor(rows)).all() and (queries == np.floor(queries)).all())
-    own = np.searchsorted(row_ids, query_ids)
-    hit = (own < n) & (row_ids[np.minimum(own, n - 1)] == query_ids)
+    own, end = (np.searchsorted(row_ids, query_ids, side) for side in ("left", "right"))
+    most = int((end - own).max(initial=0))
     for at in range(0, len(queries), _BLOCK):
         block = queries[at:at + _BLOCK]
         if whole and bound >= _EXACT:
@@ -67,20 +69,18 @@ def best_of_tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
             score = to_int(block).dot(to_int(rows).T)
         else:
             score = block @ rows.T
-        mine = np.flatnonzero(hit[at:at + _BLOCK])
         if whole and bound * n * 4 < _EXACT:
             # Score and place as one number, so that one selection settles ties too.
             key = score * n - np.arange(n)
-            key[mine, own[at:at + _BLOCK][mine]] = -np.inf
+            for i in np.flatnonzero((end > own)[at:at + _BLOCK]).tolist():
+                key[i, own[at + i]:end[at + i]] = -np.inf
             best = np.argpartition(key, n - k, axis=1)[:, n - k:]
             order = np.argsort(-np.take_along_axis(key, best, axis=1), axis=1)
             best = np.take_along_axis(best, order, axis=1)
         else:
-            best = np.array([sorted(range(n), key=lambda j: (-s[j], j))[:k + 1] for s in score])
+            best = np.array([sorted(range(n), key=lambda j: (-s[j], j))[:k + most] for s in score])
         for i, places in enumerate(best):
-            if hit[at + i]:
-                places = places[places != own[at + i]]
-            places = places[:k]
+            places = places[(places < own[at + i]) | (places >= end[at + i])][:k]
             yield at + i, places, score[i, places]
 
 
@@ -121,9 +121,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
         & (F.abs(x.cast("double")) < float("inf")))
     clean = vectors.withColumn("__query", F.coalesce(is_query, F.lit(False))).filter(
-        F.coalesce(usable, F.lit(False))).groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(
-        F.min(scaled_floor(F.col("embedding"), scale)).alias("vector"),
-        F.max("__query").alias("__query"))
+        F.coalesce(usable, F.lit(False))).select(
+        F.col("vec_id").cast("bigint").alias("vec_id"),
+        scaled_floor(F.col("embedding"), scale).alias("vector"), "__query")
     # Written once: its size, the queries and the candidates are three readings.
     path = new_path(vectors.sparkSession, "vectors")
     clean.write.parquet(path)
@@ -134,11 +134,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     rows = max(1, min(SHARD_ROWS, SHARD_VALUES // max(1, width)))
     shards = max(1, -(-size.n // rows))
     groups = max(1, -(-size.queries * max(1, width) // GROUP_VALUES))
-    dealt = F.xxhash64("vec_id")
-    right = clean.select("vec_id", "vector", F.pmod(dealt, F.lit(shards)).cast("int").alias("__shard"),
+    # Rows of one id are dealt out by their vectors, so that a frequent id fills no shard alone.
+    right = clean.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int").alias("__shard"),
                          F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"))
-    left = asked.filter("__query").select(
-        "vec_id", "vector", F.pmod(dealt, F.lit(groups)).cast("int").alias("__group"),
+    left = asked.filter("__query").groupBy("vec_id").agg(F.min("vector").alias("vector")).select(
+        "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("__group"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"))
     keys = ["__group", "__shard"]
     lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
