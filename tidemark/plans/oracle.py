@@ -69,6 +69,7 @@ ORACLE["route_typed"] = f"""{STATE_A}
 SELECT CASE WHEN CAST(key AS BIGINT) % 2 = 0 THEN 'users' ELSE 'guests' END AS "table",
        count(*) AS n_rows, CAST(sum(last_seq) AS BIGINT) AS event_ids, count(value) AS n_values
 FROM state GROUP BY ALL"""
+ORACLE["route_stream"] = ORACLE["route_typed"]
 ORACLE["apply_changes"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["apply_changes_on_state"] = f"{STATE_A} SELECT * FROM state"
 ORACLE["tap"] = f"{STATE_A} SELECT * FROM state"
@@ -319,7 +320,7 @@ SELECT 'e_store' AS "database", logged.*, FALSE AS nullable,
        (SELECT count(*) FROM runs WHERE run % 16 = 0) AS n_versions
 FROM logged"""
 
-for _name in ("decode_rows", "decode_rows_resolved"):
+for _name in ("decode_rows", "decode_rows_resolved", "resolve_stream"):
     ORACLE[_name] = f"""
 WITH {PACKED}
 SELECT tab AS "table", code AS type_code, CAST(file_seq AS BIGINT) AS file_seq,

@@ -32,7 +32,8 @@ from ..sources.tables import (
     state_to_json, typed_targets,
 )
 from ..streaming import (
-    apply_stream, binlog_stream, change_stream, maintain_store, read_state,
+    apply_stream, binlog_stream, change_stream, maintain_store, publish, read_state,
+    resolve_stream, route_stream,
 )
 from . import feeds
 from .packing import log_folder
@@ -102,6 +103,19 @@ def _route_typed(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
+@query("route_stream")
+def _route_stream(spark, sf_dir):
+    """As ``route_typed``, from a stream of log files; tables are made in the batch that shows them."""
+    root = new_path(spark, "routed")
+    route_stream(binlog_stream(spark, log_folder(spark, sf_dir), max_files=8), root,
+                 f"{root}/checkpoint", buckets=8, availableNow=True).awaitTermination()
+    made = publish(spark, root, f"{root}/published", prefix=f"tidemark_{uuid.uuid4().hex}_")
+    counts = [snapshot_scan(spark, *name).groupBy(F.lit(name[1]).alias("table")).agg(
+        F.count("*").alias("n_rows"), F.sum("event_id").alias("event_ids"),
+        F.count("value").alias("n_values")) for name in made]
+    return counts[0].unionByName(counts[1])
+
+
 @query("full_refresh")
 def _full_refresh(spark, sf_dir):
     return full_refresh(feeds.user_changes(spark, sf_dir), new_path(spark, "state"))
@@ -557,6 +571,21 @@ def _decode_rows_resolved(spark, sf_dir):
                        *_image_columns(F.coalesce("after", "before"), shape))
 
 
+@query("resolve_stream")
+def _resolve_stream(spark, sf_dir):
+    """As ``decode_rows``, from stored events dealt to four files, one a micro-batch, so that rows
+    come before their maps; the table maps are resolved in streaming state."""
+    path = new_path(spark, "stored")
+    events = _log_events(spark, sf_dir).drop("table_map")
+    events.repartition(4, "log_file", "byte_off").write.parquet(path)
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1")
+              .parquet(path))
+    shape = _log_shape(spark, sf_dir)
+    rows = _run_once(spark, decode_rows(resolve_stream(stream), shape, tables=_TABLES))
+    return rows.select("table", "type_code", F.shiftright("seq", 32).alias("file_seq"), "reason",
+                       *_image_columns(F.coalesce("after", "before"), shape))
+
+
 @query("pair_images")
 def _pair_images(spark, sf_dir):
     images = read_images(spark, log_folder(spark, sf_dir), _log_shape(spark, sf_dir),
