@@ -1,0 +1,161 @@
+"""Marks in log files: split files equal the plain scan; growing streams with a bound."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from logs import KEY, rows, table_map, write_file
+from tidemark import schemas as S
+from tidemark.plans import packing as P
+from tidemark.sources import binlog_scan, datasource, split_logs
+from tidemark.sources.datasource import LogIndex, LogReader, LogStreamReader
+from tidemark.streaming import binlog_stream, change_stream
+
+A = [KEY, ("a", S.LONG, b"", False, False)]
+
+
+def big_log(folder, number, events, seed=1, checksum=False):
+    """Many small events; maps of several tables, logged again and again or once."""
+    rng = random.Random(seed)
+    out = [table_map(A, 50, "d", "once")]
+    for n in range(events):
+        table = rng.choice((50, 51, 52))
+        if table != 50 and rng.random() < 0.5:
+            out.append(table_map(A, table, "d", f"t{table}-{n}"))
+        out.append(rows(A, S.WRITE_ROWS_V1, [[n, n]], table_id=table))
+    return write_file(folder, number, out, checksum=checksum)
+
+
+def seen(df):
+    return sorted((r.log_file, r.byte_off, r.type_code, r.table_id, r.body and bytes(r.body),
+                   r.table_map and bytes(r.table_map), r.error) for r in df.collect())
+
+
+@pytest.mark.parametrize("checksum", [False, True])
+def test_a_large_file_is_split_at_marks(spark, tmp_path, monkeypatch, checksum):
+    monkeypatch.setattr(datasource, "_SHARED_BYTES", 4096)
+    logs, index = tmp_path / "logs", str(tmp_path / "index")
+    logs.mkdir()
+    big_log(logs, 1, 400, checksum=checksum)
+    big_log(logs, 2, 3, checksum=checksum)
+    want = seen(split_logs(spark.read.format("binaryFile").load(str(logs))))
+
+    def scan():
+        return binlog_scan(spark, str(logs), index=index, index_every=1000)
+
+    assert scan().rdd.getNumPartitions() == 2
+    assert seen(scan()) == want  # leaves marks
+    marks = LogIndex(f"file:{index}")
+    assert marks.files() == {P.log_name(1)} and len(marks.stretches(P.log_name(1))) == 1
+    parts = scan().rdd.getNumPartitions()
+    assert parts >= 4 and seen(scan()) == want
+    assert len(marks.stretches(P.log_name(1))) == 1  # nothing new to mark
+    # Filters and decoding work on parts as on files.
+    some = scan().filter(F.col("type_code") == S.TABLE_MAP_EVENT)
+    assert seen(some) == [r for r in want if r[2] == S.TABLE_MAP_EVENT]
+
+
+def test_a_broken_file_is_reported_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(datasource, "_SHARED_BYTES", 4096)
+    logs, index = tmp_path / "logs", str(tmp_path / "index")
+    logs.mkdir()
+    path = big_log(logs, 1, 300)
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:-3])
+    for _ in range(2):
+        scan = binlog_scan(spark, str(logs), index=index, index_every=1000)
+        assert scan.filter("error IS NOT NULL").count() == 1
+    assert scan.rdd.getNumPartitions() > 1
+
+
+def test_a_mark_is_near(tmp_path):
+    """A task that starts in the middle reads from the mark before it."""
+    path = big_log(tmp_path, 1, 500)
+    options = {"path": f"file:{tmp_path}", "index": f"file:{tmp_path}/marks", "index_every": "2000",
+               "parallelism": "1"}
+    reader = LogReader(options)
+    (whole,) = reader.partitions()
+    want = [b for b in reader.read(whole)]
+    index = LogIndex(options["index"])
+    for position in (0, 1999, 2500, 17_000, 10 ** 9):
+        mark = index.before(P.log_name(1), position)
+        assert mark is None if position < 2000 else 0 <= position - mark[0] < 2300 or position > 10 ** 6
+    assert sum(b.num_rows for b in want) > 500 and path
+
+
+def read_all(reader, start, end):
+    rows = [r for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+    return [(r["log_file"], r["byte_off"], r["table_map"]) for r in rows]
+
+
+def test_a_stream_plans_within_its_bound(spark, tmp_path):
+    """A backlog of 20 files gives several batches, none over the bound, over restarts; a growing
+    file goes on from its last mark."""
+    logs, notes = tmp_path / "logs", tmp_path / "notes"
+    logs.mkdir()
+    for n in range(1, 21):
+        big_log(logs, n, 20, seed=n)
+    options = {"path": f"file:{logs}", "max_bytes": "3000", "progress": f"file:{notes}",
+               "index": f"file:{tmp_path}/marks", "index_every": "500"}
+    sizes = {n: size for n, _, size in datasource.list_logs(options["path"])}
+    reader = LogStreamReader(options)
+    at, got, batches = reader.initialOffset(), [], 0
+
+    def place(offset):
+        return sum(s for n, s in sizes.items() if n < offset["file"]) + offset["position"]
+
+    while True:
+        if batches % 3 == 2:  # a restart: the new reader knows only what was noted
+            reader = LogStreamReader(options)
+        end = reader.latestOffset()
+        if end == at or batches > 99:
+            break
+        assert 0 < place(end) - place(at) <= 3000
+        got += read_all(reader, at, end)
+        at, batches = end, batches + 1
+    assert batches >= sum(sizes.values()) // 3000 and json.loads((notes / "planned").read_text()) == at
+    want = [(r.log_file, r.byte_off, r.table_map and bytes(r.table_map))
+            for r in binlog_scan(spark, str(logs)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert any((tmp_path / "marks").iterdir())
+
+
+def test_a_stream_with_a_bound_runs_several_batches(spark, tmp_path):
+    logs, path = tmp_path / "logs", str(tmp_path / "s")
+    logs.mkdir()
+    for n in range(1, 6):
+        big_log(logs, n, 20, seed=n)
+    total = sum(size for _, _, size in datasource.list_logs(f"file:{logs}"))
+
+    def start():
+        stream = binlog_stream(spark, str(logs), growing=True, max_bytes=total // 4,
+                               progress=f"{path}/notes", index=f"{path}/marks", index_every=500)
+        return (stream.writeStream.format("parquet").option("path", f"{path}/out")
+                .option("checkpointLocation", f"{path}/check").trigger(processingTime="0 seconds")
+                .start())
+
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    assert len(list((tmp_path / "s" / "check" / "commits").glob("[0-9]*"))) >= 4
+    big_log(logs, 6, 40, seed=6)
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    got = spark.read.schema(S.LOG_EVENTS).parquet(f"{path}/out")
+    assert seen(got) == seen(binlog_scan(spark, str(logs)))
+
+
+def test_bounded_change_stream(spark, tmp_path):
+    logs, path = tmp_path / "logs", str(tmp_path / "s")
+    logs.mkdir()
+    write_file(logs, 1, [table_map(A)] + [rows(A, S.WRITE_ROWS_V1, [[n, n]]) for n in range(50)])
+    stream = change_stream(spark, str(logs), growing=True, max_bytes=400, progress=f"{path}/notes")
+    query = (stream.select("key", "op", "seq").writeStream.format("parquet")
+             .option("path", f"{path}/out").option("checkpointLocation", f"{path}/check")
+             .trigger(processingTime="0 seconds").start())
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(int(r.key) for r in spark.read.parquet(f"{path}/out").collect()) == list(range(50))

@@ -97,7 +97,7 @@ def test_positions_over_four_gigabytes():
     event = P.event(code, body, 0, 0)
     far = [(off + (1 << 32), head, data) for off, head, data in codec.split_events([event], False)]
     original = codec.split_events
-    codec.split_events = lambda chunks, magic: iter(far)
+    codec.split_events = lambda *_: iter(far)
     try:
         row = list(codec.log_rows([], "x.000001", 1))[0]
     finally:

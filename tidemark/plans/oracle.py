@@ -269,7 +269,7 @@ log AS (
 """
 
 for _name in ("binlog_scan", "binlog_scan_binary_files", "binlog_stream",
-              "binlog_stream_growing"):
+              "binlog_stream_growing", "binlog_scan_indexed", "binlog_stream_bounded"):
     ORACLE[_name] = f"""
 WITH {PACKED}
 SELECT file_seq, code AS type_code, count(*) AS n_events, count(*) AS n_offsets

@@ -22,6 +22,7 @@ from ..operators import (
 from ..sources.binlog import (
     binlog_scan, decode_rows, read_changes, read_images, table_maps, tables_row_type,
 )
+from ..sources.datasource import list_logs
 from ..sources.scratch import new_path, shared_folder
 from ..sources.store import (
     apply_late, create_store, merge_changes, read_store, state_from_snapshots, store_lookup,
@@ -471,6 +472,32 @@ def _binlog_stream_growing(spark, sf_dir):
     return _file_profile(_run_once(spark, events))
 
 
+@query("binlog_scan_indexed")
+def _binlog_scan_indexed(spark, sf_dir):
+    """A first scan leaves marks, the second one starts tasks at them."""
+    index = new_path(spark, "marks")
+    _log_events(spark, sf_dir, index=index, index_every=64 << 10).write.format("noop").mode(
+        "overwrite").save()
+    return _file_profile(_log_events(spark, sf_dir, index=index, index_every=64 << 10))
+
+
+@query("binlog_stream_bounded")
+def _binlog_stream_bounded(spark, sf_dir):
+    """A backlog of log files in batches of a third of it, from marks the batches leave."""
+    folder, path = log_folder(spark, sf_dir), new_path(spark, "stream")
+    total = sum(size for _, _, size in list_logs(folder))
+    events = binlog_stream(spark, folder, growing=True, max_bytes=total // 3 + 1,
+                           progress=f"{path}/notes", index=f"{path}/marks", index_every=64 << 10)
+    running = (events.writeStream.format("parquet").option("path", f"{path}/out")
+               .option("checkpointLocation", f"{path}/checkpoint")
+               .trigger(processingTime="0 seconds").start())
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return _file_profile(spark.read.schema(events.schema).parquet(f"{path}/out"))
+
+
 def _run_once(spark, stream):
     """Everything available now, through a file sink with a fresh checkpoint."""
     path = new_path(spark, "stream")

@@ -22,9 +22,14 @@ LOG_GLOB = "*.[0-9]*"  # mysql-bin.000121
 def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
                 start_file: int | None = None, magic: bool = True,
                 codes: tuple[int, ...] | None = None, bodies: bool = True,
-                base: str | None = None, holes: str = "fail") -> DataFrame:
+                base: str | None = None, holes: str = "fail", index: str | None = None,
+                index_every: int | None = None) -> DataFrame:
     """Events of a directory of log files (``LOG_EVENTS``), one task per file.
 
+    ``index`` names a folder for marks: (file, position, table maps in force) every
+    ``index_every`` bytes (16 MB). A scan leaves marks of what it reads to its end; later ones split
+    large files at them.
+
     ``reader="stream"`` lists the files, prunes those before ``start_file`` and streams their
     bytes. ``reader="binaryFile"`` reads through Spark's own file systems, one file as one value.
     The first one also takes filters on ``file_seq`` and ``type_code`` of the result: files and
@@ -53,10 +58,19 @@ def binlog_scan(spark: SparkSession, path: str, reader: str = "stream",
         source = source.option("start_file", str(start_file))
     if codes is not None:
         source = source.option("codes", ",".join(map(str, codes)))
+    for name, value in index_options(spark, index, index_every).items():
+        source = source.option(name, value)
     return (source.option("magic", str(magic).lower()).option("bodies", str(bodies).lower())
             .load())
 
 
+def index_options(spark: SparkSession, index: str | None, every: int | None) -> dict[str, str]:
+    """Options of the source for an index of marks."""
+    if index is None:
+        return {}
+    return {"index": qualified(spark, index), **({"index_every": str(every)} if every else {})}
+
+
 def split_logs(files: DataFrame, magic: bool = True, codes: tuple[int, ...] | None = None,
                bodies: bool = True) -> DataFrame:
     """Events of (path, content) rows: whole log files, batch or streaming. Names that do not end

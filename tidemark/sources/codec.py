@@ -37,12 +37,13 @@ def packed_int(data, at: int) -> tuple[int | None, int]:
 
 # ---- splitting ----------------------------------------------------------------------------
 
-def split_events(chunks, magic: bool = True):
+def split_events(chunks, magic: bool = True, start: int = 0):
     """Yield (offset, header fields, body) per event of a file given as byte chunks, in order.
+    With ``start`` the chunks begin there, where an event begins.
 
     Ends with (offset, None, reason) when the file is not a log or stops inside an event.
     """
-    buf, base, at, started = b"", 0, 0, not magic
+    buf, base, at, started = b"", start, 0, not magic or start > 0
     for chunk in chunks:
         buf, base, at = buf[at:] + chunk, base + at, 0
         if not started and len(buf) >= len(S.LOG_MAGIC):
@@ -74,6 +75,18 @@ class LogState:
         self.map_id_bytes = self.rows_id_bytes = 6
         self.maps: dict[int, bytes] = {}
 
+    def as_dict(self) -> dict:
+        return {"checksum": self.checksum, "widths": [self.map_id_bytes, self.rows_id_bytes],
+                "maps": {str(t): bytes(body).hex() for t, body in self.maps.items()}}
+
+    @classmethod
+    def from_dict(cls, known: dict) -> LogState:
+        state = cls()
+        state.checksum = known["checksum"]
+        state.map_id_bytes, state.rows_id_bytes = known["widths"]
+        state.maps = {int(t): bytes.fromhex(body) for t, body in known["maps"].items()}
+        return state
+
     def format(self, body) -> str | None:
         fixed = struct.calcsize(_FORMAT)
         if (len(body) < fixed + S.CHECKSUM_BYTES + 1
@@ -89,13 +102,19 @@ class LogState:
 
 
 def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: int = 0,
-             limit: int | None = None, codes=None, bodies: bool = True):
+             limit: int | None = None, codes=None, bodies: bool = True,
+             mark: tuple[int, dict] | None = None, every: int = 0, marks: list | None = None):
     """Rows of ``LOG_EVENTS`` for one file. With ``begin``/``limit`` only events that end in
     (begin, limit] are given; earlier ones still update the state, so their maps apply. A broken
     end is reported once the file is read without a limit: until then it may still grow. ``codes``
-    keeps events of these types only, ``bodies=False`` their headers only."""
-    state = LogState()
-    for off, head, body in split_events(chunks, magic):
+    keeps events of these types only, ``bodies=False`` their headers only.
+
+    A mark is an event's offset and the state there: with ``mark`` the chunks begin at it, and
+    ``marks`` gets one for every ``every`` bytes that are read."""
+    state, last = LogState(), 0
+    if mark is not None:
+        last, state = mark[0], LogState.from_dict(mark[1])
+    for off, head, body in split_events(chunks, magic, last):
         if head is None:
             if limit is None:
                 yield (log_file, file_seq, off, None, None, None, None, None, None, None, None,
@@ -104,6 +123,9 @@ def log_rows(chunks, log_file: str, file_seq: int, magic: bool = True, begin: in
         when, code, server_id, size, log_pos, flags = head
         if limit is not None and off + size > limit:
             return
+        if marks is not None and off - last >= every:
+            marks.append((off, state.as_dict()))
+            last = off
         # Positions are 32-bit numbers in the log and in ``seq``.
         error = "position_over_4gib" if off >> 32 else None
         table_id = table_map = id_bytes = None
