@@ -38,6 +38,16 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Remove intermediate folders that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        if name in _made:
+            _made.remove(name)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     _made.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
