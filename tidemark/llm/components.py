@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.scratch import new_path
+from ..sources.scratch import drop, new_path
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,10 +35,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": nodes[other], "b": roots[other]})
 
 
-def _stored(edges: DataFrame) -> DataFrame:
-    path = new_path(edges.sparkSession, "stars")
+def _stored(edges: DataFrame, after: str | None = None) -> tuple[DataFrame, str]:
+    """The edges as a written table, in the place of the one before it."""
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "stars")
     edges.write.parquet(path)
-    return edges.sparkSession.read.parquet(path)
+    if after is not None:
+        drop(spark, after)
+    return spark.read.parquet(path), path
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Batches are contracted and minima aggregated before they are shuffled, and each round is a
     written table, so that no lineage grows.
     """
-    current = _stored(edges.filter("a <> b").select("a", "b").mapInArrow(
+    current, path = _stored(edges.filter("a <> b").select("a", "b").mapInArrow(
         _contract, "a bigint, b bigint").distinct())
     while True:
         # An edge points from the larger node to the smaller: roots have no edge of their own. A
@@ -69,7 +72,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(
             "a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        current = _stored(small.mapInArrow(_contract, "a bigint, b bigint").distinct())
+        current, path = _stored(
+            small.mapInArrow(_contract, "a bigint, b bigint").distinct(), after=path)
     roots = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     tops = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return roots.unionByName(tops)

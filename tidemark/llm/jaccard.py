@@ -12,9 +12,12 @@ smaller ``l`` of the two.
 Work is arranged so that no group of copies meets in one task or is listed as pairs:
 
 1. Equal texts collapse to one row.
-2. Prefix tokens held by up to ``RARE`` documents give candidate pairs, filtered by size and
-   position; more frequent ones give a star to their smallest document. Components of both are
-   clusters: linked documents are always in one.
+2. Linked documents share a token of their shortest prefixes (``l`` of one). Where more than
+   ``RARE`` of these hold it, it gives a star to its smallest document; the tokens that longer
+   prefixes add, which are their most frequent ones, give no stars. All other shared tokens give
+   candidate pairs, filtered by size, position and the number of shared tokens, where those that
+   are not paired count as shared. Components of both are clusters: linked documents are always in
+   one.
 3. Clusters are cut into blocks of bounded size; small ones share blocks. Tasks get one or two
    blocks, apply the prefix rule, verify candidates exactly and keep only links that join what was
    apart. First every block alone and with the first block of its cluster; when the components of
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.scratch import new_path
+from ..sources.scratch import drop, new_path
 from .components import connected_components
 from .text import shingle_sets, sized
 
@@ -112,11 +115,11 @@ def raised(counters: np.ndarray, posts: DataFrame) -> np.ndarray:
     """The counters with those of tokens that more than ``RARE`` prefixes hold set above all
     others, in the order of these numbers: for the ``MAX_RAISED`` most frequent ones."""
     often = posts.groupBy("token").agg(F.count("*").alias("held")).filter(f"held > {RARE}")
-    found = np.array([(r.token, r.held) for r in often.orderBy(F.desc("held"), "token").limit(
-        MAX_RAISED).collect()], np.int64).reshape(-1, 2)
+    found = often.orderBy(F.desc("held"), "token").limit(MAX_RAISED).toArrow()
+    token, held = (found.column(c).to_numpy() for c in ("token", "held"))
     out = counters.copy()
-    slots = found[:, 0] & (len(counters) - 1)
-    np.maximum.at(out, slots, (int(counters.max(initial=0)) + found[:, 1]).astype(np.uint32))
+    np.maximum.at(out, token & (len(counters) - 1),
+                  (int(counters.max(initial=0)) + held).astype(np.uint32))
     return out
 
 
@@ -161,14 +164,20 @@ def _postings(shared, noise: float, width: int, num: int, den: int):
 def _clusters(posts: DataFrame, num: int, den: int) -> DataFrame:
     """``node`` and ``root`` of the clusters of documents that may be linked."""
     spark = posts.sparkSession
-    often = posts.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")) \
-        .filter("held > 1")
+    # The shortest prefix has ``least`` - 1 tokens less than the one written.
+    posts = posts.withColumn("short", F.expr(f"pos <= n - ({num} * n + {den - 1}) div {den}"))
+    often = posts.groupBy("token").agg(
+        F.count("*").alias("held"), F.count_if("short").alias("short_held"),
+        F.min(F.when(F.col("short"), F.col("node"))).alias("head")).filter("held > 1")
     path = new_path(spark, "shared-tokens")
     posts.join(often, "token").write.parquet(path)
-    stars = spark.read.parquet(path).filter(f"held > {RARE} and node <> head").select(
+    shared = spark.read.parquet(path)
+    stars = shared.filter(f"short and short_held > {RARE} and node <> head").select(
         F.col("node").alias("a"), F.col("head").alias("b"))
-    one = spark.read.parquet(path).filter(f"held <= {RARE}").select("token", "node", "n", "least",
-                                                                    "pos")
+    # Tokens of a prefix that are not paired may be shared with anyone.
+    loose = shared.filter(f"held > {RARE}").groupBy("node").agg(F.count("*").alias("loose"))
+    one = shared.filter(f"held <= {RARE} or (short and short_held <= {RARE})").select(
+        "token", "node", "n", "least", "pos", (F.col("held") <= RARE).alias("paired"))
     two = one.select(*[F.col(c).alias(c if c == "token" else f"{c}2") for c in one.columns])
     # The most that two sets can share, given where a common token stands in both.
     most = F.least("pos", "pos2") + 1 + F.least(F.expr("n - pos - 1"), F.expr("n2 - pos2 - 1"))
@@ -176,10 +185,16 @@ def _clusters(posts: DataFrame, num: int, den: int) -> DataFrame:
                      & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
                      & (most * (num + den) >= (F.col("n") + F.col("n2")) * num))
     pairs = pairs.groupBy("node", "node2").agg(
-        F.count("*").alias("c"), F.first("least").alias("l"), F.first("least2").alias("l2")) \
-        .filter(F.col("c") >= F.least("l", "l2")).select(
-        F.col("node").alias("a"), F.col("node2").alias("b"))
-    return connected_components(stars.unionByName(pairs))
+        F.count_if("paired").alias("c"), F.least(F.first("least"), F.first("least2")).alias("l"))
+    for name in ("node", "node2"):
+        pairs = pairs.join(loose.select(F.col("node").alias(name), F.col("loose").alias(
+            f"loose_{name}")), name, "left")
+    pairs = pairs.filter(F.col("c") + F.coalesce(
+        F.least(F.coalesce("loose_node", F.lit(0)), F.coalesce("loose_node2", F.lit(0))), F.lit(0))
+        >= F.col("l")).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    roots = connected_components(stars.unionByName(pairs))
+    drop(spark, path)
+    return roots
 
 
 def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
@@ -266,10 +281,9 @@ def _links(texts: DataFrame, nodes: DataFrame, tiles: DataFrame, run) -> DataFra
     tile, block, side."""
     placed = nodes.join(tiles, ["cluster", "block"]).select("node", "cluster", "group", "tile",
                                                             "side")
-    path = new_path(texts.sparkSession, "links")
-    texts.join(placed, "node").select("tile", "node", "cluster", "group", "side", "text").groupBy(
-        "tile").applyInArrow(run, "a bigint, b bigint, cluster bigint").write.parquet(path)
-    return texts.sparkSession.read.parquet(path)
+    return _written(texts.join(placed, "node").select(
+        "tile", "node", "cluster", "group", "side", "text").groupBy("tile").applyInArrow(
+        run, "a bigint, b bigint, cluster bigint"), "links")[0]
 
 
 def _cross_links(texts: DataFrame, nodes: DataFrame, links: DataFrame, run) -> DataFrame:
@@ -280,9 +294,7 @@ def _cross_links(texts: DataFrame, nodes: DataFrame, links: DataFrame, run) -> D
     roots = connected_components(links)
     known = nodes.select("node", "cluster").join(roots, "node", "left").select(
         "node", "cluster", F.coalesce("root", "node").alias("group"))
-    path = new_path(texts.sparkSession, "groups")
-    known.write.parquet(path)
-    known = texts.sparkSession.read.parquet(path)
+    known, _ = _written(known, "groups")
     groups = known.groupBy("cluster", "group").agg(F.count("*").alias("held"))
     small = F.when(F.col("held") < BLOCK, F.col("held"))
     clusters = groups.groupBy("cluster").agg(
@@ -313,53 +325,57 @@ def _cross_links(texts: DataFrame, nodes: DataFrame, links: DataFrame, run) -> D
     return _links(texts, dealt.select("node", "cluster", "block", "group"), tiles, run)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id``, ``n_shingles`` (of ``width`` words) and ``component_id``, the smallest doc_id
-    that links of ``num / den`` Jaccard similarity or more reach, for every row of ``docs``."""
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """A row for each different text: ``key`` (md5), ``first_id`` (smallest doc_id), ``n`` (tokens,
+    null without any) and ``root``, the number its component shares. Written; what leads to it is
+    removed."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.coalesce("text", F.lit("")).alias("text"))
-    key = F.unhex(F.md5("text"))
-    path = new_path(spark, "texts")
-    rows.groupBy(key.alias("key")).agg(F.first("text").alias("text"), F.min("doc_id").alias(
-        "first_id")).withColumn("node", F.monotonically_increasing_id()).write.parquet(path)
-    texts = spark.read.parquet(path)
+    texts, texts_path = _written(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        .groupBy(F.unhex(F.md5("text")).alias("key")).agg(
+            F.first("text").alias("text"), F.min("doc_id").alias("first_id")).withColumn(
+            "node", F.monotonically_increasing_id()), "texts")
 
     counters = token_frequencies(texts, width)
     noise = float(counters.sum(dtype=np.float64)) / len(counters)
-    def prefixes() -> DataFrame:
+
+    def prefixes(shared) -> DataFrame:
         return texts.select("node", "text").mapInArrow(
-            _postings(spark.sparkContext.broadcast(counters), noise, width, num, den),
+            _postings(shared, noise, width, num, den),
             "token bigint, node bigint, n int, least int, pos int")
 
     # The estimate mixes a token with others; where prefixes meet often, exact counts correct it.
-    counters = raised(counters, prefixes())
-    path = new_path(spark, "prefixes")
-    prefixes().write.parquet(path)
-    posts = spark.read.parquet(path)
     shared = spark.sparkContext.broadcast(counters)
-    found = _clusters(posts, num, den)
-    path = new_path(spark, "clusters")
-    found.write.parquet(path)
-    clusters = spark.read.parquet(path).select("node", F.col("root").alias("cluster"))
+    counters = raised(counters, prefixes(shared))
+    shared.destroy()
+    shared = spark.sparkContext.broadcast(counters)
+    del counters
+    posts, posts_path = _written(prefixes(shared), "prefixes")
+    sizes, sizes_path = _written(posts.filter("pos = 0").select("node", "n"), "sizes")
+    clusters, clusters_path = _written(_clusters(posts, num, den), "clusters")
+    drop(spark, posts_path)
+    clusters = clusters.select("node", F.col("root").alias("cluster"))
     run = _join_tile(shared, noise, width, num, den)
     slim = texts.select("node", "text")
 
     # Blocks: a cluster over BLOCK documents has its own, others share.
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("held"))
-    small = sizes.filter(f"held <= {BLOCK}").agg(F.sum("held")).first()[0] or 0
+    held = clusters.groupBy("cluster").agg(F.count("*").alias("held"))
+    small = held.filter(f"held <= {BLOCK}").agg(F.sum("held")).first()[0] or 0
     packs = max(1, -(-small // BLOCK))
     parts = F.ceil(F.col("held") / BLOCK).cast("bigint")
-    sizes = sizes.withColumn("parts", F.when(F.col("held") > BLOCK, parts).otherwise(0))
+    held = held.withColumn("parts", F.when(F.col("held") > BLOCK, parts).otherwise(0))
     dealt = F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("bigint")
-    nodes = clusters.join(sizes, "cluster").select(
+    nodes, nodes_path = _written(clusters.join(held, "cluster").select(
         "node", F.when(F.col("parts") > 0, F.col("cluster")).otherwise(-1).alias("cluster"),
         F.when(F.col("parts") > 0, dealt).otherwise(
             F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("block"),
-        F.col("node").alias("group"))
-    path = new_path(spark, "blocks")
-    nodes.write.parquet(path)
-    nodes = spark.read.parquet(path)
+        F.col("node").alias("group")), "blocks")
     blocks = nodes.select("cluster", "block").distinct()
     alone = blocks.select("cluster", "block", F.concat_ws("/", "cluster", "block").alias("tile"),
                           F.lit(0).alias("side"))
@@ -378,23 +394,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         links = links.filter("cluster >= 0")
         links = links.unionByName(_cross_links(slim, large, links, run))
         roots = roots.unionByName(connected_components(links))
-    labelled = texts.select("key", "node", "first_id").join(roots, "node", "left").select(
-        "key", "first_id", "node", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    sizes = posts.groupBy("node").agg(F.first("n").alias("n"))
-    named = labelled.join(smallest, "root").join(sizes, "node", "left").select(
+    shared.destroy()
+    found, _ = _written(texts.select("key", "node", "first_id").join(roots, "node", "left").join(
+        sizes, "node", "left").select("key", "first_id", "n", F.coalesce("root", "node").alias(
+            "root")), "components")
+    drop(spark, texts_path, sizes_path, clusters_path, nodes_path)
+    return found
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id``, ``n_shingles`` (of ``width`` words) and ``component_id``, the smallest doc_id
+    that links of ``num / den`` Jaccard similarity or more reach, for every row of ``docs``."""
+    found = _components(docs, width, num, den)
+    smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = found.join(smallest, "root").select(
         "key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_shingles"), "component_id")
     # Rows are two numbers each: a text that a third of all rows share is split by skew joins.
-    return rows.select("doc_id", key.alias("key")).join(named, "key").select(
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                       F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    return rows.join(named, "key").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(
             F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of every component the document with the
-    smallest doc_id, of equal rows with that id one. Rows with a null doc_id stay."""
-    found = near_duplicates(docs, width, num, den)
-    stay = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))) \
-        .select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
-    kept = docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` without near-duplicates: one row of every component, with the smallest
+    doc_id (a null one only where no row has an id), whatever ids the other rows have. Rows without
+    words are in no component and stay; so does one of wholly equal rows of these."""
+    found = _components(docs, width, num, den)
+    chosen = found.filter("n IS NOT NULL").groupBy("root").agg(F.min(F.struct(
+        F.col("first_id").isNull().alias("none"), "first_id", "key")).alias("best")).select(
+        F.col("best.key").alias("__key"))
+    has_words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    # Equal texts are one row before anything is sent on.
+    each = docs.filter(has_words).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.unhex(F.md5("text")).alias("__key"), F.struct(
+            F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"),
+            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")).alias("__place"))
+    each = each.groupBy("__key").agg(F.min_by("__row", "__place").alias("__row"))
+    kept = each.join(chosen, "__key", "left_semi").select("__row.*")
+    return kept.unionByName(docs.filter(~has_words).dropDuplicates(["doc_id", "text"]))

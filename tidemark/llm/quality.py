@@ -126,8 +126,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def _balanced(rows: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Rarity weights, with equal lengths for the triples and for the other terms."""
     rows = rows * rarity
-    rows[:, :HASHED] = _unit(rows[:, :HASHED])
-    rows[:, HASHED:] = _unit(rows[:, HASHED:])
+    for part in (rows[:, :HASHED], rows[:, HASHED:]):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
     return rows
 
 
@@ -163,12 +163,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """Learn from at most ``per_class`` labelled documents of each class."""
     texts, _ = labelled_texts(docs, labels, label, per_class)
     sample = texts.mapInArrow(
-        _sparse, "doc_id bigint, label int, at array<int>, value array<float>").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.at))
+        _sparse, "doc_id bigint, label int, at array<int>, value array<float>").toArrow()
+    sample = sample.sort_by("doc_id").combine_chunks()
+    at = sample.column("at").combine_chunks()
     rows = np.zeros((len(sample), WIDTH), np.float32)
-    for i, r in enumerate(sample):
-        rows[i, r.at] = r.value
-    return fit(rows, np.array([r.label for r in sample], np.float64))
+    rows[np.repeat(np.arange(len(sample)), at.value_lengths().to_numpy()),
+         at.flatten().to_numpy()] = sample.column("value").combine_chunks().flatten().to_numpy()
+    return fit(rows, sample.column("label").to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
