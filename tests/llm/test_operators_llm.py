@@ -218,6 +218,57 @@ def test_one_of_each(spark, make_docs):
     assert one_of_each(make_docs([])).count() == 0 and out.columns[1] == "text"
 
 
+def test_one_of_each_decides_by_row(spark, make_docs):
+    """Edited copies without ids give one row; an id that another component's representative has
+    does not keep a row; rows without words stay."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:k] + ["other"] + words[k + 1:]) for k in (0, 59)] + [" ".join(words)]
+    away = [f"v{i}" for i in range(60)]
+    rows = [(None, t) for t in near] + [(None, near[0])] * 5
+    kept = one_of_each(make_docs(rows)).collect()
+    assert len(kept) == 1 and kept[0].doc_id is None
+    rows = [(7, near[0]), (5, near[1]), (5, " ".join(away)), (2, " ".join(away[:59] + ["x"])),
+            (None, near[2]), (1, ""), (1, " "), (None, None)]
+    kept = one_of_each(make_docs(rows, node="n", key="k")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(
+        [(5, near[1]), (2, rows[3][1]), (1, ""), (1, " "), (None, None)])
+
+
+@pytest.mark.parametrize("rare, num", [(1, 60), (2, 80), (4, 50), (16, 60)])
+def test_jaccard_finds_every_link_whatever_is_frequent(spark, make_docs, monkeypatch, rare, num):
+    """Few different words, so that most tokens are frequent; groups of copies edited again and
+    again, and documents that share passages only."""
+    monkeypatch.setattr("tidemark.llm.jaccard.RARE", rare)
+    rng = random.Random(rare * 100 + num)
+    passages = [[rng.choice("abcde") for _ in range(12)] for _ in range(6)]
+    texts = []
+    for _ in range(25):
+        base = sum(rng.sample(passages, 3), []) + [rng.choice("abcdefgh") for _ in range(15)]
+        for _ in range(rng.randint(1, 9)):
+            texts.append(" ".join(base))
+            for _ in range(rng.randint(1, 3)):
+                base = list(base)
+                base[rng.randrange(len(base))] = rng.choice("abcdefghij")
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    sets = {i: {tuple(t.split()[k:k + 2]) for k in range(len(t.split()) - 1)} for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.component_id for r in near_duplicates(
+        make_docs(docs), width=2, num=num).collect()}
+    assert got == {i: find(i) for i in sets}
+    assert 1 < len(set(got.values())) < len(got)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(
