@@ -18,9 +18,9 @@ Work is arranged so that no group of copies meets in one task or is listed as pa
    candidate pairs, filtered by size, position and the number of shared tokens, where those that
    are not paired count as shared. Components of both are clusters: linked documents are always in
    one.
-3. Clusters are cut into blocks of bounded size; small ones share blocks. Tasks get one or two
-   blocks, apply the prefix rule, verify candidates exactly and keep only links that join what was
-   apart. First every block alone and with the first block of its cluster; when the components of
+3. Clusters are cut into blocks of bounded size; small ones share blocks. Tasks get the prefixes of
+   one or two blocks and apply the prefix rule, then the texts of documents with candidates, verify
+   these exactly and keep only links that join what was apart. First every block alone and with the first block of its cluster; when the components of
    that are known, the remaining pairs of blocks, without those inside one component.
 
 Defined cases: a null text is empty; a document without words has an empty set, no links and its
@@ -54,8 +54,8 @@ _DIRECT = 48
 MOST_SHARED, RARE = 6, 16
 #: Tokens whose counters are corrected by exact counts, at most.
 MAX_RAISED = 1 << 18
-#: Documents in a block.
-BLOCK = 512
+#: Documents in a block; one with more than ``LONG`` shingles counts as so many times that.
+BLOCK, LONG = 512, 1024
 
 
 def _count_tokens(width: int, size: int):
@@ -151,16 +151,18 @@ def _postings(shared, noise: float, width: int, num: int, den: int):
             if not out:
                 continue
             node, n, least, size = (np.array(x) for x in zip(*meta))
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
-                "token": pa.array(np.concatenate(out).view(np.int64)),
-                "node": pa.array(np.repeat(node, size), pa.int64()),
-                "n": pa.array(np.repeat(n, size), pa.int32()),
-                "least": pa.array(np.repeat(least, size), pa.int32()),
-                "pos": pa.array(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size),
-                                pa.int32())})
+                "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int32()),
+                "least": pa.array(least, pa.int32()), "tokens": pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))})
     return emit
 
 
+def _exploded(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select("node", "n", "least", F.posexplode("tokens").alias("pos", "token"))
+
+
 def _clusters(posts: DataFrame, num: int, den: int) -> DataFrame:
     """``node`` and ``root`` of the clusters of documents that may be linked."""
     spark = posts.sparkSession
@@ -197,6 +199,49 @@ def _clusters(posts: DataFrame, num: int, den: int) -> DataFrame:
     return roots
 
 
+def _index(parts: list[np.ndarray]):
+    """For each token the places of the parts that hold it."""
+    tokens = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    order = np.argsort(tokens, kind="stable")
+    values, start = np.unique(tokens[order], return_index=True)
+    return values, np.append(start, len(tokens)), owner[order], len(parts)
+
+
+def _shared(tokens: np.ndarray, lists) -> np.ndarray:
+    """How many of some indexed tokens each part holds."""
+    values, start, owner, parts = lists
+    at = np.searchsorted(values, tokens)
+    first, count = start[at], start[at + 1] - start[at]
+    ends = np.cumsum(count)
+    found, done = np.zeros(parts, np.int64), 0
+    while done < len(tokens):
+        base = ends[done - 1] if done else 0
+        stop = max(done + 1, int(np.searchsorted(ends, base + _ENTRIES, "right")))
+        part, size = first[done:stop], count[done:stop]
+        places = np.repeat(part - (ends[done:stop] - size - base), size)
+        places += np.arange(len(places))
+        found += np.bincount(owner[places], minlength=parts)
+        done = stop
+    return found
+
+
+def candidates(prefixes: list[tuple[np.ndarray, int]], size: np.ndarray, known: np.ndarray,
+               side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set the earlier ones that may be linked to it by the rules of prefixes and sizes,
+    without those ``known`` says are together (which may change meanwhile)."""
+    short = _index([p[0] for p in prefixes])
+    least = np.array([p[1] for p in prefixes])
+    for x in range(len(prefixes)):
+        other = (_shared(prefixes[x][0], short) >= np.minimum(least, least[x])) & (known != known[x])
+        other &= np.minimum(size, size[x]) * den >= np.maximum(size, size[x]) * num
+        if side[x]:
+            other &= side != side[x]
+        other[x:] = False  # a pair is looked at from its later set
+        if other.any():
+            yield x, np.flatnonzero(other)
+
+
 def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
               group: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """What links join: for each group that became part of another one, (its first set, that
@@ -206,49 +251,14 @@ def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
     those of the other side only.
     """
     parent = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]]
-    size = np.array([len(s) for s in sets])
-    least = np.array([p[1] for p in prefixes])
-
-    def index(parts: list[np.ndarray]):
-        tokens = np.concatenate(parts)
-        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-        order = np.argsort(tokens, kind="stable")
-        values, start = np.unique(tokens[order], return_index=True)
-        return values, np.append(start, len(tokens)), owner[order]
-
-    def shared(tokens: np.ndarray, lists) -> np.ndarray:
-        values, start, owner = lists
-        at = np.searchsorted(values, tokens)
-        first, count = start[at], start[at + 1] - start[at]
-        ends = np.cumsum(count)
-        found, done = np.zeros(len(sets), np.int64), 0
-        while done < len(tokens):
-            base = ends[done - 1] if done else 0
-            stop = max(done + 1, int(np.searchsorted(ends, base + _ENTRIES, "right")))
-            part, size = first[done:stop], count[done:stop]
-            places = np.repeat(part - (ends[done:stop] - size - base), size)
-            places += np.arange(len(places))
-            found += np.bincount(owner[places], minlength=len(sets))
-            done = stop
-        return found
-
-    short, whole = index([p[0] for p in prefixes]), None
+    size, whole = np.array([len(s) for s in sets]), None
     known = parent.copy()
-    for x in range(len(sets)):
-        hit = shared(prefixes[x][0], short)
-        other = (hit >= np.minimum(least, least[x])) & (known != known[x])
-        other &= np.minimum(size, size[x]) * den >= np.maximum(size, size[x]) * num
-        if side[x]:
-            other &= side != side[x]
-        other[x:] = False  # a pair is looked at from its later set
-        if not other.any():
-            continue
-        near = np.flatnonzero(other)
+    for x, near in candidates(prefixes, size, known, side, num, den):
         if len(near) <= _DIRECT:
             overlap = np.array([np.isin(sets[y], sets[x], assume_unique=True).sum() for y in near])
         else:
-            whole = whole or index(sets)
-            overlap = shared(sets[x], whole)[near]
+            whole = whole or _index(sets)
+            overlap = _shared(sets[x], whole)[near]
         for y in near[overlap * den >= num * (size[near] + size[x] - overlap)]:
             if known[y] != known[x]:
                 known[known == max(known[y], known[x])] = min(known[y], known[x])
@@ -256,6 +266,24 @@ def join_sets(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, int]],
     return [(int(g), int(known[g])) for g in first if known[g] != g]
 
 
+def _sift(num: int, den: int):
+    """Rows of a tile that may be linked to another one, from their prefixes alone."""
+    def sift(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("tokens").combine_chunks()
+        tokens = lists.flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        prefixes = list(zip(np.split(tokens, ends[:-1]), table.column("least").to_numpy()))
+        group = table.column("group").to_numpy()
+        met = np.zeros(len(group), bool)
+        for x, near in candidates(prefixes, table.column("n").to_numpy().astype(np.int64), group,
+                                  table.column("side").to_numpy(), num, den):
+            met[x] = True
+            met[near] = True
+        return table.select(["tile", "node"]).filter(pa.array(met))
+    return sift
+
+
 def _join_tile(shared, noise: float, width: int, num: int, den: int):
     def join(table: pa.Table) -> pa.Table:
         counters = shared.value
@@ -276,26 +304,34 @@ def _join_tile(shared, noise: float, width: int, num: int, den: int):
     return join
 
 
-def _links(texts: DataFrame, nodes: DataFrame, tiles: DataFrame, run) -> DataFrame:
+def _links(texts: DataFrame, heads: DataFrame, nodes: DataFrame, tiles: DataFrame, run, num: int,
+           den: int) -> DataFrame:
     """Links found in tiles, written. ``nodes``: node, cluster, block, group; ``tiles``: cluster,
-    tile, block, side."""
+    tile, block, side. Tiles first get prefixes (``heads``), then the texts of those documents that
+    these leave a partner."""
     placed = nodes.join(tiles, ["cluster", "block"]).select("node", "cluster", "group", "tile",
                                                             "side")
-    return _written(texts.join(placed, "node").select(
+    met, path = _written(heads.join(placed, "node").select(
+        "tile", "node", "group", "side", "n", "least", "tokens").groupBy("tile").applyInArrow(
+        _sift(num, den), "tile string, node bigint"), "met")
+    links, _ = _written(texts.join(placed.join(met, ["tile", "node"]), "node").select(
         "tile", "node", "cluster", "group", "side", "text").groupBy("tile").applyInArrow(
-        run, "a bigint, b bigint, cluster bigint"), "links")[0]
+        run, "a bigint, b bigint, cluster bigint"), "links")
+    drop(texts.sparkSession, path)
+    return links
 
 
-def _cross_links(texts: DataFrame, nodes: DataFrame, links: DataFrame, run) -> DataFrame:
+def _cross_links(texts: DataFrame, heads: DataFrame, nodes: DataFrame, links: DataFrame, run,
+                 num: int, den: int) -> DataFrame:
     """Links between the components that blocks of one cluster still have, written.
 
     Large components get blocks of their own, small ones of a cluster share blocks; pairs of
     blocks inside one component are left out."""
     roots = connected_components(links)
-    known = nodes.select("node", "cluster").join(roots, "node", "left").select(
-        "node", "cluster", F.coalesce("root", "node").alias("group"))
+    known = nodes.select("node", "cluster", "weight").join(roots, "node", "left").select(
+        "node", "cluster", "weight", F.coalesce("root", "node").alias("group"))
     known, _ = _written(known, "groups")
-    groups = known.groupBy("cluster", "group").agg(F.count("*").alias("held"))
+    groups = known.groupBy("cluster", "group").agg(F.sum("weight").alias("held"))
     small = F.when(F.col("held") < BLOCK, F.col("held"))
     clusters = groups.groupBy("cluster").agg(
         F.count("*").alias("groups"), F.coalesce(F.sum(small), F.lit(0)).alias("loose")).filter(
@@ -322,7 +358,8 @@ def _cross_links(texts: DataFrame, nodes: DataFrame, links: DataFrame, run) -> D
         blocks.filter("inside IS NULL").select(
             "cluster", "block", F.concat_ws("/", "cluster", "block").alias("tile"),
             F.lit(0).alias("side")))
-    return _links(texts, dealt.select("node", "cluster", "block", "group"), tiles, run)
+    return _links(texts, heads, dealt.select("node", "cluster", "block", "group"), tiles, run, num,
+                  den)
 
 
 def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -348,31 +385,31 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def prefixes(shared) -> DataFrame:
         return texts.select("node", "text").mapInArrow(
             _postings(shared, noise, width, num, den),
-            "token bigint, node bigint, n int, least int, pos int")
+            "node bigint, n int, least int, tokens array<bigint>")
 
     # The estimate mixes a token with others; where prefixes meet often, exact counts correct it.
     shared = spark.sparkContext.broadcast(counters)
-    counters = raised(counters, prefixes(shared))
+    counters = raised(counters, _exploded(prefixes(shared)))
     shared.destroy()
     shared = spark.sparkContext.broadcast(counters)
     del counters
-    posts, posts_path = _written(prefixes(shared), "prefixes")
-    sizes, sizes_path = _written(posts.filter("pos = 0").select("node", "n"), "sizes")
-    clusters, clusters_path = _written(_clusters(posts, num, den), "clusters")
-    drop(spark, posts_path)
+    heads, heads_path = _written(prefixes(shared), "prefixes")
+    clusters, clusters_path = _written(_clusters(_exploded(heads), num, den), "clusters")
     clusters = clusters.select("node", F.col("root").alias("cluster"))
     run = _join_tile(shared, noise, width, num, den)
     slim = texts.select("node", "text")
 
-    # Blocks: a cluster over BLOCK documents has its own, others share.
-    held = clusters.groupBy("cluster").agg(F.count("*").alias("held"))
+    # Blocks: a cluster over BLOCK documents has its own, others share. Long ones count as several.
+    clusters = clusters.join(heads.select("node", F.greatest(F.lit(1), F.expr(
+        f"n div {LONG}")).cast("bigint").alias("weight")), "node")
+    held = clusters.groupBy("cluster").agg(F.sum("weight").alias("held"))
     small = held.filter(f"held <= {BLOCK}").agg(F.sum("held")).first()[0] or 0
     packs = max(1, -(-small // BLOCK))
     parts = F.ceil(F.col("held") / BLOCK).cast("bigint")
     held = held.withColumn("parts", F.when(F.col("held") > BLOCK, parts).otherwise(0))
     dealt = F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("bigint")
     nodes, nodes_path = _written(clusters.join(held, "cluster").select(
-        "node", F.when(F.col("parts") > 0, F.col("cluster")).otherwise(-1).alias("cluster"),
+        "node", "weight", F.when(F.col("parts") > 0, F.col("cluster")).otherwise(-1).alias("cluster"),
         F.when(F.col("parts") > 0, dealt).otherwise(
             F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("block"),
         F.col("node").alias("group")), "blocks")
@@ -384,7 +421,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     with_first = others.select("cluster", "block", to_first.alias("tile"), F.lit(1).alias("side")) \
         .unionByName(others.select("cluster", F.lit(0).cast("bigint").alias("block"),
                                    to_first.alias("tile"), F.lit(2).alias("side")))
-    links = _links(slim, nodes, alone.unionByName(with_first), run)
+    links = _links(slim, heads, nodes, alone.unionByName(with_first), run, num, den)
 
     # A cluster inside one block is done: its links lead to its components' first nodes.
     inside = links.filter("cluster < 0")
@@ -392,13 +429,13 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     large = nodes.filter("cluster >= 0")
     if not large.isEmpty():
         links = links.filter("cluster >= 0")
-        links = links.unionByName(_cross_links(slim, large, links, run))
+        links = links.unionByName(_cross_links(slim, heads, large, links, run, num, den))
         roots = roots.unionByName(connected_components(links))
     shared.destroy()
     found, _ = _written(texts.select("key", "node", "first_id").join(roots, "node", "left").join(
-        sizes, "node", "left").select("key", "first_id", "n", F.coalesce("root", "node").alias(
+        heads.select("node", "n"), "node", "left").select("key", "first_id", "n", F.coalesce("root", "node").alias(
             "root")), "components")
-    drop(spark, texts_path, sizes_path, clusters_path, nodes_path)
+    drop(spark, texts_path, heads_path, clusters_path, nodes_path)
     return found
 
 
