@@ -30,6 +30,9 @@ from .schema import (
     schema_asof,
     unmatched_rows,
 )
+from .sketches import (
+    key_sketches, merge_key_sketches, read_key_sketches, write_key_sketches,
+)
 from .validate import key_reason, split_valid, validate_key
 
 __all__ = [
@@ -37,8 +40,7 @@ __all__ = [
     "apply_changes", "apply_deletes", "apply_inserts", "apply_multi_table", "apply_updates",
     "assign_segment", "attach_table_map", "carry_last", "carry_position", "change_metrics",
     "change_summary", "column_catalog", "event_headers", "event_profile", "format_events", "is_live",
-    "key_reason", "late_changes", "live_row_timeline", "reject_types", "resume_from", "rotate_events",
-    "running_total",
-    "schema_asof", "split_valid", "state_as_of", "supported_events", "tap", "unmatched_rows",
-    "validate_key", "with_seq",
+    "key_reason", "key_sketches", "late_changes", "live_row_timeline", "merge_key_sketches",
+    "read_key_sketches", "reject_types", "resume_from", "rotate_events", "running_total", "schema_asof", "split_valid", "state_as_of", "supported_events", "tap", "unmatched_rows",
+    "validate_key", "with_seq", "write_key_sketches",
 ]

@@ -117,6 +117,14 @@ SELECT "database", "table", op, count(*) AS n_changes,
        count(*) FILTER (WHERE op <> 'INSERT' AND NOT live) AS missing_key_changes
 FROM seen GROUP BY ALL"""
 
+ORACLE["stream_metrics"] = ORACLE["change_metrics"]
+
+ORACLE["key_sketches"] = f"""
+WITH {FEED_A}
+SELECT "database", "table", op, count(*) AS n_changes, count(DISTINCT key) AS distinct_keys,
+       true AS estimate_within_a_tenth
+FROM feed_a GROUP BY ALL"""
+
 CODE = """CASE event_type WHEN 'signup' THEN 23 WHEN 'error' THEN 25 WHEN 'purchase' THEN 2
      ELSE 24 END"""
 

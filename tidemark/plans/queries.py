@@ -15,9 +15,9 @@ from ..functions import (
 from ..operators import (
     LOG_RANGE_BITS, apply_changes, apply_deletes, apply_inserts, apply_multi_table, apply_updates,
     assign_segment, carry_position, change_metrics, column_catalog, event_headers,
-    event_profile, format_events, live_row_timeline,
+    event_profile, format_events, live_row_timeline, read_key_sketches,
     reject_types, resume_from, rotate_events, schema_asof, split_valid, state_as_of, supported_events, tap,
-    unmatched_rows, validate_key,
+    unmatched_rows, validate_key, write_key_sketches,
 )
 from ..sources.binlog import (
     binlog_scan, decode_rows, read_changes, read_images, table_maps, tables_row_type,
@@ -33,8 +33,8 @@ from ..sources.tables import (
     state_to_json, typed_targets,
 )
 from ..streaming import (
-    apply_stream, binlog_stream, change_stream, maintain_store, publish, read_state,
-    resolve_stream, route_stream,
+    apply_stream, binlog_stream, change_stream, maintain_store, publish, read_metrics, read_state,
+    resolve_stream, route_stream, stream_metrics,
 )
 from . import feeds
 from .packing import log_folder
@@ -432,6 +432,36 @@ def _change_metrics(spark, sf_dir):
     return change_metrics(feeds.mixed_feed(spark, sf_dir))
 
 
+@query("stream_metrics")
+def _stream_metrics(spark, sf_dir):
+    """As ``change_metrics``, from a stream of four files in no order."""
+    path = new_path(spark, "metrics")
+    feed = feeds.mixed_feed(spark, sf_dir).select("database", "table", "key", "op", "seq")
+    feed.repartition(4, "seq", "key").write.parquet(f"{path}/feed")
+    changes = (spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", "2")
+               .parquet(f"{path}/feed"))
+    stream_metrics(changes, f"{path}/target", f"{path}/checkpoint",
+                   availableNow=True).awaitTermination()
+    return read_metrics(spark, f"{path}/target")
+
+
+@query("key_sketches")
+def _key_sketches(spark, sf_dir):
+    """Sketches stored per log file, merged and held against the exact distinct counts."""
+    path = new_path(spark, "sketches")
+    changes = feeds.user_changes(spark, sf_dir)
+    # A file for every 4,096 events.
+    write_key_sketches(changes.withColumn("seq", F.shiftleft(F.shiftright("seq", 12), 32)
+                                          + F.col("seq") % 4096), path)
+    by = ["database", "table", "op"]
+    exact = changes.groupBy(*by).agg(F.countDistinct("id").alias("distinct_keys"))
+    merged = read_key_sketches(spark, path, top=1).withColumnRenamed("distinct_keys", "estimate")
+    return merged.join(exact, by).select(
+        *by, "n_changes", "distinct_keys",
+        (F.abs(F.col("estimate") - F.col("distinct_keys")) <= 0.1 * F.col("distinct_keys"))
+        .alias("estimate_within_a_tenth"))
+
+
 @query("tap")
 def _tap(spark, sf_dir):
     watched = tap(feeds.user_changes(spark, sf_dir), f"users-{uuid.uuid4().hex}",
