@@ -399,6 +399,40 @@ def test_secrets_in_other_forms(spark, make_docs):
     assert not any(x.is_secret for i in range(plain, plain + 60) for x in by.get(i, []))
 
 
+def test_secrets_of_any_length_and_in_addresses(spark, make_docs):
+    rng = random.Random(8)
+    alnum = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    def pick(n):
+        return "".join(rng.choice(alnum) for _ in range(n - 3)) + "a7Q"
+    rows, want = [], {}
+    def add(before, value, after=" and more"):
+        want[len(rows)] = (len(before), value)
+        rows.append((len(rows), before + value + after))
+    for i in range(20):
+        add('password = "', " ".join(pick(9) for _ in range(60)), '" end')
+        add("\U0001f511 token='", pick(5_000), "' end")
+        add("token=", ";".join(pick(12) for _ in range(300)))
+        add("so ", ".".join(pick(20) for _ in range(80)))
+        add("postgres://admin:", "s3cr" + pick(5), "@db.example:5432/x")
+        add("see \U0001f511 mongodb+srv://" + "long-user-name" * 5 + ":", pick(9) + "@x", "@db/x")
+        add("pw: ", "hunter2pass" + str(i))
+        add("pass=", "p.s$" + pick(8))
+        add("\ufdd0 x \ufdd0\ufdd0 api_key: ", pick(24))
+    plain = len(rows)
+    rows += [(plain + i, t) for i, t in enumerate(
+        ["https://user:password@host/x", "https://host.example:8080/path/to/a/page",
+         "internationalizationofthings and words", "they pass 1234abcd, pw 1234abcd on",
+         "a://b:" + "c" * 50_000, 'token="' * 5_000, "token=" + "&;" * 20_000] * 5)]
+    by = {}
+    for r in scan_secrets(make_docs(rows)).collect():
+        by.setdefault(r.doc_id, []).append(r)
+        assert rows[r.doc_id][1][r.start:][:len(r.value)] == r.value
+    for i, (start, value) in want.items():
+        assert [(x.start, x.value, x.is_secret) for x in by.get(i, [])] == [(start, value, 1)], rows[i]
+    for i in range(plain, len(rows)):
+        assert (i - plain) % 7 > 3 or not any(x.is_secret for x in by.get(i, [])), rows[i]
+
+
 # ---- op8 ----------------------------------------------------------------------------------
 
 @settings(max_examples=80, deadline=None)

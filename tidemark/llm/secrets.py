@@ -1,8 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 In built-in functions and Spark's own forest only. A candidate is a run of 16 or more of letters
-A-Z, digits and ``+ / _ = -``, such runs joined by dots, or after a credential's name what quotes
-hold or any 6 or more marks without blanks. A name and ``=`` or ``:`` before it belong to what
+A-Z, digits and ``+ / _ = -``, such runs joined by dots, after a credential's name what quotes
+hold or any 6 or more marks without blanks, or the password of an address
+(``scheme://user:password@host``); none has a longest length. A name and ``=`` or ``:`` before it belong to what
 stands around it. Its features are its length; its character transitions (runs of one
 kind, and pairs of neighbours that are frequent in the corpus's words); how much of it dictionary
 words cover, the dictionary being the most frequent words of all documents; signs of a path or
@@ -28,26 +29,34 @@ from ..sources.scratch import new_path
 #: Labelled findings of each kind that the forest may learn from.
 PER_KIND = 20_000
 DICTIONARY_WORDS, CONTEXT = 400, 48
-# Names of credentials, fixed values.
-_NAMES = (r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key"
-          r"|credential|auth|bearer)")
-_NAME = "(?i:" + _NAMES[4:].replace("(", "(?:") + ")"
+# Names of credentials, fixed values; the short ones only as whole words before an assignment.
+_NAMES = (r"(?i:token|secret|passw(?:or)?d|passwd|pwd|passphrase|api[_\- ]?key|access[_\- ]?key"
+          r"|private[_\- ]?key|credential|auth|bearer)")
+_SHORT_NAMES = r"(?<![A-Za-z])(?i:pw|pass)"
+_ASSIGN = r"\s{0,4}(?:=>|:=|==|[=:])\s{0,4}"
 # A credential's name up to its value: an assignment, or blanks before something with a digit.
-_LEAD = (r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{0,40}?" + _NAME + r"[A-Za-z0-9_\-]{0,24}[\"'`]?"
-         r"(?:\s{0,4}(?:=>|:=|==|[=:])\s{0,4}|\s{1,4}(?:is\s)?(?=[^\s\"'`]{0,200}[0-9]))"
-         r"(?:(?i:bearer|basic|token)\s{1,4})?+")
-# Its value: what quotes hold, or 6 or more marks that are not blank.
-# Groups repeat a bounded number of times, as each repeat takes stack.
-_MARK = r"[^\s\"'`<>&,;]"
-_VALUE = (r"(?:[\"'`]?(?:(?<=\")[^\"\r\n]{6,512}(?=\")|(?<=')[^'\r\n]{6,512}(?=')"
-          r"|(?=[^\s\"'`<>]{6})" + _MARK + r"+(?:[&,;](?!\s|[A-Za-z0-9_]+=|$)" + _MARK
-          + r"+){0,100}(?<![.:!?)\]}])))")
+_LEAD = (r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{0,40}?(?:" + _NAMES + r"[A-Za-z0-9_\-]{0,24}[\"'`]?"
+         r"(?:" + _ASSIGN + r"|\s{1,4}(?:is\s)?(?=[^\s\"'`0-9]*+[0-9]))"
+         r"|" + _SHORT_NAMES + r"[\"'`]?" + _ASSIGN + r")(?:(?i:bearer|basic|token)\s{1,4})?+")
+# Its value: what quotes hold, or 6 or more marks that are not blank, without stops at the end.
+# Groups repeat possessively: other repeats of groups take stack for each turn.
+_STOPS, _SOLID = r"[.:!?)\]}&,;]", r"[^\s\"'`<>.:!?)\]}&,;]"
+_VALUE = (r"(?:[\"'`]?(?:(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')"
+          r"|(?=[^\s\"'`<>]{6})(?![&,;])(?:" + _SOLID + r"++|" + _STOPS + r"++(?=" + _SOLID
+          + r")(?:(?<![&,;])|(?![A-Za-z0-9_]++=)))++))")
+# The password of an address: what is between the user and the host.
+_LOGIN_LEAD = r"://[^\s/:@\"'`<>]*+:"
+_LOGIN = "(?<=[A-Za-z0-9])" + _LOGIN_LEAD + r"[^\s/\"'`<>]+(?=@[A-Za-z0-9\[])"
 # Runs without such a name: parts joined by dots, and single ones.
-_RUN = r"[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]{6,}){1,50}|[A-Za-z0-9+/_=\-]{16,}"
-_CANDIDATE = _LEAD + _VALUE + "|" + _RUN
+_RUN = r"[A-Za-z0-9_\-]{16,}+(?:\.[A-Za-z0-9_\-]{6,}+)++|[A-Za-z0-9+/_=\-]{16,}+"
+_CANDIDATE = _LOGIN + "|" + _LEAD + _VALUE + "|" + _RUN
+# A character that no text should hold; texts that do hold it take another way.
+_MARKER = "\ufdd0"
 # What of a candidate stands before its value: the credential's name, or another name and `=`.
-_NAMED_LEAD = "^" + _LEAD + r"[\"'`]?(?=\S)"
+_NAMED_LEAD = "^(?:" + _LOGIN_LEAD + "|" + _LEAD + r"[\"'`]?(?=\S))"
 _OTHER_LEAD = r"^[A-Za-z_][A-Za-z0-9_\-]*=+(?=[A-Za-z0-9+/_\-.]{16})"
+# Passwords of addresses in examples.
+_SAMPLES = r"(?i)^(user|pass|pw|pwd|password|passwd|secret|token|changeme)$"
 # Forms that only secrets have.
 _FORMS = (r"^(A(KIA|SIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{20,}|xox[abprs]-\S{10,}"
           r"|[sr]k_(live|test)_\w{10,}|AIza[\w\-]{35}|glpat-[\w\-]{20}"
@@ -56,41 +65,58 @@ _FORMS = (r"^(A(KIA|SIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{20
 _STAND_INS = r"(?i)^(\$|%|\{|\*+$|x+$|null|none|true|false|undefined|required|optional|your|example)"
 FEATURES = ("length", "runs", "pairs", "distinct", "digits", "upper", "marks", "hex", "coverage",
             "slashes", "after_path", "address", "named", "assigned", "quoted", "word_before",
-            "digits_before", "word_after", "form", "dots")
+            "digits_before", "word_after", "form", "dots", "login")
 
 #: Features of what stands around a value.
 AROUND = ("after_path", "address", "named", "assigned", "quoted", "word_before", "digits_before",
-          "word_after")
+          "word_after", "login")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Findings of every text: ``doc_id``, ``start`` (code points before), ``value``, and up to
-    48 code points ``before`` and ``after``."""
+    48 code points ``before`` and ``after`` (before: the whole name of the value, if longer)."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)).alias("found"),
-                       text.alias("text")).filter(F.size("found") > 0).select(
-        "doc_id", "found", F.split("text", _CANDIDATE, -1).alias("gaps"))
+    # One pass of the pattern puts markers around the findings: gap, finding, gap, ..., gap.
+    parts = F.when(text.contains(_MARKER), _interleaved(text)).otherwise(F.split(
+        F.regexp_replace(text, _CANDIDATE, f"{_MARKER}$0{_MARKER}"), _MARKER, -1))
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                        F.explode(_once(parts, _findings)).alias("f")).select("doc_id", "f.*")
     # The name before a value belongs to what stands before it.
-    lead = F.when(F.regexp_extract("value", _NAMED_LEAD, 0) != "",
-                  F.regexp_extract("value", _NAMED_LEAD, 0)).otherwise(
-        F.regexp_extract("value", _OTHER_LEAD, 0))
-    # found[i] stands between gaps[i] and gaps[i + 1].
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size("found") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, i: F.struct(
-            (acc.at + F.char_length(F.get("gaps", i)) + F.char_length(F.get("found", i))).alias("at"),
-            F.concat(acc.starts, F.array(acc.at + F.char_length(F.get("gaps", i)))).alias("starts")))
-    found = rows.withColumn("starts", ends["starts"]).select(
-        "doc_id", "starts", "gaps", F.posexplode("found").alias("i", "value")).withColumn(
-        "lead", lead)
+    named = F.regexp_extract("value", _NAMED_LEAD, 0)
+    found = found.withColumn("lead", F.when(named != "", named).otherwise(
+        F.regexp_extract("value", _OTHER_LEAD, 0)))
     size = F.char_length("lead")
     return found.select(
-        "doc_id", (F.get("starts", F.col("i")) + size).alias("start"),
+        "doc_id", (F.col("start") + size).alias("start"),
         F.substring("value", size + 1, F.char_length("value") - size).alias("value"),
-        F.right(F.concat(F.get("gaps", F.col("i")), F.col("lead")), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("gaps", F.col("i") + 1), F.lit(CONTEXT)).alias("after"))
+        F.right(F.concat("before", "lead"), F.greatest(F.lit(CONTEXT), size + 1)).alias("before"),
+        "after")
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _interleaved(text: Column) -> Column:
+    """Gaps and findings of a text in turn, by two passes of the pattern."""
+    gaps = F.split(text, _CANDIDATE, -1)
+    found = F.concat(F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)), F.array(F.lit("")))
+    both = F.flatten(F.zip_with(gaps, found, lambda gap, value: F.array(gap, value)))
+    return F.slice(both, F.lit(1), F.size(both) - 1)
+
+
+def _findings(parts: Column) -> Column:
+    """Findings of the parts of a text as structs."""
+    ends = F.aggregate(
+        parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, part: F.struct((acc.at + F.char_length(part)).alias("at"),
+                                   F.concat(acc.starts, F.array(acc.at)).alias("starts")))["starts"]
+    places = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+    return F.when(F.size(parts) > 1, _once(ends, lambda starts: F.transform(places, lambda i: F.struct(
+        F.get(starts, i).alias("start"), F.get(parts, i).alias("value"),
+        F.right(F.get(parts, i - 1), F.lit(CONTEXT)).alias("before"),
+        F.left(F.get(parts, i + 1), F.lit(CONTEXT)).alias("after")))))
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
@@ -119,13 +145,14 @@ def finding_features(findings: DataFrame, words: list[str]) -> DataFrame:
         "hex": low.rlike("^[0-9a-f]+$"),
         "after_path": before.rlike(r"[/\\.~@]$") | after.rlike(r"^[/\\.@]\S"),
         "address": before.rlike(r"(?i)(://|www\.|@)\S*$"),
-        "named": before.rlike(_NAMES),
+        "named": before.rlike(_NAMES + "|" + _SHORT_NAMES + r"[\"'`]?" + _ASSIGN + r"[\"'`]?$"),
         "assigned": before.rlike(r"[=:]\s*[\"'`]?$"),
         "quoted": before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]"),
         "word_before": before.rlike(r"\p{L}[.,;]?\s+$"),
         "digits_before": before.rlike(r"\d\s*$"),
         "word_after": after.rlike(r"^[\"'`]?[.,;]?\s+\p{L}"),
         "form": v.rlike(_FORMS), "dots": v.contains("."),
+        "login": before.rlike(_LOGIN_LEAD + "$") & after.startswith("@"),
     }
     numbers = {
         "length": F.log2(n),
@@ -146,13 +173,18 @@ def rule_label() -> Column:
     """1 or 0 for findings beyond doubt, else null."""
     v = F.col("value")
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    named = F.col("before").rlike(_NAMES[:4] + "(" + _NAMES[4:] + r")[A-Za-z0-9_\-]{0,24}[\"'`]?"
-                                  r"\s*(=>|:=|==|=|:|\s|is\s)\s*((bearer|basic|token)\s+)?[\"'`]?$")
+    named = F.col("before").rlike(
+        "(?i)(" + _NAMES + r"[A-Za-z0-9_\-]{0,24}[\"'`]?\s*(=>|:=|==|=|:|\s|is\s)|" + _SHORT_NAMES
+        + r"[\"'`]?\s*(=>|:=|==|=|:))\s*((bearer|basic|token)\s+)?[\"'`]?$")
+    login = F.col("login") == 1
     word = v.rlike(r"^[A-Za-z_\-]+$") & ((F.col("coverage") >= 0.8) | (F.char_length(v) < 10))
     return (F.when(v.rlike(_FORMS), 1)
+            .when(login & (v.rlike(_STAND_INS) | v.rlike(_SAMPLES) | (v.rlike("^[A-Za-z_\\-]+$")
+                                                  & (F.col("coverage") >= 0.8))), 0)
+            .when(login & mixed, 1)
             .when(named & (v.rlike(_STAND_INS) | word), 0)
             .when(named & mixed & (F.col("distinct") * F.char_length(v) >= 8), 1)
-            .when(~named & (v.rlike("^[A-Za-z=_.\\-]+$") | v.rlike("^[0-9_.\\-]+$")
+            .when(~named & ~login & (v.rlike("^[A-Za-z=_.\\-]+$") | v.rlike("^[0-9_.\\-]+$")
                             | (F.col("address") == 1)), 0))
 
 
