@@ -79,6 +79,9 @@ _FIVE_EIGHTHS = "seq <= (SELECT min(seq) + (max(seq) - min(seq)) * 5 // 8 FROM f
 ORACLE["state_from_snapshots"] = (
     f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k', where=_FIVE_EIGHTHS)}"
     " SELECT * FROM state")
+ORACLE["range_lookup"] = ORACLE["key_lookup"]
+ORACLE["range_scan"] = f"""{STATE_A}
+SELECT * FROM state WHERE CAST(key AS BIGINT) BETWEEN 10 AND 500"""
 ORACLE["state_as_of"] = (
     f"WITH {FEED_A}, {_replay('feed_a', 'event_type, value, k', where=_FIRST_HALF)}"
     " SELECT * FROM state")
@@ -373,3 +376,51 @@ SELECT 'e_store' AS "database",
 FROM state"""
 
 ORACLE["apply_stream"] = f"{STATE_A} SELECT * FROM state"
+
+# Every type a column may get, the narrowest first, and the widest whole number (bits with sign) and
+# fraction (bits) it holds; the first one that holds all logged types is the folded one.
+ORACLE["schema_history"] = """
+WITH types(code, "unsigned", small, own, whole, part) AS (VALUES
+  (244, FALSE, NULL, 'boolean', 1, 0), (244, TRUE, NULL, 'boolean', 1, 0),
+  (1, FALSE, NULL, 'tinyint', 8, 0), (1, TRUE, NULL, 'smallint', 9, 0),
+  (2, FALSE, NULL, 'smallint', 16, 0), (2, TRUE, NULL, 'int', 17, 0),
+  (9, FALSE, NULL, 'int', 24, 0), (9, TRUE, NULL, 'int', 25, 0),
+  (3, FALSE, NULL, 'int', 32, 0), (3, TRUE, NULL, 'bigint', 33, 0),
+  (8, FALSE, NULL, 'bigint', 64, 0), (8, TRUE, NULL, 'decimal(20,0)', 65, 0),
+  (4, NULL, TRUE, 'float', 0, 24), (4, NULL, FALSE, 'double', 0, 53),
+  (5, NULL, TRUE, 'float', 0, 24), (5, NULL, FALSE, 'double', 0, 53),
+  (15, NULL, NULL, 'string', 1000, 1000)),
+targets(rank, target, whole, part) AS (VALUES
+  (1, 'boolean', 1, 0), (2, 'tinyint', 8, 0), (3, 'smallint', 16, 0), (4, 'int', 32, 0),
+  (5, 'bigint', 64, 0), (6, 'decimal(20,0)', 65, 0), (7, 'float', 17, 24), (8, 'double', 54, 53),
+  (9, 'string', 1000, 1000)),
+logged AS (
+  SELECT event_type AS "table", event_id, user_id, o.ordinal,
+         (user_id + o.ordinal) % 6 AS number,
+         [244, 1, 2, 9, 3, 8, 4, 5, 15][
+           (user_id + o.ordinal) % 6 + user_id % (1 + length(event_type) % 3) + 1] AS code,
+         user_id % 4 <> 0 AS small, user_id % 2 = length(event_type) % 2 AS "unsigned"
+  FROM events CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS ordinal) o),
+typed AS (
+  SELECT l.*, t.own, t.whole, t.part
+  FROM logged l JOIN types t ON l.code = t.code
+   AND (t."unsigned" IS NULL OR t."unsigned" = l."unsigned")
+   AND (t.small IS NULL OR t.small = l.small)),
+ends AS (SELECT event_type AS "table", min(event_id) AS a, max(event_id) AS z, count(*) AS n
+         FROM events GROUP BY 1),
+each AS (
+  SELECT "table", number, arg_max(ordinal, event_id) AS ordinal, min(event_id) AS first_seq,
+         max(event_id) AS last_seq, count(*) AS n_maps,
+         string_agg(DISTINCT own, ' ' ORDER BY own) AS types,
+         bool_or(own = 'string') AND bool_or(own <> 'string')
+           OR bool_or(own IN ('float', 'double')) AND bool_or(whole > 54 AND part = 0) AS mixed
+  FROM typed GROUP BY 1, 2),
+least AS (
+  SELECT "table", number, min(rank) AS rank FROM (
+    SELECT l."table", l.number, g.rank
+    FROM (SELECT DISTINCT "table", number, whole, part FROM typed) l CROSS JOIN targets g
+    GROUP BY ALL HAVING bool_and(g.whole >= l.whole AND g.part >= l.part)) GROUP BY 1, 2)
+SELECT 'e_store' AS "database", "table", 'c' || number AS name, ordinal, target AS data_type,
+       types, first_seq, last_seq, n_maps, n AS of_maps, first_seq > a AS added,
+       last_seq < z AS dropped, CASE WHEN mixed THEN 'mixed_kinds' END AS reason
+FROM each JOIN least USING ("table", number) JOIN targets USING (rank) JOIN ends USING ("table")"""

@@ -16,13 +16,14 @@ from ..operators import (
     LOG_RANGE_BITS, apply_changes, apply_deletes, apply_inserts, apply_multi_table, apply_updates,
     assign_segment, carry_position, change_metrics, column_catalog, event_headers,
     event_profile, format_events, live_row_timeline, read_key_sketches,
-    reject_types, resume_from, rotate_events, schema_asof, split_valid, state_as_of, supported_events, tap,
-    unmatched_rows, validate_key, write_key_sketches,
+    reject_types, resume_from, rotate_events, schema_asof, schema_history, split_valid, state_as_of,
+    supported_events, tap, unmatched_rows, validate_key, write_key_sketches,
 )
 from ..sources.binlog import (
     binlog_scan, decode_rows, read_changes, read_images, table_maps, tables_row_type,
 )
 from ..sources.datasource import list_logs
+from ..sources.ranges import range_lookup, range_scan, write_ranges
 from ..sources.scratch import new_path, shared_folder
 from ..sources.store import (
     apply_late, create_store, merge_changes, read_store, state_from_snapshots, store_lookup,
@@ -403,6 +404,25 @@ def _store_lookup(spark, sf_dir):
     return store_lookup(spark, target, "000000000000000000000001")
 
 
+def _ranged(spark, sf_dir) -> str:
+    """The state of feed A, refreshed and clustered by its key."""
+    target = new_path(spark, "ranges")
+    state = full_refresh(feeds.user_changes(spark, sf_dir), new_path(spark, "state"))
+    write_ranges(state, target, files=16)
+    return target
+
+
+@query("range_lookup")
+def _range_lookup(spark, sf_dir):
+    return range_lookup(spark, _ranged(spark, sf_dir), "000000000000000000000001")
+
+
+@query("range_scan")
+def _range_scan(spark, sf_dir):
+    return range_scan(spark, _ranged(spark, sf_dir), "000000000000000000000010",
+                      "000000000000000000000500")
+
+
 @query("live_row_timeline")
 def _live_row_timeline(spark, sf_dir):
     return live_row_timeline(feeds.user_changes(spark, sf_dir))
@@ -594,6 +614,30 @@ def _column_catalog(spark, sf_dir):
         "nullable").agg(F.count("*").alias("n_versions"))
 
 
+#: Logged types by width, from which the versions of ``schema_history`` take theirs.
+_BY_WIDTH = (S.BOOL, S.TINY, S.SHORT, S.INT24, S.LONG, S.LONGLONG, S.FLOAT, S.DOUBLE, S.VARCHAR)
+
+
+@query("schema_history")
+def _schema_history(spark, sf_dir):
+    """Every event as a schema version of the table of its type: four of six columns, whose types
+    change by the user."""
+    slot = F.col("user_id") + F.col("ordinal")
+    kind = F.length("event_type")
+    number = F.pmod(slot, F.lit(6)).cast("int")
+    catalog = feeds.read(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type",
+        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ordinal")).select(
+        F.lit(feeds.DATABASE).alias("database"), F.col("event_type").alias("table"),
+        F.lit(0).alias("file_seq"), F.col("event_id").alias("byte_off"), "ordinal",
+        F.concat(F.lit("c"), number.cast("string")).alias("name"),
+        F.get(F.array(*[F.lit(t) for t in _BY_WIDTH]),
+              number + F.pmod("user_id", 1 + kind % 3).cast("int")).alias("type_code"),
+        F.when(F.col("user_id") % 4 != 0, 4).otherwise(8).alias("meta"),
+        (F.col("user_id") % 2 == kind % 2).alias("unsigned"))
+    return schema_history(catalog).withColumn("types", F.array_join("types", " "))
+
+
 _TABLES = [(feeds.DATABASE, "users"), (feeds.DATABASE, "guests")]
 
 

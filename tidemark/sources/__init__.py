@@ -12,6 +12,7 @@ from .binlog import (
     tables_row_type,
 )
 from .datasource import LogDataSource
+from .ranges import range_index, range_lookup, range_scan, read_ranges, write_ranges
 from .scratch import new_path, shared_folder
 from .store import (
     apply_late,
@@ -26,6 +27,7 @@ from .store import (
 )
 from .tables import (
     create_target,
+    folded_targets,
     full_refresh,
     key_lookup,
     read_refreshed,
@@ -38,9 +40,10 @@ from .tables import (
 
 __all__ = [
     "LogDataSource", "apply_late", "bad_events", "binlog_scan", "build_changes", "changes_of",
-    "create_store", "create_target", "decode_rows", "full_refresh", "key_lookup",
-    "merge_changes", "new_path", "read_changes", "read_images", "read_refreshed", "read_store", "route_changes",
+    "create_store", "create_target", "decode_rows", "folded_targets", "full_refresh", "key_lookup",
+    "merge_changes", "new_path", "range_index", "range_lookup", "range_scan", "read_changes",
+    "read_images", "read_ranges", "read_refreshed", "read_store", "route_changes",
     "route_typed", "shared_folder", "snapshot_scan", "snapshots", "split_logs",
     "state_from_snapshots", "state_to_json", "store_lookup", "table_maps", "table_row_type",
-    "tables_row_type", "take_snapshot", "vacuum", "write_state",
+    "tables_row_type", "take_snapshot", "vacuum", "write_ranges", "write_state",
 ]

@@ -151,19 +151,30 @@ def _image(image_type, typed, found, columns, buf, side) -> pa.Array:
         if f.name in arrays and not _holds(f.type, arrays[f.name].type):
             raise pa.ArrowInvalid(f"{f.name}: {arrays[f.name].type} does not fit {f.type}")
     return pa.StructArray.from_arrays(
-        [arrays[f.name].cast(f.type) if f.name in arrays else pa.nulls(size, f.type)
+        [_cast(arrays[f.name], f.type) if f.name in arrays else pa.nulls(size, f.type)
          for f in fields], fields=fields)
 
 
+def _cast(values: pa.Array, target: pa.DataType) -> pa.Array:
+    if pa.types.is_boolean(values.type) and pa.types.is_decimal(target):
+        values = values.cast(pa.int8())
+    return values.cast(target)
+
+
 def _holds(target: pa.DataType, logged: pa.DataType) -> bool:
     """Whether ``target`` has room for every value of ``logged``. Decided by type alone, so that
-    an event's fate does not depend on the values it shares a batch with."""
-    if target.equals(logged) or pa.types.is_null(logged):
+    an event's fate does not depend on the values it shares a batch with. Text holds any value."""
+    if target.equals(logged) or pa.types.is_null(logged) or pa.types.is_string(target):
         return True
+    if pa.types.is_boolean(logged):
+        return (pa.types.is_integer(target) or pa.types.is_floating(target)
+                or pa.types.is_decimal(target))
     if pa.types.is_integer(logged):
         spare = 0 if pa.types.is_signed_integer(logged) else 1
         if pa.types.is_signed_integer(target):
             return target.bit_width >= logged.bit_width + spare
+        if pa.types.is_floating(target):  # whole numbers a fraction holds exactly
+            return logged.bit_width <= (16 if pa.types.is_float32(target) else 32)
         return (pa.types.is_decimal(target)
                 and target.precision - target.scale >= {8: 3, 16: 5, 32: 10, 64: 20}[
                     logged.bit_width])

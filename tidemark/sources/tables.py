@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..operators.apply import apply_changes
+from ..operators.history import folded_types
 from .versions import finished, numbers, remove
 
 
@@ -100,6 +101,16 @@ def typed_targets(catalog: DataFrame, document: str = "after",
         for name, columns in tables.items()}
 
 
+def folded_targets(history: DataFrame, document: str = "after",
+                   key: str = S.KEY_COLUMN) -> dict[tuple[str, str], list[Column]]:
+    """As ``typed_targets``, with the types of a ``schema_history``: they hold the rows of every
+    version, and columns that the newest one dropped stay."""
+    return {
+        table: [F.try_variant_get(document, f"$['{f.name}']", f.dataType.simpleString())
+                .alias(f.name) for f in row if f.name != key]
+        for table, row in folded_types(history).items()}
+
+
 def route_typed(changes: DataFrame, targets: dict[tuple[str, str], list[Column]],
                 root: str, prefix: str = "") -> list[tuple[str, str]]:
     """Current state of each listed table of a mixed feed as a typed catalog table, made at first
