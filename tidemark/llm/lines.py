@@ -122,8 +122,8 @@ def suspect_filter(docs: DataFrame, min_chars: int = 1, bits: int | None = None)
 
 def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                    bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Suspect lines (``doc_id``, ``digest``, ``line``), and of them the keys held by
-    ``min_docs`` documents or more (``digest``, ``n_docs``, ``first``: the place of the first
+    """Suspect lines (``doc_id``, ``text_hash``, ``digest``, ``line``), and of them the keys held
+    by ``min_docs`` documents or more (``digest``, ``n_docs``, ``first``: the place of the first
     occurrence by doc_id and line)."""
     spark = docs.sparkSession
     filled = suspect_filter(docs, min_chars, bits)
@@ -133,14 +133,15 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for batch in sized(batches):
-            ids, digests, lines = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(),
-                                    batch.column("text").to_pylist()):
+            ids, hashes, digests, lines = [], [], [], []
+            for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in (
+                    "doc_id", "text_hash", "text"))):
                 first: dict[bytes, int] = {}
                 for n, d in enumerate(_digests(text, min_chars)):
                     if d is not None:
                         first.setdefault(d, n)
                 ids += [doc_id] * len(first)
+                hashes += [text_hash] * len(first)
                 digests += first
                 lines += first.values()
             if not digests:
@@ -150,12 +151,14 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             where = np.flatnonzero(hit).tolist()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([ids[i] for i in where], pa.int64()),
+                "text_hash": pa.array([hashes[i] for i in where], pa.int64()),
                 "digest": pa.array([digests[i] for i in where], pa.binary()),
                 "line": pa.array([lines[i] for i in where], pa.int32())})
 
     path = new_path(spark, "lines")
-    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        suspects, "doc_id bigint, digest binary, line int").write.parquet(path)
+    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        suspects, "doc_id bigint, text_hash bigint, digest binary, line int").write.parquet(path)
     found = spark.read.parquet(path)
     counted = found.groupBy("digest").agg(
         F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "line")).alias("first"))
@@ -203,17 +206,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """
     found, repeated = repeated_lines(docs, min_docs, min_chars, bits)
     # A line of every third document would be one task's work: its rows are salted.
-    salt = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash", "digest"), F.lit(SALTS)).cast("int")
     spread = repeated.select("digest", "first", F.explode(
         F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     hits = found.withColumn("__salt", salt).join(spread, ["digest", "__salt"])
     spared = F.collect_set(F.when(
         F.lit(keep_first) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")), F.col("digest")))
-    gone = hits.groupBy(F.col("doc_id").alias("__id")).agg(
+    # The rows of one id go by their texts, so that a set holds lines of one text. Texts that
+    # share a hash share a set: it still holds repeated lines only.
+    gone = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.collect_set("digest").alias("__gone"), spared.alias("__spared"))
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     joined = docs.select(*[F.col(f"`{c}`") for c in keep], "text").join(
-        gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
+        & (F.xxhash64("text") == F.col("__hash")), "left")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     out = joined.select(*[F.col(f"`{c}`") for c in keep], "text", "__gone", "__spared").mapInArrow(
         _without(min_chars, keep), f"{fields}, __kept string, __n_lines bigint, __n_dropped bigint")
