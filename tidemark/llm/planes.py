@@ -1,6 +1,6 @@
 """Token-id files: ids in bit or byte planes, each plane compressed, with an index of all planes.
 
-Documents are dealt by ranges of doc_id and sorted, tokenized, and written as segments of whole
+Documents are dealt by ranges of doc_id and hash of the text and sorted, tokenized, and written as segments of whole
 documents. A segment is one row of a Parquet file: its documents and their lengths, the ids as
 blocks of ``block_ids`` ids (the last may be shorter), each block transposed to four byte planes
 or thirty-two bit planes of its unsigned 32-bit ids, each plane compressed with zstandard, and an
@@ -8,7 +8,8 @@ index with offset and length of every plane, block after block. A segment can be
 place in the whole order is its shard's start plus its own start in the shard.
 
 Defined cases: a null text is empty and holds the end id only; rows with a null doc_id come
-first; rows with equal doc_id follow each other in text order; no documents give no rows.
+first; rows with equal doc_id follow each other in the order of their texts' hashes, so that an id
+on many rows is split too (rows with equal doc_id and text are one range); no documents give no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .tokens import default_path, encoder
 BLOCK_IDS = 1 << 16
 #: A segment ends with the document that brings it to this many ids.
 SEGMENT_IDS = 1 << 20
+#: Starts of shards (two numbers each) are broadcast up to this many; more join by a shuffle.
+BROADCAST_SHARDS = 1 << 20
 _SCHEMA = ("shard int, shard_start bigint, n_ids bigint, doc_ids array<bigint>, "
            "lengths array<bigint>, planes string, block_ids int, index binary, payload binary")
 
@@ -115,21 +118,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield segment()
 
     # No count of partitions is given, so that Spark may join small neighbours.
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text") \
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, _SCHEMA).write.option("compression", "none").parquet(path)
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
+                          F.xxhash64("text").alias("hash")) \
+        .repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(encode, _SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Documents of written files: ``doc_id``, ``start`` (ids of all documents before it),
     ``n_tokens`` and ``ids`` (unsigned 32-bit, little-endian, end id included)."""
     rows = spark.read.parquet(path)
-    # One row for each task that wrote: the table of shard starts is as small as Spark's own
-    # list of those tasks.
+    # One row for each task that wrote.
     shards = rows.groupBy(F.col("shard").alias("__shard")).agg(F.sum("n_ids").alias("__ids"))
     starts = shards.select("__shard", (F.sum("__ids").over(
         Window.orderBy("__shard")) - F.col("__ids")).alias("__start"))
-    placed = rows.join(F.broadcast(starts), F.col("shard") == F.col("__shard")).select(
+    if shards.count() <= BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
+    placed = rows.join(starts, F.col("shard") == F.col("__shard")).select(
         (F.col("__start") + F.col("shard_start")).alias("start"), "n_ids", "doc_ids", "lengths",
         "planes", "block_ids", "index", "payload")
 
