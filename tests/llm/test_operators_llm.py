@@ -311,6 +311,36 @@ def test_fingerprints_odd_rows(spark, make_docs):
     assert one.next_text == "a b" and one.sketch == one.next_sketch
 
 
+def hot_rows(n):
+    """A third of the rows without an id, a sixth under one id, some of them equal."""
+    rows = [(i * 7, f"own {i} " * (i % 5 + 1)) for i in range(n // 2)]
+    rows += [(None, f"no id {i % (n // 3 - 5)}") for i in range(n // 3)]
+    return rows + [(42, f"the same id {i}") for i in range(n - len(rows) - 1)] + [(42, None)]
+
+
+def test_next_with_hot_ids(spark, make_docs):
+    rows = hot_rows(600)
+    hashed = make_docs(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
+                                    F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (-1 << 63 if r.doc_id is None else r.doc_id, r.h),
+                   reverse=True)
+    want = Counter((a.doc_id, a.text, b.text) for a, b in zip(order, order[1:] + order[:1]))
+    found = with_next(make_docs(rows))
+    got = found.collect()
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
+    sketches = {r.text: r.sketch for r in got}
+    assert all(r.next_sketch == sketches[r.next_text] for r in got)
+    # The window that holds most rows: a slice of an id's hashes, not the id.
+    many = found.groupBy("doc_id", F.shiftright(F.xxhash64("text"), 48)).count()
+    assert many.agg(F.max("count")).first()[0] <= 4
+
+
+def test_next_of_one_repeated_id_only(spark, make_docs):
+    got = with_next(make_docs([(None, "a"), (None, "b"), (None, "b")])).collect()
+    assert Counter(r.text for r in got) == {"a": 1, "b": 2}
+    assert Counter(r.next_text for r in got) == {"a": 1, "b": 2}
+
+
 def test_next_over_far_ids(spark, make_docs):
     ids = [-(1 << 62), -5, 0, 1, 4095, 4096, 1 << 20, (1 << 20) + 1, 1 << 40, (1 << 62) + 3]
     got = {r.doc_id: r.next_text for r in with_next(make_docs([(i, str(i)) for i in ids])).collect()}
@@ -494,6 +524,30 @@ def test_token_files_odd_rows(spark, make_docs, tmp_path, monkeypatch, kind):
     assert planes.read_tokens(spark, path).count() == 0
 
 
+def test_token_files_with_hot_ids(spark, make_docs, tmp_path, monkeypatch):
+    rows, path = hot_rows(3000), str(tmp_path / "tokens")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    for k in before:
+        spark.conf.set(k, "false")
+    try:
+        planes.write_tokens(make_docs(rows).repartition(3), path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    shards = spark.read.parquet(path).groupBy("shard").agg(
+        F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(shards) == 4 and max(r.n for r in shards) < 1200  # ids alone would give 1000 + 750
+    monkeypatch.setattr(planes, "BROADCAST_SHARDS", 0)
+    got = planes.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids)
+    e = encoder(default_path()).tokenizer
+    want = Counter((i, tuple(e.encode(t or "", add_special_tokens=False).ids + [2]))
+                   for i, t in rows)
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+
+
 # ---- op10 ---------------------------------------------------------------------------------
 
 def plain_lines(rows, min_docs, min_chars, keep_first):
@@ -541,3 +595,16 @@ def test_lines_repeated_rows_and_no_rows(spark, make_docs):
     got = dedup_lines(make_docs(rows), min_docs=3)
     assert sorted(r.text for r in got.collect()) == ["b", "b", "c"]
     assert dedup_lines(make_docs([]), min_docs=3).count() == 0
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_lines_with_hot_ids(spark, make_docs, keep_first):
+    """A third of the rows under no id or one id: each row loses its own lines."""
+    rows = [(i, f"common {i % 40}\nown {i}\ncommon {i % 7}") for i in range(300)]
+    rows += [(5000, f"common {i % 40}\nhot {i}\nhot {i // 3}") for i in range(150)]
+    if not keep_first:
+        rows += [(None, f"common {i % 40}\nnone {i // 2}\n\nnone") for i in range(150)]
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text, r.n_lines, r.n_dropped)
+                 for r in dedup_lines(make_docs(rows), 3, 1, keep_first).collect())
+    rows = [(-1 if i is None else i, t) for i, t in rows]
+    assert got == plain_lines(rows, 3, 1, keep_first)

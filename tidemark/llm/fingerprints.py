@@ -11,8 +11,8 @@ signed order.
 
 Defined cases: a null text is empty; a text without words has an empty, complete sketch; two
 empty sketches are alike (1), an empty one and another are not (0). In the order of documents
-rows with equal doc_id stand in falling order of their texts and a null doc_id stands last. A
-document that is alone is its own next one.
+rows with equal doc_id stand in falling order of their texts' hashes and a null doc_id stands last.
+A document that is alone is its own next one.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BROADCAST_HEADS = 1 << 20
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 #: Bits of doc_id that are cut off: documents of 2^12 neighbouring ids share a window.
 _BITS = 12
+#: Leading bits of a text's hash by which the rows of a repeated id are dealt.
+_SLICE_BITS = 16
 
 
 def _hashes(text: Column, words: int) -> Column:
@@ -110,41 +112,85 @@ def _next_heads(heads: DataFrame, low: int, high: int) -> DataFrame:
         "key", F.coalesce("next", "__next").alias("next"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``sketch`` of each document with ``next_text`` and
-    ``next_sketch`` of the next one in falling order of doc_id; after the last comes the first.
+def _chained(rows: DataFrame) -> DataFrame:
+    """Each of ``rows`` (with ``__id``, one row an id) with text and sketch of the next lower id's
+    row as ``next_text`` and ``next_sketch``; after the lowest comes the highest.
 
-    Documents are dealt by ranges of 2^12 ids; the first document of the next lower range is
-    added to each range, so texts are shuffled once.
+    Rows are dealt by ranges of 2^12 ids; the first row of the next lower range is added to each
+    range, so texts are shuffled once.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOW)).alias("__id"))
     low, high = rows.agg(F.min("__id"), F.max("__id")).first()
     low, high = (0, 0) if low is None else (low, high)
     bucket = F.shiftright("__id", _BITS)
     heads = rows.groupBy(bucket.alias("key")).agg(F.max("__id").alias("head"))
-    path = new_path(docs.sparkSession, "heads")
+    path = new_path(rows.sparkSession, "heads")
     _next_heads(heads, low >> _BITS, high >> _BITS).select(
         F.col("key").alias("__bucket"), F.coalesce("next", F.lit(high)).alias("__head")) \
         .write.parquet(path)
-    border = docs.sparkSession.read.parquet(path)
-    if border.count() <= BROADCAST_HEADS:
-        border = F.broadcast(border)
-    # Of several first rows with one id, the one that stands first.
-    border = rows.join(border, F.col("__id") == F.col("__head")).groupBy("__bucket").agg(
-        F.max("text").alias("text"))
-    both = rows.select("doc_id", "text", "__id", bucket.alias("__bucket"),
-                       F.lit(False).alias("__border")).unionByName(
-        border.select(F.lit(None).cast("bigint").alias("doc_id"), "text",
-                      F.lit(None).cast("bigint").alias("__id"), "__bucket",
-                      F.lit(True).alias("__border")))
-    order = Window.partitionBy("__bucket").orderBy("__border", F.desc("__id"), F.desc("text"))
+    border = rows.join(_small(rows.sparkSession.read.parquet(path)),
+                       F.col("__id") == F.col("__head")).select("__bucket", "text")
+    return _led(rows.withColumn("__bucket", bucket), border, ["__bucket"], "__id")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_HEADS else df
+
+
+def _led(rows: DataFrame, border: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Rows of each group ``by`` with the next one by falling ``order``, and the ``border`` text
+    of the group behind the last."""
+    names = rows.columns
+    both = rows.withColumn("__border", F.lit(False)).unionByName(
+        border.withColumn("__border", F.lit(True)), allowMissingColumns=True)
+    window = Window.partitionBy(*by).orderBy("__border", F.desc(order), F.desc("text"))
     # Sketches are made behind the shuffle, which then moves texts only.
-    sketched = both.repartition("__bucket").withColumn("sketch", sketch(F.col("text")))
+    sketched = both.repartition(*by).withColumn("sketch", sketch(F.col("text")))
     return sketched.withColumns({
-        "next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order),
-    }).filter(~F.col("__border")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
+        "next_text": F.lead("text").over(window), "next_sketch": F.lead("sketch").over(window),
+    }).filter(~F.col("__border")).select(*names, "sketch", "next_text", "next_sketch")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``sketch`` of each document with ``next_text`` and
+    ``next_sketch`` of the next one in falling order of doc_id; after the last comes the first.
+
+    An id on several rows stands in the order of ids by one of them, the first; its rows are dealt
+    by ranges of their texts' hashes, in which they follow each other.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                       F.coalesce("text", F.lit("")).alias("text"),
+                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOW)).alias("__id"))
+    out = ("doc_id", "text", "sketch", "next_text", "next_sketch")
+    path = new_path(spark, "repeated")
+    rows.groupBy("__id").agg(F.count("*").alias("__n")).filter("__n > 1").select(
+        "__id", F.lit(True).alias("__many")).write.parquet(path)
+    repeated = spark.read.parquet(path)
+    if repeated.isEmpty():
+        return _chained(rows).select(*out)
+    rows = rows.join(_small(repeated), "__id", "left")
+    many = rows.filter("__many").withColumn("__hash", F.xxhash64("text")).withColumn(
+        "__slice", F.shiftright("__hash", 64 - _SLICE_BITS))
+    firsts = many.groupBy("__id").agg(
+        F.first("doc_id").alias("doc_id"), F.max(F.struct("__hash", "text"))["text"].alias("text"),
+        F.lit(True).alias("__many"))
+    chain = _chained(rows.filter("__many IS NULL").unionByName(firsts))
+
+    # At most 2^16 slices an id, each with its highest hash; behind the last one comes the next id.
+    path = new_path(spark, "slices")
+    many.groupBy("__id", "__slice").agg(F.max("__hash").alias("top")).withColumn(
+        "__top", F.lead("top").over(Window.partitionBy("__id").orderBy(F.desc("__slice")))) \
+        .select("__id", "__slice", "__top").write.parquet(path)
+    slices = _small(spark.read.parquet(path))
+    inner = many.withColumnRenamed("__slice", "__from").join(
+        slices.select("__id", "__slice", F.col("__top").alias("__hash")).filter("__hash IS NOT NULL"),
+        ["__id", "__hash"]).groupBy("__id", "__slice").agg(F.max("text").alias("text"))
+    outer = chain.filter("__many").select("__id", F.col("next_text").alias("text")).join(
+        slices.filter("__top IS NULL").select("__id", "__slice"), "__id").select(
+        "__id", "__slice", "text")
+    led = _led(many, inner.unionByName(outer), ["__id", "__slice"], "__hash")
+    return chain.filter("__many IS NULL").select(*out).unionByName(led.select(*out))
 
 
 def edited_text(text: Column, other: Column) -> Column:
