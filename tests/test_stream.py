@@ -149,3 +149,21 @@ def test_target_stays_small(spark, tmp_path):
     assert got == want
     with pytest.raises(FileNotFoundError):
         read_state(spark, str(tmp_path / "none"))
+
+
+def test_state_has_a_partition_per_core(spark, tmp_path):
+    """Not one per shuffle partition of the session, which keeps its setting."""
+    source, name = str(tmp_path / "in"), "spark.sql.shuffle.partitions"
+    spark.createDataFrame([(str(n), "INSERT", n, (n,)) for n in range(100)],
+                          "key string, op string, seq bigint, after struct<v: int>").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40")
+    try:
+        apply_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"),
+                     availableNow=True).awaitTermination()
+        assert spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "check" / "state" / "0").glob("[0-9]*"))) == 16
+    assert read_state(spark, str(tmp_path / "out")).count() == 100
