@@ -8,6 +8,7 @@ from logs import KEY, rows, table_map, write_file
 from tidemark import schemas as S
 from tidemark.operators import split_valid
 from tidemark.operators.schema import attach_table_map
+from tidemark.plans import packing as P
 from tidemark.sources import binlog_scan, read_changes
 from tidemark.streaming import (
     binlog_stream, publish, read_target, resolve_stream, route_stream, targets,
@@ -156,3 +157,23 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert [i for i, _ in seen] == [2]
     assert sorted(tuple(r) for r in read_target(spark, root, "d", "t").collect()) == before
     assert [r[1] for r in before] == [3]
+
+
+def test_a_micro_batch_is_split_once(spark, tmp_path):
+    """Schemas, quarantine and changes come from one pass over the events."""
+    logs, passes = tmp_path / "logs", spark.sparkContext.accumulator(0)
+    logs.mkdir()
+    for n in (1, 2):
+        write_file(logs, n, [table_map(A), rows(A, S.WRITE_ROWS_V1, [[n, n]])])
+
+    def count(batches):
+        for batch in batches:
+            passes.add(sum(name.endswith(P.log_name(n)) for n in (1, 2)
+                           for name in batch.column("log_file").to_pylist()))
+            yield batch
+
+    events = binlog_stream(spark, str(logs), max_files=1)
+    route_stream(events.mapInArrow(count, events.schema), str(tmp_path / "root"),
+                 str(tmp_path / "check"), buckets=3, availableNow=True).awaitTermination()
+    assert read_target(spark, str(tmp_path / "root"), "d", "t").count() == 2
+    assert passes.value == 2 * 3  # format event, map and rows of each file

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.apply import apply_changes, change_summary, is_live
 from ..operators.grouping import with_group_hash
-from .versions import finished, numbers, remove
+from .versions import finished, note, numbers, remove
 
 _MANIFEST = "bucket int, wrote bigint, position bigint, based bigint"
 _LAYOUT = "keys array<string>, buckets int"
@@ -50,7 +50,7 @@ def create_store(spark: SparkSession, target: str, by: tuple[str, ...] = ("key",
         if _layout(spark, target) != (list(by), buckets):
             raise ValueError(f"{target} has another layout: {_layout(spark, target)}")
         return
-    spark.createDataFrame([(list(by), buckets)], _LAYOUT).coalesce(1).write.mode(
+    note(spark, [(list(by), buckets)], _LAYOUT).coalesce(1).write.mode(
         "overwrite").parquet(f"{target}/layout")
 
 
@@ -77,16 +77,23 @@ def store_version(spark: SparkSession, target: str, number: int | None = None,
     return None
 
 
-def snapshots(spark: SparkSession, target: str) -> list[tuple[int, int]]:
-    """(position, version) of the snapshots, by position; the newest version of each position."""
+def _manifests(spark: SparkSession, target: str) -> DataFrame | None:
+    """Rows of all finished manifests with their ``version``."""
     there = [n for n in numbers(spark, f"{target}/manifest", "version")
              if finished(spark, f"{target}/manifest/version={n}")]
     if not there:
-        return []
-    found = spark.read.schema(_MANIFEST).option("basePath", f"{target}/manifest").parquet(
+        return None
+    return spark.read.schema(f"{_MANIFEST}, version bigint").option(
+        "basePath", f"{target}/manifest").parquet(
         *[f"{target}/manifest/version={n}" for n in there])
-    rows = found.filter("position IS NOT NULL").withColumn("version", F.regexp_extract(
-        F.input_file_name(), "version=(-?[0-9]+)", 1).cast("bigint")).groupBy("position").agg(
+
+
+def snapshots(spark: SparkSession, target: str) -> list[tuple[int, int]]:
+    """(position, version) of the snapshots, by position; the newest version of each position."""
+    found = _manifests(spark, target)
+    if found is None:
+        return []
+    rows = found.filter("position IS NOT NULL").groupBy("position").agg(
         F.max("version").alias("version")).collect()
     return sorted((r.position, r.version) for r in rows)
 
@@ -132,12 +139,12 @@ def merge_changes(changes: DataFrame, target: str, version: int | None = None,
           else store_version(spark, target, number=base))
     files = dict(on.files) if on else {}
     delta = f"{target}/delta/version={version}"
-    (summarise(changes, by).withColumn("bucket", _bucket(by, buckets))
-     .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(delta))
+    sums = summarise(changes, by).withColumn("bucket", _bucket(by, buckets))
+    sums.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(delta)
     touched = numbers(spark, delta, "bucket")
     data = f"{target}/data/version={version}"
     if touched:
-        new = spark.read.parquet(delta)
+        new = spark.read.schema(sums.schema).parquet(delta)
         old = _rows(spark, target, {b: files[b] for b in touched if b in files})
         both = new if old is None else new.unionByName(old)
         (both.repartition(len(touched), "bucket").groupBy("bucket", *by).agg(*_merged())
@@ -147,7 +154,7 @@ def merge_changes(changes: DataFrame, target: str, version: int | None = None,
     based = on.number if on else None
     rows = [(b, v, position, based) for b, v in sorted(files.items())] or [
         (None, None, position, based)]
-    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(
+    note(spark, rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(
         f"{target}/manifest/version={version}")
     remove(spark, delta)
     return touched
@@ -184,14 +191,19 @@ def store_lookup(spark: SparkSession, target: str, *key) -> DataFrame:
 def vacuum(spark: SparkSession, target: str, keep: int = 3) -> None:
     """Remove versions other than snapshots and the ``keep`` newest, and files that no version left
     names. Readers that began before may have to begin again."""
-    kept = {v for _, v in snapshots(spark, target)}
     there = numbers(spark, f"{target}/manifest", "version")
-    kept |= set(there[-keep:])
+    found = _manifests(spark, target)
+    # A row per bucket of the versions that are there: snapshots and those since the last time.
+    rows = found.collect() if found is not None else []
+    newest_of: dict[int, int] = {}
+    for r in rows:
+        if r.position is not None:
+            newest_of[r.position] = max(r.version, newest_of.get(r.position, r.version))
+    kept = {*newest_of.values(), *there[-keep:]}
     named: dict[int, set[int]] = {}
-    for n in kept:
-        found = store_version(spark, target, number=n)
-        for b, v in (found.files if found else {}).items():
-            named.setdefault(v, set()).add(b)
+    for r in rows:
+        if r.version in kept and r.bucket is not None:
+            named.setdefault(r.wrote, set()).add(r.bucket)
     for n in there:
         if n not in kept:
             remove(spark, f"{target}/manifest/version={n}")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -17,6 +19,7 @@ from ..sources.versions import finished, numbers, remove
 
 _COLUMNS = ("database", "table", "file_seq", "byte_off", "ordinal", "name", "type_code", "meta",
             "unsigned")
+_AT_ONCE = 8  # jobs of a micro-batch that the driver submits side by side
 
 
 def _store(root: str, database: str, table: str) -> str:
@@ -51,36 +54,51 @@ def route_stream(log_events: DataFrame, root: str, checkpoint: str, buckets: int
     """Keep a target for every table of a stream of ``log_events`` (with ``table_map``, as
     ``binlog_stream`` and ``resolve_stream`` give them).
 
-    Each micro-batch first notes the columns that its schema messages declare, then deals its
-    changes out by table and merges them into the tables' stores of hash buckets, making those it
-    sees for the first time. The loop is over the tables of the batch, never over rows; each pass
-    reads its table's part only. Rows are kept as documents and get the types of the newest schema
+    Each micro-batch first notes the columns that its schema messages declare and deals its
+    changes out by table, then merges them into the tables' stores of hash buckets, making those it
+    sees for the first time. The loop is over the tables of the batch, some at a time, never over
+    rows; each pass reads its table's part only. Rows are kept as documents and get the types of the newest schema
     when they are read (``read_target``), so a table may change its columns at any time. A batch
     that is repeated writes the same versions again. What cannot be applied goes to
     ``quarantine/batch=<n>`` with its reason.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write_catalog(batch, root, batch_id)
+        seen = batch
+        batch = batch.persist()  # the files of a micro-batch are split once
         good, bad = split_valid(build_changes(batch))
+        good = good.select("database", "table", "key", "op", "seq",
+                           F.struct(F.col("after").alias("doc")).alias("after"))
         quarantine = bad.select("log_file", F.col("seq").alias("place"), "reason").unionByName(
             bad_events(batch).select("log_file", (F.col("file_start") + F.col("byte_off"))
                                      .alias("place"), "reason"))
-        quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
         staged = f"{root}/staged/batch={batch_id}"
-        good = good.select("database", "table", "key", "op", "seq",
-                           F.struct(F.col("after").alias("doc")).alias("after"))
-        route_changes(good, staged, mode="overwrite")
-        feed = spark.read.schema(good.schema).parquet(staged)
-        for database, table in feed.select("database", "table").distinct().collect():
-            store = _store(root, database, table)
-            create_store(spark, store, buckets=buckets)
-            merge_changes(feed.filter((F.col("database") == database) & (F.col("table") == table)),
-                          store, version=batch_id)
-            vacuum(spark, store)
+        try:
+            with ThreadPoolExecutor(_AT_ONCE) as pool:
+                for part in [pool.submit(inheritable_thread_target(spark)(job)) for job in (
+                        lambda: _write_catalog(batch, root, batch_id),
+                        lambda: quarantine.write.mode("overwrite").parquet(
+                            f"{root}/quarantine/batch={batch_id}"),
+                        lambda: route_changes(good, staged, mode="overwrite"))]:
+                    part.result()
+                feed = spark.read.schema(good.schema).parquet(staged)
+                names = feed.select("database", "table").distinct().collect()
+
+                def merge(name):
+                    store = _store(root, *name)
+                    create_store(spark, store, buckets=buckets)
+                    merge_changes(feed.filter((F.col("database") == name[0])
+                                              & (F.col("table") == name[1])), store,
+                                  version=batch_id)
+                    vacuum(spark, store)
+
+                for _ in pool.map(inheritable_thread_target(spark)(merge), names):
+                    pass
+        finally:
+            batch.unpersist()
         remove(spark, staged)
         if on_batch is not None:
-            on_batch(batch, batch_id)
+            on_batch(seen, batch_id)
 
     return (log_events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
