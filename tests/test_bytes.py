@@ -450,3 +450,17 @@ def test_several_tables_in_one_pass(spark, tmp_path):
     got = read_changes(spark, str(tmp_path), shape, tables=tables).orderBy("table").collect()
     assert [(r.table, r.after.name, r.after.note) for r in got] == [
         ("t", "naïve", None), ("u", None, "x")]
+
+
+def test_a_file_is_packed_with_one_writer_per_table(monkeypatch):
+    """What depends on a table alone is worked out once per file, not once per row."""
+    import pandas as pd
+    made = []
+    writer = P.image_writer
+    monkeypatch.setattr(P, "image_writer", lambda columns: made.append(len(columns)) or writer(columns))
+    frame = pd.DataFrame([(n, n % 5, ("signup", "view", "error")[n % 3], n / 2, "{}", 7, n % 9, 1)
+                          for n in range(300)], columns=[
+        "event_id", "user_id", "event_type", "value", "props", "when", "k", "number"])
+    whole = P.pack_file(frame, 1)
+    assert sorted(made) == sorted([len(P.USERS), len(P.GUESTS)])
+    assert P.image(P.GUESTS, [4, 8, None, "x"]) in writer(P.GUESTS)([4, 8, None, "x"]) and whole
