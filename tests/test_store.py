@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from test_apply import FEED, cases
 from tidemark.operators import apply_multi_table, state_as_of
+from tidemark.plans import feeds
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import (
     apply_late, create_store, full_refresh, merge_changes, read_refreshed, read_store, snapshots,
     state_from_snapshots, store_lookup, take_snapshot, vacuum,
@@ -206,3 +208,24 @@ def test_a_failed_refresh_leaves_the_old_state(spark, tmp_path):
         assert full_refresh(many_keys(spark, n), path).count() == n
     assert read_refreshed(spark, path).count() == 80
     assert len(list((tmp_path / "state").iterdir())) == 2
+
+
+def test_merge_changes_query_makes_its_feed_once(spark, tmp_path, monkeypatch):
+    """Four merges, one derivation of the feed."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    def counted(session, sf_dir):
+        feed = spark.createDataFrame(
+            [(k, op, seq, None if op == "DELETE" else ("F", float(seq)))
+             for k, op, seq in one_feed(3, 300, 25)],
+            "id bigint, op string, seq bigint, after struct<status: string, price: double>")
+        return feed.mapInArrow(count, feed.schema)
+
+    monkeypatch.setattr(feeds, "order_changes", counted)
+    assert QUERIES["merge_changes"](spark, str(tmp_path)).count() > 0
+    assert passed.value == 300

@@ -24,7 +24,7 @@ from ..sources.binlog import (
 )
 from ..sources.datasource import list_logs
 from ..sources.ranges import range_lookup, range_scan, write_ranges
-from ..sources.scratch import new_path, shared_folder
+from ..sources.scratch import drop, new_path, shared_folder
 from ..sources.store import (
     apply_late, create_store, merge_changes, read_store, state_from_snapshots, store_lookup,
     take_snapshot,
@@ -387,11 +387,16 @@ def _state_from_snapshots(spark, sf_dir):
 @query("merge_changes")
 def _merge_changes(spark, sf_dir):
     """Feed D merged into a store of buckets in three parts, the last one delivered twice."""
-    feed = feeds.order_changes(spark, sf_dir)
     target = new_path(spark, "store")
+    # The feed is made once; a part reads its own folder of it.
+    feed = feeds.order_changes(spark, sf_dir).select(
+        "id", "op", "seq", "after", (F.col("seq") % 3).alias("part"))
+    feed.write.partitionBy("part").parquet(f"{target}-feed")
+    feed = spark.read.schema(feed.schema).parquet(f"{target}-feed")
     create_store(spark, target, by=("id",), buckets=16)
     for part in (2, 0, 1, 1):
-        merge_changes(feed.filter(F.col("seq") % 3 == part), target)
+        merge_changes(feed.filter(F.col("part") == part), target)
+    drop(spark, f"{target}-feed")
     state = read_store(spark, target)
     return state.select(format_key("id", integer=True).alias("key"), "status", "price", "last_seq")
 

@@ -128,8 +128,7 @@ def merge_changes(changes: DataFrame, target: str, version: int | None = None,
     """Write a version with ``changes`` added to version ``base`` (by default the newest before
     it) and give the buckets it wrote.
 
-    The changes' own sums are written first, by bucket, so that the folders they make say which
-    buckets to read. Reading and writing then follow the touched buckets, not the store.
+    The changes' own sums are written first, so that their buckets say which ones to read. Reading and writing then follow the touched buckets, not the store.
     """
     spark = changes.sparkSession
     by, buckets = _layout(spark, target)
@@ -140,11 +139,11 @@ def merge_changes(changes: DataFrame, target: str, version: int | None = None,
     files = dict(on.files) if on else {}
     delta = f"{target}/delta/version={version}"
     sums = summarise(changes, by).withColumn("bucket", _bucket(by, buckets))
-    sums.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(delta)
-    touched = numbers(spark, delta, "bucket")
+    sums.write.mode("overwrite").parquet(delta)
+    new = spark.read.schema(sums.schema).parquet(delta)
+    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
     data = f"{target}/data/version={version}"
     if touched:
-        new = spark.read.schema(sums.schema).parquet(delta)
         old = _rows(spark, target, {b: files[b] for b in touched if b in files})
         both = new if old is None else new.unionByName(old)
         (both.repartition(len(touched), "bucket").groupBy("bucket", *by).agg(*_merged())
