@@ -109,3 +109,18 @@ def test_sketches_merge_to_those_of_all_files(spark, tmp_path):
         assert abs(r.top_keys[0]["count"] - mine.count("0")) <= max(1, 0.0035 * len(mine))
     assert {(r.table, r.op) for r in merge_key_sketches(key_sketches(changes)).collect()} == set(got)
     assert read_key_sketches(spark, path).filter("database = 'x'").count() == 0
+
+
+def test_state_of_metrics_has_a_partition_per_core(spark, tmp_path):
+    source, name = str(tmp_path / "in"), "spark.sql.shuffle.partitions"
+    rows = feed(7, 100, 9)
+    spark.createDataFrame(rows, FEED).write.parquet(source)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40")
+    try:
+        stream_metrics(spark.readStream.schema(FEED).parquet(source), str(tmp_path / "out"),
+                       str(tmp_path / "check"), availableNow=True).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "check" / "state" / "0").glob("[0-9]*"))) == 16
+    assert totals(read_metrics(spark, str(tmp_path / "out"))) == plain(rows)

@@ -10,7 +10,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from .. import schemas as S
 from ..operators.carry import carry_last
-from .apply import keep_batches, read_kept, use_rocksdb
+from ..operators.grouping import with_group_hash
+from ..sources.versions import note
+from .apply import keep_batches, read_kept, state_per_core, use_rocksdb
 
 #: Positions whose changes of one key are one row of the state.
 SPAN_BITS = 14
@@ -58,15 +60,17 @@ def stream_metrics(changes: DataFrame, target: str, checkpoint: str, bits: int =
     # A change without a position or an operation says nothing of an order.
     feed = changes.filter(F.col("seq").isNotNull() & F.col("op").isin(*_OPS)).select(
         *_BY, "op", F.col("seq").cast("bigint").alias("seq"))
-    spans = feed.groupBy(*_BY, F.shiftright("seq", bits).alias("span")).agg(
+    feed, group = with_group_hash(feed, list(_BY))
+    spans = feed.groupBy(*group, F.shiftright("seq", bits).alias("span")).agg(
         F.sort_array(F.collect_set(F.struct("seq", "op"))).alias("changes"))
     rows = spans.select(*_BY, "span", span_summary(F.col("changes")).alias("summary")).select(
         *_BY, "span", F.struct(*[F.col(f"summary.{c}") for c in _COUNTS]).alias("counts"),
         "summary.live")
     write = keep_batches(spark, target, (*_BY, "span"), _FIELDS, max_batches, on_batch)
-    return (rows.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+    with state_per_core(spark):
+        return (rows.writeStream.outputMode("update").foreachBatch(write)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
 
 
 def read_metrics(spark: SparkSession, target: str) -> DataFrame:
@@ -118,7 +122,7 @@ class ObservedTotals(StreamingQueryListener):
         if rows:
             write = keep_batches(self._spark, f"{self._target}/query={progress.id}",
                                  _PROGRESS_KEY, ("value",), self._max)
-            write(self._spark.createDataFrame(rows, _PROGRESS).coalesce(1), progress.batchId)
+            write(note(self._spark, rows, _PROGRESS).coalesce(1), progress.batchId)
 
     def onQueryTerminated(self, event) -> None:
         pass
