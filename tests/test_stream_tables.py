@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from logs import KEY, rows, table_map, write_file
@@ -13,6 +14,7 @@ from tidemark.sources import binlog_scan, read_changes
 from tidemark.streaming import (
     binlog_stream, publish, read_target, resolve_stream, route_stream, targets,
 )
+from tidemark.streaming.resolve import _Resolver
 
 A = [KEY, ("a", S.LONG, b"", False, False)]
 AB = [KEY, ("a", S.LONGLONG, b"", False, False), ("b", S.VARCHAR, (40).to_bytes(2, "little"), False, False)]
@@ -177,3 +179,67 @@ def test_a_micro_batch_is_split_once(spark, tmp_path):
                  str(tmp_path / "check"), buckets=3, availableNow=True).awaitTermination()
     assert read_target(spark, str(tmp_path / "root"), "d", "t").count() == 2
     assert passes.value == 2 * 3  # format event, map and rows of each file
+
+
+class _State(dict):
+    """State of one key as a plain dictionary that counts its writes; a value is that of ()."""
+    writes = 0
+
+    def exists(self):
+        return () in self
+
+    def get(self):
+        return self[()]
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def updateValue(self, key, value):
+        self[key], self.writes = value, self.writes + 1
+
+    def getValue(self, key):
+        return self[key]
+
+    def containsKey(self, key):
+        return key in self
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *schemas):
+        return self.states.setdefault(name, _State())
+
+    getMapState = getValueState
+
+
+def test_waiting_events_share_cells_of_the_state():
+    """Two thousand events that wait are a few cells, however often they are delivered."""
+    handle, resolver = _Handle(), _Resolver()
+    resolver.init(handle)
+    size = 40
+    events = pd.DataFrame([{
+        "file_seq": 1, "byte_off": S.FIRST_POSITION + size * n, "event_us": n,
+        "type_code": S.TABLE_MAP_EVENT if n % 50 == 0 else S.WRITE_ROWS_V1, "server_id": 1,
+        "event_size": size, "id_bytes": 6, "table_id": 7, "body": b"%d" % n, "error": None}
+        for n in range(2001)])
+
+    def give(part):
+        return [r for out in resolver.handleInputRows(("log.000001",), iter([part]), None)
+                for r in out[["byte_off", "table_map"]].itertuples(index=False)]
+
+    for again in range(40):
+        assert give(events.iloc[1:].sample(frac=1, random_state=again)) == []
+    held = handle.states["held"]
+    assert 1 <= len(held) <= 17 and held.writes <= 60
+    got = give(events.iloc[:1])
+    assert len(got) == 2001 - 41 and not held
+    assert all(r.table_map == b"%d" % ((r.byte_off - S.FIRST_POSITION) // size // 50 * 50)
+               for r in got)

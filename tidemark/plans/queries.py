@@ -35,7 +35,7 @@ from ..sources.tables import (
 )
 from ..streaming import (
     apply_stream, binlog_stream, change_stream, maintain_store, publish, read_metrics, read_state,
-    resolve_stream, route_stream, stream_metrics,
+    resolve_stream, route_stream, state_per_core, stream_metrics,
 )
 from . import feeds
 from .packing import log_folder
@@ -687,7 +687,8 @@ def _resolve_stream(spark, sf_dir):
     stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1")
               .parquet(path))
     shape = _log_shape(spark, sf_dir)
-    rows = _run_once(spark, decode_rows(resolve_stream(stream), shape, tables=_TABLES))
+    with state_per_core(spark):
+        rows = _run_once(spark, decode_rows(resolve_stream(stream), shape, tables=_TABLES))
     return rows.select("table", "type_code", F.shiftright("seq", 32).alias("file_seq"), "reason",
                        *_image_columns(F.coalesce("after", "before"), shape))
 

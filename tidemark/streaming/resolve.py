@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,7 +15,8 @@ from .apply import use_rocksdb
 
 _NUMBERS = ("file_seq", "byte_off", "event_us", "type_code", "server_id", "event_size", "id_bytes",
             "table_id")
-_KEPT = (*[c for c in _NUMBERS if c != "byte_off"], "body")  # of an event that waits
+_KEPT = pa.schema([*[(c, pa.int64()) for c in _NUMBERS], ("body", pa.binary())])  # while it waits
+_PIECE = 4 << 20  # bytes of waiting events in one cell of the state, if they are several
 _OUT = T.StructType([
     *[S.LOG_EVENTS[c] for c in ("log_file", "file_seq", "byte_off")],
     T.StructField("event_us", T.LongType()),
@@ -29,8 +31,8 @@ class _Resolver(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.upto = handle.getValueState("upto", "position bigint")
         self.maps = handle.getMapState("maps", "table_id bigint", "body binary")
-        self.held = handle.getMapState("held", "byte_off bigint", ", ".join(
-            f"{c} {'binary' if c == 'body' else 'bigint'}" for c in _KEPT))
+        self.held = handle.getMapState("held", "piece bigint", "events binary")
+        self.pieces = handle.getValueState("pieces", "n bigint, least bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         parts = [p for p in rows if len(p)]
@@ -40,29 +42,42 @@ class _Resolver(StatefulProcessor):
             yield self._out(key, broken, [None] * len(broken), broken["error"])
         upto = self.upto.get()[0] if self.upto.exists() else S.FIRST_POSITION
         fresh = fresh[fresh["error"].isna() & (fresh["byte_off"] >= upto)]
-        waiting = {k[0]: v for k, v in self.held.iterator()}
-        if waiting:
-            old = pd.DataFrame([{"byte_off": at, **dict(zip(_KEPT, v))}
-                                for at, v in waiting.items()])
-            fresh = pd.concat([fresh, old])
-        # An event that was delivered twice is one event.
-        fresh = fresh.drop_duplicates("byte_off").sort_values("byte_off")
+        if not (fresh["byte_off"] == upto).any():  # the gap stays
+            self._hold(fresh)
+            return
+        fresh = self._with_held(fresh)
         off = fresh["byte_off"].to_numpy(np.int64)
         ends = off + fresh["event_size"].to_numpy(np.int64)
         follows = off == np.concatenate([[upto], ends[:-1]])
         known = len(off) if follows.all() else int(np.argmin(follows))
-        for at in off[:known].tolist():
-            if at in waiting:
-                self.held.removeKey((at,))
-        for row in fresh.iloc[known:].to_dict("records"):
-            if row["byte_off"] not in waiting:
-                self.held.updateValue((int(row["byte_off"]),), tuple(
-                    _value(row[c]) for c in _KEPT))
-        if not known:
-            return
+        self._hold(fresh.iloc[known:])
         self.upto.update((int(ends[known - 1]),))
         yield from self._resolve(key, fresh.iloc[:known])
 
+    def _hold(self, events: pd.DataFrame) -> None:
+        """Let events wait, many to a cell. What is delivered again and again meanwhile is dropped
+        whenever the cells have doubled."""
+        if not len(events):
+            return
+        n, least = self.pieces.get() if self.pieces.exists() else (0, 0)
+        cells = _cells(events)
+        if n and n + len(cells) > 2 * least + 16:
+            cells = _cells(self._with_held(events))
+            n, least = 0, len(cells)
+        for i, cell in enumerate(cells):
+            self.held.updateValue((n + i,), (cell,))
+        self.pieces.update((n + len(cells), least))
+
+    def _with_held(self, fresh: pd.DataFrame) -> pd.DataFrame:
+        """The events with all that wait, which leave the state, in order; one that was delivered
+        twice is one event."""
+        if self.pieces.exists():
+            old = [pa.ipc.open_stream(bytes(v[0])).read_pandas() for _, v in self.held.iterator()]
+            fresh = pd.concat([fresh[_KEPT.names], *old])
+            self.held.clear()
+            self.pieces.clear()
+        return fresh.drop_duplicates("byte_off").sort_values("byte_off")
+
     def _resolve(self, key, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Rows events of a gapless stretch with the map in force at each."""
         force: dict[int, bytes | None] = {}
@@ -100,11 +115,17 @@ class _Resolver(StatefulProcessor):
         pass
 
 
-def _value(x):
-    """A cell as state holds it."""
-    if isinstance(x, bytes):
-        return x
-    return None if x is None or pd.isna(x) else int(x)
+def _cells(events: pd.DataFrame) -> list[bytes]:
+    """Events as Arrow streams of about ``_PIECE`` bytes."""
+    batch = pa.RecordBatch.from_pandas(events[_KEPT.names], schema=_KEPT, preserve_index=False)
+    rows = max(1, batch.num_rows * _PIECE // max(1, batch.nbytes))
+    cells = []
+    for start in range(0, batch.num_rows, rows):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _KEPT) as stream:
+            stream.write_batch(batch.slice(start, rows))
+        cells.append(sink.getvalue().to_pybytes())
+    return cells
 
 
 def resolve_stream(log_events: DataFrame) -> DataFrame:
