@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from tidemark.llm import packing, planes, text as words
+from tidemark.llm import jaccard, packing, planes, text as words
 from tidemark.llm.components import connected_components
 from tidemark.llm.fingerprints import containment, likeness, merged, sketch, with_next
 from tidemark.llm.jaccard import join_sets, near_duplicates, one_of_each
@@ -298,6 +298,33 @@ def test_join_sets_links_each_group_once():
     assert join_sets(sets, prefixes, np.array([5, 9, 9, 5]), np.array([1, 2, 1, 2]), 90, 100) == [(1, 0)]
 
 
+def test_prefix_of_rare_tokens_asks_for_more_than_one():
+    """Counters that show nothing beyond noise do not make one shared token enough."""
+    tokens = words.mix64(np.arange(2000, dtype=np.uint64))
+    prefix, least = jaccard.adaptive_prefix(tokens, np.full(1 << 10, 7, np.uint32), 7.0, 90, 100)
+    assert least == jaccard.MOST_SHARED and len(prefix) == 200 + least
+
+
+@pytest.mark.parametrize("top", [1, 255, 256, 70_000])
+def test_counters_round_trip(top):
+    counters = np.random.default_rng(top).integers(0, 2, jaccard._CHUNK).astype(np.uint32)
+    counters[7] = top
+    data = jaccard._packed(counters)
+    assert (jaccard._unpacked(data) == counters).all()
+    assert len(data) < jaccard._CHUNK / 2  # two bytes of each counter went out before
+    assert jaccard._packed(np.zeros(jaccard._CHUNK, np.uint32)) == b""
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 28])
+def test_marks_keep_every_node_and_few_others(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MAX_MARKS", most)
+    rows = spark.range(20_000).select(F.expr("id * 8589934592 + id % 3").alias("node"), "id")
+    some = rows.filter("id % 10 = 0").select("node")
+    kept = {r.id for r in jaccard._marked(rows, some).collect()}
+    assert kept >= set(range(0, 20_000, 10)) and len(kept) < 4_000
+    assert jaccard._marked(rows, some.limit(0)).count() == 0
+
+
 # ---- op5 ----------------------------------------------------------------------------------
 
 def test_fingerprints_odd_rows(spark, make_docs):

@@ -44,6 +44,11 @@ from .text import shingle_sets, sized
 #: Counters of the frequency estimate (4 bytes each): 16 for each text, within these bounds. More
 #: only improve the order.
 MIN_COUNTERS, MAX_COUNTERS = 1 << 20, 1 << 24
+#: What a token counts as whose counter shows no more than others leave in any: rare ones are shared
+#: by chance, too, and of long documents that pairs very many if one such token is enough.
+FAINT = 1 / 16
+#: Bits that mark documents to be read: 16 for each of them, up to this number (32 MB).
+MAX_MARKS = 1 << 28
 _CHUNK = 1 << 16
 _FAN_IN = 64
 #: Bytes of text, and entries of token lists, that a task works on at once.
@@ -71,13 +76,19 @@ def _count_tokens(width: int, size: int):
 
 
 def _packed(counters: np.ndarray) -> bytes:
-    """Counters in two bytes each if they fit, else in four; none if all are zero."""
+    """Counters in as few bytes each as hold them (one, two or four), compressed, after a byte with
+    that number; none if all are zero."""
     top = int(counters.max(initial=0))
-    return counters.astype("<u2" if top < 1 << 16 else "<u4").tobytes() if top else b""
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    data = counters.astype(f"<u{width}").tobytes()
+    return bytes([width]) + pa.compress(data, codec="zstd", asbytes=True) if top else b""
 
 
 def _unpacked(data) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if len(data) == 4 * _CHUNK else "<u2").astype(np.uint32)
+    data = memoryview(data)
+    width = data[0]
+    plain = pa.decompress(pa.py_buffer(data[1:]), decompressed_size=width * _CHUNK, codec="zstd")
+    return np.frombuffer(plain, f"<u{width}").astype(np.uint32)
 
 
 def _filled(counters: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
@@ -131,7 +142,7 @@ def adaptive_prefix(tokens: np.ndarray, counters: np.ndarray, noise: float, num:
     order = np.lexsort((tokens, seen))
     need = -(-num * n // den)
     most = min(MOST_SHARED, need)
-    entries = np.cumsum(np.maximum(seen[order[:n - need + most]] - noise, 0.0))[n - need:]
+    entries = np.cumsum(np.maximum(seen[order[:n - need + most]] - noise, FAINT))[n - need:]
     shared = np.arange(1, most + 1)
     best = int(np.argmin(entries + entries / shared * n))
     return tokens[order[:n - need + best + 1]], best + 1
@@ -304,17 +315,30 @@ def _join_tile(shared, noise: float, width: int, num: int, den: int):
     return join
 
 
+def _marked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose ``node`` is one of ``nodes``, and few others: marks in a bounded bitmap keep
+    the rest from being shuffled to the join that follows."""
+    bits = min(MAX_MARKS, max(1 << 15, 1 << (16 * max(1, nodes.count()) - 1).bit_length()))
+    slot = F.pmod(F.xxhash64("node"), F.lit(bits))
+    chunk, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    marks = nodes.groupBy(chunk.alias("chunk")).agg(F.bitmap_construct_agg(place).alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", (place / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return rows.withColumn("chunk", chunk).join(F.broadcast(marks), "chunk").filter(
+        F.getbit(byte.cast("int"), (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _links(texts: DataFrame, heads: DataFrame, nodes: DataFrame, tiles: DataFrame, run, num: int,
            den: int) -> DataFrame:
     """Links found in tiles, written. ``nodes``: node, cluster, block, group; ``tiles``: cluster,
     tile, block, side. Tiles first get prefixes (``heads``), then the texts of those documents that
-    these leave a partner."""
+    these leave a partner; no others are shuffled."""
     placed = nodes.join(tiles, ["cluster", "block"]).select("node", "cluster", "group", "tile",
                                                             "side")
-    met, path = _written(heads.join(placed, "node").select(
+    met, path = _written(_marked(heads, nodes.select("node")).join(placed, "node").select(
         "tile", "node", "group", "side", "n", "least", "tokens").groupBy("tile").applyInArrow(
         _sift(num, den), "tile string, node bigint"), "met")
-    links, _ = _written(texts.join(placed.join(met, ["tile", "node"]), "node").select(
+    chosen = _marked(texts, met.select("node").distinct())
+    links, _ = _written(chosen.join(placed.join(met, ["tile", "node"]), "node").select(
         "tile", "node", "cluster", "group", "side", "text").groupBy("tile").applyInArrow(
         run, "a bigint, b bigint, cluster bigint"), "links")
     drop(texts.sparkSession, path)
