@@ -1,6 +1,7 @@
 """Operators on small fixtures: nulls, empty and long texts, ties, repeats, empty tables."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from tidemark.llm import jaccard, packing, planes, text as words
+from tidemark.llm import jaccard, packing, planes, quality, text as words
 from tidemark.llm.components import connected_components
 from tidemark.llm.fingerprints import containment, likeness, merged, sketch, with_next
 from tidemark.llm.jaccard import join_sets, near_duplicates, one_of_each
@@ -400,6 +401,29 @@ def test_classifiers_odd_rows(spark, make_docs, score, label):
     assert score(docs.limit(0), spark.createDataFrame(some, schema)).count() == 0
 
 
+@pytest.mark.parametrize("chars", [5, 8000])
+def test_quality_scores_large_batches_in_little_memory(chars):
+    texts = ["Ab, cd 1. " * (chars // 10) or "Ab 1."] * (8_000_000 // max(chars, 2000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = quality.features(pa.array(["a b", "Cd 12.", "x\ny"]))
+
+    class Shared:
+        value = quality.fit(rows, np.array([0.0, 1.0, 1.0]))
+
+    tracemalloc.start()
+    found = sum(part.num_rows for part in quality._score(Shared, ["doc_id"])(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(texts) and peak < 48 << 20
+
+
+def test_packing_encodes_slices_of_bounded_size(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, f"word {i} of a text\n" * (i % 7 * 50)) for i in range(60)]).coalesce(1)
+    want = sorted(packing.token_pieces(docs).collect())
+    monkeypatch.setattr(packing, "_SLICE", 1 << 12)
+    assert sorted(packing.token_pieces(docs).collect()) == want
+
+
 def test_quality_without_labels_is_even(spark, make_docs):
     out = score_quality(make_docs([(1, "a")]), spark.createDataFrame([], "doc_id bigint, quality int"))
     assert out.first().score == 0.5

@@ -28,6 +28,8 @@ from .text import sized
 from .tokens import default_path, encoder
 
 CAPACITY = 4096
+#: Bytes of text that a task encodes at once.
+_SLICE = 1 << 20
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
@@ -40,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in sized(batches):
+        for batch in sized(batches, limit=_SLICE):
             flat, offsets = encoder(tokenizer).encode(batch.column("text"))
             flat = np.insert(flat, offsets[1:], np.uint32(end_id)).astype("<u4")
             offsets = offsets + np.arange(len(offsets))

@@ -28,6 +28,8 @@ from .text import sized, utf8, word_hashes
 PER_CLASS = 2048
 HASHED, RANK, NEIGHBOURS, POWER = 4096, 48, 31, 8
 _LEVELS = 12
+#: Bytes and rows of text that a task works on at once: arrays of a row are thousands of numbers.
+_SLICE, _ROWS = 1 << 19, 128
 _STATS = ("words", "distinct", "adjacent", "length", "upper", "marks", "digits", "lines")
 WIDTH = HASHED + len(_STATS) * _LEVELS
 
@@ -148,8 +150,14 @@ def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Neighbours:
     return Neighbours(rarity, basis, _unit(weighted @ basis), labels)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sized(batches, limit=_SLICE):
+        for start in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(start, _ROWS)
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sized(batches):
+    for batch in _slices(batches):
         found = features(batch.column("text"))
         at = [np.flatnonzero(row) for row in found]
         yield pa.RecordBatch.from_pydict({
@@ -172,6 +180,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     return fit(rows, sample.column("label").to_numpy().astype(np.float64))
 
 
+def _score(shared, keep: list[str]):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in _slices(batches):
+            found = model.score(features(batch.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep] + [pa.array(found, pa.float64())],
+                keep + ["__score"])
+    return score
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
                   threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
     """The columns of ``docs`` with ``score`` (0 to 1), ``predicted`` (1 from ``threshold``) and
@@ -179,18 +198,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, label, per_class))
     keep = [c for c in docs.columns if c not in ("score", "predicted", "held_out")]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in sized(batches):
-            found = [model.score(features(part.column("text")))
-                     for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(np.concatenate(found), pa.float64())],
-                keep + ["__score"])
-
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     scored = docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(
-        score, f"{fields}, __score double")
+        _score(shared, keep), f"{fields}, __score double")
     return scored.select(
         *[F.col(f"`{c}`") for c in keep], held_out().alias("held_out"),
         F.col("__score").alias("score"),

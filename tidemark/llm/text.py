@@ -38,7 +38,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 def sized(batches: Iterator[pa.RecordBatch], column: str = "text",
           limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``limit`` bytes of ``column`` or one row."""
+    """The batches cut so that each holds about ``limit`` bytes of ``column`` or one row. After the
+    last one, memory that Arrow holds unused is given back, as workers outlive their tasks."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -50,6 +51,7 @@ def sized(batches: Iterator[pa.RecordBatch], column: str = "text",
             stop = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
