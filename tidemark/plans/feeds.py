@@ -12,6 +12,8 @@ from .. import schemas as S
 from ..functions import build_document, format_key
 
 DATABASE = "e_store"
+#: Lines of an order that one window holds.
+MOST_LINES = 1 << 12
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,8 +78,24 @@ def _labelled(changes: DataFrame) -> DataFrame:
 def line_ranks(lines: DataFrame) -> DataFrame:
     """Number the lines of each order by (shipdate, linenumber, partkey, suppkey).
 
-    In two levels, so that a hot order is cut into (shipdate, linenumber) pieces: the pieces
-    are counted and summed, and each piece starts from an extra first row with its sum.
+    An order of up to ``MOST_LINES`` lines is one window, so its lines are exchanged and sorted
+    once. Larger ones, of which there are at most (lines / ``MOST_LINES``), are numbered in two
+    levels.
+    """
+    large = lines.groupBy(F.col("l_orderkey").alias("large")).agg(F.count("*").alias("n")).filter(
+        F.col("n") > MOST_LINES).select("large")
+    inside = Window.partitionBy("l_orderkey").orderBy(
+        "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    same = F.col("l_orderkey").eqNullSafe(F.col("large"))
+    small = lines.join(F.broadcast(large), same, "left_anti").withColumn(
+        "rank", F.row_number().over(inside).cast("bigint"))
+    return small.unionByName(
+        _ranks_in_pieces(lines.join(F.broadcast(large), same, "left_semi")).select(*small.columns))
+
+
+def _ranks_in_pieces(lines: DataFrame) -> DataFrame:
+    """The numbers in two levels, so that a hot order is cut into (shipdate, linenumber) pieces:
+    the pieces are counted and summed, and each piece starts from an extra first row with its sum.
     """
     piece = ["l_orderkey", "l_shipdate", "l_linenumber"]
     before = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber").rowsBetween(
