@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from tidemark.llm import jaccard, packing, planes, quality, text as words
+from tidemark.llm import components, jaccard, packing, planes, quality, text as words
 from tidemark.llm.components import connected_components
 from tidemark.llm.fingerprints import containment, likeness, merged, sketch, with_next
 from tidemark.llm.jaccard import join_sets, near_duplicates, one_of_each
@@ -291,6 +291,53 @@ def test_components_of_edges_in_batches_of_their_own(spark, edges):
     assert {r.node: r.root for r in connected_components(frame).collect()} == root
 
 
+@pytest.mark.parametrize("most", [4, 1 << 18])
+def test_components_in_rounds_and_in_one_slice(spark, monkeypatch, most):
+    """Rounds on shuffled edges end once the rest fits a slice; both ways give the same roots."""
+    monkeypatch.setattr(components, "EDGES", most)
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(edges, 5), "a bigint, b bigint")
+    assert {r.node: r.root for r in connected_components(frame).collect()} == root
+    assert connected_components(frame.limit(0)).count() == 0
+
+
+def test_edges_are_contracted_over_batches(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"a": [i + 1], "b": [i]}) for i in range(9)]
+    monkeypatch.setattr(components, "EDGES", 5)
+    out = [b.to_pydict() for b in components._contract(iter(batches))]
+    assert out == [{"a": [1, 2, 3, 4, 5], "b": [0] * 5}, {"a": [6, 7, 8, 9], "b": [5] * 4}]
+
+
+def test_near_duplicates_run_few_jobs(spark, make_docs, monkeypatch):
+    """The driver holds plans and states of all jobs: large clusters may not take ever more."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(w if rng.random() > 0.02 * (i % 5) else f"x{rng.randrange(30)}"
+                         for w in base)) for i in range(60)]
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        got = {r.doc_id: r.component_id for r in near_duplicates(make_docs(docs), 3, 60).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    sets = {i: {tuple(t.split()[k:k + 3]) for k in range(58)} for i, t in docs}
+    near = [(i, j) for i in sets for j in sets
+            if i < j and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])]
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert got == root
+    assert jobs < 125  # 105 here, 149 with rounds for few edges and tiles planned twice
+
+
 def test_join_sets_links_each_group_once():
     sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64),
             np.arange(2, 102, dtype=np.uint64), np.arange(500, 520, dtype=np.uint64)]
@@ -417,6 +464,19 @@ def test_quality_scores_large_batches_in_little_memory(chars):
     assert found == len(texts) and peak < 48 << 20
 
 
+def test_quality_learns_in_little_memory():
+    """The sample is weighted in the driver in place, with the same numbers."""
+    rows = (np.random.default_rng(3).random((2000, quality.WIDTH)) > 0.97).astype(np.float32)
+    rarity = np.log(2001.0 / (1.0 + (rows > 0).sum(axis=0))).astype(np.float32) + 0.1
+    want, size = quality._balanced(rows, rarity), rows.nbytes
+    tracemalloc.start()
+    model = quality.fit(rows, np.arange(2000) % 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < size and (rows == want).all()
+    assert (model.vectors == quality._unit(want @ model.basis)).all()
+
+
 def test_packing_encodes_slices_of_bounded_size(spark, make_docs, monkeypatch):
     docs = make_docs([(i, f"word {i} of a text\n" * (i % 7 * 50)) for i in range(60)]).coalesce(1)
     want = sorted(packing.token_pieces(docs).collect())

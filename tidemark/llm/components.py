@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import drop, new_path
 
+#: Edges that a task contracts at once (16 bytes each).
+EDGES = 1 << 18
+
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of some edges and the smallest node each of them reaches."""
@@ -27,14 +30,34 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch of edges as stars: fewer edges and shorter paths with the same components."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The edges of a task, about ``EDGES`` at a time."""
+    held, rows = [], 0
     for batch in batches:
-        nodes, roots = local_roots(*(batch.column(c).to_numpy() for c in ("a", "b")))
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= EDGES:
+            yield tuple(pa.Table.from_batches(held).column(c).to_numpy() for c in ("a", "b"))
+            held, rows = [], 0
+    if rows:
+        yield tuple(pa.Table.from_batches(held).column(c).to_numpy() for c in ("a", "b"))
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice of edges as stars: fewer edges and shorter paths with the same components."""
+    for a, b in _slices(batches):
+        nodes, roots = local_roots(a, b)
         other = nodes != roots
         yield pa.RecordBatch.from_pydict({"a": nodes[other], "b": roots[other]})
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a slice with its root."""
+    for a, b in _slices(batches):
+        nodes, roots = local_roots(a, b)
+        yield pa.RecordBatch.from_pydict({"node": nodes, "root": roots})
+
+
 def _stored(edges: DataFrame, after: str | None = None) -> tuple[DataFrame, str]:
     """The edges as a written table, in the place of the one before it."""
     spark, path = edges.sparkSession, new_path(edges.sparkSession, "stars")
@@ -50,12 +73,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has the BIGINT columns ``a`` and ``b``. Each round links the larger neighbours of
     every node to its smallest neighbour, then the smaller ones, until every node has one edge and
     that leads to a root.
-    Batches are contracted and minima aggregated before they are shuffled, and each round is a
-    written table, so that no lineage grows.
+    Slices are contracted and minima aggregated before they are shuffled, and each round is a
+    written table, so that no lineage grows. Once the edges that are left fit one slice, that is
+    contracted without any more rounds.
     """
     current, path = _stored(edges.filter("a <> b").select("a", "b").mapInArrow(
-        _contract, "a bigint, b bigint").distinct())
+        _contract, "a bigint, b bigint"))
     while True:
+        if current.count() <= EDGES:
+            return _stored(current.coalesce(1).mapInArrow(
+                _rooted, "node bigint, root bigint"), after=path)[0]
         # An edge points from the larger node to the smaller: roots have no edge of their own. A
         # node with two targets links them, so those are not roots yet.
         ends = current.select(F.col("a").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("met"))

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import drop, new_path
 from .components import connected_components
@@ -291,7 +291,7 @@ def _sift(num: int, den: int):
                                   table.column("side").to_numpy(), num, den):
             met[x] = True
             met[near] = True
-        return table.select(["tile", "node"]).filter(pa.array(met))
+        return table.select(["tile", "node", "cluster", "group", "side"]).filter(pa.array(met))
     return sift
 
 
@@ -318,7 +318,8 @@ def _join_tile(shared, noise: float, width: int, num: int, den: int):
 def _marked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows whose ``node`` is one of ``nodes``, and few others: marks in a bounded bitmap keep
     the rest from being shuffled to the join that follows."""
-    bits = min(MAX_MARKS, max(1 << 15, 1 << (16 * max(1, nodes.count()) - 1).bit_length()))
+    found = nodes.agg(F.approx_count_distinct("node")).first()[0]
+    bits = min(MAX_MARKS, max(1 << 15, 1 << (16 * max(1, found) - 1).bit_length()))
     slot = F.pmod(F.xxhash64("node"), F.lit(bits))
     chunk, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
     marks = nodes.groupBy(chunk.alias("chunk")).agg(F.bitmap_construct_agg(place).alias("marks"))
@@ -335,10 +336,11 @@ def _links(texts: DataFrame, heads: DataFrame, nodes: DataFrame, tiles: DataFram
     placed = nodes.join(tiles, ["cluster", "block"]).select("node", "cluster", "group", "tile",
                                                             "side")
     met, path = _written(_marked(heads, nodes.select("node")).join(placed, "node").select(
-        "tile", "node", "group", "side", "n", "least", "tokens").groupBy("tile").applyInArrow(
-        _sift(num, den), "tile string, node bigint"), "met")
-    chosen = _marked(texts, met.select("node").distinct())
-    links, _ = _written(chosen.join(placed.join(met, ["tile", "node"]), "node").select(
+        "tile", "node", "cluster", "group", "side", "n", "least", "tokens").groupBy(
+        "tile").applyInArrow(_sift(num, den), "tile string, node bigint, cluster bigint, "
+                                              "group bigint, side int"), "met")
+    chosen = _marked(texts, met.select("node"))
+    links, _ = _written(chosen.join(met, "node").select(
         "tile", "node", "cluster", "group", "side", "text").groupBy("tile").applyInArrow(
         run, "a bigint, b bigint, cluster bigint"), "links")
     drop(texts.sparkSession, path)
@@ -354,7 +356,7 @@ def _cross_links(texts: DataFrame, heads: DataFrame, nodes: DataFrame, links: Da
     roots = connected_components(links)
     known = nodes.select("node", "cluster", "weight").join(roots, "node", "left").select(
         "node", "cluster", "weight", F.coalesce("root", "node").alias("group"))
-    known, _ = _written(known, "groups")
+    known, known_path = _written(known, "groups")
     groups = known.groupBy("cluster", "group").agg(F.sum("weight").alias("held"))
     small = F.when(F.col("held") < BLOCK, F.col("held"))
     clusters = groups.groupBy("cluster").agg(
@@ -366,24 +368,28 @@ def _cross_links(texts: DataFrame, heads: DataFrame, nodes: DataFrame, links: Da
                           / BLOCK), F.lit(1)).alias("parts"))
     own = F.concat_ws(":", "group", F.pmod(F.xxhash64("node"), F.col("parts")))
     loose = F.concat_ws(":", F.lit("loose"), F.pmod(F.xxhash64("group"), F.col("parts")))
-    dealt = known.join(groups, ["cluster", "group"]).select(
+    dealt, path = _written(known.join(groups, ["cluster", "group"]).select(
         "node", "cluster", "group", F.when(F.col("large"), own).otherwise(loose).alias("block"),
-        F.when(F.col("large"), F.col("group")).alias("inside"))
+        F.when(F.col("large"), F.col("group")).alias("inside")), "dealt")
     blocks = dealt.select("cluster", "block", "inside").distinct()
     other = blocks.select("cluster", F.col("block").alias("block2"),
                           F.col("inside").alias("inside2"))
+    # A block of small components is paired with itself, too.
     pairs = blocks.join(other, "cluster").filter(
-        (F.col("block") < F.col("block2"))
+        (F.col("block") <= F.col("block2"))
         & F.coalesce(F.col("inside") != F.col("inside2"), F.lit(True)))
-    name = F.concat_ws("/", "cluster", "block", "block2")
-    tiles = pairs.select("cluster", "block", name.alias("tile"), F.lit(1).alias("side")).unionByName(
-        pairs.select("cluster", F.col("block2").alias("block"), name.alias("tile"),
-                     F.lit(2).alias("side"))).unionByName(
-        blocks.filter("inside IS NULL").select(
-            "cluster", "block", F.concat_ws("/", "cluster", "block").alias("tile"),
-            F.lit(0).alias("side")))
-    return _links(texts, heads, dealt.select("node", "cluster", "block", "group"), tiles, run, num,
-                  den)
+    sides = F.when(F.col("block") == F.col("block2"), F.array(_side("block", 0))).otherwise(
+        F.array(_side("block", 1), _side("block2", 2)))
+    tiles = pairs.select("cluster", F.concat_ws("/", "cluster", "block", "block2").alias("tile"),
+                         F.inline(sides))
+    links = _links(texts, heads, dealt.select("node", "cluster", "block", "group"), tiles, run, num,
+                   den)
+    drop(texts.sparkSession, known_path, path)
+    return links
+
+
+def _side(block: str, side: int) -> Column:
+    return F.struct(F.col(block).alias("block"), F.lit(side).alias("side"))
 
 
 def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -418,14 +424,14 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(counters)
     del counters
     heads, heads_path = _written(prefixes(shared), "prefixes")
-    clusters, clusters_path = _written(_clusters(_exploded(heads), num, den), "clusters")
-    clusters = clusters.select("node", F.col("root").alias("cluster"))
+    # Long documents count as several.
+    clusters, clusters_path = _written(_clusters(_exploded(heads), num, den).select(
+        "node", F.col("root").alias("cluster")).join(heads.select("node", F.greatest(F.lit(
+            1), F.expr(f"n div {LONG}")).cast("bigint").alias("weight")), "node"), "clusters")
     run = _join_tile(shared, noise, width, num, den)
     slim = texts.select("node", "text")
 
-    # Blocks: a cluster over BLOCK documents has its own, others share. Long ones count as several.
-    clusters = clusters.join(heads.select("node", F.greatest(F.lit(1), F.expr(
-        f"n div {LONG}")).cast("bigint").alias("weight")), "node")
+    # Blocks: a cluster over BLOCK documents has its own, others share.
     held = clusters.groupBy("cluster").agg(F.sum("weight").alias("held"))
     small = held.filter(f"held <= {BLOCK}").agg(F.sum("held")).first()[0] or 0
     packs = max(1, -(-small // BLOCK))
@@ -438,14 +444,16 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("block"),
         F.col("node").alias("group")), "blocks")
     blocks = nodes.select("cluster", "block").distinct()
-    alone = blocks.select("cluster", "block", F.concat_ws("/", "cluster", "block").alias("tile"),
-                          F.lit(0).alias("side"))
-    others = blocks.filter("cluster >= 0 and block > 0")
-    to_first = F.concat_ws("/", "cluster", "block", F.lit("0"))
-    with_first = others.select("cluster", "block", to_first.alias("tile"), F.lit(1).alias("side")) \
-        .unionByName(others.select("cluster", F.lit(0).cast("bigint").alias("block"),
-                                   to_first.alias("tile"), F.lit(2).alias("side")))
-    links = _links(slim, heads, nodes, alone.unionByName(with_first), run, num, den)
+    # Each block alone, and those after the first of a cluster with that one.
+    alone, with_first = F.concat_ws("/", "cluster", "block"), F.concat_ws(
+        "/", "cluster", "block", F.lit("0"))
+    first = F.lit(0).cast("bigint")
+    placed = [F.struct(tile.alias("tile"), block.alias("block"), F.lit(side).alias("side"))
+              for tile, block, side in ((alone, F.col("block"), 0), (with_first, F.col("block"), 1),
+                                        (with_first, first, 2))]
+    tiles = blocks.select("cluster", F.inline(F.when(F.expr(
+        "cluster >= 0 and block > 0"), F.array(*placed)).otherwise(F.array(placed[0]))))
+    links = _links(slim, heads, nodes, tiles, run, num, den)
 
     # A cluster inside one block is done: its links lead to its components' first nodes.
     inside = links.filter("cluster < 0")

@@ -134,12 +134,15 @@ def _balanced(rows: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Neighbours:
-    """Latent space of a labelled sample, by a randomized singular value decomposition."""
+    """Latent space of a labelled sample, by a randomized singular value decomposition. ``rows``
+    are weighted in place, as this runs in the driver."""
     if not len(rows):
         return Neighbours(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32),
                           np.zeros((0, 1), np.float32), labels)
     rarity = np.log((1.0 + len(rows)) / (1.0 + (rows > 0).sum(axis=0))).astype(np.float32) + 0.1
-    weighted = _balanced(rows, rarity)
+    for start in range(0, len(rows), _ROWS):
+        rows[start:start + _ROWS] = _balanced(rows[start:start + _ROWS], rarity)
+    weighted = rows
     rank = min(rank, *weighted.shape)
     guess = np.random.default_rng(7).standard_normal(
         (weighted.shape[1], min(rank + 10, weighted.shape[1]))).astype(np.float32)
