@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_apply import FEED, cases
-from tidemark.operators import apply_multi_table, state_as_of
+from tidemark.operators import apply_changes, apply_multi_table, state_as_of
 from tidemark.plans import feeds
 from tidemark.plans.queries import QUERIES
 from tidemark.sources import (
-    apply_late, create_store, full_refresh, merge_changes, read_refreshed, read_store, snapshots,
-    state_from_snapshots, store_lookup, take_snapshot, vacuum,
+    add_changes, apply_late, create_store, full_refresh, merge_changes, read_refreshed, read_store,
+    snapshots, state_from_snapshots, store_lookup, take_snapshot, vacuum,
 )
+from tidemark.sources.store import store_version
 from tidemark.streaming import maintain_store
 
 BY = ("database", "table", "key")
@@ -94,6 +95,32 @@ def test_a_repeated_or_broken_batch(spark, tmp_path):
     assert values(read_store(spark, target)) == {k: v for k, v in want.items() if k != 1}
 
 
+def test_added_files_are_merged_by_levels(spark, tmp_path):
+    """Small batches add files; a bucket's rows are written again with the level above, so its files
+    stay few and most batches write their own rows only."""
+    target = str(tmp_path)
+    create_store(spark, target, buckets=2)
+    feed = as_rows(one_feed(3, 260, 20))
+    held, wrote = [], []
+    for n in range(26):
+        part = spark.createDataFrame(feed[10 * n:10 * n + 10], ONE)
+        for _ in range(1 + (n == 7)):  # one of them again
+            add_changes(part, target, version=n, runs=3)
+        vacuum(spark, target, keep=1)
+        files = store_version(spark, target).files
+        held.append(max(len(found) for found in files.values()))
+        wrote.append(spark.read.parquet(f"{target}/data/version={n}").count())
+    so_far = apply_changes(spark.createDataFrame(feed, ONE))
+    assert values(read_store(spark, target)) == values(so_far)
+    assert values(store_lookup(spark, target, 7)) == values(so_far.filter("key = 7"))
+    assert max(held) <= 2 * 3 and len([n for n in wrote if n > 10]) <= 26 // 3
+    more = spark.createDataFrame([(7, "DELETE", 1000, None), (99, "INSERT", 1001, (1,))], ONE)
+    want = {k: v for k, v in values(so_far).items() if k != 7} | {99: (1, 1001)}
+    assert values(read_store(spark, target, changes=more)) == want
+    assert merge_changes(more, target)
+    assert values(read_store(spark, target)) == want
+
+
 def test_layout_is_fixed(spark, tmp_path):
     create_store(spark, str(tmp_path), BY, buckets=5)
     create_store(spark, str(tmp_path), BY, buckets=5)

@@ -181,6 +181,32 @@ def test_a_micro_batch_is_split_once(spark, tmp_path):
     assert passes.value == 2 * 3  # format event, map and rows of each file
 
 
+def test_targets_are_merged_after_some_batches(spark, tmp_path):
+    """A micro-batch leaves the stores as they are until enough wait; its changes count at once."""
+    logs, root = tmp_path / "logs", str(tmp_path / "root")
+    logs.mkdir()
+    manifests, states = tmp_path / "root" / "tables" / "d" / "t" / "manifest", []
+
+    def state(df, i):
+        there = sorted(int(f.name.split("=")[1]) for f in manifests.iterdir()) \
+            if manifests.exists() else []
+        states.append((there, targets(spark, root),
+                       sorted(int(r.key) for r in read_target(spark, root, "d", "t").collect())))
+
+    for n in range(1, 8):
+        write_file(logs, n, [table_map(A), rows(A, S.WRITE_ROWS_V1, [[n, n], [100 + n, n]]),
+                             rows(A, S.DELETE_ROWS_V1, [[n - 1, 0]])])
+        route_stream(binlog_stream(spark, str(logs), max_files=1), root, f"{root}/check", buckets=2,
+                     on_batch=state, merge_every=3, availableNow=True).awaitTermination()
+    assert [s[0] for s in states] == [[], [], [2], [2], [2], [2, 5], [2, 5]]
+    for i, (_, names, keys) in enumerate(states):
+        assert names == [("d", "t")]
+        assert keys == [i + 1, *range(101, 102 + i)]
+    # What is merged goes with the merge after it.
+    assert sorted(p.name for p in (tmp_path / "root" / "staged").iterdir()) == [
+        f"batch={n}" for n in (3, 4, 5, 6)]
+
+
 class _State(dict):
     """State of one key as a plain dictionary that counts its writes; a value is that of ()."""
     writes = 0

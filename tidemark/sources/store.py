@@ -6,10 +6,11 @@ repeated ones too, and deleted keys stay as tombstones. Rows lie in buckets by t
 
     layout                              key columns and number of buckets
     data/version=<n>/bucket=<b>         rows of a bucket as version n wrote them
-    manifest/version=<n>                for every bucket the version that wrote its rows
+    manifest/version=<n>                for every bucket the versions that wrote its rows
 
 A version writes the buckets its changes touch and shares all others with the version it is based
-on. Its manifest is written last, so a version is there whole or not at all, and writing a version
+on. ``merge_changes`` rewrites these buckets; ``add_changes`` adds files to them, which are merged by
+levels, so that a row is written again a few times only, however many small batches follow. Its manifest is written last, so a version is there whole or not at all, and writing a version
 again (a repeated micro-batch) replaces only its own files. Manifests have a row per bucket; that
 and the list of versions is all that reaches the driver.
 
@@ -22,24 +23,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.apply import apply_changes, change_summary, is_live
-from ..operators.grouping import with_group_hash
-from .versions import finished, note, numbers, remove
+from ..operators.grouping import HASH, with_group_hash
+from .versions import finished, numbers, read_note, remove, write_note
 
-_MANIFEST = "bucket int, wrote bigint, position bigint, based bigint"
+_MANIFEST = "bucket int, wrote bigint, position bigint, based bigint, level int"
 _LAYOUT = "keys array<string>, buckets int"
 _NOTHING = -(1 << 62)  # the number of no version
 
 
 @dataclass(frozen=True)
 class Version:
-    """``files`` has for each bucket with rows the version that wrote it."""
+    """``files`` has for each bucket with rows the versions that wrote them, each with its level:
+    0 for rows of one batch, one more for each time they were merged."""
 
     number: int
     position: int | None
-    files: dict[int, int]
+    files: dict[int, dict[int, int]]
 
 
 def create_store(spark: SparkSession, target: str, by: tuple[str, ...] = ("key",),
@@ -50,13 +52,12 @@ def create_store(spark: SparkSession, target: str, by: tuple[str, ...] = ("key",
         if _layout(spark, target) != (list(by), buckets):
             raise ValueError(f"{target} has another layout: {_layout(spark, target)}")
         return
-    note(spark, [(list(by), buckets)], _LAYOUT).coalesce(1).write.mode(
-        "overwrite").parquet(f"{target}/layout")
+    write_note(spark, [(list(by), buckets)], _LAYOUT, f"{target}/layout")
 
 
 def _layout(spark: SparkSession, target: str) -> tuple[list[str], int]:
-    row = spark.read.schema(_LAYOUT).parquet(f"{target}/layout").first()
-    return list(row["keys"]), row["buckets"]
+    row = read_note(spark, f"{target}/layout")[0]
+    return row["keys"], row["buckets"]
 
 
 def _bucket(by: list[str], buckets: int) -> Column:
@@ -71,12 +72,24 @@ def store_version(spark: SparkSession, target: str, number: int | None = None,
             continue
         path = f"{target}/manifest/version={n}"
         if finished(spark, path):
-            rows = spark.read.schema(_MANIFEST).parquet(path).collect()  # a row per bucket
-            return Version(n, rows[0].position, {
-                r.bucket: r.wrote for r in rows if r.bucket is not None})
+            rows = read_note(spark, path)  # a row per bucket and file
+            files: dict[int, dict[int, int]] = {}
+            for r in rows:
+                if r["bucket"] is not None:
+                    files.setdefault(r["bucket"], {})[r["wrote"]] = r.get("level") or 0
+            return Version(n, rows[0]["position"], files)
     return None
 
 
+def _write_manifest(spark: SparkSession, target: str, version: int, position: int | None,
+                    based: Version | None, files: dict[int, dict[int, int]]) -> None:
+    number = based.number if based else None
+    rows = [(b, v, position, number, level) for b, found in sorted(files.items())
+            for v, level in sorted(found.items())]
+    write_note(spark, rows or [(None, None, position, number, None)], _MANIFEST,
+               f"{target}/manifest/version={version}")
+
+
 def _manifests(spark: SparkSession, target: str) -> DataFrame | None:
     """Rows of all finished manifests with their ``version``."""
     there = [n for n in numbers(spark, f"{target}/manifest", "version")
@@ -109,13 +122,25 @@ def _merged() -> list[Column]:
             F.max_by("newest", "newest.seq").alias("newest")]
 
 
-def _rows(spark: SparkSession, target: str, files: dict[int, int]) -> DataFrame | None:
-    """Rows of some buckets; one path each."""
-    if not files:
+def _rows(spark: SparkSession, target: str, files: dict[int, dict[int, int]],
+          schema: T.StructType | None = None) -> DataFrame | None:
+    """Rows of some buckets; one path for each file."""
+    paths = [f"{target}/data/version={v}/bucket={b}" for b, found in sorted(files.items())
+             for v in sorted(found)]
+    if not paths:
         return None
-    return spark.read.option("basePath", f"{target}/data").parquet(
-        *[f"{target}/data/version={v}/bucket={b}" for b, v in sorted(files.items())]).drop(
-        "version")
+    reader = spark.read.option("basePath", f"{target}/data")
+    return (reader if schema is None else reader.schema(schema)).parquet(*paths).drop("version")
+
+
+def _whole(spark: SparkSession, target: str, files: dict[int, dict[int, int]],
+           by: list[str]) -> DataFrame | None:
+    """One row for each key of some buckets."""
+    rows = _rows(spark, target, files)
+    if all(len(found) == 1 for found in files.values()):
+        return rows
+    rows, group = with_group_hash(rows, ["bucket", *by])
+    return rows.groupBy(*group).agg(*_merged()).drop(HASH)
 
 
 def _current(summary: DataFrame, by: list[str]) -> DataFrame:
@@ -149,23 +174,63 @@ def merge_changes(changes: DataFrame, target: str, version: int | None = None,
         (both.repartition(len(touched), "bucket").groupBy("bucket", *by).agg(*_merged())
          .sortWithinPartitions("bucket", *by).write.mode("overwrite").partitionBy("bucket")
          .option(f"parquet.bloom.filter.enabled#{by[-1]}", "true").parquet(data))
-        files |= dict.fromkeys(touched, version)
-    based = on.number if on else None
-    rows = [(b, v, position, based) for b, v in sorted(files.items())] or [
-        (None, None, position, based)]
-    note(spark, rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(
-        f"{target}/manifest/version={version}")
+        files |= {b: {version: 1 + max(files.get(b, {}).values(), default=-1)} for b in touched}
+    _write_manifest(spark, target, version, position, on, files)
     remove(spark, delta)
     return touched
 
 
-def read_store(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
+def add_changes(changes: DataFrame, target: str, version: int, runs: int = 8) -> None:
+    """Write a version with ``changes`` added to the newest one before it, by adding a file to each
+    bucket they touch: what a small batch costs does not follow what the buckets hold.
+
+    ``runs`` files of a level are merged to one of the next, by the batch that would be the last of
+    them; readers merge the rest, at most ``runs - 1`` files a level.
+    """
+    spark = changes.sparkSession
+    by, buckets = _layout(spark, target)
+    on = store_version(spark, target, before=version)
+    files = {b: dict(found) for b, found in on.files.items()} if on else {}
+    full: dict[int, dict[int, int]] = {}
+    levels: dict[int, int] = {}
+    for b, found in files.items():
+        level = 0
+        while sum(x == level for x in found.values()) >= runs - 1:
+            level += 1
+        if level:
+            full[b] = {v: x for v, x in found.items() if x < level}
+            levels[b] = level
+    sums = summarise(changes, by).withColumn("bucket", _bucket(by, buckets))
+    old = _rows(spark, target, full, sums.schema)
+    if old is None:
+        rows = sums.hint("rebalance", "bucket")
+    else:
+        rows = sums.unionByName(old).repartition(buckets, "bucket").groupBy(
+            "bucket", *by).agg(*_merged())
+    data = f"{target}/data/version={version}"
+    (rows.sortWithinPartitions("bucket", *by).write.mode("overwrite").partitionBy("bucket")
+     .option(f"parquet.bloom.filter.enabled#{by[-1]}", "true").parquet(data))
+    for b in numbers(spark, data, "bucket"):
+        files[b] = {v: x for v, x in files.get(b, {}).items() if v not in full.get(b, {})}
+        files[b][version] = levels.get(b, 0)
+    _write_manifest(spark, target, version, None, on, files)
+
+
+def read_store(spark: SparkSession, target: str, version: int | None = None,
+               changes: DataFrame | None = None) -> DataFrame:
     """Current rows of a version, by default the newest: key columns, fields of the image and
-    ``last_seq``."""
+    ``last_seq``; with ``changes``, those that come on top of it."""
     found = store_version(spark, target, number=version)
-    if found is None or not found.files:
+    files = found.files if found else {}
+    if not files and changes is None:
         raise FileNotFoundError(f"no finished version with rows below {target}")
-    return _current(_rows(spark, target, found.files), _layout(spark, target)[0])
+    by, _ = _layout(spark, target)
+    if changes is not None:
+        both, old = summarise(changes, by), _rows(spark, target, files)
+        both = both if old is None else both.unionByName(old.drop("bucket"))
+        both, group = with_group_hash(both, by)
+        return _current(both.groupBy(*group).agg(*_merged()), by)
+    return _current(_whole(spark, target, files, by), by)
 
 
 def store_lookup(spark: SparkSession, target: str, *key) -> DataFrame:
@@ -181,7 +246,7 @@ def store_lookup(spark: SparkSession, target: str, *key) -> DataFrame:
         F.pmod(F.xxhash64(*values), F.lit(buckets)).cast("int").alias("b")).first().b
     # Without rows in its bucket the key is in none: any bucket says so.
     one = bucket if bucket in found.files else some
-    rows = _rows(spark, target, {one: found.files[one]})
+    rows = _whole(spark, target, {one: found.files[one]}, by)
     for c, value in zip(by, values):
         rows = rows.filter(F.col(c) == value)
     return _current(rows, by)
@@ -191,18 +256,19 @@ def vacuum(spark: SparkSession, target: str, keep: int = 3) -> None:
     """Remove versions other than snapshots and the ``keep`` newest, and files that no version left
     names. Readers that began before may have to begin again."""
     there = numbers(spark, f"{target}/manifest", "version")
-    found = _manifests(spark, target)
-    # A row per bucket of the versions that are there: snapshots and those since the last time.
-    rows = found.collect() if found is not None else []
+    # The versions that are there: snapshots and those since the last time.
+    found = [store_version(spark, target, number=n) for n in there]
     newest_of: dict[int, int] = {}
-    for r in rows:
-        if r.position is not None:
-            newest_of[r.position] = max(r.version, newest_of.get(r.position, r.version))
+    for v in found:
+        if v is not None and v.position is not None:
+            newest_of[v.position] = max(v.number, newest_of.get(v.position, v.number))
     kept = {*newest_of.values(), *there[-keep:]}
     named: dict[int, set[int]] = {}
-    for r in rows:
-        if r.version in kept and r.bucket is not None:
-            named.setdefault(r.wrote, set()).add(r.bucket)
+    for v in found:
+        if v is not None and v.number in kept:
+            for b, wrote in v.files.items():
+                for w in wrote:
+                    named.setdefault(w, set()).add(b)
     for n in there:
         if n not in kept:
             remove(spark, f"{target}/manifest/version={n}")

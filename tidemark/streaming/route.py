@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import re
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.apply import apply_changes
 from ..operators.schema import column_catalog
 from ..operators.validate import split_valid
-from ..sources.binlog import bad_events, build_changes, table_maps
-from ..sources.store import create_store, merge_changes, read_store, vacuum
+from ..sources.binlog import bad_events, changes_of, decode_rows, table_maps
+from ..sources.store import add_changes, create_store, read_store, vacuum
 from ..sources.tables import create_target, route_changes, typed_targets
-from ..sources.versions import finished, numbers, remove
+from ..sources.versions import (
+    children, exists, finished, numbers, read_note, remove, write_note,
+)
 
 _COLUMNS = ("database", "table", "file_seq", "byte_off", "ordinal", "name", "type_code", "meta",
             "unsigned")
+_CHANGES = "key string, op string, seq bigint, after struct<doc: variant>"
 _AT_ONCE = 8  # jobs of a micro-batch that the driver submits side by side
 
 
@@ -27,76 +31,139 @@ def _store(root: str, database: str, table: str) -> str:
     return f"{root}/tables/{quote(database, safe='')}/{quote(table, safe='')}"
 
 
-def _catalog(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """Columns of the newest schema of every table seen so far (before a batch)."""
+def _catalog(spark: SparkSession, root: str, before: int | None = None) -> str | None:
+    """Folder with the columns of the newest schema of every table seen so far (before a batch)."""
     for n in reversed(numbers(spark, f"{root}/columns", "batch")):
         if (before is None or n < before) and finished(spark, f"{root}/columns/batch={n}"):
-            return spark.read.parquet(f"{root}/columns/batch={n}")
+            return f"{root}/columns/batch={n}"
     return None
 
 
-def _write_catalog(batch: DataFrame, root: str, batch_id: int) -> None:
+def _write_catalog(batch: DataFrame, root: str, batch_id: int, ready) -> None:
+    """Of a batch only the newest schema of each table reaches the driver. ``ready`` returns once all
+    else that the batch needs to count is there."""
     spark = batch.sparkSession
-    new = column_catalog(table_maps(batch).filter("error IS NULL")).select(*_COLUMNS).distinct()
+    seen = column_catalog(table_maps(batch).filter("error IS NULL")).select(*_COLUMNS)
+    place = ("file_seq", "byte_off")
+    newest = seen.groupBy(*_COLUMNS[:4]).agg(
+        F.collect_set(F.struct(*_COLUMNS[4:])).alias("columns")).groupBy(*_COLUMNS[:2]).agg(
+        F.max_by(F.struct(*place, "columns"), F.struct(*place)).alias("map")).collect()
+    rows = [(r.database, r.table, r.map.file_seq, r.map.byte_off, *c)
+            for r in newest for c in r.map.columns]
     old = _catalog(spark, root, before=batch_id)
-    every = new if old is None else new.unionByName(old)
-    place = F.struct("file_seq", "byte_off")
-    newest = every.groupBy("database", "table").agg(F.max(place).alias("newest"))
-    every.join(newest, ["database", "table"]).filter(place == F.col("newest")).select(
-        *_COLUMNS).distinct().coalesce(1).write.mode("overwrite").parquet(
-        f"{root}/columns/batch={batch_id}")
+    if old is not None:
+        rows += [tuple(r[c] for c in _COLUMNS) for r in read_note(spark, old)]
+    last: dict[tuple, tuple] = {}
+    for r in rows:
+        last[r[:2]] = max(last.get(r[:2], r[2:4]), r[2:4])
+    ready()
+    write_note(spark, list(dict.fromkeys(r for r in rows if r[2:4] == last[r[:2]])), seen.schema,
+               f"{root}/columns/batch={batch_id}")
     for n in numbers(spark, f"{root}/columns", "batch")[:-2]:
         remove(spark, f"{root}/columns/batch={n}")
 
 
+def _merged(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """The last micro-batch whose changes are in the stores, with all before it; -1 if none is."""
+    there = [n for n in numbers(spark, f"{root}/merged", "batch")
+             if (before is None or n < before) and finished(spark, f"{root}/merged/batch={n}")]
+    return max(there, default=-1)
+
+
+def _waiting(spark: SparkSession, root: str, after: int, upto: int) -> list[int]:
+    return [n for n in numbers(spark, f"{root}/staged", "batch") if after < n <= upto]
+
+
+def _staged(spark: SparkSession, root: str, batches: list[int]) -> dict[tuple[str, str], list[str]]:
+    """Folders with the changes of each (database, table) in some micro-batches, as
+    ``route_changes`` wrote them."""
+    def below(folder: str, column: str):
+        for name in sorted(children(spark, folder)):
+            kind, _, value = name.partition("=")
+            if kind == column:
+                yield unquote(value), f"{folder}/{name}"
+
+    found: dict[tuple[str, str], list[str]] = {}
+    for n in batches:
+        for database, folder in below(f"{root}/staged/batch={n}", "database"):
+            for table, path in below(folder, "table"):
+                found.setdefault((database, table), []).append(path)
+    return found
+
+
+def _unmerged(spark: SparkSession, root: str) -> dict[tuple[str, str], list[str]]:
+    """Folders of changes that are in no store yet. Should some be, nothing changes: changes may
+    come again."""
+    last = _catalog(spark, root)
+    return {} if last is None else _staged(spark, root, _waiting(
+        spark, root, _merged(spark, root), int(last.rsplit("=", 1)[-1])))
+
+
 def route_stream(log_events: DataFrame, root: str, checkpoint: str, buckets: int = 16,
-                 on_batch=None, **trigger) -> StreamingQuery:
+                 on_batch=None, merge_every: int = 16, **trigger) -> StreamingQuery:
     """Keep a target for every table of a stream of ``log_events`` (with ``table_map``, as
     ``binlog_stream`` and ``resolve_stream`` give them).
 
-    Each micro-batch first notes the columns that its schema messages declare and deals its
-    changes out by table, then merges them into the tables' stores of hash buckets, making those it
-    sees for the first time. The loop is over the tables of the batch, some at a time, never over
-    rows; each pass reads its table's part only. Rows are kept as documents and get the types of the newest schema
+    Each micro-batch deals its changes out by table and notes the columns that its schema messages
+    declare, with which it counts: ``read_target`` sees its changes. After ``merge_every``
+    micro-batches their changes are added to the tables' stores of hash buckets, made when they are
+    first needed. A store merges its files by levels, so what a micro-batch costs does not follow
+    the size of the targets. The loop is over the tables, some at a time, never over rows; each pass
+    reads its table's part only. Rows are kept as documents and get the types of the newest schema
     when they are read (``read_target``), so a table may change its columns at any time. A batch
     that is repeated writes the same versions again. What cannot be applied goes to
     ``quarantine/batch=<n>`` with its reason.
     """
+    def merge(spark: SparkSession, batch_id: int) -> None:
+        before = _merged(spark, root, before=batch_id)
+        waiting = _waiting(spark, root, before, batch_id)
+        if len(waiting) < merge_every:
+            return
+
+        def add(table):
+            store = _store(root, *table[0])
+            create_store(spark, store, buckets=buckets)
+            add_changes(spark.read.schema(_CHANGES).parquet(*table[1]), store, version=batch_id)
+            vacuum(spark, store)
+
+        with ThreadPoolExecutor(_AT_ONCE) as pool:
+            for _ in pool.map(inheritable_thread_target(spark)(add),
+                              _staged(spark, root, waiting).items()):
+                pass
+        write_note(spark, [(n,) for n in waiting], "batch bigint", f"{root}/merged/batch={batch_id}")
+        # Readers that have begun may still need what this batch merged.
+        for n in _waiting(spark, root, -1, before):
+            remove(spark, f"{root}/staged/batch={n}")
+        for n in numbers(spark, f"{root}/merged", "batch")[:-3]:
+            remove(spark, f"{root}/merged/batch={n}")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = batch
-        batch = batch.persist()  # the files of a micro-batch are split once
-        good, bad = split_valid(build_changes(batch))
+        batch = batch.persist()  # the files of a micro-batch are split once, and decoded once
+        images = decode_rows(batch).persist()
+        good, bad = split_valid(changes_of(images))
         good = good.select("database", "table", "key", "op", "seq",
                            F.struct(F.col("after").alias("doc")).alias("after"))
         quarantine = bad.select("log_file", F.col("seq").alias("place"), "reason").unionByName(
             bad_events(batch).select("log_file", (F.col("file_start") + F.col("byte_off"))
                                      .alias("place"), "reason"))
-        staged = f"{root}/staged/batch={batch_id}"
         try:
+            # First of all, so that the jobs side by side find it done.
+            images.write.format("noop").mode("overwrite").save()
             with ThreadPoolExecutor(_AT_ONCE) as pool:
-                for part in [pool.submit(inheritable_thread_target(spark)(job)) for job in (
-                        lambda: _write_catalog(batch, root, batch_id),
-                        lambda: quarantine.write.mode("overwrite").parquet(
-                            f"{root}/quarantine/batch={batch_id}"),
-                        lambda: route_changes(good, staged, mode="overwrite"))]:
+                def submit(job, *args):
+                    return pool.submit(inheritable_thread_target(spark)(job), *args)
+
+                dealt = submit(route_changes, good, f"{root}/staged/batch={batch_id}", "overwrite")
+                for part in (dealt, submit(_write_catalog, batch, root, batch_id, dealt.result),
+                             submit(lambda: quarantine.write.mode("overwrite").parquet(
+                                 f"{root}/quarantine/batch={batch_id}"))):
                     part.result()
-                feed = spark.read.schema(good.schema).parquet(staged)
-                names = feed.select("database", "table").distinct().collect()
-
-                def merge(name):
-                    store = _store(root, *name)
-                    create_store(spark, store, buckets=buckets)
-                    merge_changes(feed.filter((F.col("database") == name[0])
-                                              & (F.col("table") == name[1])), store,
-                                  version=batch_id)
-                    vacuum(spark, store)
-
-                for _ in pool.map(inheritable_thread_target(spark)(merge), names):
-                    pass
         finally:
+            images.unpersist()
             batch.unpersist()
-        remove(spark, staged)
+        merge(spark, batch_id)
         if on_batch is not None:
             on_batch(seen, batch_id)
 
@@ -109,16 +176,22 @@ def targets(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     catalog = _catalog(spark, root)
     if catalog is None:
         return []
-    names = sorted(tuple(r) for r in catalog.select("database", "table").distinct().collect())
-    return [n for n in names if numbers(spark, f"{_store(root, *n)}/manifest", "version")]
+    waiting = _unmerged(spark, root)
+    names = sorted({(r["database"], r["table"]) for r in read_note(spark, catalog)})
+    return [n for n in names if n in waiting
+            or numbers(spark, f"{_store(root, *n)}/manifest", "version")]
 
 
 def read_target(spark: SparkSession, root: str, database: str, table: str) -> DataFrame:
     """Current rows of a target, with the columns and types of its newest schema."""
-    columns = typed_targets(_catalog(spark, root).filter(
+    columns = typed_targets(spark.read.parquet(_catalog(spark, root)).filter(
         (F.col("database") == database) & (F.col("table") == table)), document="doc")
-    return read_store(spark, _store(root, database, table)).select(
-        "key", *columns[database, table], "last_seq")
+    waiting = _unmerged(spark, root).get((database, table))
+    changes = spark.read.schema(_CHANGES).parquet(*waiting) if waiting else None
+    store = _store(root, database, table)
+    rows = (read_store(spark, store, changes=changes) if exists(spark, f"{store}/layout")
+            else apply_changes(changes))
+    return rows.select("key", *columns[database, table], "last_seq")
 
 
 def _catalog_name(name: str) -> str:
