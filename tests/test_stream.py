@@ -12,8 +12,10 @@ from tidemark.operators import apply_multi_table, split_valid, tap
 from tidemark.plans import packing as P
 from tidemark.sources.binlog import bad_events
 from tidemark.streaming import (
-    apply_stream, binlog_stream, change_stream, compact_state, read_state, use_rocksdb,
+    apply_stream, binlog_stream, change_stream, compact_state, read_state, state_per_core,
+    use_rocksdb,
 )
+from tidemark.streaming.apply import keep_batches, read_kept
 
 BY = ("database", "table", "key")
 
@@ -151,6 +153,35 @@ def test_target_stays_small(spark, tmp_path):
         read_state(spark, str(tmp_path / "none"))
 
 
+def test_merged_folders_are_not_written_again_each_time(spark, tmp_path):
+    """Twenty-five batches, merged beyond two folders: levels of merged folders, few files, and
+    the newest row of each key."""
+    target = str(tmp_path / "out")
+    write = keep_batches(spark, target, ("key",), ("v",), max_batches=2)
+    merged, folders = [], []
+    for n in range(25):
+        write(spark.createDataFrame([(n % 7, n), (100 + n, n)], "key int, v int"), n)
+        folders.append(len(list((tmp_path / "out").iterdir())))
+        if (tmp_path / "out" / f"base_id={n}").exists():
+            merged.append(spark.read.parquet(f"{target}/base_id={n}").count())
+    got = {r.key: r.v for r in read_kept(spark, target, ("key",), ("v",)).collect()}
+    assert got == {n % 7: n for n in range(25)} | {100 + n: n for n in range(25)}
+    assert len(merged) == 8 and sorted(merged)[:5] == [6] * 5 and max(folders) <= 16
+
+
+def test_state_fills_whole_waves_of_tasks(spark, monkeypatch):
+    context, name = type(spark.sparkContext), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40")
+    try:
+        for cores, partitions in ((1, 16), (4, 16), (6, 12), (12, 12), (24, 24), (64, 40)):
+            monkeypatch.setattr(context, "defaultParallelism", cores)
+            with state_per_core(spark):
+                assert spark.conf.get(name) == str(partitions)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_state_has_a_partition_per_core(spark, tmp_path):
     """Not one per shuffle partition of the session, which keeps its setting."""
     source, name = str(tmp_path / "in"), "spark.sql.shuffle.partitions"
